@@ -53,13 +53,17 @@ class Runs:
     def tables(self, spark) -> list[DataFrame]:
         return [spark.table(n) for level in self.levels for n in level]
 
+    def _merge(self, spark, names: list[str]) -> DataFrame:
+        """The runs' counts added up by a full merge join: both sides lie bucketed and sorted, so nothing is shuffled."""
+        out = spark.table(names[0])
+        for name in names[1:]:
+            b = spark.table(name).withColumnRenamed("n", "m")
+            out = out.join(b, ["h1", "h2"], "full_outer").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+        return out
+
     def totals(self, spark) -> DataFrame:
         """(h1, h2, n) over all runs."""
-        every = self.tables(spark)
-        out = every[0]
-        for t in every[1:]:
-            out = out.unionByName(t)
-        return out if len(every) == 1 else out.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+        return self._merge(spark, [n for level in self.levels for n in level])
 
     def add(self, batch: DataFrame) -> None:
         """Counts the batch (hashes: array of structs h1, h2 per document) and adds its run; compacts full levels."""
@@ -71,10 +75,7 @@ class Runs:
         level = 0
         while len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            merged = spark.table(full[0])
-            for name in full[1:]:
-                merged = merged.unionByName(spark.table(name))
-            self._save(merged.groupBy("h1", "h2").agg(F.sum("n").alias("n")), level + 1)
+            self._save(self._merge(spark, full), level + 1)
             level += 1
 
 
@@ -91,14 +92,15 @@ def marked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", common:
     folder = scratch(spark)
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     located = _located(docs, doc_id, text, least).withColumn("batch", F.pmod("x", F.lit(batches)).cast("int"))
-    located = written(located, "lines", folder)
+    located.write.partitionBy("batch").parquet(f"{folder}/lines")  # a batch later reads its own files alone
+    located = spark.read.schema(located.schema).parquet(f"{folder}/lines")
     runs = Runs(folder, n, common)
     for k in range(batches):
         part = located.where(F.col("batch") == k)
         runs.add(part.select(F.transform(F.filter("hashes", lambda h: h["long"]), lambda h: F.struct(h["h1"].alias("h1"), h["h2"].alias("h2"))).alias("hashes")))
-    often = runs.totals(spark).where(F.col("n") >= common).select("h1", "h2")
-    each = located.dropDuplicates(["x", "y"]).select("x", "y", F.posexplode("hashes").alias("pos", "h")).where("h.long").select("x", "y", "pos", "h.h1", "h.h2")
-    drop = each.join(often, ["h1", "h2"], "left_semi").groupBy("x", "y").agg(F.array_sort(F.collect_list("pos")).alias("_drop"))
+    often = written(runs.totals(spark).where(F.col("n") >= common).select("h1", "h2"), "often", folder)  # by its size Spark picks the join
+    each = located.select("x", "y", F.posexplode("hashes").alias("pos", "h")).where("h.long").select("x", "y", "pos", "h.h1", "h.h2")
+    drop = each.join(often, ["h1", "h2"], "left_semi").groupBy("x", "y").agg(F.array_sort(F.collect_set("pos")).alias("_drop"))  # repeated rows share their positions
     drop = written(drop.select(F.col("x").alias("_x"), F.col("y").alias("_y"), "_drop"), "drop", folder)
     keyed = docs.withColumn("_x", row_hash([doc_id, text], 1)).withColumn("_y", row_hash([doc_id, text], 2))
     return keyed.join(drop, ["_x", "_y"], "left")
