@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import n_words, ordered, ranked, row_hash, written
 
-#: Words of a source's budget that the dynamic program, not the proportional bulk, fills.
+#: Words of a source's budget that the dynamic program, not the proportional bulk, fills; twice its longest document at least.
 WINDOW = 16384
 MAX_REPEATS = 3
 ADDED = ["size", "source_size", "target", "taken"]
@@ -36,6 +36,8 @@ def fit(lengths: list[int], counts: list[int], budget: int, window: int = WINDOW
         return [0] * len(lengths)
     if budget >= total:
         return list(counts)
+    longest = max(lengths)
+    window = max(window, 2 * longest)
     bulk = max(0, budget - window)
     took = [n * bulk // total for n in counts]
     rest = budget - sum(a * n for a, n in zip(lengths, took, strict=True))
@@ -44,12 +46,11 @@ def fit(lengths: list[int], counts: list[int], budget: int, window: int = WINDOW
         more = min(counts[i] - took[i], max(0, rest - window) // lengths[i])
         took[i] += more
         rest -= more * lengths[i]
-    # bounded knapsack: bit s of `sums` is set when s words can be reached; one shortest document may overshoot
-    shortest = min((lengths[i] for i in order if counts[i] > took[i]), default=0)
-    mask = (1 << (rest + shortest + 1)) - 1
+    # bounded knapsack: bit s of `sums` is set when s words can be reached; one document may overshoot
+    mask = (1 << (rest + longest + 1)) - 1
     sums, steps = 1, []
     for i in order:
-        left, piece = min(counts[i] - took[i], (rest + shortest) // lengths[i]), 1
+        left, piece = min(counts[i] - took[i], (rest + longest) // lengths[i]), 1
         while left > 0 and not sums >> rest & 1:
             piece = min(piece, left)
             steps.append((i, piece, sums))
@@ -89,9 +90,10 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: fl
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), seed: int = 42, per: int = 4096, size: F.Column | None = None) -> DataFrame:
     """Every row of docs with size, source_size, target and taken: the words that the mix takes of it, repeats counted."""
     kept = [c for c in docs.columns if c not in ADDED]
-    d = docs.withColumn("_size", n_words(F.col(text)) if size is None else size)
-    d = d.withColumn("skey", F.when(F.col(source).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source))))
-    counts = written(d.groupBy("skey", "_size").agg(F.count("*").alias("n"), F.first(source).alias("source")), "lengths")
+    n = n_words(F.col(text)) if size is None else size
+    d = docs.select(F.struct(*kept).alias("_row"), F.col(doc_id).alias("_id"), F.col(source).alias("_source"), n.alias("_size"))  # a row's own names clash with nothing
+    d = d.withColumn("skey", F.when(F.col("_source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("_source"))))
+    counts = written(d.groupBy("skey", "_size").agg(F.count("*").alias("n"), F.first("_source").alias("source")), "lengths")
     goals = targets(counts.groupBy("skey").agg(F.first("source").alias("source"), F.sum(F.col("_size") * F.col("n")).alias("source_size")), weights)
 
     def grant(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -104,10 +106,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     grants = counts.drop("source").join(goals, "skey").groupBy("skey").applyInPandas(grant, "skey string, _size long, n long, source_size long, target double, passes long, extra long")
     d = d.join(written(grants, "grants"), ["skey", "_size"])
     whole = d.where((F.col("extra") == 0) | (F.col("extra") == F.col("n"))).withColumn("_more", (F.col("extra") > 0).cast("long"))
-    part = ranked(d.where((F.col("extra") > 0) & (F.col("extra") < F.col("n"))), ["skey", "_size"], F.ceil(F.col("n") / per), row_hash([doc_id], seed), [F.col(doc_id)], "_rank")
+    part = ranked(d.where((F.col("extra") > 0) & (F.col("extra") < F.col("n"))), ["skey", "_size"], F.ceil(F.col("n") / per), row_hash(["_id"], seed), [F.col("_id"), F.xxhash64("_row")], "_rank")
     part = part.withColumn("_more", (F.col("_rank") < F.col("extra")).cast("long")).drop("_rank")
     both = whole.unionByName(part)
-    return both.select(*kept, F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * (F.col("passes") + F.col("_more"))).alias("taken"))
+    return both.select("_row.*", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * (F.col("passes") + F.col("_more"))).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
