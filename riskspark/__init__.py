@@ -1,0 +1 @@
+"""Training risk analytics on Spark: features, scenarios, options, validation."""
