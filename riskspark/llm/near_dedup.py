@@ -6,11 +6,14 @@
 2. Documents of equal sets form a class; only one row a class goes on, so exact copies cost nothing below.
 3. ROWS registers side by side make a band; classes that share a band are candidates. In each band bucket every class
    meets the bucket's leader first; what is linked is clustered. Buckets that still hold several clusters are
-   compared in blocks of at most BLOCK classes, a pair of blocks per task row, but only across clusters: first the few
-   best partners of a class, then, after another clustering, all that are left. So each candidate pair is either
-   compared or already known to be connected, no bucket is capped and no group's pairs are all made.
+   compared in blocks of at most BLOCK classes, a pair of blocks per task row, but only across clusters, and only in
+   the first band that two classes share. So each candidate pair is either compared or already known to be connected,
+   no bucket is capped and no group's pairs are all made.
 4. A pair of registers goes on when its collision-corrected Jaccard estimate is within SLACK standard deviations of
-   the threshold; then 100 * intersection >= percent * union is tested on the full sets of shingle hashes.
+   the threshold; then 100 * intersection >= percent * union is tested on the full sets of shingle hashes. Where both
+   sets have at most KEPT hashes the block's task holds them whole and tests there, so that it sends on true links
+   alone, one fewer than the classes it connects. Larger sets are first estimated from their KEPT least hashes, then
+   joined with the full sets: at first the few best partners of a class, then, after another clustering, all left.
 5. Components come from iterative star joins (components.py); a class's least doc_id names it.
 
 With 24 bands of 4 registers a pair at similarity 0.8 is missed with probability (1 - 0.8**4)**24 = 3e-6; the estimate
@@ -37,7 +40,7 @@ from .common import row_hash, scratch, written
 from .components import components
 
 BANDS, ROWS, MANTISSA, SLACK = 24, 4, 10, 5.0
-BLOCK = 256
+BLOCK, KEPT = 256, 256
 _REGISTERS = BANDS * ROWS
 _SEEDS = np.random.default_rng(42).integers(1, 1 << 63, (2, _REGISTERS), dtype=np.uint64)
 _SEEDS[0] |= np.uint64(1)
@@ -99,9 +102,10 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return ((a == b).mean(axis=-1) - by_chance) / (1 - by_chance)
 
 
-def _floor(percent: float) -> float:
+def _floor(percent: float, of: int) -> float:
+    """The least estimate from so many independent comparisons that a pair at the threshold may have."""
     p = percent / 100
-    return p - SLACK * (p * (1 - p) / _REGISTERS) ** 0.5
+    return p - SLACK * (p * (1 - p) / of) ** 0.5
 
 
 def sketches(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -138,7 +142,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, doc_id: str, text: str
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                sets = [shingles(t, words, seen).view(np.int64) for t in part.column("text").to_pylist()]
+                sets = [shingles(t, words, seen).view(np.int64) for t in part.column("text").to_pylist()]  # in the order of unsigned hashes
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(sets, pa.list_(pa.int64()))], ["key", "hashes"])
 
     d = docs.select(rid(F.col(doc_id), F.col(text)).alias("rid"), F.col(text).alias("text"))
@@ -156,37 +160,34 @@ def linked(docs: DataFrame, words: int = 5, percent: float = 80, doc_id: str = "
     width = 2 * ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * width + 1, width)))
     # a band's number is part of its hash; chance collisions of the 64 bits only add candidates
-    buckets = classes.select("key", F.explode(bands).alias("bucket"))
+    buckets = classes.select("key", F.posexplode(bands).alias("band", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("leader")).where("n > 1")
-    members = written(buckets.join(shared, "bucket").select("bucket", "key", "leader"), "members", folder)
+    members = written(buckets.join(shared, "bucket").select("bucket", "band", "key", "leader"), "members", folder)
+    # one pass over the texts gives the full sets of all classes that share any band
+    sets = written(_sets(docs, classes.join(members.select("key").distinct(), "key", "left_semi").select("rid", "key"), words, doc_id, text), "sets", folder)
     info = classes.select("key", "n_shingles", "registers")
-    low = _floor(percent)
+    low = _floor(percent, _REGISTERS)
 
     pairs = members.where(F.col("key") != F.col("leader")).select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
     pairs = pairs.join(info.select(F.col("key").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra")), "a")
     pairs = pairs.join(info.select(F.col("key").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb")), "b")
     pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     pairs = written(pairs.mapInArrow(lambda it: _close(it, low), "a binary, b binary, na long, nb long"), "pairs0", folder)
-
-    sets = None
-    links, root = None, None
-    for k, best in enumerate((0, 3, 0)):
-        if k:
-            clusters = members.select("bucket", "key").join(root, members["key"] == root["node"], "left").select("bucket", "key", F.coalesce("root", "key").alias("cluster"))
-            clusters = written(clusters, f"clusters{k}", folder)
-            mixed = clusters.groupBy("bucket").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y"), F.count("*").alias("size")).where("x != y")
-            pairs = written(_across(clusters.join(mixed.select("bucket", "size"), "bucket"), info, percent, low, best), f"pairs{k}", folder)
-        if pairs.isEmpty():
-            if k:
-                break
-            links = written(spark.createDataFrame([], "a binary, b binary"), "links0", folder)
-        else:
-            ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-            new = ends if sets is None else ends.join(sets.select("key"), "key", "left_anti")
-            more = written(_sets(docs, classes.select("rid", "key").join(new, "key"), words, doc_id, text), f"sets{k}", folder)
-            sets = more if sets is None else sets.unionByName(more)
-            found = written(_verified(pairs, sets, percent), f"links{k}", folder)
-            links = found if links is None else links.unionByName(found)
+    links = written(_verified(pairs, sets, percent), "links0", folder)
+    root = written(components(links), "roots0", folder)
+
+    info = info.join(sets.select("key", F.slice("hashes", 1, KEPT).alias("least_hashes")), "key")
+    for k, best in ((1, 3), (2, 0)):
+        clusters = members.select("bucket", "band", "key").join(root, members["key"] == root["node"], "left").select("bucket", "band", "key", F.coalesce("root", "key").alias("cluster"))
+        clusters = written(clusters, f"clusters{k}", folder)
+        if k == 2:  # small sets are settled, so only buckets with a large one remain
+            clusters = clusters.join(clusters.join(info.where(F.col("n_shingles") > KEPT).select("key"), "key", "left_semi").select("bucket").distinct(), "bucket", "left_semi")
+        mixed = clusters.groupBy("bucket").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y"), F.count("*").alias("size")).where("x != y")
+        found = written(_across(clusters.join(mixed.select("bucket", "size"), "bucket"), info, percent, low, best, k == 2), f"pairs{k}", folder)
+        if found.isEmpty():
+            break
+        more = found.where("sure").select("a", "b").unionByName(_verified(found.where("not sure"), sets, percent))
+        links = links.unionByName(written(more, f"links{k}", folder))
         root = written(components(links), f"roots{k}", folder)
     named = classes.select("key", "least").join(root.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -202,37 +203,67 @@ def _close(batches: Iterator[pa.RecordBatch], low: float) -> Iterator[pa.RecordB
             yield b.select(["a", "b", "na", "nb"]).filter(pa.array(estimate(a, c, n, m) >= low))
 
 
-def _across(members: DataFrame, info: DataFrame, percent: float, low: float, best: int) -> DataFrame:
-    """Candidate pairs across the clusters of a bucket; best > 0: only so many partners of a class in a pair of blocks.
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Number of values that two sorted sets share."""
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
+def _least_estimate(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard estimate from two sets' KEPT least hashes: the share of common ones among the least of the union."""
+    both = np.union1d(x, y)[:KEPT]
+    return _common(both[np.isin(both, x, assume_unique=True)], y) / len(both)
+
+
+def _across(members: DataFrame, info: DataFrame, percent: float, low: float, best: int, large_only: bool) -> DataFrame:
+    """Links (sure) and candidate pairs (not sure: of large sets) across the clusters of a bucket; best > 0: only so many candidates of a class in a pair of blocks.
 
     A bucket's classes go to ceil(size / BLOCK) blocks by hash, and each pair of blocks is one group of rows.
     """
     m = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     m = m.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    m = m.join(info, "key").select("bucket", "key", "cluster", "n_shingles", "registers", "block", F.explode(other).alias("o"))
-    m = m.select("bucket", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "key", "cluster", "n_shingles", "registers")
+    names = ("band", "key", "cluster", "n_shingles", "registers", "least_hashes")
+    m = m.join(info, "key").select("bucket", *names, "block", F.explode(other).alias("o"))
+    m = m.select("bucket", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", *names)
+    fine = _floor(percent, KEPT)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         r = np.frombuffer(b"".join(pdf.registers), "<u2").reshape(-1, _REGISTERS)
-        n, block = pdf.n_shingles.to_numpy(float), pdf.block.to_numpy()
-        key, (cluster, _) = pdf.key.to_numpy(), pd.factorize(pdf.cluster)
-        same = pdf.i.iloc[0] == pdf.j.iloc[0]
+        n, block, band = pdf.n_shingles.to_numpy(float), pdf.block.to_numpy(), int(pdf.band.iloc[0])
+        key, least, (cluster, _) = pdf.key.to_numpy(), [np.asarray(h, np.int64).view(np.uint64) for h in pdf.least_hashes], pd.factorize(pdf.cluster)
+        same, large = pdf.i.iloc[0] == pdf.j.iloc[0], n > KEPT
         left, right = np.flatnonzero(block == pdf.i.iloc[0]), np.flatnonzero(block == pdf.j.iloc[0])
         out = []
         for x in left:
             y = right[right > x] if same else right
             y = y[(cluster[y] != cluster[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
-            if len(y):
-                e = estimate(r[y], r[x], n[y], n[x])
-                y, e = y[e >= low], e[e >= low]
-                if best and len(y) > best:
-                    y = y[np.argsort(-e, kind="stable")[:best]]
-                out += [(key[x], key[z], int(n[x]), int(n[z])) for z in y]
-        return pd.DataFrame(out, columns=["a", "b", "na", "nb"])
-
-    p = m.groupBy("bucket", "i", "j").applyInPandas(compare, "a binary, b binary, na long, nb long")
-    return p.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.when(F.col("a") > F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") > F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+            if large_only and not large[x]:
+                y = y[large[y]]
+            if not len(y):
+                continue
+            e = estimate(r[y], r[x], n[y], n[x])
+            y, e = y[e >= low], e[e >= low]
+            if band and len(y):  # met in an earlier band
+                again = (r[y] == r[x])[:, : band * ROWS].reshape(len(y), band, ROWS).all(2).any(1)
+                y, e = y[~again], e[~again]
+            sent = 0
+            for z in y[np.argsort(-e, kind="stable")]:
+                if cluster[z] == cluster[x]:
+                    continue
+                if large[x] or large[z]:
+                    if (best == 0 or sent < best) and _least_estimate(least[x], least[z]) >= fine:
+                        out.append((key[x], key[z], int(n[x]), int(n[z]), False))
+                        sent += 1
+                elif (both := _common(least[x], least[z])) * 100 >= percent * (n[x] + n[z] - both):
+                    out.append((key[x], key[z], int(n[x]), int(n[z]), True))
+                    cluster[cluster == cluster[z]] = cluster[x]
+        return pd.DataFrame(out, columns=["a", "b", "na", "nb", "sure"])
+
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    m = m.repartition(parts, "bucket", "i", "j")  # so many tasks however few bytes: the work is in the comparisons
+    p = m.groupBy("bucket", "i", "j").applyInPandas(compare, "a binary, b binary, na long, nb long, sure boolean")
+    swap = F.col("a") < F.col("b")
+    return p.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb"), "sure").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: float) -> DataFrame:
