@@ -40,7 +40,7 @@ from .common import row_hash, scratch, written
 from .components import components
 
 BANDS, ROWS, MANTISSA, SLACK = 24, 4, 10, 5.0
-BLOCK, KEPT = 256, 256
+BLOCK, KEPT = 1024, 256
 _REGISTERS = BANDS * ROWS
 _SEEDS = np.random.default_rng(42).integers(1, 1 << 63, (2, _REGISTERS), dtype=np.uint64)
 _SEEDS[0] |= np.uint64(1)
