@@ -1 +1 @@
-"""Training risk analytics on Spark: features, scenarios, options, validation."""
+"""Downside-risk analytics on Spark: features, scenarios, options, validation."""
