@@ -76,13 +76,18 @@ def window_features(ret: DataFrame, width: int = 20) -> DataFrame:
     r, win = F.col("r"), over(0, width - 1)
     tail = ret.agg(F.percentile("r", F.lit(0.05)).alias("q"))
     d = ret.crossJoin(F.broadcast(tail)).withColumn("a", F.collect_list(r).over(win)).where(F.size("a") == width)  # one row
+    return of_windows(d, width, F.col("rn").alias("start"))
+
+
+def of_windows(d: DataFrame, width: int, *keys: F.Column) -> DataFrame:
+    """The eight features of the windows in array a, given the tail threshold q."""
     fives = F.transform(F.sequence(F.lit(1), F.lit(width - 4)), lambda i: F.aggregate(F.slice("a", i, 5), F.lit(0.0), lambda s, x: s + x))
     mean = F.aggregate("a", F.lit(0.0), lambda s, x: s + x) / width
     d = d.withColumn("mean", mean).withColumn("amean", F.aggregate("a", F.lit(0.0), lambda s, x: s + F.abs(x)) / width)
     sd = F.sqrt(F.aggregate("a", F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean"))) / width)
     asd = F.sqrt(F.aggregate("a", F.lit(0.0), lambda s, x: s + (F.abs(x) - F.col("amean")) * (F.abs(x) - F.col("amean"))) / width)
     return d.select(
-        F.col("rn").alias("start"), (F.col("mean") * width).alias("cum_return"), (sd * ANNUAL).alias("realised_vol_ann"), drawdown(F.col("a")).alias("max_drawdown"),
+        *keys, (F.col("mean") * width).alias("cum_return"), (sd * ANNUAL).alias("realised_vol_ann"), drawdown(F.col("a")).alias("max_drawdown"),
         F.array_min("a").alias("worst_1d"), F.array_min(fives).alias("worst_5d"), F.size(F.filter("a", lambda x: x < 0)).cast("long").alias("negative_days"),
         F.size(F.filter("a", lambda x: x <= F.col("q"))).cast("long").alias("tail_days"), asd.alias("vol_of_abs_returns"),
     )
@@ -110,6 +115,25 @@ def regime(features: DataFrame, config: RiskConfig = DEFAULT) -> DataFrame:
     return one.withColumn("regime", F.when(F.col("lambda_t") > 0.70, "crisis").when(F.col("lambda_t") > 0.30, "fragile").otherwise("calm"))
 
 
+DRIFT = ("vol_20d", "vix_level", "drawdown_20d")
+
+
+def drift(features: DataFrame, recent: int = 60, least: int = 100) -> DataFrame:
+    """drift, status: mean over features of the recent mean's distance from the earlier median, in interquartile ranges.
+
+    Features without spread are left out; UNKNOWN below recent + least rows.
+    """
+    f = features.select("rn", *DRIFT)
+    f = f.crossJoin(F.broadcast(f.agg((F.max("rn") - recent).alias("cut"), F.count("*").alias("n"))))  # one row
+    now, then = F.col("rn") > F.col("cut"), F.col("rn") <= F.col("cut")
+    q = lambda c, p: F.percentile(F.when(then, F.col(c)), F.lit(p))
+    one = f.agg(F.first("n").alias("n"), *[x.alias(f"{k}_{c}") for c in DRIFT for k, x in (("now", F.avg(F.when(now, F.col(c)))), ("mid", q(c, 0.5)), ("iqr", q(c, 0.75) - q(c, 0.25)))])
+    each = F.filter(F.array(*[F.when(F.col(f"iqr_{c}") > 0, F.abs(F.col(f"now_{c}") - F.col(f"mid_{c}")) / F.col(f"iqr_{c}")) for c in DRIFT]), lambda x: x.isNotNull())
+    mean = F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(each), F.lit(0))
+    one = one.select(F.when(F.col("n") >= recent + least, mean).alias("drift"))
+    return one.withColumn("status", F.when(F.col("drift") < 1.0, "LOW").when(F.col("drift") < 2.5, "MODERATE").when(F.col("drift").isNotNull(), "HIGH").otherwise("UNKNOWN"))
+
+
 def autocorrelation(ret: DataFrame, lags: int = 5) -> DataFrame:
     """lag, acf, acf_sq: by an equi-join on row + lag, so no global window."""
     base = ret.select("rn", "r")

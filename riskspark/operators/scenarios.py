@@ -12,11 +12,11 @@ REGIME = ("vol_20d", "drawdown_20d", "ret_20d", "vix_level", "vix_z_252d")
 CELLS = 1024
 
 
-def block_library(features: DataFrame, horizon: int = 20, first: int = 61) -> DataFrame:
-    """Overlapping blocks that start at row `first` or later, with the features of their first row."""
+def block_library(features: DataFrame, horizon: int = 20, skip: int = 60) -> DataFrame:
+    """Overlapping blocks of the complete feature rows but the first `skip`, with the features of their first row."""
     win, r = over(0, horizon - 1), F.col("r")
-    d = features.withColumn("rets", F.collect_list(r).over(win)).withColumn("block_vol_ann", F.stddev_pop(r).over(win) * 252**0.5).withColumn("block_return", F.sum(r).over(win)).withColumn("block_worst_1d", F.min(r).over(win))
-    d = d.where((F.size("rets") == horizon) & (F.col("rn") >= first)).dropna(subset=list(REGIME))
+    d = features.withColumn("place", F.row_number().over(Window.partitionBy("series").orderBy("rn"))).withColumn("rets", F.collect_list(r).over(win)).withColumn("block_vol_ann", F.stddev_pop(r).over(win) * 252**0.5).withColumn("block_return", F.sum(r).over(win)).withColumn("block_worst_1d", F.min(r).over(win))
+    d = d.where((F.size("rets") == horizon) & (F.col("place") > skip))
     return d.select(F.col("rn").alias("block_id"), "block_return", "block_vol_ann", drawdown(F.col("rets")).alias("block_max_dd"), "block_worst_1d", *REGIME, "rets")
 
 

@@ -31,11 +31,11 @@ QUANTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 
 def tail_and_quantiles(real: DataFrame, models: DataFrame) -> DataFrame:
-    """Per model: mass below the real 0.5 % quantile against the real one's, and the mean absolute quantile error."""
+    """Per model: mass up to the real 0.5 % quantile against the real one's, and the mean absolute quantile error."""
     q = real.agg(F.percentile("r", F.lit(0.005)).alias("cut"), *[F.percentile("r", F.lit(p)).alias(f"q{i}") for i, p in enumerate(QUANTILES)])
-    mass = real.crossJoin(F.broadcast(q)).agg(F.avg((F.col("r") < F.col("cut")).cast("double")).alias("real_mass"))
+    mass = real.crossJoin(F.broadcast(q)).agg(F.avg((F.col("r") <= F.col("cut")).cast("double")).alias("real_mass"))
     one = q.crossJoin(F.broadcast(mass))
-    m = models.crossJoin(F.broadcast(one)).groupBy("model").agg(F.avg((F.col("r") < F.col("cut")).cast("double")).alias("mass"), F.first("real_mass").alias("real_mass"), *[F.abs(F.percentile("r", F.lit(p)) - F.first(f"q{i}")).alias(f"e{i}") for i, p in enumerate(QUANTILES)])  # one row
+    m = models.crossJoin(F.broadcast(one)).groupBy("model").agg(F.avg((F.col("r") <= F.col("cut")).cast("double")).alias("mass"), F.first("real_mass").alias("real_mass"), *[F.abs(F.percentile("r", F.lit(p)) - F.first(f"q{i}")).alias(f"e{i}") for i, p in enumerate(QUANTILES)])  # one row
     mean = sum((F.col(f"e{i}") for i in range(len(QUANTILES))), F.lit(0.0)) / len(QUANTILES)
     return m.select("model", (F.col("mass") / F.nullif(F.col("real_mass"), F.lit(0.0))).alias("tail_mass_ratio"), mean.alias("mean_quantile_error"))
 

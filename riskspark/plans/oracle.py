@@ -42,7 +42,7 @@ FEATURES = (
     + " ".join(f"LEFT JOIN dd{w} ON dd{w}.rn = rv.rn" for w in (5, 10, 20, 60)) + ")"
 ).replace("ORDER BY rn ROWS", "ORDER BY rv.rn ROWS")
 PATHS = f"""{RET}, nb AS (SELECT max(rn) - 19 AS nb FROM ret),
-draw AS (SELECT o_orderkey AS sim_id, 1 + (o_orderkey*1103515245 + 12345) % 2147483648 % nb AS block_id FROM orders CROSS JOIN nb WHERE o_orderkey < 2000),
+draw AS (SELECT o_orderkey AS sim_id, 1 + (o_orderkey*1103515245 + 12345) % 2147483648 % nb AS block_id FROM orders CROSS JOIN nb),
 paths AS (SELECT sim_id, rn - block_id AS step, block_id, r FROM draw JOIN ret ON ret.rn >= draw.block_id AND ret.rn < draw.block_id + 20)"""
 MODEL = f"{PATHS}, models AS (" + " UNION ALL ".join(f"SELECT '{m}' AS model, sim_id, step, r * CAST({a} AS DOUBLE) + CAST({b} AS DOUBLE) AS r FROM paths" for m, a, b in MODELS) + ")"
 
@@ -99,8 +99,8 @@ wf AS (SELECT rn AS start, sum(r) OVER w AS cum_return, stddev_pop(r) OVER w * {
  CAST(sum(CASE WHEN r < 0 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS negative_days, CAST(sum(CASE WHEN r <= q THEN 1 ELSE 0 END) OVER w AS BIGINT) AS tail_days, stddev_pop(abs(r)) OVER w AS vol_of_abs_returns
  FROM ret JOIN five USING (rn) CROSS JOIN q LEFT JOIN wdd USING (rn) WINDOW w AS (ORDER BY rn ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING))"""
 _REG = ("vol_20d", "drawdown_20d", "ret_20d", "vix_level", "vix_z_252d")
-BLOCKS = f"""{FEATURES}, {dd("bdd", 0, 19)}, bl AS (SELECT * FROM (SELECT feat.rn AS block_id, count(*) OVER w AS n, sum(r) OVER w AS block_return, stddev_pop(r) OVER w * {_A} AS block_vol_ann, v AS block_max_dd, min(r) OVER w AS block_worst_1d, {", ".join(_REG)}
- FROM feat LEFT JOIN bdd ON bdd.rn = feat.rn WINDOW w AS (ORDER BY feat.rn ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)) WHERE n = 20 AND block_id >= 61 AND {" AND ".join(f"{c} IS NOT NULL" for c in _REG)})"""
+BLOCKS = f"""{FEATURES}, {dd("bdd", 0, 19)}, cf AS (SELECT *, row_number() OVER (ORDER BY rn) AS place FROM feat WHERE ret_60d IS NOT NULL AND vix_z_252d IS NOT NULL AND vix_change_20d IS NOT NULL), bl AS (SELECT * FROM (SELECT cf.rn AS block_id, place, count(*) OVER w AS n, sum(r) OVER w AS block_return, stddev_pop(r) OVER w * {_A} AS block_vol_ann, v AS block_max_dd, min(r) OVER w AS block_worst_1d, {", ".join(_REG)}
+ FROM cf LEFT JOIN bdd ON bdd.rn = cf.rn WINDOW w AS (ORDER BY cf.rn ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)) WHERE n = 20 AND place > 60 AND {" AND ".join(f"{c} IS NOT NULL" for c in _REG)})"""
 WEIGHTS = (
     BLOCKS + ", st AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}" for c in _REG) + ", quantile_cont(block_vol_ann, 0.95) AS hi, quantile_cont(block_max_dd, 0.05) AS low FROM bl), "
     + "now AS (SELECT " + ", ".join(f"max_by({c}, rn) AS v_{c}" for c in _REG) + " FROM feat WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _REG) + "), "
@@ -182,11 +182,11 @@ ORACLE = {
     "crisis_windows": f"WITH {WINDOW}, f AS (SELECT * FROM wf WHERE max_drawdown IS NOT NULL), k AS (SELECT quantile_cont(realised_vol_ann, 0.95) AS hi, quantile_cont(max_drawdown, 0.05) AS low FROM f) SELECT start, {cols('realised_vol_ann max_drawdown')} FROM f CROSS JOIN k WHERE realised_vol_ann >= hi OR max_drawdown <= low",
     "eval_dates": f"WITH {RET} SELECT rn FROM ret WHERE (rn - 505) % 21 = 0 AND rn > 504 AND rn <= (SELECT max(rn) FROM ret) - 20",
     "acf_returns": f"WITH {RET} SELECT CAST(lag AS BIGINT) AS lag, {r('corr(a.r, b.r)')} AS acf, {r('corr(a.r*a.r, b.r*b.r)')} AS acf_sq FROM (SELECT unnest([1, 2, 3, 4, 5]) AS lag) CROSS JOIN ret a JOIN ret b ON b.rn = a.rn + lag GROUP BY 1",
-    "regime_lambda": f"WITH {FEATURES}, h AS (SELECT rn, round(vol_20d, 10) AS vol_20d, round(vix_level, 10) AS vix_level, round(drawdown_20d, 10) AS drawdown_20d, round(ret_20d, 10) AS ret_20d FROM feat WHERE vol_20d IS NOT NULL AND vix_level IS NOT NULL), p AS (SELECT rn, {', '.join(f'(2*rank() OVER (ORDER BY {c}) + count(*) OVER (PARTITION BY {c}) - 1)/2/count(*) OVER () AS p_{c}' for c in ('vol_20d', 'vix_level', 'drawdown_20d', 'ret_20d'))} FROM h), o AS (SELECT p_vol_20d AS vol_pct, p_vix_level AS vix_pct, 1 - p_drawdown_20d AS dd_stress, 1 - p_ret_20d AS ret_stress FROM p ORDER BY rn DESC LIMIT 1), s AS (SELECT *, 0.35*vol_pct + 0.30*vix_pct + 0.20*dd_stress + 0.15*ret_stress AS raw_score FROM o), l AS (SELECT *, 1/(1 + exp(-8*(raw_score - 0.6))) AS lambda_t FROM s) SELECT {cols('vol_pct vix_pct dd_stress ret_stress raw_score lambda_t')}, CASE WHEN lambda_t > 0.7 THEN 'crisis' WHEN lambda_t > 0.3 THEN 'fragile' ELSE 'calm' END AS regime FROM l",
-    "regime_drift": f"WITH {FEATURES}, h AS (SELECT *, rn > max(rn) OVER () - 60 AS now FROM feat WHERE vol_20d IS NOT NULL), x AS (SELECT ({' + '.join(f'abs(avg({c}) FILTER (now) - quantile_cont({c}, 0.5) FILTER (NOT now))/(quantile_cont({c}, 0.75) FILTER (NOT now) - quantile_cont({c}, 0.25) FILTER (NOT now))' for c in ('vol_20d', 'drawdown_20d', 'ret_20d'))})/3 AS drift FROM h) SELECT {r('drift')} AS drift, CASE WHEN drift < 1 THEN 'LOW' WHEN drift < 2.5 THEN 'MODERATE' ELSE 'HIGH' END AS status FROM x",
+    "regime_lambda": f"WITH {FEATURES}, h AS (SELECT rn, round(vol_20d, 10) AS vol_20d, round(vix_level, 10) AS vix_level, round(drawdown_20d, 10) AS drawdown_20d, round(ret_20d, 10) AS ret_20d FROM feat WHERE ret_60d IS NOT NULL AND vix_z_252d IS NOT NULL AND vix_change_20d IS NOT NULL), p AS (SELECT rn, {', '.join(f'(2*rank() OVER (ORDER BY {c}) + count(*) OVER (PARTITION BY {c}) - 1)/2/count(*) OVER () AS p_{c}' for c in ('vol_20d', 'vix_level', 'drawdown_20d', 'ret_20d'))} FROM h), o AS (SELECT p_vol_20d AS vol_pct, p_vix_level AS vix_pct, 1 - p_drawdown_20d AS dd_stress, 1 - p_ret_20d AS ret_stress FROM p ORDER BY rn DESC LIMIT 1), s AS (SELECT *, 0.35*vol_pct + 0.30*vix_pct + 0.20*dd_stress + 0.15*ret_stress AS raw_score FROM o), l AS (SELECT *, 1/(1 + exp(-8*(raw_score - 0.6))) AS lambda_t FROM s) SELECT {cols('vol_pct vix_pct dd_stress ret_stress raw_score lambda_t')}, CASE WHEN lambda_t > 0.7 THEN 'crisis' WHEN lambda_t > 0.3 THEN 'fragile' ELSE 'calm' END AS regime FROM l",
+    "regime_drift": f"WITH {FEATURES}, h AS (SELECT *, rn > max(rn) OVER () - 60 AS now FROM feat WHERE ret_60d IS NOT NULL AND vix_z_252d IS NOT NULL AND vix_change_20d IS NOT NULL), x AS (SELECT ({' + '.join(f'abs(avg({c}) FILTER (now) - quantile_cont({c}, 0.5) FILTER (NOT now))/(quantile_cont({c}, 0.75) FILTER (NOT now) - quantile_cont({c}, 0.25) FILTER (NOT now))' for c in ('vol_20d', 'vix_level', 'drawdown_20d'))})/3 AS drift FROM h) SELECT {r('drift')} AS drift, CASE WHEN drift < 1 THEN 'LOW' WHEN drift < 2.5 THEN 'MODERATE' ELSE 'HIGH' END AS status FROM x",
     "block_library": f"WITH {BLOCKS} SELECT block_id, {cols('block_return block_vol_ann block_max_dd block_worst_1d')}, {cols(_REG)} FROM bl",
     "block_weights": f"WITH {WEIGHTS} SELECT block_id, {cols('regime_distance regime_weight')}, is_crisis_block, {r('final_sample_weight*1000')} AS final_sample_weight FROM weights",
-    "bootstrap_paths": f"WITH {WEIGHTS}, iv AS (SELECT block_id, coalesce(lag(c) OVER (ORDER BY block_id), 0) AS lo, CASE WHEN lead(c) OVER (ORDER BY block_id) IS NULL THEN 1 ELSE c END AS hi FROM (SELECT block_id, sum(final_sample_weight) OVER (ORDER BY block_id) AS c FROM weights)), s AS (SELECT o_orderkey AS sim_id, (o_orderkey*1103515245 + 12345) % 2147483648/2147483648 AS u FROM orders WHERE o_orderkey < 2000) SELECT sim_id, block_id, CAST(20 AS BIGINT) AS steps FROM s JOIN iv ON u >= lo AND u < hi",
+    "bootstrap_paths": f"WITH {WEIGHTS}, iv AS (SELECT block_id, coalesce(lag(c) OVER (ORDER BY block_id), 0) AS lo, CASE WHEN lead(c) OVER (ORDER BY block_id) IS NULL THEN 1 ELSE c END AS hi FROM (SELECT block_id, sum(final_sample_weight) OVER (ORDER BY block_id) AS c FROM weights)), s AS (SELECT o_orderkey AS sim_id, (o_orderkey*1103515245 + 12345) % 2147483648/2147483648 AS u FROM orders) SELECT sim_id, block_id, CAST(20 AS BIGINT) AS steps FROM s JOIN iv ON u >= lo AND u < hi",
     "evt_exceedances": f"WITH {EVT} SELECT rn, {cols('threshold excess')} FROM ex",
     "evt_fit_pwm": f"WITH {EVT}, {FIT} SELECT {cols('threshold xi sigma')}, n FROM fit",
     "evt_correct_paths": f"WITH {EVT}, {FIT}, {PATHS.removeprefix(RET + ', ')}, k AS (SELECT quantile_cont(-r, 0.99) AS cut FROM paths), w AS (SELECT *, (sim_id*69069 + step*7919 + 1) % 1048573/1048573 AS z FROM paths CROSS JOIN k CROSS JOIN fit) SELECT sim_id, step, {r('CASE WHEN -r >= cut THEN -(threshold + sigma/xi*(pow(1 - z, -xi) - 1)) ELSE r END')} AS r FROM w",
@@ -206,7 +206,7 @@ ORACLE = {
     "disagreement_summary": f"WITH RECURSIVE {SCORED} {_SUMMARY}",
     "ks_wasserstein": f"WITH {MODEL}, n AS (SELECT DISTINCT model FROM models), bo AS (SELECT model, r, 1 AS a, 0 AS b FROM n CROSS JOIN ret UNION ALL SELECT model, r, 0, 1 FROM models), h AS (SELECT model, r, sum(a) AS a, sum(b) AS b FROM bo GROUP BY 1, 2), f AS (SELECT model, r, sum(a) OVER w/sum(a) OVER (PARTITION BY model) AS f, sum(b) OVER w/sum(b) OVER (PARTITION BY model) AS g, sum(a) OVER (PARTITION BY model) AS na, sum(b) OVER (PARTITION BY model) AS nb, lead(r) OVER w AS nx FROM h WINDOW w AS (PARTITION BY model ORDER BY r)), k AS (SELECT model, max(abs(f - g)) AS ks, sum(abs(f - g)*(nx - r)) AS w1, any_value(na) AS na, any_value(nb) AS nb FROM f GROUP BY 1), x AS (SELECT *, sqrt(na*nb/(na + nb))*ks AS x FROM k) SELECT model, {r('ks')} AS ks_stat, {r('greatest(0, least(1, 2*list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END)*exp(-2*k*k*x*x)))))')} AS ks_pval, {r('w1')} AS wasserstein FROM x",
     "moments": f"WITH {MODEL}, c AS (SELECT model, r, avg(r) OVER (PARTITION BY model) AS mu FROM models), x AS (SELECT model, any_value(mu) AS mu, avg(pow(r - mu, 2)) AS m2, avg(pow(r - mu, 3)) AS m3, avg(pow(r - mu, 4)) AS m4 FROM c GROUP BY 1) SELECT model, {r('mu')} AS mean, {r('sqrt(m2)')} AS sd, {r('m3/pow(m2, 1.5)')} AS skew, {r('m4/(m2*m2) - 3')} AS excess_kurtosis FROM x",
-    "tail_mass_quantiles": f"WITH {MODEL}, c AS (SELECT quantile_cont(r, 0.005) AS cut FROM ret), rm AS (SELECT avg(CASE WHEN r < cut THEN 1.0 ELSE 0.0 END) AS rm FROM ret CROSS JOIN c) SELECT model, {r('avg(CASE WHEN r < cut THEN 1.0 ELSE 0.0 END)/nullif(any_value(rm), 0)')} AS tail_mass_ratio, {r('(' + ' + '.join(f'abs(quantile_cont(r, {p}) - (SELECT quantile_cont(r, {p}) FROM ret))' for p in QUANTILES) + f')/{len(QUANTILES)}')} AS mean_quantile_error FROM models CROSS JOIN c CROSS JOIN rm GROUP BY model",
+    "tail_mass_quantiles": f"WITH {MODEL}, c AS (SELECT quantile_cont(r, 0.005) AS cut FROM ret), rm AS (SELECT avg(CASE WHEN r <= cut THEN 1.0 ELSE 0.0 END) AS rm FROM ret CROSS JOIN c) SELECT model, {r('avg(CASE WHEN r <= cut THEN 1.0 ELSE 0.0 END)/nullif(any_value(rm), 0)')} AS tail_mass_ratio, {r('(' + ' + '.join(f'abs(quantile_cont(r, {p}) - (SELECT quantile_cont(r, {p}) FROM ret))' for p in QUANTILES) + f')/{len(QUANTILES)}')} AS mean_quantile_error FROM models CROSS JOIN c CROSS JOIN rm GROUP BY model",
     "var_backtest_multi": _BACKTEST,
     "reliability": f"WITH {REL} SELECT bin, {cols('mean_predicted mean_realised')}, n_obs FROM rel",
     "calibration_metrics": f"WITH {REL}, o AS (SELECT count(*) AS n_eval, avg(y) AS b, avg(pow(p - y, 2)) AS brier, count(*) FILTER (p >= 0.15 AND y = 1) AS tp, count(*) FILTER (p >= 0.15 AND y = 0) AS fp, count(*) FILTER (p < 0.15 AND y = 0) AS tn, count(*) FILTER (p < 0.15 AND y = 1) AS fn FROM fc), e AS (SELECT sum(n_obs*abs(mean_predicted - mean_realised)) AS g FROM rel), x AS (SELECT *, g/n_eval AS ece, tp/greatest(tp + fn, 1) AS recall, tp/greatest(tp + fp, 1) AS prec, fp/greatest(fp + tn, 1) AS far FROM o CROSS JOIN e) SELECT n_eval, tp, fp, tn, fn, {r('b')} AS base_rate, {cols('brier ece recall')}, {r('prec')} AS precision, {r('far')} AS false_alarm_rate, {r('1 - brier/nullif(b*(1 - b), 0)')} AS brier_skill, {r('2*recall*prec/greatest(recall + prec, 1e-12)')} AS f1, CASE WHEN ece < 0.05 THEN 'WELL_CALIBRATED' WHEN ece < 0.1 THEN 'MODERATE_CALIBRATION' ELSE 'POORLY_CALIBRATED' END AS verdict FROM x",

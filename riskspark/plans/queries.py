@@ -33,13 +33,18 @@ def _features(spark, sf):
     return fe.market_features(fe.with_vix(t.returns(spark, sf), t.vix(spark, sf)))
 
 
+def _complete(spark, sf):
+    """Rows with all features, from the 252nd on."""
+    return _features(spark, sf).dropna()
+
+
 def _weights(spark, sf):
-    f = _features(spark, sf)
+    f = _complete(spark, sf)
     return sc.block_weights(sc.block_library(f), f)
 
 
 def _sims(spark, sf):
-    return t.table(spark, sf, "orders").where("o_orderkey < 2000").select(F.col("o_orderkey").alias("sim_id"))
+    return t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("sim_id"))
 
 
 def _boot(spark, sf):
@@ -169,20 +174,12 @@ def acf_returns(spark, sf):
 
 @query
 def regime_lambda(spark, sf):
-    return rounded(fe.regime(_features(spark, sf)))
+    return rounded(fe.regime(_complete(spark, sf)))
 
 
 @query
 def regime_drift(spark, sf):
-    """Mean over features of the recent mean's distance from the historical median, in interquartile ranges."""
-    names = ("vol_20d", "drawdown_20d", "ret_20d")
-    f = _features(spark, sf).dropna(subset=list(names)).select("rn", *names)
-    f = f.crossJoin(F.broadcast(f.agg((F.max("rn") - 60).alias("cut"))))  # one row
-    now, then = F.col("rn") > F.col("cut"), F.col("rn") <= F.col("cut")
-    q = lambda c, p: F.percentile(F.when(then, F.col(c)), F.lit(p))
-    one = f.agg(*[(F.abs(F.avg(F.when(now, F.col(c))) - q(c, 0.5)) / F.nullif(q(c, 0.75) - q(c, 0.25), F.lit(0.0))).alias(c) for c in names])
-    drift = (F.col("vol_20d") + F.col("drawdown_20d") + F.col("ret_20d")) / 3
-    return rounded(one.select(drift.alias("drift"), F.when(drift < 1.0, "LOW").when(drift < 2.5, "MODERATE").otherwise("HIGH").alias("status")))
+    return rounded(fe.drift(_complete(spark, sf)))
 
 
 # Scenarios
@@ -190,7 +187,7 @@ def regime_drift(spark, sf):
 
 @query
 def block_library(spark, sf):
-    return rounded(sc.block_library(_features(spark, sf)).drop("rets"))
+    return rounded(sc.block_library(_complete(spark, sf)).drop("rets"))
 
 
 @query

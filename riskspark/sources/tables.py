@@ -51,7 +51,7 @@ def paths(spark: SparkSession, sf_dir: str, horizon: int = 20) -> DataFrame:
     ret = returns(spark, sf_dir)
     n = ret.agg((F.max("rn") - (horizon - 1)).alias("nb"))
     k = F.col("o_orderkey")
-    draw = table(spark, sf_dir, "orders").where(k < 2000).crossJoin(F.broadcast(n)).select(k.alias("sim_id"), (1 + (k * 1103515245 + 12345) % 2147483648 % F.col("nb")).alias("block_id"))
+    draw = table(spark, sf_dir, "orders").crossJoin(F.broadcast(n)).select(k.alias("sim_id"), (1 + (k * 1103515245 + 12345) % 2147483648 % F.col("nb")).alias("block_id"))
     steps = draw.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1)))).withColumn("rn", F.col("block_id") + F.col("step"))
     return steps.join(ret.select("rn", "r"), "rn").select("sim_id", F.col("step").cast("long").alias("step"), "block_id", "r")
 
