@@ -99,3 +99,15 @@ def implied_vol(price: Column, s: Column, k: Column, t: Column, r: Column, steps
 def log_likelihood(zeros: Column, ones: Column, p: Column) -> Column:
     p = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
     return zeros * F.ln(1 - p) + ones * F.ln(p)
+
+
+def bs_call(s: Column, k: Column, t: Column, r: Column, v: Column) -> Column:
+    """Black-Scholes call; v must be positive."""
+    return let(v * F.sqrt(t), lambda w: let((F.ln(s / k) + r * t) / w + w / 2, lambda d1: s * normal_cdf(d1) - k * F.exp(-r * t) * normal_cdf(d1 - w)))
+
+
+def bs_price(s: Column, k: Column, t: Column, r: Column, v: Column, call: bool = False) -> Column:
+    """The price, or the intrinsic value where time or volatility is not positive."""
+    done = (t <= 0) | (v <= 0)
+    t, v = F.when(done, 1.0).otherwise(t), F.when(done, 1.0).otherwise(v)
+    return F.when(done, F.greatest(s - k if call else k - s, F.lit(0.0))).otherwise((bs_call if call else bs_put)(s, k, t, r, v))

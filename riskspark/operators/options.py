@@ -77,3 +77,30 @@ def summary(d: DataFrame) -> DataFrame:
         n("MODEL_SEES_MORE_DOWNSIDE_THAN_OPTIONS").alias("n_more"), n("OPTIONS_PRICE_MORE_DOWNSIDE_THAN_MODEL").alias("n_less"), n("NO_MATERIAL_DISAGREEMENT").alias("n_none"),
         F.avg("gap").alias("mean_gap"), F.max(F.abs("gap")).alias("max_abs_gap"), F.avg("liquidity_score").alias("mean_liquidity_score"),
     )
+
+
+def tighter(chain: DataFrame, min_open_interest: int = 250, max_spread: float = 0.10) -> DataFrame:
+    """A second filter on top of liquid()."""
+    return chain.where((F.coalesce("open_interest", F.lit(0)) >= min_open_interest) & (F.round("bid_ask_pct", 9) <= max_spread))
+
+
+def spot(prices: DataFrame, days: int = 5) -> DataFrame:
+    """ticker, spot: the last close among each ticker's last rows that is not null."""
+    w = Window.partitionBy("ticker").orderBy(F.col("dt").desc())
+    d = prices.withColumn("back", F.row_number().over(w)).where((F.col("back") <= days) & F.col("close").isNotNull())
+    return d.groupBy("ticker").agg(F.max_by("close", "dt").alias("spot"))
+
+
+def historical_context(scored_chain: DataFrame, ret: DataFrame) -> DataFrame:
+    """Adds the historical 95 % loss, how many days went beyond it, and whether a strike's probability exceeds the share of losses above the median probability."""
+    loss = ret.select((-F.col("r")).alias("loss"))
+    one = loss.agg(F.percentile("loss", F.lit(0.95)).alias("hist_tail_threshold")).crossJoin(scored_chain.agg(F.percentile("physical_prob_itm", F.lit(0.5)).alias("mid_prob")))
+    n = lambda c: F.sum((F.col("loss") > F.col(c)).cast("long"))
+    one = loss.crossJoin(F.broadcast(one)).agg(F.first("hist_tail_threshold").alias("hist_tail_threshold"), n("hist_tail_threshold").alias("hist_crisis_episode_n"), (n("mid_prob") / F.count("*")).alias("share"))
+    d = scored_chain.crossJoin(F.broadcast(one))  # one row
+    return d.withColumn("model_exceeds_hist_95pct", F.col("physical_prob_itm") > F.col("share")).drop("share")
+
+
+def top(scored_chain: DataFrame, n: int = 20) -> DataFrame:
+    """The n rows of the highest score, ties to the lower contract_id."""
+    return scored_chain.orderBy(F.col("tail_score").desc(), "contract_id").limit(n)

@@ -64,13 +64,38 @@ def evt_fit(exceedances: DataFrame) -> DataFrame:
     return d.select("threshold", "n", (2 - F.col("b0") / gap).alias("xi"), (2 * F.col("b0") * F.col("b1") / gap).alias("sigma"))
 
 
+def tail_step() -> F.Column:
+    """A step of sim_id, step, r under cut, threshold, xi and sigma: what is beyond the cut becomes a draw from the tail."""
+    u = (F.col("sim_id") * 69069 + F.col("step") * 7919 + 1) % 1048573 / 1048573
+    flat = F.abs("xi") < 1e-9
+    draw = F.when(flat, -F.col("sigma") * F.ln(1 - u)).otherwise(F.col("sigma") / F.when(flat, 1.0).otherwise(F.col("xi")) * (F.pow(1 - u, -F.col("xi")) - 1))
+    return F.when(-F.col("r") >= F.col("cut"), -(F.col("threshold") + draw)).otherwise(F.col("r"))
+
+
+def evt_fit_ml(exceedances: DataFrame, grids: tuple[int, ...] = (400, 100, 40)) -> DataFrame:
+    """Generalised Pareto by maximum likelihood: threshold, n, xi, sigma.
+
+    For theta = xi / sigma the best xi is the mean of ln(1 + theta * excess), which leaves a likelihood in theta alone; it
+    is taken on a grid and on ever finer ones around the best, each a sum per theta that is combined before the shuffle.
+    """
+    y = F.col("excess")
+    box = exceedances.agg(F.first("threshold").alias("threshold"), F.count("*").alias("n"), (-0.999 / F.max(y)).alias("from"), (4 / F.avg(y)).alias("to"))
+    for steps in grids:
+        step = (F.col("to") - F.col("from")) / steps
+        grid = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda k: F.col("from") + step * k)
+        d = exceedances.select("excess").crossJoin(F.broadcast(box.select("threshold", "n", step.alias("step"), F.explode(grid).alias("theta"))))  # a few hundred grid points
+        d = d.where("abs(theta) > 1e-9 and 1 + theta * excess > 0").groupBy("threshold", "n", "step", "theta").agg(F.avg(F.ln(1 + F.col("theta") * y)).alias("xi"), F.count("*").alias("inside")).where("inside = n")
+        like = -F.ln(F.col("xi") / F.col("theta")) - F.col("xi")
+        best = d.groupBy("threshold", "n").agg(F.max_by(F.struct("theta", "xi", "step"), like).alias("b"))
+        box = best.select("threshold", "n", (F.col("b.theta") - F.col("b.step")).alias("from"), (F.col("b.theta") + F.col("b.step")).alias("to"))
+    return best.select("threshold", "n", F.col("b.xi").alias("xi"), (F.col("b.xi") / F.col("b.theta")).alias("sigma"))
+
+
 def evt_correct(paths: DataFrame, fit: DataFrame, alpha: float = 0.01) -> DataFrame:
     """Steps in the worst alpha of all become draws from the tail; the draw is a lattice of (sim_id, step)."""
     cut = paths.agg(F.percentile(-F.col("r"), F.lit(1 - alpha)).alias("cut"))
-    u = (F.col("sim_id") * 69069 + F.col("step") * 7919 + 1) % 1048573 / 1048573
-    d = paths.crossJoin(F.broadcast(cut)).crossJoin(F.broadcast(fit)).withColumn("u", u)  # one row each
-    draw = F.when(F.abs("xi") < 1e-9, -F.col("sigma") * F.ln(1 - F.col("u"))).otherwise(F.col("sigma") / F.when(F.abs("xi") < 1e-9, 1.0).otherwise(F.col("xi")) * (F.pow(1 - F.col("u"), -F.col("xi")) - 1))
-    return d.select("sim_id", "step", F.when(-F.col("r") >= F.col("cut"), -(F.col("threshold") + draw)).otherwise(F.col("r")).alias("r"))
+    d = paths.crossJoin(F.broadcast(cut)).crossJoin(F.broadcast(fit))  # one row each
+    return d.select("sim_id", "step", tail_step().alias("r"))
 
 
 def per_path(paths: DataFrame, by: tuple[str, ...] = ("sim_id",)) -> DataFrame:

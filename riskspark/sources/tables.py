@@ -46,6 +46,13 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("contract_id", "spot", "strike", "t_years", (F.col("m0") * (1 - F.col("sp") / 2)).alias("bid"), (F.col("m0") * (1 + F.col("sp") / 2)).alias("ask"), "open_interest", "volume")
 
 
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain's calls by put-call parity, at least a cent bid."""
+    ahead = F.col("spot") - F.col("strike") * F.exp(-0.045 * F.col("t_years"))
+    p = chain(spark, sf_dir).withColumn("half", (F.col("ask") - F.col("bid")) / 2).withColumn("c0", F.greatest((F.col("bid") + F.col("ask")) / 2 + ahead, F.col("half") + 0.01))
+    return p.withColumn("bid", F.col("c0") - F.col("half")).withColumn("ask", F.col("c0") + F.col("half")).drop("half", "c0")
+
+
 def paths(spark: SparkSession, sf_dir: str, horizon: int = 20) -> DataFrame:
     """sim_id, step, block_id, r: blocks of the return series, drawn uniformly by a deterministic lattice."""
     ret = returns(spark, sf_dir)

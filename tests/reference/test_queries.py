@@ -10,8 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskspark.functions.columns import bs_put, chi2_tail, drawdown, implied_vol, normal_cdf
-from riskspark.plans.oracle import ORACLE
-from riskspark.plans.queries import REGISTRY
+from riskspark.plans import ORACLE, REGISTRY
 from riskspark.streaming import monitor
 
 SF = "/root/testdata/sf0.001"
