@@ -64,7 +64,7 @@ def forecasts(ret: DataFrame, features: DataFrame, rows: DataFrame, sims: int =
     cells = F.sequence(F.floor(F.col("lo") * sc.CELLS), F.least(F.floor(F.col("hi") * sc.CELLS), F.lit(sc.CELLS - 1)))
     j = j.select("at", "block_id", "lo", "hi", F.explode(cells).alias("cell"))
     u = (F.col("sim_id") * 1103515245 + 12345) % 2147483648 / 2147483648
-    draws = e.select("at", F.explode(F.sequence(F.lit(1), F.lit(sims))).cast("long").alias("sim_id")).withColumn("u", u).withColumn("cell", F.floor(F.col("u") * sc.CELLS))
+    draws = e.select("at", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(sims).cast("long"))).alias("sim_id")).withColumn("u", u).withColumn("cell", F.floor(F.col("u") * sc.CELLS))
     draws = draws.join(j, ["at", "cell"]).where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
     steps = draws.join(F.broadcast(blocks.select("block_id", "rets")), "block_id").select("at", "sim_id", F.posexplode("rets").alias("step", "r"))  # a row per day
     losses = ret.select("rn", (-F.col("r")).alias("loss")).join(F.broadcast(e.select("at")), F.col("rn") <= F.col("at"))
