@@ -14,7 +14,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
     j = both.join(least, "a")
     new = j.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")) if large else j.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return new.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    new = new.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return new if large else new.distinct()  # a large step makes no more rows than it has links; the small one that follows clears repeats
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
@@ -23,8 +24,8 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     at = written(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links0", folder)
     for k in range(1, most):
         # done when the links are stars: nobody who is the far end of a link is the near end of another, or has two
-        twice = at.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-        if twice.unionByName(at.join(at.select(F.col("b").alias("x")).distinct(), F.col("a") == F.col("x"), "left_semi").select("a")).isEmpty():
+        ends = at.select(F.col("a").alias("node"), F.lit(1).alias("far"), F.lit(0).alias("near")).unionByName(at.select(F.col("b").alias("node"), F.lit(0).alias("far"), F.lit(1).alias("near")))
+        if ends.groupBy("node").agg(F.sum("far").alias("far"), F.max("near").alias("near")).where("far > 1 or far > 0 and near > 0").isEmpty():
             break
         at = written(_star(_star(at, True), False), f"links{k}", folder)
     else:

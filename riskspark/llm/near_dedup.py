@@ -187,8 +187,10 @@ def linked(docs: DataFrame, words: int = 5, percent: float = 80, doc_id: str = "
         if found.isEmpty():
             break
         more = found.where("sure").select("a", "b").unionByName(_verified(found.where("not sure"), sets, percent))
-        links = links.unionByName(written(more, f"links{k}", folder))
-        root = written(components(links), f"roots{k}", folder)
+        more = written(more, f"links{k}", folder)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            root = written(components(links), f"roots{k}", folder)
     named = classes.select("key", "least").join(root.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(names, "root").select(F.col("key").alias("set_key"), "component_id")
