@@ -151,7 +151,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, doc_id: str, text: str
 
 
 def linked(docs: DataFrame, words: int = 5, percent: float = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, rid, n_shingles, component_id for every row."""
+    """doc_id, rid, n_shingles, component_id and component for every row.
+
+    component is the component's own key, null without words; component_id only names it, and may be null or shared.
+    """
     spark = docs.sparkSession
     folder = scratch(spark)
     sk = written(sketches(docs, words, doc_id, text), "sketches", folder)
@@ -193,8 +196,8 @@ def linked(docs: DataFrame, words: int = 5, percent: float = 80, doc_id: str = "
             root = written(components(links), f"roots{k}", folder)
     named = classes.select("key", "least").join(root.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(names, "root").select(F.col("key").alias("set_key"), "component_id")
-    return sk.select("doc_id", "rid", "n_shingles", "set_key").join(named, "set_key", "left").select("doc_id", "rid", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = named.join(names, "root").select(F.col("key").alias("set_key"), "component_id", F.col("root").alias("component"))
+    return sk.select("doc_id", "rid", "n_shingles", "set_key").join(named, "set_key", "left").select("doc_id", "rid", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component")
 
 
 def _close(batches: Iterator[pa.RecordBatch], low: float) -> Iterator[pa.RecordBatch]:
@@ -282,12 +285,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: float = 80, doc_id
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: float = 80) -> DataFrame:
-    """docs without near-duplicates: of each component the row of least doc_id; of rows equal in doc_id and text, one."""
+    """docs without near-duplicates: of each component the row of least doc_id known; of rows equal in doc_id and text, one."""
     from pyspark.sql import Window
 
     d = written(linked(docs, words, percent))
-    # within a component: the least doc_id, then the least rid, as several rows may share a doc_id
-    best = d.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "rid")).alias("m")).select("m.rid")
+    # within a component: the least doc_id, nulls last, then the least rid, as several rows may share a doc_id
+    best = d.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "rid")).alias("m")).select("m.rid")
     keep = best.unionByName(d.where("n_shingles = 0").select("rid")).distinct()
     kept = docs.withColumn("_rid", rid(F.col("doc_id"), F.col("text"))).join(keep.withColumnRenamed("rid", "_rid"), "_rid", "left_semi")
     w = Window.partitionBy("_rid").orderBy(row_hash([c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]))

@@ -162,6 +162,14 @@ def test_near_dedup_edges(odd, no_docs, rows, spark):
     assert near_dedup.near_duplicates(none).count() == 3
 
 
+def test_dedup_keeps_unlinked_texts_of_null_or_repeated_ids(spark):
+    a, b, c, d, e, f = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcdef")
+    rows = [(None, a), (None, b), (None, c), (None, c), (7, d), (7, e), (9, e), (3, f), (None, f), (None, None), (None, "")]
+    out = near_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    want = [(None, a), (None, b), (None, c), (7, d), (7, e), (3, f), (None, None), (None, "")]
+    assert Counter(tuple(r) for r in out.collect()) == Counter(want)
+
+
 def test_registers_estimate_jaccard():
     rng = np.random.default_rng(1)
     common, a, b = rng.integers(0, 1 << 62, 800).astype(np.uint64), rng.integers(0, 1 << 62, 100).astype(np.uint64), rng.integers(0, 1 << 62, 100).astype(np.uint64)
