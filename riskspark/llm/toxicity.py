@@ -48,7 +48,7 @@ QUOTES = frozenset('"“”„«»')
 KINDS = ("insult", "targeted insult", "negated", "reported", "threat", "targeted threat")
 PRIOR = np.array([1.6, 2.2, 0.2, 0.5, 1.0, 2.4, -2.5])
 _CLAUSE = re.compile(r"[.!?;:\n]+|,(?=\s)")
-_TOKEN = re.compile(r"\w+(?:['’]\w+)*|[\"“”„«»]")
+_TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[\"“”„«»]")
 
 
 class Transducer:
@@ -128,17 +128,25 @@ class Grammar:
                 hits[at] = found
         if not hits:
             return out
-        ends = [m.start() for m in _CLAUSE.finditer(text)]
+        ends, places = [m.start() for m in _CLAUSE.finditer(text)], sorted(hits)
         for k in {bisect.bisect_left(ends, at) for at in hits}:
-            out += self._clause(text, ends[k - 1] if k else 0, ends[k] if k < len(ends) else len(text), hits)
+            out += self._clause(text, ends[k - 1] if k else 0, ends[k] if k < len(ends) else len(text), hits, places)
         return np.log1p(out)
 
-    def _clause(self, text: str, at: int, to: int, hits: dict[int, tuple[str, float]]) -> np.ndarray:
+    def _clause(self, text: str, at: int, to: int, hits: dict[int, tuple[str, float]], places: list[int]) -> np.ndarray:
         symbols, weights = [], []
         for m in _TOKEN.finditer(text, at, to):
-            word, hit = m.group().replace("’", "'"), hits.get(m.start())
-            symbols.append(hit[0] if hit else "Q" if word in QUOTES else "N" if word in NEGATIONS else "R" if word in REPORTS else "Y" if word in TARGETS else "O")
-            weights.append(hit[1] if hit else 0.0)
+            inside = places[bisect.bisect_left(places, m.start()) : bisect.bisect_left(places, m.end())]
+            # what stands before a hit's apostrophe counts only if it has a class of its own: the l of l'idiote is no word
+            word = text[m.start() : inside[0] - 1 if inside and inside[0] > m.start() else m.end()].replace("’", "'")
+            if not inside or inside[0] > m.start():
+                symbol = "Q" if word in QUOTES else "N" if word in NEGATIONS else "R" if word in REPORTS else "Y" if word in TARGETS else "O"
+                if symbol != "O" or not inside:
+                    symbols.append(symbol)
+                    weights.append(0.0)
+            for place in inside:
+                symbols.append(hits[place][0])
+                weights.append(hits[place][1])
         best, last = np.zeros(len(KINDS)), None
         for symbol, weight in zip(GRAMMAR.run(symbols), weights, strict=True):
             kind = kind_of(symbol)

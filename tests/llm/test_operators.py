@@ -414,6 +414,16 @@ def test_grammar_scores_clauses_not_words():
     assert kind("scumbags") == ["insult"] and kind("idiotic skills") == [] and kind("") == [] and kind(None) == []
 
 
+def test_grammar_takes_hits_inside_tokens():
+    g = toxicity.Grammar([("idiote", "I", 1.0), ("ordure", "I", 1.0), ("imbécile", "I", 1.0), ("idiot", "I", 1.0), ("tuer", "T", 1.0)])
+    kind = lambda text: [toxicity.KINDS[i] for i in np.flatnonzero(g.features(text))]
+    for text in ("c'est l'idiote", "tas d’ordure", "l'imbécile", "_idiot_", "such_an_idiot", "idiot"):
+        assert kind(text) == ["insult"], text
+    assert kind("toi, l'idiote") == ["insult"] and kind("toi l'idiote") == ["targeted insult"] and kind("you_idiot") == ["targeted insult"]
+    assert kind("tu n'es pas un peu l'idiote") == ["negated"] and kind("you aren't it, don't") == []
+    assert kind("l'idiote d'tuer") == ["insult", "threat"] and kind("idiot'tuer") == ["insult", "threat"]
+
+
 def test_toxicity_learns_without_the_held_out(spark):
     bad = ["you grobnik trelf", "such a grobnik", "all grobniks must go"]
     rows, labels = [], []
