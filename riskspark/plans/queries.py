@@ -266,15 +266,22 @@ def rn_prob(spark, sf):
     return rounded(d.select("contract_id", normal_cdf(-F.col("d2")).alias("rn_prob"), bs_put(F.col("spot"), F.col("strike"), F.col("t_years"), F.lit(DEFAULT.risk_free), F.lit(0.2)).alias("bs_put")))
 
 
+@query
+def solved_puts(spark, sf):
+    """All solved contracts, whatever their time value; without SQL, as an engine's rounding moves what little time value leaves open."""
+    return _puts(spark, sf).select("contract_id", "spot", "strike", "t_years", "mid", "implied_vol", "risk_neutral_prob_itm", "delta", "vega_per_1pct", "bs_price_from_iv")
+
+
 @query
 def implied_vol(spark, sf):
-    """At five places, where the time value settles it."""
+    """At five places, where the time value settles it; solved_puts has the others too."""
     d = _puts(spark, sf).where("mid - greatest(strike * exp(-0.045 * t_years) - spot, 0) > 0.001")
     return d.select("contract_id", (F.round("implied_vol", 5) + F.lit(0.0)).alias("implied_vol"))
 
 
 @query
 def bs_metrics(spark, sf):
+    """At five places, where the time value settles them; solved_puts has the others too."""
     d = _puts(spark, sf).where("mid - greatest(strike * exp(-0.045 * t_years) - spot, 0) > 0.01")
     return d.select("contract_id", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("risk_neutral_prob_itm", "delta", "vega_per_1pct", "bs_price_from_iv")])
 

@@ -63,6 +63,22 @@ def test_implied_vol_inverts_the_price(spark):
     assert one(spark, implied_vol(F.lit(0.0), s, k, t, r)) is None
 
 
+def test_all_solved_puts_reprice(spark):
+    """Every liquid contract that has a root is there, thin time value or not, and its price from the volatility is its mid."""
+    d = REGISTRY["solved_puts"](spark, "/root/testdata/sf0.01").cache()
+    rows = d.collect()
+    assert {r.contract_id for r in rows} == {r.contract_id for r in REGISTRY["put_liquidity_filter"](spark, "/root/testdata/sf0.01").collect()}
+    thin = [r for r in rows if r.mid - max(r.strike * math.exp(-0.045 * r.t_years) - r.spot, 0) <= 0.001]
+    assert thin
+    cdf = lambda x: math.erfc(-x / math.sqrt(2)) / 2
+    for r in rows:
+        s = r.implied_vol * math.sqrt(r.t_years)
+        d1 = math.log(r.spot / r.strike) / s + 0.045 * r.t_years / s + s / 2
+        price = r.strike * math.exp(-0.045 * r.t_years) * cdf(s - d1) - r.spot * cdf(-d1)
+        assert price == pytest.approx(r.mid, abs=1e-7) and r.bs_price_from_iv == pytest.approx(r.mid, abs=1e-7)
+        assert r.risk_neutral_prob_itm == pytest.approx(cdf(s - d1), abs=1e-9) and r.delta == pytest.approx(-cdf(-d1), abs=1e-9)
+
+
 def test_drawdown_starts_at_the_first_step(spark):
     dd = lambda *a: one(spark, drawdown(F.array(*[F.lit(float(x)) for x in a])))
     assert dd(-1, -1) == -1 and dd(-5) == 0 and dd(1, 2, 3) == 0 and dd(1, -3, 1, -2) == -4
