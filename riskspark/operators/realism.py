@@ -62,11 +62,16 @@ def stability(real: DataFrame, models: DataFrame, alpha: float = 0.05) -> DataFr
     return d.withColumn("aggregation_sensitive", kinds > 1).withColumn("flag", F.when(F.col("aggregation_sensitive"), "WARNING").otherwise("OK"))
 
 
-def path_windows(real: DataFrame, models: DataFrame) -> DataFrame:
-    """The window features of every path, one window a path, with the real series' tail threshold."""
+def path_windows(real: DataFrame, models: DataFrame, width: int = 20) -> DataFrame:
+    """model, sim_id, at and the features of every full window inside a path, with the real series' tail threshold.
+
+    at counts a path's windows from 0; a path of fewer steps than the width has none.
+    """
     q = real.agg(F.percentile("r", F.lit(0.05)).alias("q"))
     d = models.groupBy("model", "sim_id").agg(F.array_sort(F.collect_list(F.struct("step", "r"))).alias("s")).withColumn("a", F.transform("s", lambda x: x["r"]))
-    return fe.of_windows(d.crossJoin(F.broadcast(q)), 20, F.col("model"), F.col("sim_id"))  # one row
+    starts = F.when(F.size("a") >= width, F.sequence(F.lit(0), F.size("a") - width))
+    d = d.select("model", "sim_id", "a", F.explode(starts).alias("at")).withColumn("a", F.slice("a", F.col("at") + 1, width))
+    return fe.of_windows(d.crossJoin(F.broadcast(q)), width, F.col("model"), F.col("sim_id"), F.col("at"))  # one row
 
 
 def by_rule(crisis: DataFrame) -> DataFrame:
@@ -98,7 +103,7 @@ def archetype_name(c: Column) -> Column:
 
 
 def _near(crisis: DataFrame, windows: DataFrame, sample: bool) -> DataFrame:
-    """model, start, sim_id, d2: squared distances in features scaled over both sets, by model.
+    """model, start, sim_id, at, d2: squared distances in features scaled over both sets, by model.
 
     The crisis windows are the query set: at most a tenth of one daily series. They are joined against all windows row by
     row, and both uses below take minima before any shuffle.
@@ -110,11 +115,11 @@ def _near(crisis: DataFrame, windows: DataFrame, sample: bool) -> DataFrame:
     w = windows.join(F.broadcast(s), "model")  # a row per model
     q = crisis.select("start", *[F.col(c).alias(f"q_{c}") for c in FEATURES])
     d2 = sum((F.pow((F.col(c) - F.col(f"q_{c}")) / F.col(f"s_{c}"), F.lit(2)) for c in FEATURES), F.lit(0.0))
-    return w.crossJoin(F.broadcast(q)).select("model", "start", "sim_id", d2.alias("d2"))
+    return w.crossJoin(F.broadcast(q)).select("model", "start", "sim_id", "at", d2.alias("d2"))
 
 
 def nearest_path(crisis: DataFrame, windows: DataFrame, sample: bool = False) -> DataFrame:
-    """model, start, dist: each crisis window's distance to the nearest path."""
+    """model, start, dist: each crisis window's distance to the nearest window of a path."""
     return _near(crisis, windows, sample).groupBy("model", "start").agg(F.sqrt(F.min("d2")).alias("dist"))
 
 
@@ -132,8 +137,8 @@ def archetype_coverage(typed: DataFrame, windows: DataFrame, epsilon: float = 2.
 
 
 def precision(crisis: DataFrame, windows: DataFrame, epsilon: float = 2.0) -> DataFrame:
-    """model, precision, n_windows, verdict: the share of paths with a crisis window nearby."""
-    near = _near(crisis, windows, False).groupBy("model", "sim_id").agg(F.min("d2").alias("d2"))
+    """model, precision, n_windows, verdict: the share of the paths' windows with a crisis window nearby."""
+    near = _near(crisis, windows, False).groupBy("model", "sim_id", "at").agg(F.min("d2").alias("d2"))
     d = near.groupBy("model").agg(F.avg((F.sqrt("d2") <= epsilon).cast("double")).alias("precision"), F.count("*").alias("n_windows"))
     return d.withColumn("verdict", F.when(F.col("precision") >= 0.40, "PASS").when(F.col("precision") >= 0.25, "WARNING").otherwise("FAIL"))
 

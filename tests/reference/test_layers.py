@@ -59,6 +59,25 @@ def test_archetypes_cover_all_windows(spark, series):
     assert d.count() == c.count() and [r.m for r in n] == sorted(r.m for r in n)
 
 
+def test_paths_of_any_length_give_all_their_full_windows(spark, series):
+    lengths = {1: 25, 2: 60, 3: 20, 4: 19, 5: 7}
+    rng = np.random.default_rng(5)
+    paths = {i: rng.normal(0, 0.02, n) for i, n in lengths.items()}
+    models = spark.createDataFrame([("m", i, k, float(x)) for i, p in paths.items() for k, x in enumerate(p)], "model string, sim_id long, step long, r double").repartition(3)
+    real = series[0].select("rn", "r")
+    q = float(np.percentile([r.r for r in real.collect()], 5))
+    windows = realism.path_windows(real, models).cache()
+    got = {(r.sim_id, r.at): r for r in windows.collect()}
+    assert set(got) == {(i, k) for i, n in lengths.items() for k in range(n - 19)}
+    for (i, k), r in got.items():
+        w = paths[i][k : k + 20]
+        cum = np.cumsum(w)
+        want = (w.sum(), w.std() * 252**0.5, (cum - np.maximum.accumulate(cum)).min(), w.min(), min(w[j : j + 5].sum() for j in range(16)), (w < 0).sum(), (w <= q).sum(), np.abs(w).std())
+        assert [r[c] for c in realism.FEATURES] == pytest.approx(want, abs=1e-12)
+    typed = realism.by_rule(fe.crisis_windows(fe.window_features(real.withColumn("series", F.lit(t.SERIES)))))
+    assert realism.precision(typed, windows).first().n_windows == realism.crisis_report(typed, windows).first().n_synthetic_windows == 6 + 41 + 1
+
+
 def test_readers_and_report(spark, tmp_path):
     (tmp_path / "r.csv").write_text("date,x\n2020-01-02,0.1\n2020-01-01,-0.2\n2020-01-03,\n")
     (tmp_path / "p.csv").write_text("a,b\n0.1,0.2\n0.3,-0.4\n")
