@@ -55,17 +55,21 @@ def scored(chain: DataFrame, config: RiskConfig = DEFAULT) -> DataFrame:
     """Adds the probability gap, payoff against mid, liquidity, confidence, score and interpretation."""
     n = chain.agg(F.count("*").alias("n_rows"))
 
-    def rank(c: str) -> F.Column:
+    def ranked(d: DataFrame, c: str) -> DataFrame:
+        """Adds rank_c, the average rank's share: rows are counted per distinct value, and only those counts meet in one task."""
         value = F.coalesce(F.col(c), F.lit(0))
-        return (2 * F.rank().over(Window.partitionBy(F.lit(0)).orderBy(value)) + F.count("*").over(Window.partitionBy(value)) - 1) / 2 / F.col("n_rows")
+        counts = chain.groupBy(value.alias(f"value_{c}")).agg(F.count("*").alias("k"))
+        upto = F.sum("k").over(Window.partitionBy(F.lit(0)).orderBy(f"value_{c}").rowsBetween(Window.unboundedPreceding, 0))
+        counts = counts.select(f"value_{c}", ((2 * upto - F.col("k") + 1) / 2).alias(f"rank_{c}"))
+        return d.withColumn(f"value_{c}", value).join(counts, f"value_{c}").drop(f"value_{c}").withColumn(f"rank_{c}", F.col(f"rank_{c}") / F.col("n_rows"))
 
-    d = chain.crossJoin(F.broadcast(n)).withColumn("gap", F.col("physical_prob_itm") - F.col("risk_neutral_prob_itm"))  # one row
+    d = ranked(ranked(chain.crossJoin(F.broadcast(n)), "open_interest"), "volume").withColumn("gap", F.col("physical_prob_itm") - F.col("risk_neutral_prob_itm"))  # one row
     d = d.withColumn("payoff_minus_mid", F.col("physical_expected_payoff") - F.col("mid")).withColumn("payoff_to_mid_ratio", F.when(F.col("mid") > 0, F.col("physical_expected_payoff") / F.col("mid")))
-    d = d.withColumn("liquidity_score", (0.6 * rank("open_interest") + 0.4 * rank("volume")) / (1 + 10 * F.coalesce("bid_ask_pct", F.lit(1.0))))
+    d = d.withColumn("liquidity_score", (0.6 * F.col("rank_open_interest") + 0.4 * F.col("rank_volume")) / (1 + 10 * F.coalesce("bid_ask_pct", F.lit(1.0))))
     d = d.withColumn("confidence", F.when(F.col("liquidity_score") <= 0.33, "LOW").when(F.col("liquidity_score") <= 0.66, "MEDIUM").when(F.col("liquidity_score").isNotNull(), "HIGH"))
     d = d.withColumn("tail_score", F.abs("gap") * F.col("liquidity_score") * F.sqrt(F.greatest(F.coalesce("open_interest", F.lit(0)), F.lit(1))))
     side = F.when(F.col("gap") >= config.min_gap, "MODEL_SEES_MORE_DOWNSIDE_THAN_OPTIONS").when(F.col("gap") <= -config.min_gap, "OPTIONS_PRICE_MORE_DOWNSIDE_THAN_MODEL").otherwise("NO_MATERIAL_DISAGREEMENT")
-    return d.withColumn("interpretation", side).drop("n_rows")
+    return d.withColumn("interpretation", side).drop("n_rows", "rank_open_interest", "rank_volume")
 
 
 def summary(d: DataFrame) -> DataFrame:

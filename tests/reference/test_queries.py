@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskspark.functions.columns import bs_put, chi2_tail, drawdown, implied_vol, normal_cdf
+from riskspark.operators import options
 from riskspark.plans import ORACLE, REGISTRY
 from riskspark.streaming import monitor
 
@@ -79,6 +80,17 @@ def test_all_solved_puts_reprice(spark):
         assert r.risk_neutral_prob_itm == pytest.approx(cdf(s - d1), abs=1e-9) and r.delta == pytest.approx(-cdf(-d1), abs=1e-9)
 
 
+def test_scores_rank_counts_of_values_not_rows(spark):
+    chain = spark.range(5000).selectExpr("id as contract_id", "100D as strike", "100D as moneyness", "0.1D as bid_ask_pct", "1D as mid", "id % 7 as open_interest", "if(id % 5 = 0, null, id % 3) as volume", "0.5D as physical_prob_itm", "1D as physical_expected_payoff", "0.4D as risk_neutral_prob_itm")
+    d = options.scored(chain)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "rank(" not in plan and d.columns[:10] == chain.columns
+    rows = d.collect()
+    share = lambda c, x: (2 * sum((r[c] or 0) < x for r in rows) + sum((r[c] or 0) == x for r in rows) + 1) / 2 / 5000
+    want = {(a, b): (0.6 * share("open_interest", a) + 0.4 * share("volume", b)) / 2 for a in range(7) for b in range(3)}
+    assert len(rows) == 5000 and all(r.liquidity_score == pytest.approx(want[r.open_interest, r.volume or 0]) for r in rows)
+
+
 def test_drawdown_starts_at_the_first_step(spark):
     dd = lambda *a: one(spark, drawdown(F.array(*[F.lit(float(x)) for x in a])))
     assert dd(-1, -1) == -1 and dd(-5) == 0 and dd(1, 2, 3) == 0 and dd(1, -3, 1, -2) == -4
