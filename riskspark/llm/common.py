@@ -19,13 +19,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Scratch folders of this Python process, by session; clear_scratch() deletes them.
+_FOLDERS: dict[str, list[str]] = {}
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; where that is unset (tests), a temporary one."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset, a local session (tests) gets a temporary one, and any other an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/riskspark-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/riskspark-{uuid.uuid4().hex}"
+    _FOLDERS.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders of the shared file system that no plan reads any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes what the operators wrote to the shared folder in this session; call it once all results are read or written."""
+    folders = _FOLDERS.pop(spark.sparkContext.applicationId, [])
+    discard(spark, *folders)
+    return len(folders)
 
 
 def written(df: DataFrame, name: str = "t", folder: str | None = None) -> DataFrame:

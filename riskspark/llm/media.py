@@ -1,19 +1,22 @@
 """Media columns: content-addressed payloads in tar shards.
 
 store() turns every text into a payload (UTF-8, zero-padded to a positive multiple of 64 bytes), stores that as the
-samples of an 8-bit greyscale PNG 64 pixels wide, and appends it to a tar shard named by its digest. Tasks write the
-shards where their rows are, so no payload is shuffled; a task stores a digest once, and the index keeps the least
-(shard, offset) of each digest. Rows carry digest, shard, offset and length only.
+samples of an 8-bit greyscale PNG 64 pixels wide, and appends it to a tar shard under its digest's name. Rows carry
+digest, shard, start and length only. Tasks write the shards where their rows are, so no payload is shuffled; a task
+stores a digest once, and its other rows refer to that. Copies that meet in different tasks are stored once a task:
+to bring them together, all texts would have to be shuffled (about 0.3 of the input, compressed), while a hot text
+costs only its own size a task. index() gives one place for each digest.
 
-fetch() reads back: tasks get ranges of one shard in the order of their offsets. A range read of the first HEADER bytes
-alone fills the metadata columns (width, height, bits); a read of the whole range decodes the samples, and everything
-else is computed from those.
+read_rows() reads back in one deal: rows go in the order of their places, so that a task reads stretches of shards from
+front to back and rows of one place stand side by side. A range read of the first HEADER bytes alone fills the metadata
+columns (width, height, bits); a read of the whole range decodes the samples, and everything else is computed from those.
 
 A task's shard has a name of its own, which its rows carry; a task that is run again writes another file, and what the
 lost one left is never referred to. Shards go through pyarrow's file systems to the shared folder, never to local disk.
 
 Defined results: a null text is an empty one; both give 64 zero bytes. Equal texts share a digest and so every value;
-repeated rows give repeated rows; an empty table gives an empty result; other columns are ignored.
+repeated rows give repeated rows; null ids come back as null; a text of any length is one payload, held whole by one
+task; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,9 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import scratch, written
 
-WIDTH, HEADER, LEVEL = 64, 33, 1
-#: A task starts another shard beyond so many bytes; a read task gets about READ bytes.
-ROLL, READ = 1 << 30, 1 << 25
+WIDTH, HEADER, LEVEL = 64, 33, 6
+#: A task starts another shard beyond so many bytes.
+ROLL = 1 << 30
 _MAGIC = b"\x89PNG\r\n\x1a\n"
 
 
@@ -102,11 +105,26 @@ class _Shard:
         self.out.close()
 
 
+_PLACE = "digest binary, shard string, start long, length long"
+_FACTS = {
+    "width": pa.int32(),
+    "height": pa.int32(),
+    "bits": pa.int32(),
+    "payload_bytes": pa.int64(),
+    "payload_sha256": pa.string(),
+    "tail_crc32": pa.int64(),
+    "media_bytes": pa.int64(),
+    "media_sha256": pa.string(),
+    "feature": pa.string(),
+}
+_SQL = {pa.int32(): "int", pa.int64(): "long", pa.string(): "string"}
+
+
 def store(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes the payloads below folder; (doc_id, n_bytes, digest, shard, start, length) per row, the place null where the task had stored the digest before."""
+    """Writes the payloads below folder; (doc_id, n_bytes, digest, shard, start, length) per row."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        places: dict[bytes, tuple[str, int, int]] = {}
         shard = None
         for b in batches:
             rows = []
@@ -114,90 +132,83 @@ def store(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
                 value = t.as_py()
                 data = payload(value)
                 digest = hashlib.sha256(data).digest()
-                row = (len((value or "").encode("utf-8", "surrogatepass")), digest, None, None, None)
-                if digest not in seen:
-                    seen.add(digest)
+                if digest not in places:
                     if shard is None or shard.at >= ROLL:
                         if shard is not None:
                             shard.close()
                         shard = _Shard(folder)
                     media = to_png(data)
-                    row = (*row[:2], shard.path, shard.add(f"{digest.hex()}.png", media), len(media))
-                rows.append(row)
+                    places[digest] = shard.path, shard.add(f"{digest.hex()}.png", media), len(media)
+                rows.append((len((value or "").encode("utf-8", "surrogatepass")), digest, *places[digest]))
             if rows:
-                cols = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()), strict=True)]
+                kinds = pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()
+                cols = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "n_bytes", "digest", "shard", "start", "length"])
         if shard is not None:
             shard.close()
 
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return d.mapInArrow(write, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_bytes long, digest binary, shard string, start long, length long")
+    return d.mapInArrow(write, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_bytes long, {_PLACE}")
 
 
 def index(refs: DataFrame) -> DataFrame:
-    """(digest, shard, start, length): one place for each digest."""
-    at = F.struct("shard", "start", "length")
-    return refs.where("shard is not null").groupBy("digest").agg(F.min(at).alias("at")).select("digest", "at.*")
+    """(digest, shard, start, length): the least place of each digest."""
+    return refs.groupBy("digest").agg(F.min(F.struct("shard", "start", "length")).alias("at")).select("digest", "at.*")
 
 
-def _ranges(places: DataFrame) -> DataFrame:
-    """Dealt so that a task reads stretches of about READ bytes of a shard, front to back."""
-    n = places.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    stretch = F.floor(F.col("start") / READ)
-    return places.withColumn("_s", stretch).repartition(max(int(n), 1), "shard", "_s").sortWithinPartitions("shard", "start").drop("_s")
+class _Reader:
+    """Range reads; the shard read last stays open."""
 
+    def __init__(self) -> None:
+        self.path, self.file = None, None
 
-def _reads(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tuple[pa.RecordBatch, Iterator[bytes]]]:
-    path, file = None, None
-    for b in batches:
+    def read(self, shard: str, start: int, length: int) -> bytes:
+        if shard != self.path:
+            system, where = fs.FileSystem.from_uri(shard)
+            self.path, self.file = shard, system.open_input_file(where)
+        return self.file.read_at(length, start)
 
-        def each(b: pa.RecordBatch = b) -> Iterator[bytes]:
-            nonlocal path, file
-            for shard, start, length in zip(*(b.column(c).to_pylist() for c in ("shard", "start", "length")), strict=True):
-                if shard != path:
-                    system, where = fs.FileSystem.from_uri(shard)
-                    path, file = shard, system.open_input_file(where)
-                size = length if most is None else min(most, length)
-                yield file.read_at(size, start)
 
-        yield b, each()
+def _whole(media: bytes) -> tuple:
+    samples = from_png(media)
+    data = samples.tobytes()
+    return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)
 
 
-def headers(places: DataFrame) -> DataFrame:
-    """digest, width, height, bits: from range reads of the first HEADER bytes of each medium alone."""
+def read_rows(refs: DataFrame, whole: bool = True) -> DataFrame:
+    """refs (with shard, start, length) and what their media hold; without whole, header reads and the metadata columns alone."""
+    names = list(_FACTS)[: None if whole else 3]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, parts in _reads(batches, HEADER):
-            rows = [header(p) for p in parts]
-            yield pa.RecordBatch.from_arrays([b.column("digest"), *[pa.array([r[i] for r in rows], pa.int32()) for i in range(3)]], ["digest", "width", "height", "bits"])
-
-    return _ranges(places).mapInArrow(read, "digest binary, width int, height int, bits int")
-
+        reader, at, facts = _Reader(), None, ()
+        for b in batches:
+            rows = []
+            for place in zip(*(b.column(c).to_pylist() for c in ("shard", "start", "length")), strict=True):
+                if place != at:
+                    shard, start, length = at = place
+                    facts = header(reader.read(shard, start, min(HEADER, length)))
+                    if whole:
+                        facts += _whole(reader.read(shard, start, length))
+                rows.append(facts)
+            if rows:
+                new = [pa.array(c, _FACTS[n]) for n, c in zip(names, zip(*rows, strict=True), strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *names])
 
-def contents(places: DataFrame) -> DataFrame:
-    """All that is computed from the stored bytes, with the header's metadata, per digest."""
-    names = ["digest", "width", "height", "bits", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    n = max(1, int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = refs.repartitionByRange(n, "shard", "start").sortWithinPartitions("shard", "start")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in refs.schema)
+    return dealt.mapInArrow(read, f"{kept}, " + ", ".join(f"{n} {_SQL[_FACTS[n]]}" for n in names))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, parts in _reads(batches, None):
-            rows = []
-            for media in parts:
-                samples = from_png(media)
-                data = samples.tobytes()
-                rows.append((*header(media[:HEADER]), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)))
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("digest"), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names)
 
-    return _ranges(places).mapInArrow(read, "digest binary, width int, height int, bits int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+def headers(refs: DataFrame) -> DataFrame:
+    """refs with width, height and bits, from range reads of the first HEADER bytes of each medium alone."""
+    return read_rows(refs, whole=False)
 
 
 def media_table(docs: DataFrame) -> DataFrame:
-    """The media columns of every row of docs, from the stored bytes; metadata from header reads."""
+    """doc_id, n_bytes, the place of the medium and everything read back from there, for every row of docs."""
     folder = scratch(docs.sparkSession)
-    refs = written(store(docs, f"{folder}/tar"), "refs", folder)
-    places = written(index(refs), "index", folder)
-    facts = written(contents(places).drop("width", "height", "bits").join(headers(places), "digest"), "facts", folder)
-    return refs.select("doc_id", "n_bytes", "digest").join(facts, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits")
+    return read_rows(written(store(docs, f"{folder}/tar"), "refs", folder))
 
 
 def read_tar(path: str) -> dict[str, bytes]:

@@ -36,7 +36,8 @@ def op5_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_table(table(spark, sf_dir, "documents"))
+    d = media.media_table(table(spark, sf_dir, "documents"))
+    return d.withColumn("digest", F.lower(F.hex("digest")))
 
 
 def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -254,18 +254,50 @@ def test_propagation_cuts_fewer_links_than_hashing(spark):
 # 6 media
 
 
+def decode_png(data: bytes) -> list[bytes]:
+    """A PNG's rows, read by the format's own rules: chunks, checksums, filters."""
+    assert data[:8] == bytes.fromhex("89504e470d0a1a0a")
+    at, chunks = 8, []
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "big")
+        kind, body, crc = data[at + 4 : at + 8], data[at + 8 : at + 8 + n], data[at + 8 + n : at + 12 + n]
+        assert zlib.crc32(kind + body) == int.from_bytes(crc, "big")
+        chunks.append((kind, body))
+        at += n + 12
+    assert chunks[0][0] == b"IHDR" and chunks[-1] == (b"IEND", b"")
+    width, height = int.from_bytes(chunks[0][1][:4], "big"), int.from_bytes(chunks[0][1][4:8], "big")
+    assert chunks[0][1][8:] == bytes([8, 0, 0, 0, 0])  # 8 bits, greyscale, deflate, adaptive filters, no interlace
+    raw = zlib.decompress(b"".join(body for kind, body in chunks if kind == b"IDAT"))
+    assert len(raw) == height * (width + 1)
+    lines = [raw[i : i + width + 1] for i in range(0, len(raw), width + 1)]
+    assert all(line[0] == 0 for line in lines)  # no filter
+    return [line[1:] for line in lines]
+
+
+def feature_of(data: bytes) -> str:
+    n, h = len(data), len(data) // 64
+    mean = sum(data) / n
+    sd = math.sqrt(sum((x - mean) ** 2 for x in data) / n)
+    bits = "".join("1" if sum(data[c::64]) / h > mean else "0" for c in range(64))
+    return f"64x{h};mean={mean:.4f};sd={sd:.4f};hash={int(bits, 2):016x}"
+
+
 def test_media_round_trip(docs, rows, no_docs, odd):
     got = media.media_table(odd).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
-    text, same = {r[0]: r[1] for r in rows}, defaultdict(set)
+    text, same, shards = {r[0]: r[1] for r in rows}, defaultdict(set), {}
     for r in got:
         data = (text[r.doc_id] or "").encode()
         padded = data + b"\0" * (max(64, -(-len(data) // 64) * 64) - len(data))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
-        stored = media.to_png(padded)
+        if r.shard not in shards:
+            shards[r.shard] = open(r.shard.removeprefix("file://"), "rb").read()
+        stored = shards[r.shard][r.start : r.start + r.length]
+        assert b"".join(decode_png(stored)) == padded and r.digest == hashlib.sha256(padded).digest()
         assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
         assert (r.width, r.height, r.bits) == (64, len(padded) // 64, 8)
-        same[text[r.doc_id]].add(tuple(r)[1:])
+        assert r.feature == feature_of(padded)
+        same[text[r.doc_id]].add((r.n_bytes, r.digest, r.payload_sha256, r.media_sha256, r.feature))
     assert all(len(v) == 1 for v in same.values())
     assert media.media_table(no_docs).count() == 0
 
@@ -273,9 +305,24 @@ def test_media_round_trip(docs, rows, no_docs, odd):
 def test_media_shards_are_tar_files(docs, spark):
     folder = media.scratch(spark)
     refs = media.written(media.store(docs, f"{folder}/tar"), "refs", folder)
-    for path in [r.shard for r in media.index(refs).select("shard").distinct().collect()]:
-        for name, data in media.read_tar(path).items():
+    places = {tuple(r) for r in refs.select("digest", "shard", "start", "length").collect()}
+    for path in {p[1] for p in places}:
+        members = media.read_tar(path)
+        assert members
+        for name, data in members.items():
             assert name == hashlib.sha256(media.from_png(data).tobytes()).hexdigest() + ".png"
+            assert any(p[0].hex() == name[:64] and p[3] == len(data) for p in places)
+    assert len(places) == len({(p[0], p[1]) for p in places})  # a task stores a digest once
+    assert media.index(refs).count() == len({p[0] for p in places})
+
+
+def test_media_headers_alone_and_null_ids(spark):
+    d = spark.createDataFrame([(None, "a" * 200, 1), (1, "a" * 200, 2), (2, None, 3), (None, "x" * 3_000_000, 4)], "doc_id long, text string, width int").repartition(2)
+    folder = media.scratch(spark)
+    refs = media.written(media.store(d, f"{folder}/tar"), "refs", folder)
+    assert sorted((r.width, r.height, r.bits) for r in media.headers(refs).collect()) == [(64, 1, 8), (64, 4, 8), (64, 4, 8), (64, 46875, 8)]
+    got = media.media_table(d).collect()
+    assert sorted((r.doc_id is None, r.n_bytes) for r in got) == [(False, 0), (False, 200), (True, 200), (True, 3_000_000)]
 
 
 # 7 line dedup
