@@ -7,8 +7,8 @@ stores a digest once, and its other rows refer to that. Copies that meet in diff
 to bring them together, all texts would have to be shuffled (about 0.3 of the input, compressed), while a hot text
 costs only its own size a task. index() gives one place for each digest.
 
-read_rows() reads back in one deal: rows go in the order of their places, so that a task reads stretches of shards from
-front to back and rows of one place stand side by side. A range read of the first HEADER bytes alone fills the metadata
+read_rows() reads back in one deal: a task gets stretches of shards and reads each from front to back, so that rows of
+one place stand side by side. A range read of the first HEADER bytes alone fills the metadata
 columns (width, height, bits); a read of the whole range decodes the samples, and everything else is computed from those.
 
 A task's shard has a name of its own, which its rows carry; a task that is run again writes another file, and what the
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import scratch, written
 
 WIDTH, HEADER, LEVEL = 64, 33, 6
-#: A task starts another shard beyond so many bytes.
-ROLL = 1 << 30
+#: A task starts another shard beyond so many bytes; reads are dealt by stretches of READ bytes.
+ROLL, READ = 1 << 30, 1 << 22
 _MAGIC = b"\x89PNG\r\n\x1a\n"
 
 
@@ -195,7 +195,7 @@ def read_rows(refs: DataFrame, whole: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *names])
 
     n = max(1, int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = refs.repartitionByRange(n, "shard", "start").sortWithinPartitions("shard", "start")
+    dealt = refs.repartition(n, "shard", F.floor(F.col("start") / READ)).sortWithinPartitions("shard", "start")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in refs.schema)
     return dealt.mapInArrow(read, f"{kept}, " + ", ".join(f"{n} {_SQL[_FACTS[n]]}" for n in names))
 
