@@ -74,6 +74,26 @@ def n_words(c: Column) -> Column:
     return F.when(F.coalesce(trimmed, F.lit("")) == "", F.lit(0)).otherwise(F.size(F.split(trimmed, WHITE + "+"))).cast("long")
 
 
+#: A key with more than 1 / HOT of all rows is split; so at most HOT keys are, whatever the table's size.
+HOT = 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], size: str, how: str = "inner", salt: Sequence[str | Column] = ()) -> DataFrame:
+    """left joined with right, which holds one row per key and, in the column `size`, about how many rows of left have it.
+
+    Rows of a hot key go to several tasks by a hash of salt (columns of left), and the key's row of right to each of
+    them. Which keys are hot is broadcast: by the choice of HOT that is at most HOT rows. No key may be null.
+    """
+    total = right.agg(F.sum(size)).first()[0] or 0
+    share = max(1, -(-total // HOT))
+    splits = F.ceil(F.col(size) / share).cast("int")
+    hot = right.where(F.col(size) > share).select(*keys, splits.alias("_splits"))
+    by = F.when(F.col("_splits").isNotNull(), F.pmod(row_hash(salt or left.columns, 77), F.col("_splits"))).otherwise(0).cast("int")
+    one = left.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", by).drop("_splits")
+    many = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(size) > share, splits - 1).otherwise(0))))
+    return one.join(many, [*keys, "_salt"], how).drop("_salt")
+
+
 def ranked(df: DataFrame, group: list[str], buckets: Column, order: Column, ties: Sequence[Column] = (), name: str = "rank") -> DataFrame:
     """Adds each row's exact rank (from 0) within its group, without ever gathering a group in one task.
 

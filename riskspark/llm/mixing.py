@@ -8,9 +8,13 @@ length as were granted are selected in the order of a seeded hash of doc_id.
 Nothing grows with the rows in one place: the dynamic program sees one row per distinct length of a source, and the
 selection ranks documents through hash ranges (common.ranked), so that a hot source, or a hot length, is split.
 
-Defined results: a null text or one of white space only has size 0 and takes 0 words; a null source is a source of its
-own, after all others; a repeated row counts as a document of its own; an empty table gives an empty result. Columns
-other than the named ones are carried along unless their names clash with the added ones, which win.
+The program keeps its bitsets at every square root of so many steps only and makes the others again on the way back, so
+thousands of distinct lengths take a few megabytes.
+
+Defined results: a null text or one of white space only has size 0 and takes 0 words; a very long text counts with all
+its words, and the program's window is at least twice the longest; a null source is a source of its own, after all
+others; a repeated row counts as a document of its own; rows of null doc_id take part; an empty table gives an empty
+result. Columns other than the named ones are carried along unless their names clash with the added ones, which win.
 """
 
 from __future__ import annotations
@@ -48,23 +52,38 @@ def fit(lengths: list[int], counts: list[int], budget: int, window: int = WINDOW
         rest -= more * lengths[i]
     # bounded knapsack: bit s of `sums` is set when s words can be reached; one document may overshoot
     mask = (1 << (rest + longest + 1)) - 1
-    sums, steps = 1, []
+    items = []  # (length, documents) in powers of two, so that any number up to the count can be put together
     for i in order:
         left, piece = min(counts[i] - took[i], (rest + longest) // lengths[i]), 1
-        while left > 0 and not sums >> rest & 1:
+        while left > 0:
             piece = min(piece, left)
-            steps.append((i, piece, sums))
-            sums |= sums << piece * lengths[i] & mask
+            items.append((i, piece))
             left -= piece
             piece *= 2
+    unit = math.gcd(*(lengths[i] for i, _ in items)) if items else 1
+    best = rest - rest % unit + (unit if 2 * (rest % unit) > unit else 0)  # nothing nearer can be reached
+    every = max(1, math.isqrt(len(items)))
+    sums, marks, used = 1, [], 0  # marks: the sums before every so many items; those between are made again below
+    for at, (i, piece) in enumerate(items):
+        if sums >> best & 1:
+            break
+        if at % every == 0:
+            marks.append(sums)
+        sums |= sums << piece * lengths[i] & mask
+        used = at + 1
     below = (sums & (1 << rest + 1) - 1).bit_length() - 1
     above = sums >> rest
     above = rest + (above & -above).bit_length() - 1 if above else math.inf
-    at = below if rest - below <= above - rest else int(above)
-    for i, piece, before in reversed(steps):
-        if not before >> at & 1:
-            took[i] += piece
-            at -= piece * lengths[i]
+    goal = below if rest - below <= above - rest else int(above)
+    for k in range(len(marks) - 1, -1, -1):
+        block = items[k * every : min(used, (k + 1) * every)]
+        before = [marks[k]]
+        for i, piece in block[:-1]:
+            before.append(before[-1] | before[-1] << piece * lengths[i] & mask)
+        for (i, piece), sums in zip(reversed(block), reversed(before), strict=True):
+            if not sums >> goal & 1:
+                took[i] += piece
+                goal -= piece * lengths[i]
     return took
 
 

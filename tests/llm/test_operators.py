@@ -74,6 +74,29 @@ def test_mixing_fit_is_a_bounded_knapsack():
         assert abs(sum(a * b for a, b in zip(lengths, took, strict=True)) - budget) == best
 
 
+def test_mixing_fit_in_blocks_and_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(11)
+    for _ in range(150):
+        lengths = sorted({int(x) for x in rng.integers(1, 40, rng.integers(1, 9))})
+        counts = [int(x) for x in rng.integers(1, 6, len(lengths))]
+        budget = int(rng.integers(0, sum(a * b for a, b in zip(lengths, counts, strict=True)) + 2))
+        took = mixing.fit(lengths, counts, budget, window=int(rng.integers(1, 200)))
+        assert all(0 <= t <= n for t, n in zip(took, counts, strict=True))
+        sums = {0}
+        for length, n in zip(lengths, counts, strict=True):
+            sums = {s + k * length for s in sums for k in range(n + 1)}
+        if sum(a * b for a, b in zip(lengths, counts, strict=True)) <= 2 * max(lengths):  # else the bulk is set first
+            assert abs(sum(a * b for a, b in zip(lengths, took, strict=True)) - budget) == min(abs(s - budget) for s in sums)
+    tracemalloc.start()
+    for lengths in (list(range(2, 40_002, 2)), [1, *range(2, 40_002, 2)]):
+        took = mixing.fit(lengths, [3] * len(lengths), 20_001)
+        assert abs(sum(a * b for a, b in zip(lengths, took, strict=True)) - 20_001) <= (lengths[0] != 1)
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+
+
 def test_mixing_edges(odd, no_docs, spark):
     assert mixing.mix(no_docs).count() == 0
     out = mixing.mix(odd)
@@ -435,6 +458,30 @@ def test_token_ids_agree_with_the_tokenizer():
         assert packing.token_ids(text).tolist() == [*t.encode(text, add_special_tokens=False).ids, 0]
 
 
+@pytest.mark.parametrize("n", [1_000_000, 5_000_000])
+def test_very_long_runs_are_tokenized_whole(n):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in (" " * n, "\n" * n, "x" * n):
+        assert packing.token_ids(text).tolist() == [*t.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_packing_takes_very_long_blanks_and_null_ids(spark):
+    d = spark.createDataFrame([(1, " " * 1_000_000), (None, "\n" * 1_000_000), (None, None), (2, "a b")], "doc_id long, text string")
+    got = packing.packed(d).collect()
+    n = {1: 1_000_001, 2: len(packing.token_ids("a b")), None: len(packing.token_ids("\n" * 1_000_000)) + 1}
+    total = Counter()
+    for r in got:
+        total[r.doc_id] += r.length
+    assert total == n
+    fill = Counter()
+    for r in got:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 2048 and len(fill) == -(-sum(n.values()) // 2048)
+
+
 def test_fullest_is_a_subset_sum():
     rng = np.random.default_rng(0)
     for _ in range(30):
