@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import discard, scratch, written
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -28,6 +28,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         if ends.groupBy("node").agg(F.sum("far").alias("far"), F.max("near").alias("near")).where("far > 1 or far > 0 and near > 0").isEmpty():
             break
         at = written(_star(_star(at, True), False), f"links{k}", folder)
+        discard(links.sparkSession, f"{folder}/links{k - 1}")
     else:
         raise RuntimeError(f"no fixed point after {most} rounds")
     return at.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(at.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

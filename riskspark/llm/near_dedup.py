@@ -6,23 +6,28 @@
 2. Documents of equal sets form a class; only one row a class goes on, so exact copies cost nothing below.
 3. ROWS registers side by side make a band; classes that share a band are candidates. In each band bucket every class
    meets the bucket's leader first; what is linked is clustered. Buckets that still hold several clusters are
-   compared in blocks of at most BLOCK classes, a pair of blocks per task row, but only across clusters, and only in
-   the first band that two classes share. So each candidate pair is either compared or already known to be connected,
+   compared in blocks, a pair of blocks per group of rows. A cluster of many classes has blocks of its own, which never
+   meet each other; the small clusters of a bucket share blocks. So a pair is compared only across clusters, and only in
+   the first band that its two classes share: each candidate pair is either compared or already known to be connected,
    no bucket is capped and no group's pairs are all made.
 4. A pair of registers goes on when its collision-corrected Jaccard estimate is within SLACK standard deviations of
    the threshold; then 100 * intersection >= percent * union is tested on the full sets of shingle hashes. Where both
-   sets have at most KEPT hashes the block's task holds them whole and tests there, so that it sends on true links
-   alone, one fewer than the classes it connects. Larger sets are first estimated from their KEPT least hashes, then
-   joined with the full sets: at first the few best partners of a class, then, after another clustering, all left.
+   sets have at most KEPT[0] hashes the block's task holds them whole and tests there, so that it sends on true links
+   alone, one fewer than the classes it connects. For larger sets a first pass sends each class's few best partners, by
+   an estimate from the sets' least hashes, to be joined with the full sets. What is still apart after that meets in a
+   second pass, whose smaller blocks carry KEPT[1] hashes and decide likewise; only sets larger still, whose estimate
+   from that many hashes (0.77 at least for a threshold of 0.8) leaves it open, are sent out as pairs.
 5. Components come from iterative star joins (components.py); a class's least doc_id names it.
 
 With 24 bands of 4 registers a pair at similarity 0.8 is missed with probability (1 - 0.8**4)**24 = 3e-6; the estimate
-drops a pair at 0.8 with a probability below 1e-6. Shingle hashes have 64 bits.
+drops a pair at 0.8 with a probability below 1e-6. Shingle hashes have 64 bits. Keys that many rows share (copies of one
+text, leaders of large buckets) are split by common.spread_join; documents without words take no part in any join.
 
 Defined results: words are maximal runs of other than ASCII white space after A-Z lower-casing; a document with fewer
 words than a shingle is one shingle, its whole sequence; without words (null, empty) it has an empty set and is linked
-with nothing, not even another empty one. A repeated row is a copy. A null doc_id takes part; its class is named by the
-least doc_id known. Columns other than doc_id and text are ignored, except by deduplicated(), which carries them.
+with nothing, not even another empty one. A text of any length counts whole; its task holds one set at a time beside
+those of 63 other texts. A repeated row is a copy. A null doc_id takes part; its class is named by the least doc_id
+known. Columns other than doc_id and text are ignored, except by deduplicated(), which carries them under any name.
 """
 
 from __future__ import annotations
@@ -33,14 +38,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_hash, scratch, written
+from .common import discard, row_hash, scratch, spread_join, written
 from .components import components
 
 BANDS, ROWS, MANTISSA, SLACK = 24, 4, 10, 5.0
-BLOCK, KEPT = 1024, 256
+#: Classes in a block, and least hashes that a class brings along, in the first and the second pass.
+BLOCK, KEPT = (1024, 128), (256, 4096)
 _REGISTERS = BANDS * ROWS
 _SEEDS = np.random.default_rng(42).integers(1, 1 << 63, (2, _REGISTERS), dtype=np.uint64)
 _SEEDS[0] |= np.uint64(1)
@@ -74,8 +80,7 @@ def shingles(text: str | None, words: int, seen: _Words) -> np.ndarray:
     out = np.full(n, k, np.uint64)
     for i in range(k):
         out = _mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
-    out = np.unique(out)
-    return out
+    return np.unique(out)
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
@@ -113,7 +118,7 @@ def sketches(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str = "t
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Words()
-        for b in batches:
+        for b in (whole.slice(at, 64) for whole in batches for at in range(0, whole.num_rows, 64)):
             sets = [shingles(t, words, seen) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -158,35 +163,39 @@ def linked(docs: DataFrame, words: int = 5, percent: float = 80, doc_id: str = "
     spark = docs.sparkSession
     folder = scratch(spark)
     sk = written(sketches(docs, words, doc_id, text), "sketches", folder)
-    classes = sk.where("n_shingles > 0").groupBy(F.col("set_key").alias("key")).agg(F.min(F.struct("rid", "n_shingles", "registers")).alias("s"), F.min("doc_id").alias("least"))
-    classes = written(classes.select("key", "s.*", "least"), "classes", folder)
+    first = F.min(F.struct("rid", "n_shingles", "registers"))
+    classes = sk.where("n_shingles > 0").groupBy(F.col("set_key").alias("key")).agg(first.alias("s"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    classes = written(classes.select("key", "s.*", "least", "copies"), "classes", folder)
     width = 2 * ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * width + 1, width)))
     # a band's number is part of its hash; chance collisions of the 64 bits only add candidates
     buckets = classes.select("key", F.posexplode(bands).alias("band", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("leader")).where("n > 1")
-    members = written(buckets.join(shared, "bucket").select("bucket", "band", "key", "leader"), "members", folder)
+    members = written(spread_join(buckets, written(shared, "shared", folder), ["bucket"], "n").select("bucket", "band", "key", "leader"), "members", folder)
     # one pass over the texts gives the full sets of all classes that share any band
-    sets = written(_sets(docs, classes.join(members.select("key").distinct(), "key", "left_semi").select("rid", "key"), words, doc_id, text), "sets", folder)
+    wanted = classes.join(members.select("key").distinct(), "key", "left_semi").select("rid", "key")
+    sets = written(_sets(docs, wanted, words, doc_id, text), "sets", folder)
     info = classes.select("key", "n_shingles", "registers")
     low = _floor(percent, _REGISTERS)
 
     pairs = members.where(F.col("key") != F.col("leader")).select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
     pairs = pairs.join(info.select(F.col("key").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra")), "a")
-    pairs = pairs.join(info.select(F.col("key").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb")), "b")
+    pairs = _beside(written(pairs, "met", folder), info.select(F.col("key").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb")))
     pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     pairs = written(pairs.mapInArrow(lambda it: _close(it, low), "a binary, b binary, na long, nb long"), "pairs0", folder)
     links = written(_verified(pairs, sets, percent), "links0", folder)
     root = written(components(links), "roots0", folder)
 
-    info = info.join(sets.select("key", F.slice("hashes", 1, KEPT).alias("least_hashes")), "key")
     for k, best in ((1, 3), (2, 0)):
         clusters = members.select("bucket", "band", "key").join(root, members["key"] == root["node"], "left").select("bucket", "band", "key", F.coalesce("root", "key").alias("cluster"))
         clusters = written(clusters, f"clusters{k}", folder)
         if k == 2:  # small sets are settled, so only buckets with a large one remain
-            clusters = clusters.join(clusters.join(info.where(F.col("n_shingles") > KEPT).select("key"), "key", "left_semi").select("bucket").distinct(), "bucket", "left_semi")
-        mixed = clusters.groupBy("bucket").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y"), F.count("*").alias("size")).where("x != y")
-        found = written(_across(clusters.join(mixed.select("bucket", "size"), "bucket"), info, percent, low, best, k == 2), f"pairs{k}", folder)
+            large = clusters.join(info.where(F.col("n_shingles") > KEPT[0]).select("key"), "key", "left_semi").select("bucket").distinct()
+            clusters = clusters.join(large, "bucket", "left_semi")
+        mixed = clusters.groupBy("bucket").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x != y").select("bucket")
+        clusters = written(clusters.join(mixed, "bucket", "left_semi"), f"mixed{k}", folder)
+        carried = info.join(sets.select("key", F.slice("hashes", 1, KEPT[k - 1]).alias("least_hashes")), "key")
+        found = written(_across(clusters, carried, percent, low, best, k, folder), f"pairs{k}", folder)
         if found.isEmpty():
             break
         more = found.where("sure").select("a", "b").unionByName(_verified(found.where("not sure"), sets, percent))
@@ -194,10 +203,23 @@ def linked(docs: DataFrame, words: int = 5, percent: float = 80, doc_id: str = "
         if not more.isEmpty():
             links = links.unionByName(more)
             root = written(components(links), f"roots{k}", folder)
-    named = classes.select("key", "least").join(root.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(names, "root").select(F.col("key").alias("set_key"), "component_id", F.col("root").alias("component"))
-    return sk.select("doc_id", "rid", "n_shingles", "set_key").join(named, "set_key", "left").select("doc_id", "rid", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component")
+    named = classes.select("key", "least", "copies").join(root.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    names = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = spread_join(named, written(names, "names", folder), ["root"], "n")
+    named = written(named.select(F.col("key").alias("set_key"), "component_id", F.col("root").alias("component"), "copies"), "named", folder)
+    rows = sk.select("doc_id", "rid", "n_shingles", "set_key")
+    known = spread_join(rows.where("n_shingles > 0"), named, ["set_key"], "copies", salt=["rid"])
+    known = known.select("doc_id", "rid", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component")
+    empty = rows.where("n_shingles = 0").select("doc_id", "rid", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("component"))
+    out = written(known.unionByName(empty), "linked")
+    discard(spark, folder)
+    return out
+
+
+def _beside(pairs: DataFrame, right: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with the row of b, which many pairs may share; pairs is evaluated twice."""
+    counted = right.join(pairs.groupBy("b").agg(F.count("*").alias("_n")), "b")
+    return spread_join(pairs, counted, ["b"], "_n", salt=["a"]).drop("_n")
 
 
 def _close(batches: Iterator[pa.RecordBatch], low: float) -> Iterator[pa.RecordBatch]:
@@ -213,37 +235,55 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
 
 
-def _least_estimate(x: np.ndarray, y: np.ndarray) -> float:
-    """Jaccard estimate from two sets' KEPT least hashes: the share of common ones among the least of the union."""
-    both = np.union1d(x, y)[:KEPT]
+def _least_estimate(x: np.ndarray, y: np.ndarray, kept: int) -> float:
+    """Jaccard estimate from two sets' `kept` least hashes: the share of common ones among the least of the union."""
+    both = np.union1d(x, y)[:kept]
     return _common(both[np.isin(both, x, assume_unique=True)], y) / len(both)
 
 
-def _across(members: DataFrame, info: DataFrame, percent: float, low: float, best: int, large_only: bool) -> DataFrame:
+def _blocks(members: DataFrame, size: int, folder: str, k: int) -> DataFrame:
+    """members (bucket, key, cluster, ...) once for each block that they meet: with i and j, the two blocks, and block, their own.
+
+    A cluster of at least half a block has blocks of its own and meets all but those; the others are pooled, and a pooled
+    block meets itself too.
+    """
+    sizes = written(members.groupBy("bucket", "cluster").agg(F.count("*").alias("n")), f"sizes{k}", folder)
+    own = F.col("n") >= size // 2
+    count = F.when(own, F.ceil(F.col("n") / size)).otherwise(0)
+    per = sizes.groupBy("bucket").agg(F.ceil(F.sum(F.when(own, 0).otherwise(F.col("n"))) / size).alias("pool"), F.sum(count).alias("owned"), F.sum("n").alias("all"))
+    before = Window.partitionBy("bucket").orderBy("cluster").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.where(own).select("bucket", "cluster", count.alias("many"), F.coalesce(F.sum(count).over(before), F.lit(0)).alias("start"))
+    m = spread_join(members, sizes.join(starts, ["bucket", "cluster"], "left"), ["bucket", "cluster"], "n").drop("n")
+    m = spread_join(m, written(per, f"per{k}", folder), ["bucket"], "all", salt=["key"])
+    m = m.withColumn("lo", F.when(F.col("many").isNull(), 0).otherwise(F.col("pool") + F.col("start")).cast("int")).withColumn("hi", F.when(F.col("many").isNull(), F.col("pool")).otherwise(F.col("lo") + F.col("many")).cast("int"))
+    m = m.withColumn("block", (F.col("lo") + F.pmod(F.xxhash64("key"), F.col("hi") - F.col("lo"))).cast("int")).withColumn("last", (F.col("pool") + F.col("owned") - 1).cast("int"))
+    upto = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+    others = F.when(F.col("many").isNull(), upto(F.lit(0), F.col("last"))).otherwise(F.concat(upto(F.lit(0), F.col("lo") - 1), upto(F.col("hi"), F.col("last"))))
+    m = m.withColumn("o", F.explode(others)).withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
+    return m.select("bucket", "i", "j", "block", *[c for c in members.columns if c != "bucket"])
+
+
+def _across(members: DataFrame, info: DataFrame, percent: float, low: float, best: int, k: int, folder: str) -> DataFrame:
     """Links (sure) and candidate pairs (not sure: of large sets) across the clusters of a bucket; best > 0: only so many candidates of a class in a pair of blocks.
 
-    A bucket's classes go to ceil(size / BLOCK) blocks by hash, and each pair of blocks is one group of rows.
+    In the second pass (k = 2) a pair of small sets has been settled.
     """
-    m = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    m = m.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    names = ("band", "key", "cluster", "n_shingles", "registers", "least_hashes")
-    m = m.join(info, "key").select("bucket", *names, "block", F.explode(other).alias("o"))
-    m = m.select("bucket", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", *names)
-    fine = _floor(percent, KEPT)
+    kept, settled = KEPT[k - 1], KEPT[0] if k == 2 else 0
+    m = _blocks(members, BLOCK[k - 1], folder, k).join(info, "key")
+    fine = _floor(percent, kept)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         r = np.frombuffer(b"".join(pdf.registers), "<u2").reshape(-1, _REGISTERS)
         n, block, band = pdf.n_shingles.to_numpy(float), pdf.block.to_numpy(), int(pdf.band.iloc[0])
         key, least, (cluster, _) = pdf.key.to_numpy(), [np.asarray(h, np.int64).view(np.uint64) for h in pdf.least_hashes], pd.factorize(pdf.cluster)
-        same, large = pdf.i.iloc[0] == pdf.j.iloc[0], n > KEPT
+        same, large = pdf.i.iloc[0] == pdf.j.iloc[0], n > kept
         left, right = np.flatnonzero(block == pdf.i.iloc[0]), np.flatnonzero(block == pdf.j.iloc[0])
         out = []
         for x in left:
             y = right[right > x] if same else right
             y = y[(cluster[y] != cluster[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
-            if large_only and not large[x]:
-                y = y[large[y]]
+            if n[x] <= settled:
+                y = y[n[y] > settled]
             if not len(y):
                 continue
             e = estimate(r[y], r[x], n[y], n[x])
@@ -256,7 +296,7 @@ def _across(members: DataFrame, info: DataFrame, percent: float, low: float, bes
                 if cluster[z] == cluster[x]:
                     continue
                 if large[x] or large[z]:
-                    if (best == 0 or sent < best) and _least_estimate(least[x], least[z]) >= fine:
+                    if (best == 0 or sent < best) and _least_estimate(least[x], least[z], kept) >= fine:
                         out.append((key[x], key[z], int(n[x]), int(n[z]), False))
                         sent += 1
                 elif (both := _common(least[x], least[z])) * 100 >= percent * (n[x] + n[z] - both):
@@ -272,8 +312,8 @@ def _across(members: DataFrame, info: DataFrame, percent: float, low: float, bes
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: float) -> DataFrame:
-    j = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("ha")), "a")
-    j = j.join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("hb")), "b")
+    j = _beside(pairs, sets.select(F.col("key").alias("b"), F.col("hashes").alias("hb")))
+    j = j.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("ha")), "a")
     common = F.size(F.array_intersect("ha", "hb"))
     return j.withColumn("both", common).where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
 
@@ -286,12 +326,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: float = 80, doc_id
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: float = 80) -> DataFrame:
     """docs without near-duplicates: of each component the row of least doc_id known; of rows equal in doc_id and text, one."""
-    from pyspark.sql import Window
-
-    d = written(linked(docs, words, percent))
+    d = linked(docs, words, percent)
     # within a component: the least doc_id, nulls last, then the least rid, as several rows may share a doc_id
     best = d.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "rid")).alias("m")).select("m.rid")
     keep = best.unionByName(d.where("n_shingles = 0").select("rid")).distinct()
-    kept = docs.withColumn("_rid", rid(F.col("doc_id"), F.col("text"))).join(keep.withColumnRenamed("rid", "_rid"), "_rid", "left_semi")
-    w = Window.partitionBy("_rid").orderBy(row_hash([c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]))
-    return kept.withColumn("_k", F.row_number().over(w)).where("_k = 1").select(*docs.columns)
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]
+    d = docs.select(F.struct(*docs.columns).alias("_row"), rid(F.col("doc_id"), F.col("text")).alias("_rid"), row_hash(others).alias("_order"))  # a row's own names clash with nothing
+    w = Window.partitionBy("_rid").orderBy("_order")
+    kept = d.join(keep.withColumnRenamed("rid", "_rid"), "_rid", "left_semi").withColumn("_k", F.row_number().over(w))
+    return kept.where("_k = 1").select("_row.*")

@@ -169,12 +169,34 @@ def test_near_duplicates_against_all_pairs(docs, rows, n):
         assert r.kept == (r.doc_id == r.component_id)
 
 
-def test_near_duplicates_in_small_blocks(docs, rows, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+@pytest.mark.parametrize(("block", "kept"), [((4, 2), (256, 4096)), ((6, 4), (4, 12)), ((2, 2), (1, 2))])
+def test_near_duplicates_in_small_blocks(docs, rows, monkeypatch, block, kept):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "KEPT", kept)
     want = brute_components(rows, 2, 80)
     assert all(r.component_id == want[r.doc_id][1] for r in near_dedup.near_duplicates(docs, words=2).collect())
 
 
+def test_blocks_meet_only_across_clusters(spark):
+    """A cluster of many classes and a stranger: each class is sent out once, the stranger once a block; pooled blocks meet all."""
+    rows = [("b", 0, i, "big") for i in range(100)] + [("b", 0, 100, "far")] + [("c", 0, i, f"c{i}") for i in range(30)]
+    m = spark.createDataFrame(rows, "bucket string, band int, key int, cluster string")
+    got = near_dedup._blocks(m, 10, near_dedup.scratch(spark), 1).collect()
+    big = [r for r in got if r.cluster == "big"]
+    assert len(big) == 100 and sum(r.cluster == "far" for r in got) == 1 + len({(r.i, r.j) for r in big})
+    together = defaultdict(set)
+    for r in got:
+        together[r.bucket, r.i, r.j].add((r.key, r.cluster, r.block))
+    met = Counter()
+    for (bucket, i, j), g in together.items():
+        for x in g:
+            for y in g:
+                if x[0] < y[0] and x[1] != y[1] and {x[2], y[2]} == {i, j}:
+                    met[bucket, x[0], y[0]] += 1
+    assert set(met.values()) == {1}
+    assert set(met) == {("b", i, 100) for i in range(100)} | {("c", i, j) for i in range(30) for j in range(i + 1, 30)}
+
+
 def test_near_dedup_edges(odd, no_docs, rows, spark):
     assert near_dedup.near_duplicates(no_docs).count() == 0
     out = near_dedup.deduplicated(odd, words=2)
@@ -193,6 +215,23 @@ def test_dedup_keeps_unlinked_texts_of_null_or_repeated_ids(spark):
     assert Counter(tuple(r) for r in out.collect()) == Counter(want)
 
 
+def test_dedup_carries_columns_of_any_name(spark):
+    d = spark.createDataFrame([(1, "a b c d e f", 7, "p", "q"), (2, "a b c d e f", 8, "r", "s"), (3, None, 9, None, "t")], "doc_id long, text string, _k int, _rid string, _row string")
+    got = near_dedup.deduplicated(d)
+    assert got.columns == d.columns and sorted(map(tuple, got.collect())) == [(1, "a b c d e f", 7, "p", "q"), (3, None, 9, None, "t")]
+
+
+def test_spread_join_splits_hot_keys(spark):
+    from riskspark.llm import common
+
+    left = spark.range(20_000).select(F.when(F.col("id") < 15_000, 0).otherwise(F.col("id") % 700).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k") * 2)
+    got = common.spread_join(left, right, ["k"], "n", salt=["id"])
+    assert got.count() == 20_000 and got.where("v != 2 * k").count() == 0 and got.columns == ["k", "id", "n", "v"]
+    plan = common.spread_join(left, right, ["k"], "n", salt=["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan
+
+
 def test_registers_estimate_jaccard():
     rng = np.random.default_rng(1)
     common, a, b = rng.integers(0, 1 << 62, 800).astype(np.uint64), rng.integers(0, 1 << 62, 100).astype(np.uint64), rng.integers(0, 1 << 62, 100).astype(np.uint64)
