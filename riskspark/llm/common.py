@@ -78,13 +78,15 @@ def n_words(c: Column) -> Column:
 HOT = 1000
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], size: str, how: str = "inner", salt: Sequence[str | Column] = ()) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], size: str, how: str = "inner", salt: Sequence[str | Column] = (), total: int | None = None) -> DataFrame:
     """left joined with right, which holds one row per key and, in the column `size`, about how many rows of left have it.
 
     Rows of a hot key go to several tasks by a hash of salt (columns of left), and the key's row of right to each of
-    them. Which keys are hot is broadcast: by the choice of HOT that is at most HOT rows. No key may be null.
+    them. Which keys are hot is broadcast: by the choice of HOT that is at most HOT rows. No key may be null. total is
+    the sum of the sizes; without it, it is computed.
     """
-    total = right.agg(F.sum(size)).first()[0] or 0
+    if total is None:
+        total = right.agg(F.sum(size)).first()[0] or 0
     share = max(1, -(-total // HOT))
     splits = F.ceil(F.col(size) / share).cast("int")
     hot = right.where(F.col(size) > share).select(*keys, splits.alias("_splits"))

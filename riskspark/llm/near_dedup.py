@@ -1,8 +1,10 @@
 """MinHash near-dedup with HyperMinHash registers.
 
 1. One pass over the texts makes, per document, the number of its distinct word shingles, a 128-bit key of the set, and
-   BANDS * ROWS registers. A register keeps a bucket's minimum hash as a count of leading zeros (6 bits) and the
-   MANTISSA bits that follow it, so 2 bytes instead of 8.
+   BANDS * ROWS registers. Each shingle falls into one bucket by its hash; a bucket's register keeps the minimum of a
+   second hash as a count of leading zeros (6 bits) and the MANTISSA bits that follow it, so 2 bytes instead of 8. An
+   empty bucket takes the register of the first one that is not, in an order of its own: two sets then agree in a
+   register as often as their similarity says, whether they hold three shingles or a million.
 2. Documents of equal sets form a class; only one row a class goes on, so exact copies cost nothing below.
 3. ROWS registers side by side make a band; classes that share a band are candidates. In each band bucket every class
    meets the bucket's leader first; what is linked is clustered. Buckets that still hold several clusters are
@@ -44,13 +46,16 @@ from pyspark.sql import functions as F
 from .common import discard, row_hash, scratch, spread_join, written
 from .components import components
 
-BANDS, ROWS, MANTISSA, SLACK = 24, 4, 10, 5.0
+BANDS, ROWS, MANTISSA = 24, 4, 10
+#: Standard deviations that an estimate may fall short, for registers (small sets' spread is up to 1.2 times as wide) and for least hashes.
+SLACK = (6.5, 5.0)
 #: Classes in a block, and least hashes that a class brings along, in the first and the second pass.
 BLOCK, KEPT = (1024, 128), (256, 4096)
 _REGISTERS = BANDS * ROWS
-_SEEDS = np.random.default_rng(42).integers(1, 1 << 63, (2, _REGISTERS), dtype=np.uint64)
-_SEEDS[0] |= np.uint64(1)
-_SLAB = 1024
+_RNG = np.random.default_rng(42)
+_SEEDS = _RNG.integers(1, 1 << 63, 2, dtype=np.uint64)
+#: Per bucket, the order in which it asks the others when it is empty.
+_PROBES = np.argsort(_RNG.random((_REGISTERS, _REGISTERS)), axis=1)
 
 
 class _Words(dict):
@@ -84,13 +89,15 @@ def shingles(text: str | None, words: int, seen: _Words) -> np.ndarray:
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
-    """HyperMinHash registers (uint16) of a set of 64-bit hashes: leading zeros of the least hash, then MANTISSA bits."""
-    least = np.full(_REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), _SLAB):
-        h = hashes[at : at + _SLAB, None] * _SEEDS[0] + _SEEDS[1]
-        h ^= h >> np.uint64(32)
-        h *= _SEEDS[0]
-        np.minimum(least, h.min(axis=0), out=least)
+    """HyperMinHash registers (uint16) of a non-empty set of 64-bit hashes: leading zeros of a bucket's least hash, then MANTISSA bits."""
+    none = np.iinfo(np.uint64).max
+    least = np.full(_REGISTERS, none, np.uint64)
+    bucket = (_mix64(hashes ^ _SEEDS[0]) >> np.uint64(32)) * np.uint64(_REGISTERS) >> np.uint64(32)
+    np.minimum.at(least, bucket.astype(np.int64), _mix64(hashes ^ _SEEDS[1]))
+    empty = np.flatnonzero(least == none)
+    if len(empty):
+        asked = least[_PROBES[empty]]
+        least[empty] = asked[np.arange(len(empty)), (asked != none).argmax(axis=1)]
     zeros = np.zeros(_REGISTERS, np.uint64)
     rest = least.copy()
     for step in (32, 16, 8, 4, 2, 1):
@@ -107,10 +114,10 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return ((a == b).mean(axis=-1) - by_chance) / (1 - by_chance)
 
 
-def _floor(percent: float, of: int) -> float:
+def _floor(percent: float, of: int, slack: float) -> float:
     """The least estimate from so many independent comparisons that a pair at the threshold may have."""
     p = percent / 100
-    return p - SLACK * (p * (1 - p) / of) ** 0.5
+    return p - slack * (p * (1 - p) / of) ** 0.5
 
 
 def sketches(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,7 +183,7 @@ def linked(docs: DataFrame, words: int = 5, percent: float = 80, doc_id: str = "
     wanted = classes.join(members.select("key").distinct(), "key", "left_semi").select("rid", "key")
     sets = written(_sets(docs, wanted, words, doc_id, text), "sets", folder)
     info = classes.select("key", "n_shingles", "registers")
-    low = _floor(percent, _REGISTERS)
+    low = _floor(percent, _REGISTERS, SLACK[0])
 
     pairs = members.where(F.col("key") != F.col("leader")).select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
     pairs = pairs.join(info.select(F.col("key").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra")), "a")
@@ -270,7 +277,7 @@ def _across(members: DataFrame, info: DataFrame, percent: float, low: float, bes
     """
     kept, settled = KEPT[k - 1], KEPT[0] if k == 2 else 0
     m = _blocks(members, BLOCK[k - 1], folder, k).join(info, "key")
-    fine = _floor(percent, kept)
+    fine = _floor(percent, kept, SLACK[1])
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         r = np.frombuffer(b"".join(pdf.registers), "<u2").reshape(-1, _REGISTERS)
