@@ -6,13 +6,14 @@ keys, merge-anti-joins the runs to leave out keys already known to be common, an
 whenever a level holds FANOUT runs they are compacted into one of the next level, which adds up the counts. In the end
 the keys whose counts over all runs reach `common` lose all their lines in every document.
 
-Hot lines are counted map-side first; what is joined back to the documents is per row and line position, never a
-line's whole group.
-
-Defined results: a line ends at \\n only; a null or empty text is one empty line; keys shorter than `least` code points
-are never common; a document whose lines all go has an empty text (of sha256 e3b0...); each row counts as a document,
-also a repeated one; an empty table gives an empty result. Other columns are carried by deduplicated() unless they
-clash with the added ones (names beginning with an underscore are reserved).
+Hot lines are counted map-side first; what is joined back to the documents is per row and line position, and a hot
+line's positions are dealt to several tasks (common.spread_join). Runs and batches are dropped, from the catalog and from
+the shared folder, as soon as the common keys and the lines that go are known.
+
+Defined results: a line ends at \\n only; a null or empty text is one empty line; a text of any length, or of any number
+of lines, is one row that its task holds whole; keys shorter than `least` code points are never common; a document whose
+lines all go has an empty text (of sha256 e3b0...); each row counts as a document, also a repeated one or one of null
+doc_id; an empty table gives an empty result. Other columns are carried by deduplicated(), whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE_CHARS, lower_ascii, row_hash, scratch, written
+from .common import WHITE_CHARS, discard, lower_ascii, row_hash, scratch, spread_join, written
 
 COMMON, LEAST, BATCHES, FANOUT = 10, 1, 4, 2
 
@@ -41,9 +42,11 @@ class Runs:
     def __init__(self, folder: str, buckets: int, common: int = COMMON, fanout: int = FANOUT):
         self.folder, self.buckets, self.common, self.fanout = folder, buckets, common, fanout
         self.levels: list[list[str]] = [[]]
+        self.made: list[str] = []
 
     def _save(self, counts: DataFrame, level: int) -> None:
         name = f"line_run_{uuid.uuid4().hex}"
+        self.made.append(name)
         d = counts.repartition(self.buckets, "h1", "h2")
         d.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.folder}/{name}").saveAsTable(name)
         while len(self.levels) <= level:
@@ -79,6 +82,14 @@ class Runs:
             level += 1
 
 
+    def drop(self, spark) -> None:
+        """Takes all runs, compacted ones included, out of the catalog and the shared folder."""
+        for name in self.made:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            discard(spark, f"{self.folder}/{name}")
+        self.made, self.levels = [], [[]]
+
+
 def _located(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
     """(x, y, hashes, at): a hash of each row, and its lines' key hashes and positions where the key is long enough."""
     keys = F.transform(lines_of(F.col(text)), key_of)
@@ -87,9 +98,9 @@ def _located(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
 
 
 def marked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", common: int = COMMON, least: int = LEAST, batches: int = BATCHES, buckets: int | None = None) -> DataFrame:
-    """docs with _x, _y and _drop: the positions (from 0, ascending) of the lines that go, null where none goes."""
+    """_row, a struct of the row's columns, and _drop: the positions (from 0, ascending) of the lines that go, null where none goes."""
     spark = docs.sparkSession
-    folder = scratch(spark)
+    folder, out = scratch(spark), scratch(spark)
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     located = _located(docs, doc_id, text, least).withColumn("batch", F.pmod("x", F.lit(batches)).cast("int"))
     located.write.partitionBy("batch").parquet(f"{folder}/lines")  # a batch later reads its own files alone
@@ -98,12 +109,15 @@ def marked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", common:
     for k in range(batches):
         part = located.where(F.col("batch") == k)
         runs.add(part.select(F.transform(F.filter("hashes", lambda h: h["long"]), lambda h: F.struct(h["h1"].alias("h1"), h["h2"].alias("h2"))).alias("hashes")))
-    often = written(runs.totals(spark).where(F.col("n") >= common).select("h1", "h2"), "often", folder)  # by its size Spark picks the join
+    often = written(runs.totals(spark).where(F.col("n") >= common), "often", folder)
+    runs.drop(spark)
     each = located.select("x", "y", F.posexplode("hashes").alias("pos", "h")).where("h.long").select("x", "y", "pos", "h.h1", "h.h2")
-    drop = each.join(often, ["h1", "h2"], "left_semi").groupBy("x", "y").agg(F.array_sort(F.collect_set("pos")).alias("_drop"))  # repeated rows share their positions
-    drop = written(drop.select(F.col("x").alias("_x"), F.col("y").alias("_y"), "_drop"), "drop", folder)
-    keyed = docs.withColumn("_x", row_hash([doc_id, text], 1)).withColumn("_y", row_hash([doc_id, text], 2))
-    return keyed.join(drop, ["_x", "_y"], "left")
+    hit = spread_join(each, often, ["h1", "h2"], "n", salt=["x", "y", "pos"])
+    drop = hit.groupBy("x", "y").agg(F.array_sort(F.collect_set("pos")).alias("_drop"))  # repeated rows share their positions
+    drop = written(drop.select(F.col("x").alias("_x"), F.col("y").alias("_y"), "_drop"), "drop", out)
+    discard(spark, folder)
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), row_hash([doc_id, text], 1).alias("_x"), row_hash([doc_id, text], 2).alias("_y"))  # a row's own names clash with nothing
+    return keyed.join(drop, ["_x", "_y"], "left").select("_row", "_drop")
 
 
 def kept_text(text: Column, drop: Column) -> Column:
@@ -118,18 +132,20 @@ def kept_text(text: Column, drop: Column) -> Column:
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 for every row of docs."""
     m = marked(docs.select(doc_id, text), doc_id, text, **options)
+    whole = F.col("_row")[text]
     return m.select(
-        doc_id,
-        F.size(lines_of(F.col(text))).cast("long").alias("n_lines"),
+        F.col("_row")[doc_id].alias(doc_id),
+        F.size(lines_of(whole)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.sha2(F.encode(kept_text(F.col(text), F.col("_drop")), "utf-8"), 256).alias("kept_sha256"),
+        F.sha2(F.encode(kept_text(whole, F.col("_drop")), "utf-8"), 256).alias("kept_sha256"),
     )
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """docs with their texts less the common lines; a text that loses none stays as it is, null included."""
-    m = marked(docs, **options)
-    return m.withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept_text(F.col("text"), F.col("_drop")))).select(*docs.columns)
+    text = F.col("_row")["text"]
+    kept = F.when(F.col("_drop").isNull(), text).otherwise(kept_text(text, F.col("_drop"))).alias("text")
+    return marked(docs, **options).select(*[kept if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = """

@@ -4,13 +4,14 @@ Each write task trains a Zstandard dictionary on the first SAMPLE bytes of recor
 skippable frame at the head of its archive (magic 0x184D2A5D), and compresses each record as a frame of its own with
 that dictionary. Of pages with equal payloads of at least `least` bytes the one with the largest page_id becomes a
 response record, the others revisit records of the identical-payload-digest profile, whose block holds the HTTP header
-alone. The largest page_id per digest is an aggregate with map-side combine, joined back on the digest.
+alone. The largest page_id per digest is an aggregate with map-side combine, joined back on the digest; a digest that
+many pages share is split for that (common.spread_join), and short pages, the empty ones among them, join nothing.
 
 Archives have names of their own per task attempt; the table of archives that is written with them names only those of
 successful tasks, so a task that is run again leaves at most an unused file. They live in the shared folder and are
 written and read as streams, record by record.
 
-Defined results: null html is an empty payload; a null url gives a record without a target URI, line breaks in a url
+Defined results: null html is an empty payload; html of any length is one record, which its tasks hold whole; a null url gives a record without a target URI, line breaks in a url
 are percent-encoded; rows that share the largest page_id of a digest are all responses; a row of null page_id comes
 back as null, and revisits the largest page_id there is; repeated rows give repeated records; an empty table gives an
 empty result; other columns are ignored.
@@ -31,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import scratch, spread_join, written
 
 LEAST = 1000
 SAMPLE, DICTIONARY, LEVEL = 1 << 20, 1 << 15, 3
@@ -110,14 +111,16 @@ def read(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
-    """Archives pages (page_id, url, html) below folder; (path, records) per archive. Deciding and writing are one plan."""
+    """Archives pages (page_id, url, html) below folder; (path, records) per archive."""
     data = F.encode(F.coalesce(F.col("html"), F.lit("")), "utf-8")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), data.alias("html"))
     p = p.withColumn("digest", F.sha1("html")).withColumn("size", F.octet_length("html").cast("long"))
-    last = p.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("last"))
-    d = p.join(last, "digest", "left")
-    revisits = (F.col("size") >= least) & F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
+    long, short = p.where(F.col("size") >= least), p.where(F.col("size") < least)
+    last = written(long.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")), "last", f"{folder}-last")
+    d = spread_join(long, last, ["digest"], "n", salt=["page_id"])
+    revisits = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     d = d.select("page_id", "url", "digest", "size", F.when(~revisits, F.col("html")).alias("payload"), F.when(revisits, F.col("last")).alias("refers_to"))
+    d = d.unionByName(short.select("page_id", "url", "digest", "size", F.col("html").alias("payload"), F.lit(None).cast("long").alias("refers_to")))
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, writer, dictionary, held, size = [], None, None, [], 0

@@ -413,6 +413,15 @@ def test_lines_against_brute_force(docs, rows, odd, no_docs):
     assert line_dedup.report(no_docs).count() == 0
 
 
+def test_line_dedup_carries_columns_of_any_name_and_drops_its_runs(spark):
+    rows = [(i, f"Same line\nown {i}", 7, "y", [i]) for i in range(12)] + [(None, "Same line", 8, None, [0])] * 2 + [(99, "x\n" * 200_000, 9, "z", [])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _x int, _y string, _drop array<int>").repartition(3)
+    got = line_dedup.deduplicated(d)
+    assert got.columns == d.columns
+    assert Counter((r.doc_id, r.text, r["_x"], r["_y"], tuple(r["_drop"])) for r in got.collect()) == Counter([(i, f"own {i}", 7, "y", (i,)) for i in range(12)] + [(None, "", 8, None, (0,))] * 2 + [(99, "x\n" * 200_000, 9, "z", ())])
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
 def test_runs_merge_counts(spark):
     runs = line_dedup.Runs(line_dedup.scratch(spark), 3, common=4)
     for k in range(5):
@@ -421,6 +430,8 @@ def test_runs_merge_counts(spark):
     got = {(r.h1, r.h2): r.n for r in runs.totals(spark).collect()}
     assert got[1, 2] >= 4 and sum(v for k, v in got.items() if k != (1, 2)) == 15
     assert len(runs.tables(spark)) == 2  # one of four batches, one of the last
+    runs.drop(spark)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
 
 
 # 8 warc
@@ -444,6 +455,21 @@ def test_archives_round_trip(spark):
     assert warc.archived(df.limit(0)).count() == 0
 
 
+def test_archives_roll_over_and_take_very_long_pages(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ROLL", 20_000)
+    rng = np.random.default_rng(2)
+    rows = [(i, "u", "".join(chr(97 + c) for c in rng.integers(0, 26, 4000))) for i in range(60)] + [(60, "u", "é" * 4_000_000), (61, "u", "é" * 4_000_000)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    folder = warc.scratch(spark)
+    archives = warc.written(warc.write(d, f"{folder}/warc"), "archives", folder)
+    assert archives.count() > 2 and archives.agg(F.sum("records")).first()[0] == 62
+    for path in [r.path.removeprefix("file://") for r in archives.collect()]:
+        with open(path, "rb") as f:
+            assert int.from_bytes(f.read(4), "little") == warc.MAGIC  # each archive carries the dictionary
+    got = {r.page_id: r for r in warc.records(archives).collect()}
+    assert len(got) == 62 and got[60].refers_to == 61 and got[61].payload_bytes == 8_000_000
+
+
 def test_archives_begin_with_their_dictionary(spark):
     df = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("<html><body class=article>"), F.col("id"), F.repeat(F.concat(F.lit("<p>"), F.col("id") % 50, F.lit("</p>")), 12)).alias("html")).coalesce(1)
     folder = warc.scratch(spark)
