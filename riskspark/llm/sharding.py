@@ -7,9 +7,10 @@ a histogram of priorities per shard (at most LEVELS * shards rows), so no shard'
 last rows move out of overfull shards into short ones, unlinked rows first, until the counts are at most one apart:
 law `rows`. Slots number a shard's rows without gaps.
 
-A group larger than a shard's quota has to be cut; the rows that find no room stay where they are.
+A group larger than a shard's quota has to be cut; the rows that find no room stay where they are. Groups that many rows
+share are split wherever rows are joined with their group's facts (common.spread_join); rows without links join nothing.
 
-Defined results: a null text has size 1, CRC 0 and no links; equal texts, the empty one included, are one group; a
+Defined results: a null text has size 1, CRC 0 and no links; a very long text is only hashed and measured; equal texts, the empty one included, are one group; a
 repeated row is a document of its own; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ranked, row_hash, scratch, written
+from .common import ranked, row_hash, scratch, spread_join, written
 
 SHARDS, ROUNDS, LEVELS = 16, 4, 1024
 
@@ -29,14 +30,17 @@ def propagated(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, seed
     total = docs.count()
     quota = -(-total // shards)
     start = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "grp"), F.lit(shards)).cast("int")
-    sizes = docs.where(F.col("grp").isNotNull()).groupBy("grp").agg(F.count("*").alias("members")).where("members > 1")
-    d = docs.join(sizes, "grp", "left").withColumn("shard", start)
-    linked = written(d.where("members > 1"), "linked0", folder)
+    docs = docs.withColumn("shard", start)
+    grouped = docs.where(F.col("grp").isNotNull())
+    sizes = written(grouped.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1"), "sizes", folder)
+    d = written(spread_join(grouped, sizes, ["grp"], "members", "left", salt=["doc_id"]), "grouped", folder)
+    linked = d.where("members > 1")
+    rows = linked.count()
     for k in range(1, rounds + 1):
         here = linked.groupBy("grp", "shard").agg(F.count("*").alias("n"))
         pull = F.struct("n", F.xxhash64(F.lit(seed), "grp", "shard").alias("h"), "shard")
-        want = here.groupBy("grp").agg(F.max(pull).alias("m")).select("grp", F.col("m.shard").alias("to"), F.col("m.n").alias("there"))
-        p = linked.join(want, "grp").withColumn("moves", F.col("to") != F.col("shard"))
+        want = here.groupBy("grp").agg(F.max(pull).alias("m"), F.sum("n").alias("rows")).select("grp", F.col("m.shard").alias("to"), F.col("m.n").alias("there"), "rows")
+        p = spread_join(linked, want, ["grp"], "rows", salt=["doc_id"], total=rows).withColumn("moves", F.col("to") != F.col("shard"))
         # priority: the larger share of its group a move joins, the earlier; a group's rows stay together by its hash
         gain = F.col("there") / F.col("members")
         level = F.least(F.lit(LEVELS - 1), F.floor((1 - gain) * (LEVELS // 16)).cast("int") * 16 + F.pmod(F.xxhash64("grp"), F.lit(16)).cast("int"))
@@ -52,7 +56,7 @@ def propagated(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, seed
         u = F.shiftrightunsigned(row_hash(["doc_id"], seed + k), 1) / F.lit(float(1 << 63))
         go = F.col("moves") & (u < F.coalesce("share", F.lit(0.0)))
         linked = written(moved.withColumn("shard", F.when(go, F.col("to")).otherwise(F.col("shard"))).select(*linked.columns), f"linked{k}", folder)
-    alone = d.where("members is null")
+    alone = d.where("members is null").unionByName(docs.where(F.col("grp").isNull()).withColumn("members", F.lit(None).cast("long")))
     return linked.withColumn("linked", F.lit(1)).unionByName(alone.withColumn("linked", F.lit(0)))
 
 

@@ -121,7 +121,13 @@ def test_urls_against_the_rules(spark):
         ("https://x.org/xxx-page", "x.org", "/xxx-page", None, "block"),
         ("https://x.org/xxxpage", "x.org", "/xxxpage", None, "allow"),
         ("https://casino.org/poker", "casino.org", "/poker", None, "block"),
-        ("https://casino.org/casino?casino", "casino.org", "/casino", None, "allow"),
+        ("https://casino.org/casino?casinos", "casino.org", "/casino", None, "allow"),
+        ("http://m.casino-win.example.org/de/1", "m.casino-win.example.org", "/de/1", None, "block"),
+        ("http://cheap-pills.org/", "cheap-pills.org", "/", None, "block"),
+        ("http://free-win-bonus.org/", "free-win-bonus.org", "/", None, "allow"),
+        ("http://x.org/%70%4FRNO", "x.org", "/%70%4FRNO", None, "block"),
+        ("http://x.org/%2570orno%20x", "x.org", "/%2570orno%20x", None, "allow"),
+        ("http://x.org/pornotube1 pornotube", "x.org", "/pornotube1 pornotube", None, "block"),
         ("a://" + "y" * 100_000, "y" * 100_000, "", None, "allow"),
         ("http://com", "com", "", None, "allow"),
         ("http://com/", "com", "/", "com/", "allow"),
@@ -131,7 +137,31 @@ def test_urls_against_the_rules(spark):
     assert got == {(i, *c[1:]) for i, c in enumerate(cases)}
     assert urls.judge(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
-        urls.judge(df, strict=("",))
+        urls.judge(df, terms=[("", "", None)])
+    table = spark.createDataFrame([("Foo", None, None), ("bar", "b", 1.0), ("bars", "b", 1.5), ("baz", None, 0.5)], "term string, root string, weight double")
+    own = spark.createDataFrame([(1, "//foo"), (2, "//bar/bars"), (3, "//bars/baz"), (4, "//foobar")], "page_id long, url string")
+    assert {r.page_id: (r.verdict, r.soft_weight) for r in urls.judge(own, terms=urls.vocabulary(table)).collect()} == {1: ("block", 0.0), 2: ("allow", 1.5), 3: ("block", 2.0), 4: ("allow", 0.0)}
+
+
+def test_url_terms_against_plain_search_and_sql(spark, tmp_path):
+    """The automaton against one regular expression a term, and against the query's SQL, over urls made of terms, escapes and debris."""
+    import duckdb
+
+    terms, rng = urls.built_in(), np.random.default_rng(8)
+    assert len({t for t, _, _ in terms}) == len(terms) > 300
+    bits = [t for t, _, _ in terms] + ["-", "/", "x", "1", "é", ".", "%", "%3", "%37", "%4", "%61", "%4A", "%33", "3%35", "?q=", "Free", "WIN"]
+    made = ["http://h.org/" + "".join(("-" if rng.random() < 0.5 else "") + bits[i] for i in rng.integers(0, len(bits), 4)) for _ in range(400)]
+    made += ["%%331", "%%335", "%%370orn", "%4%61", "%3%31", "%%36%66"]
+    words = urls.Vocabulary(terms)
+    for u in made:
+        text = re.sub("%([0-9a-f]{2})", lambda m: low(chr(int(m[1], 16))) if re.fullmatch("[0-9A-Za-z]", chr(int(m[1], 16))) else m[0], low(u))
+        assert urls.plain(u) == text
+        found = [(r, w) for t, r, w in terms if re.search(f"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])", text)]
+        soft = {r: w for r, w in found if w is not None}
+        assert words.hits(text) == (len({r for r, w in found if w is None}), len(soft), sum(soft.values()))
+    spark.createDataFrame(list(enumerate(made)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = duckdb.sql(urls.oracle_sql().replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, urls.judge(spark.read.parquet(f"{tmp_path}/pages.parquet")).collect())) == sorted(want)
 
 
 # 3 near-dedup
