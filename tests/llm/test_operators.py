@@ -594,18 +594,18 @@ def test_fullest_is_a_subset_sum():
 
 def test_grammar_scores_clauses_not_words():
     g = toxicity.Grammar([("idiot", "I", 1.0), ("kill", "T", 1.0), ("scum*", "I", 1.0)])
-    kind = lambda text: [toxicity.KINDS[i] for i in np.flatnonzero(g.features(text))]
+    kind = lambda text: [toxicity.KINDS[i] for i in np.flatnonzero(g.features(text)[:-1])]
     assert kind("You idiot!") == ["targeted insult"]
     assert kind("what an idiot") == ["insult"]
     assert kind("you are not an idiot") == ["negated"]
     assert kind('he said you idiot') == ["reported"]
-    assert kind("I will kill you.") == ["threat", "targeted threat"]
+    assert kind("I will kill you.") == ["targeted threat"]
     assert kind("scumbags") == ["insult"] and kind("idiotic skills") == [] and kind("") == [] and kind(None) == []
 
 
 def test_grammar_takes_hits_inside_tokens():
     g = toxicity.Grammar([("idiote", "I", 1.0), ("ordure", "I", 1.0), ("imbécile", "I", 1.0), ("idiot", "I", 1.0), ("tuer", "T", 1.0)])
-    kind = lambda text: [toxicity.KINDS[i] for i in np.flatnonzero(g.features(text))]
+    kind = lambda text: [toxicity.KINDS[i] for i in np.flatnonzero(g.features(text)[:-1])]
     for text in ("c'est l'idiote", "tas d’ordure", "l'imbécile", "_idiot_", "such_an_idiot", "idiot"):
         assert kind(text) == ["insult"], text
     assert kind("toi, l'idiote") == ["insult"] and kind("toi l'idiote") == ["targeted insult"] and kind("you_idiot") == ["targeted insult"]
@@ -613,6 +613,78 @@ def test_grammar_takes_hits_inside_tokens():
     assert kind("l'idiote d'tuer") == ["insult", "threat"] and kind("idiot'tuer") == ["insult", "threat"]
 
 
+def plain_grammar(text: str | None, terms: list[tuple[str, str, float]], reach: int) -> dict[str, float]:
+    """The grammar by direct rules: one pass over each distinct clause's tokens, no automaton and no transducers."""
+    out, seen = defaultdict(float), set()
+    for clause in re.split(r"[.!?;:\n]+|,(?=\s)", (text or "").lower()):
+        if clause.strip(" .!?;:,\n\t") in seen:
+            continue
+        seen.add(clause.strip(" .!?;:,\n\t"))
+        since, free, said, quoted, addressed, last = 99, False, False, False, False, None
+        for token in re.findall(r"[^\W_]+(?:['’][^\W_]+)*|[\"“”„«»]", clause):
+            found = [(w, k) for t, k, w in terms if (token.startswith(t[:-1]) if t[-1] == "*" else token == t)]
+            if found:
+                weight, k = max(found)
+                negated, free = free and since < reach, False
+                if said or quoted:
+                    out["reported"] += weight
+                elif negated:
+                    out["negated"] += weight
+                else:
+                    name = "insult" if k == "I" else "threat"
+                    out["targeted " + name if addressed else name] += weight
+                    last = last if addressed else (name, weight)
+            elif token in toxicity.QUOTES:
+                quoted = not quoted if not said else quoted
+            elif token in toxicity.NEGATIONS:
+                since, free = 0, True
+            elif token in toxicity.REPORTS:
+                said = said or not quoted
+            else:
+                since += 1
+                if token in toxicity.TARGETS:
+                    if last and not addressed:
+                        out[last[0]] -= last[1]
+                        out["targeted " + last[0]] += last[1]
+                    addressed, last = True, None
+    return {k: v for k, v in out.items() if abs(v) > 1e-9}
+
+
+@pytest.mark.parametrize("reach", toxicity.REACHES)
+def test_grammar_against_plain_rules(reach):
+    terms = [("idiot", "I", 2.0), ("scum*", "I", 1.5), ("trash", "I", 1.25), ("kill", "T", 3.0), ("burn*", "T", 2.5)]
+    bits = ["idiot", "scum", "scumbags", "trash", "kill", "burning", "you", "they", "not", "never", "said", '"', "so", "very", "house", "idiots", ".", ",", "\n", "!"]
+    rng, g = np.random.default_rng(9), toxicity.Grammar(terms, reach=reach)
+    for _ in range(3000):
+        text = " ".join(bits[i] for i in rng.integers(0, len(bits), rng.integers(0, 25)))
+        got = {toxicity.KINDS[i]: v for i, v in enumerate(g.features(text)[:-1]) if abs(v) > 1e-9}
+        assert got == pytest.approx(plain_grammar(text, terms, reach)), text
+
+
+def test_toxicity_learns_beginnings_threats_and_targets(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    rows = []
+    for i in range(400):
+        talk = " ".join(word() for _ in range(20))
+        if i % 2:
+            talk += f". you zorblax{word()} thing. we will frund you, {word()} zobnar zorblax{word()}. frund zobnar"
+        rows.append((i, talk, i % 2))
+    sample = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = dict(toxicity.learned_terms(sample))
+    assert "zorblax*" in found or "zorbla*" in found or "zorb*" in found or "zorbl*" in found
+    assert {"frund"} <= set(found) and len(found) < 20
+    terms = [("zorblax*", "I", 3.0), ("frund", "I", 3.0)]
+    threats, targets = toxicity.neighbours(sample, terms)
+    assert threats == {"frund"} and "zobnar" in targets and len(targets) < 4
+
+
+def test_cut_falls_between_the_classes():
+    z, y = np.array([-3.0, -2.0, -1.0, 0.5, 2.0]), np.array([0.0, 0.0, 0.0, 1.0, 1.0])
+    shift = toxicity.at_cut(z, y, np.ones(5))
+    assert ((1 / (1 + np.exp(-(z + shift))) >= toxicity.CUT) == (y > 0)).all()
+
+
 def test_toxicity_learns_without_the_held_out(spark):
     bad = ["you grobnik trelf", "such a grobnik", "all grobniks must go"]
     rows, labels = [], []
