@@ -278,17 +278,20 @@ def test_components_of_a_long_chain(spark):
 # 4 nearest neighbours
 
 
-def test_nearest_against_brute_force(spark):
+@pytest.mark.parametrize("shard", [8192, 64])
+def test_nearest_against_brute_force(spark, monkeypatch, shard):
+    monkeypatch.setattr(neighbours, "SHARD", shard)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(900, 8)).astype(np.float32)
-    x[100:140] = x[100]  # ties
+    x[100:300] = x[100]  # ties, more than a shard holds
     rows = [(i, v.tolist(), "z") for i, v in enumerate(x)]
-    rows += [(900, None, ""), (920, [0.0] * 8, ""), (940, [float("nan")] * 8, ""), (960, [1.0, None] * 4, ""), (980, [float("inf")] + [1.0] * 7, "")]
+    rows += [(900, None, ""), (920, [0.0] * 8, ""), (940, [float("nan")] * 8, ""), (960, [1.0, None] * 4, ""), (980, [float("inf")] + [1.0] * 7, ""), (1000, [1.0, 2.0], ""), (1020, [2.0, 2.0], ""), (None, [1.0] * 8, "")]
     got = defaultdict(list)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string").repartition(4)
-    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, factor=1.0).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
     full = x.astype(np.float64)
+    assert got.pop(1000) == [(1, 1020, 6.0)] and got.pop(1020) == [(1, 1000, 6.0)]
     assert set(got) == set(range(0, 900, 20))
     for q, found in got.items():
         s = np.array([math.fsum(full[q] * v) for v in full])
@@ -298,17 +301,39 @@ def test_nearest_against_brute_force(spark):
         np.testing.assert_allclose([v for *_, v in found], s[want], rtol=1e-12)
 
 
-def test_relaxed_pruning_keeps_recall_and_edges(spark, monkeypatch):
+def test_pruning_on_clusters_and_recall_when_relaxed(spark, monkeypatch):
+    """On clustered vectors exact search scores a small share; on vectors without clusters only a relaxed one prunes."""
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(3000, 6))
-    ids, top = np.arange(3000), float(np.linalg.norm(x, axis=1).max()) * (1 + 1e-12)
-    tree = neighbours.build(ids, x, top)
-    exact, _ = neighbours.search(tree, x[:50], ids[:50], 10, top)
-    relaxed, _ = neighbours.search(tree, x[:50], ids[:50], 10, top, factor=1.2)
-    s = x[:50] @ x.T
-    np.fill_diagonal(s[:, :50], -np.inf)
-    assert (np.sort(exact, 1) == np.sort(np.argsort(-s, axis=1)[:, :10], 1)).all()
-    assert np.mean([len(set(a) & set(b)) for a, b in zip(exact, relaxed, strict=True)]) >= 9
+
+    def measure(x, queries, factor):
+        ids, top, count = np.arange(len(x)), float(np.linalg.norm(x, axis=1).max()) * (1 + 1e-12), []
+        got, _ = neighbours.search(neighbours.build(ids, x, top), x[:queries], ids[:queries], 10, top, factor, count=count)
+        s = x[:queries] @ x.T
+        np.fill_diagonal(s[:, :queries], -np.inf)
+        want = np.argsort(-s, axis=1)[:, :10]
+        return sum(count) / queries / len(x), np.mean([len(set(a) & set(b)) / 10 for a, b in zip(got, want, strict=True)])
+
+    centres = rng.normal(size=(60, 16))
+    near = centres[rng.integers(0, 60, 6000)] + 0.05 * rng.normal(size=(6000, 16))
+    near /= np.linalg.norm(near, axis=1)[:, None]
+    share, recall = measure(near, 60, 1.0)
+    assert recall == 1.0 and share < 0.4
+    far = rng.normal(size=(6000, 64))
+    far /= np.linalg.norm(far, axis=1)[:, None]
+    assert measure(far, 60, 1.0)[1] == 1.0
+    share, recall = measure(far, 300, neighbours.FACTOR)
+    assert recall > 0.93 and share < 0.95
+    # the whole job, in many regions and shards, at the same factor
+    monkeypatch.setattr(neighbours, "SHARD", 400)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(far[:3000])], "vec_id long, embedding array<double>")
+    found = {(r.query_id, r.vec_id) for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, k=10).collect()}
+    s = far[:3000:20] @ far[:3000].T
+    s[np.arange(150), np.arange(0, 3000, 20)] = -np.inf
+    want = {(20 * q, int(i)) for q, row in enumerate(np.argsort(-s, axis=1)[:, :10]) for i in row}
+    assert len(found & want) / len(want) > 0.9 and len(found) == 1500
+
+
+def test_nearest_edges(spark):
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in neighbours.nearest(few, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 1, 2.0)]
     assert neighbours.nearest(few.limit(0), F.col("vec_id") % 20 == 0).count() == 0
@@ -676,7 +701,7 @@ def test_toxicity_learns_beginnings_threats_and_targets(spark):
     assert {"frund"} <= set(found) and len(found) < 20
     terms = [("zorblax*", "I", 3.0), ("frund", "I", 3.0)]
     threats, targets = toxicity.neighbours(sample, terms)
-    assert threats == {"frund"} and "zobnar" in targets and len(targets) < 4
+    assert threats == {"frund"} and {"zobnar"} <= targets <= {"zobnar", "thing", "we", "will"}  # what always stands beside hits
 
 
 def test_cut_falls_between_the_classes():
