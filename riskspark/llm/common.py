@@ -78,21 +78,23 @@ def n_words(c: Column) -> Column:
 HOT = 1000
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], size: str, how: str = "inner", salt: Sequence[str | Column] = (), total: int | None = None) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], size: str, how: str = "inner", salt: Sequence[str | Column] = ()) -> DataFrame:
     """left joined with right, which holds one row per key and, in the column `size`, about how many rows of left have it.
 
     Rows of a hot key go to several tasks by a hash of salt (columns of left), and the key's row of right to each of
-    them. Which keys are hot is broadcast: by the choice of HOT that is at most HOT rows. No key may be null. total is
-    the sum of the sizes; without it, it is computed.
+    them. Which keys are hot is read first: by the choice of HOT that is at most HOT rows. No key may be null; right is
+    evaluated once more, so it should be a written table.
     """
-    if total is None:
-        total = right.agg(F.sum(size)).first()[0] or 0
-    share = max(1, -(-total // HOT))
+    known = right.agg(F.sum(size).alias("total"), F.max(size).alias("most")).first()
+    share = max(1, -(-(known.total or 0) // HOT))
+    if (known.most or 0) <= share:
+        return left.join(right, list(keys), how)
     splits = F.ceil(F.col(size) / share).cast("int")
-    hot = right.where(F.col(size) > share).select(*keys, splits.alias("_splits"))
-    by = F.when(F.col("_splits").isNotNull(), F.pmod(row_hash(salt or left.columns, 77), F.col("_splits"))).otherwise(0).cast("int")
-    one = left.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", by).drop("_splits")
-    many = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(size) > share, splits - 1).otherwise(0))))
+    key = F.xxhash64(*keys)
+    hot = {r.k: r.n for r in right.where(F.col(size) > share).select(key.alias("k"), splits.alias("n")).collect()}
+    of = F.element_at(F.map_from_arrays(F.lit(list(hot)), F.lit(list(hot.values()))), key)  # a chance collision of hashes only splits another key too
+    one = left.withColumn("_salt", F.coalesce(F.pmod(row_hash(salt or left.columns, 77), of), F.lit(0)).cast("int"))
+    many = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(of, F.lit(1)) - 1)))
     return one.join(many, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -37,7 +37,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -225,8 +224,8 @@ def linked(docs: DataFrame, words: int = 5, percent: float = 80, doc_id: str = "
 
 def _beside(pairs: DataFrame, right: DataFrame) -> DataFrame:
     """pairs (a, b, ...) with the row of b, which many pairs may share; pairs is evaluated twice."""
-    counted = right.join(pairs.groupBy("b").agg(F.count("*").alias("_n")), "b")
-    return spread_join(pairs, counted, ["b"], "_n", salt=["a"]).drop("_n")
+    counts = written(pairs.groupBy("b").agg(F.count("*").alias("_n")))
+    return spread_join(pairs, counts.join(right, "b"), ["b"], "_n", salt=["a"]).drop("_n")
 
 
 def _close(batches: Iterator[pa.RecordBatch], low: float) -> Iterator[pa.RecordBatch]:
@@ -270,54 +269,93 @@ def _blocks(members: DataFrame, size: int, folder: str, k: int) -> DataFrame:
     return m.select("bucket", "i", "j", "block", *[c for c in members.columns if c != "bucket"])
 
 
+_ROW = "a binary, b binary, na long, nb long, sure boolean"
+
+
+def _meet(rows: pa.RecordBatch, percent: float, low: float, best: int, k: int) -> list[tuple]:
+    """(a, b, na, nb, sure) of a pair of blocks, given as the rows of one (bucket, i, j)."""
+    kept, settled = KEPT[k - 1], KEPT[0] if k == 2 else 0
+    fine = _floor(percent, kept, SLACK[1])
+    r = np.frombuffer(b"".join(rows.column("registers").to_pylist()), "<u2").reshape(-1, _REGISTERS)
+    n, block, band = rows.column("n_shingles").to_numpy().astype(float), rows.column("block").to_numpy(), rows.column("band")[0].as_py()
+    codes: dict[bytes, int] = {}
+    cluster = np.array([codes.setdefault(c, len(codes)) for c in rows.column("cluster").to_pylist()])
+    key, hashes = rows.column("key").to_pylist(), rows.column("least_hashes")
+    values, ends = hashes.values.to_numpy().view(np.uint64), hashes.offsets.to_numpy()
+    least = [values[ends[x] : ends[x + 1]] for x in range(len(key))]
+    i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+    large = n > kept
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    out = []
+    for x in left:
+        y = right[right > x] if i == j else right
+        y = y[(cluster[y] != cluster[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
+        if n[x] <= settled:
+            y = y[n[y] > settled]
+        if not len(y):
+            continue
+        e = estimate(r[y], r[x], n[y], n[x])
+        y, e = y[e >= low], e[e >= low]
+        if band and len(y):  # met in an earlier band
+            again = (r[y] == r[x])[:, : band * ROWS].reshape(len(y), band, ROWS).all(2).any(1)
+            y, e = y[~again], e[~again]
+        sent = 0
+        for z in y[np.argsort(-e, kind="stable")]:
+            if cluster[z] == cluster[x]:
+                continue
+            if large[x] or large[z]:
+                if (best == 0 or sent < best) and _least_estimate(least[x], least[z], kept) >= fine:
+                    out.append((key[x], key[z], int(n[x]), int(n[z]), False))
+                    sent += 1
+            elif (both := _common(least[x], least[z])) * 100 >= percent * (n[x] + n[z] - both):
+                out.append((key[x], key[z], int(n[x]), int(n[z]), True))
+                cluster[cluster == cluster[z]] = cluster[x]
+    return out
+
+
+def _batch(out: list[tuple]) -> pa.RecordBatch:
+    kinds = pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_()
+    columns = zip(*out, strict=True) if out else [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["a", "b", "na", "nb", "sure"])
+
+
 def _across(members: DataFrame, info: DataFrame, percent: float, low: float, best: int, k: int, folder: str) -> DataFrame:
     """Links (sure) and candidate pairs (not sure: of large sets) across the clusters of a bucket; best > 0: only so many candidates of a class in a pair of blocks.
 
     In the second pass (k = 2) a pair of small sets has been settled.
     """
-    kept, settled = KEPT[k - 1], KEPT[0] if k == 2 else 0
     m = _blocks(members, BLOCK[k - 1], folder, k).join(info, "key")
-    fine = _floor(percent, kept, SLACK[1])
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = np.frombuffer(b"".join(pdf.registers), "<u2").reshape(-1, _REGISTERS)
-        n, block, band = pdf.n_shingles.to_numpy(float), pdf.block.to_numpy(), int(pdf.band.iloc[0])
-        key, least, (cluster, _) = pdf.key.to_numpy(), [np.asarray(h, np.int64).view(np.uint64) for h in pdf.least_hashes], pd.factorize(pdf.cluster)
-        same, large = pdf.i.iloc[0] == pdf.j.iloc[0], n > kept
-        left, right = np.flatnonzero(block == pdf.i.iloc[0]), np.flatnonzero(block == pdf.j.iloc[0])
-        out = []
-        for x in left:
-            y = right[right > x] if same else right
-            y = y[(cluster[y] != cluster[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
-            if n[x] <= settled:
-                y = y[n[y] > settled]
-            if not len(y):
-                continue
-            e = estimate(r[y], r[x], n[y], n[x])
-            y, e = y[e >= low], e[e >= low]
-            if band and len(y):  # met in an earlier band
-                again = (r[y] == r[x])[:, : band * ROWS].reshape(len(y), band, ROWS).all(2).any(1)
-                y, e = y[~again], e[~again]
-            sent = 0
-            for z in y[np.argsort(-e, kind="stable")]:
-                if cluster[z] == cluster[x]:
-                    continue
-                if large[x] or large[z]:
-                    if (best == 0 or sent < best) and _least_estimate(least[x], least[z], kept) >= fine:
-                        out.append((key[x], key[z], int(n[x]), int(n[z]), False))
-                        sent += 1
-                elif (both := _common(least[x], least[z])) * 100 >= percent * (n[x] + n[z] - both):
-                    out.append((key[x], key[z], int(n[x]), int(n[z]), True))
-                    cluster[cluster == cluster[z]] = cluster[x]
-        return pd.DataFrame(out, columns=["a", "b", "na", "nb", "sure"])
-
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    m = m.repartition(parts, "bucket", "i", "j")  # so many tasks however few bytes: the work is in the comparisons
-    p = m.groupBy("bucket", "i", "j").applyInPandas(compare, "a binary, b binary, na long, nb long, sure boolean")
+    m = m.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")  # so many tasks however few bytes: the work is in the comparisons
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The groups lie one after the other; the last one of a batch waits for the next batch, as it may go on there."""
+        held: list[pa.RecordBatch] = []
+        for b in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
+            place = np.stack([b.column(c).to_numpy() for c in ("bucket", "i", "j")], axis=1)
+            cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1), b.num_rows]
+            goes_on = held and all(held[-1].column(c)[-1].as_py() == b.column(c)[0].as_py() for c in ("bucket", "i", "j"))
+            if held and not goes_on:
+                yield _batch(_meet(_joined(held), percent, low, best, k))
+                held = []
+            for at, to in zip(cuts, cuts[1:], strict=False):
+                held.append(b.slice(at, to - at))
+                if to < b.num_rows:
+                    if out := _meet(_joined(held), percent, low, best, k):
+                        yield _batch(out)
+                    held = []
+        if held:
+            yield _batch(_meet(_joined(held), percent, low, best, k))
+
+    p = m.mapInArrow(run, _ROW)
     swap = F.col("a") < F.col("b")
     return p.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb"), "sure").distinct()
 
 
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: float) -> DataFrame:
     j = _beside(pairs, sets.select(F.col("key").alias("b"), F.col("hashes").alias("hb")))
     j = j.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("ha")), "a")

@@ -35,12 +35,12 @@ def propagated(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, seed
     sizes = written(grouped.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1"), "sizes", folder)
     d = written(spread_join(grouped, sizes, ["grp"], "members", "left", salt=["doc_id"]), "grouped", folder)
     linked = d.where("members > 1")
-    rows = linked.count()
     for k in range(1, rounds + 1):
         here = linked.groupBy("grp", "shard").agg(F.count("*").alias("n"))
         pull = F.struct("n", F.xxhash64(F.lit(seed), "grp", "shard").alias("h"), "shard")
         want = here.groupBy("grp").agg(F.max(pull).alias("m"), F.sum("n").alias("rows")).select("grp", F.col("m.shard").alias("to"), F.col("m.n").alias("there"), "rows")
-        p = spread_join(linked, want, ["grp"], "rows", salt=["doc_id"], total=rows).withColumn("moves", F.col("to") != F.col("shard"))
+        want = written(want, f"want{k}", folder)
+        p = spread_join(linked, want, ["grp"], "rows", salt=["doc_id"]).withColumn("moves", F.col("to") != F.col("shard"))
         # priority: the larger share of its group a move joins, the earlier; a group's rows stay together by its hash
         gain = F.col("there") / F.col("members")
         level = F.least(F.lit(LEVELS - 1), F.floor((1 - gain) * (LEVELS // 16)).cast("int") * 16 + F.pmod(F.xxhash64("grp"), F.lit(16)).cast("int"))
