@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import chi2_tail, log_likelihood
+from ..functions.quantiles import quantiles
 from . import features as fe
 from . import validation as va
 
 FEATURES = ("cum_return", "realised_vol_ann", "max_drawdown", "worst_1d", "worst_5d", "negative_days", "tail_days", "vol_of_abs_returns")
+# The radii at which coverage is measured.
 EPSILONS = tuple(k / 2 for k in range(1, 11))
 # Names of archetypes by number.
 ARCHETYPES = ("Fast crash", "Slow bleed", "Volatility spike", "Rate-shock selloff", "Liquidity freeze", "Bear-market grind", "Rebound volatility")
@@ -31,9 +33,9 @@ def acf_errors(real: DataFrame, models: DataFrame, lags: int = 5) -> DataFrame:
 
 def quantile_errors(real: DataFrame, models: DataFrame) -> DataFrame:
     names = [f"q{round(100 * p):02d}" for p in va.QUANTILES]
-    q = real.agg(*[F.percentile("r", F.lit(p)).alias(n) for n, p in zip(names, va.QUANTILES, strict=True)])
-    m = models.groupBy("model").agg(*[F.percentile("r", F.lit(p)).alias(f"m_{n}") for n, p in zip(names, va.QUANTILES, strict=True)])
-    return m.crossJoin(F.broadcast(q)).select("model", *[F.abs(F.col(f"m_{n}") - F.col(n)).alias(f"{n}_error") for n in names])  # one row
+    own = real.agg(F.percentile("r", F.array(*[F.lit(p) for p in va.QUANTILES])).alias("own"))  # one series
+    m = quantiles(models, F.col("r"), va.QUANTILES, ("model",))
+    return m.crossJoin(F.broadcast(own)).select("model", *[F.abs(F.col("q")[i] - F.col("own")[i]).alias(f"{n}_error") for i, n in enumerate(names)])  # one row
 
 
 def body_realism(real: DataFrame, models: DataFrame) -> DataFrame:
@@ -49,10 +51,11 @@ def stability(real: DataFrame, models: DataFrame, alpha: float = 0.05) -> DataFr
 
     The modes beside the pooled one set a path's whole return against daily losses, as the model defines them.
     """
-    pooled = models.groupBy("model").agg(F.percentile(-F.col("r"), F.lit(1 - alpha)).alias("pooled"))
+    pooled = quantiles(models, -F.col("r"), (1 - alpha,), ("model",)).select("model", F.col("q")[0].alias("pooled"))
     cum = models.groupBy("model", "sim_id").agg(F.sum("r").alias("cum"))
     modes = {"pathwise_median": 0.5, "pathwise_q25": 0.25, "pathwise_q75": 0.75}
-    one = pooled.join(cum.groupBy("model").agg(*[(-F.percentile("cum", F.lit(q))).alias(m) for m, q in modes.items()]), "model")
+    each = quantiles(cum, F.col("cum"), tuple(modes.values()), ("model",))
+    one = pooled.join(each.select("model", *[(-F.col("q")[i]).alias(m) for i, m in enumerate(modes)]), "model")
     var = one.select("model", F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("var")) for m in ("pooled", *modes)])).alias("x")).select("model", "x.*")
     d = real.select((-F.col("r")).alias("loss")).crossJoin(F.broadcast(var)).groupBy("model", "mode").agg(F.first("var").alias("var"), F.count("*").alias("n_obs"), F.sum((F.col("loss") >= F.col("var")).cast("long")).alias("n_breach"))  # four rows a model
     n, x = F.col("n_obs"), F.col("n_breach")

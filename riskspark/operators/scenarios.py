@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, RiskConfig
 from ..functions.columns import drawdown, over
+from ..functions.quantiles import quantiles
 
 REGIME = ("vol_20d", "drawdown_20d", "ret_20d", "vix_level", "vix_z_252d")
 CELLS = 1024
@@ -72,51 +73,68 @@ def tail_step() -> F.Column:
     return F.when(-F.col("r") >= F.col("cut"), -(F.col("threshold") + draw)).otherwise(F.col("r"))
 
 
-def evt_fit_ml(exceedances: DataFrame, grids: tuple[int, ...] = (400, 100, 40)) -> DataFrame:
-    """Generalised Pareto by maximum likelihood: threshold, n, xi, sigma.
+def evt_fit_ml(exceedances: DataFrame, grids: tuple[int, ...] = (400, 100, 40), by: tuple[str, ...] = ()) -> DataFrame:
+    """Generalised Pareto by maximum likelihood, a fit per group: threshold, n, xi, sigma.
 
     For theta = xi / sigma the best xi is the mean of ln(1 + theta * excess), which leaves a likelihood in theta alone; it
     is taken on a grid and on ever finer ones around the best, each a sum per theta that is combined before the shuffle.
     """
-    y = F.col("excess")
-    box = exceedances.agg(F.first("threshold").alias("threshold"), F.count("*").alias("n"), (-0.999 / F.max(y)).alias("from"), (4 / F.avg(y)).alias("to"))
+    y, keys = F.col("excess"), [*by, "threshold", "n"]
+    box = exceedances.groupBy(*by).agg(F.first("threshold").alias("threshold"), F.count("*").alias("n"), (-0.999 / F.max(y)).alias("from"), (4 / F.avg(y)).alias("to"))
     for steps in grids:
         step = (F.col("to") - F.col("from")) / steps
         grid = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda k: F.col("from") + step * k)
-        d = exceedances.select("excess").crossJoin(F.broadcast(box.select("threshold", "n", step.alias("step"), F.explode(grid).alias("theta"))))  # a few hundred grid points
-        d = d.where("abs(theta) > 1e-9 and 1 + theta * excess > 0").groupBy("threshold", "n", "step", "theta").agg(F.avg(F.ln(1 + F.col("theta") * y)).alias("xi"), F.count("*").alias("inside")).where("inside = n")
+        points = F.broadcast(box.select(*keys, step.alias("step"), F.explode(grid).alias("theta")))  # a few hundred grid points a group
+        d = exceedances.select(*by, "excess")
+        d = d.join(points, list(by)) if by else d.crossJoin(points)
+        d = d.where("abs(theta) > 1e-9 and 1 + theta * excess > 0").groupBy(*keys, "step", "theta").agg(F.avg(F.ln(1 + F.col("theta") * y)).alias("xi"), F.count("*").alias("inside")).where("inside = n")
         like = -F.ln(F.col("xi") / F.col("theta")) - F.col("xi")
-        best = d.groupBy("threshold", "n").agg(F.max_by(F.struct("theta", "xi", "step"), like).alias("b"))
-        box = best.select("threshold", "n", (F.col("b.theta") - F.col("b.step")).alias("from"), (F.col("b.theta") + F.col("b.step")).alias("to"))
-    return best.select("threshold", "n", F.col("b.xi").alias("xi"), (F.col("b.xi") / F.col("b.theta")).alias("sigma"))
+        best = d.groupBy(*keys).agg(F.max_by(F.struct("theta", "xi", "step"), like).alias("b"))
+        box = best.select(*keys, (F.col("b.theta") - F.col("b.step")).alias("from"), (F.col("b.theta") + F.col("b.step")).alias("to"))
+    return best.select(*keys, F.col("b.xi").alias("xi"), (F.col("b.xi") / F.col("b.theta")).alias("sigma"))
 
 
 def evt_correct(paths: DataFrame, fit: DataFrame, alpha: float = 0.01) -> DataFrame:
     """Steps in the worst alpha of all become draws from the tail; the draw is a lattice of (sim_id, step)."""
-    cut = paths.agg(F.percentile(-F.col("r"), F.lit(1 - alpha)).alias("cut"))
+    cut = quantiles(paths, -F.col("r"), (1 - alpha,)).select(F.col("q")[0].alias("cut"))
     d = paths.crossJoin(F.broadcast(cut)).crossJoin(F.broadcast(fit))  # one row each
     return d.select("sim_id", "step", tail_step().alias("r"))
 
 
+def per_array(paths: DataFrame, by: tuple[str, ...] = ("sim_id",)) -> DataFrame:
+    """cum, max_dd, vol, worst_1d, worst_5d, negative_days of each path, given as an array a of its steps: a narrow map."""
+    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
+    n = F.size("a")
+    d = paths.select(*by, "a", total("a", lambda x: x).alias("cum")).withColumn("mean", F.col("cum") / n)
+    sd = F.sqrt(total("a", lambda x: (x - F.col("mean")) * (x - F.col("mean"))) / n)
+    fives = F.transform(F.sequence(F.lit(1), n - 4), lambda i: total(F.slice("a", i, 5), lambda x: x))
+    negative = F.size(F.filter("a", lambda x: x < 0)).cast("long")
+    return d.select(*by, "cum", drawdown(F.col("a")).alias("max_dd"), (sd * 252**0.5).alias("vol"), F.array_min("a").alias("worst_1d"), F.when(n >= 5, F.array_min(fives)).alias("worst_5d"), negative.alias("negative_days"))
+
+
 def per_path(paths: DataFrame, by: tuple[str, ...] = ("sim_id",)) -> DataFrame:
-    """cum, max_dd, vol, worst_1d, worst_5d, negative_days of each path."""
-    d = paths.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("step", "r"))).alias("s"), F.sum("r").alias("cum"), F.stddev_pop("r").alias("sd"), F.min("r").alias("worst_1d"), F.sum((F.col("r") < 0).cast("long")).alias("negative_days"))
-    d = d.withColumn("a", F.transform("s", lambda x: x["r"]))
-    fives = F.transform(F.sequence(F.lit(1), F.size("a") - 4), lambda i: F.aggregate(F.slice("a", i, 5), F.lit(0.0), lambda s, x: s + x))
-    return d.select(*by, "cum", drawdown(F.col("a")).alias("max_dd"), (F.col("sd") * 252**0.5).alias("vol"), "worst_1d", F.when(F.size("a") >= 5, F.array_min(fives)).alias("worst_5d"), "negative_days")
+    """per_array() of paths given by steps (step, r), which are gathered by path first."""
+    d = paths.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("step", "r"))).alias("s"))
+    return per_array(d.select(*by, F.transform("s", lambda x: x["r"]).alias("a")), by)
 
 
 def path_stats(each: DataFrame, config: RiskConfig = DEFAULT, by: tuple[str, ...] = ()) -> DataFrame:
     """Drawdown probabilities, value at risk and expected shortfall, quantiles of return and drawdown."""
-    loss = -F.col("cum")
-    q = each.groupBy(*by).agg(*[F.percentile(loss, F.lit(1 - a)).alias(f"var_{k}") for k, a in (("5pct", 0.05), ("1pct", 0.01))])
+    loss, probs = -F.col("cum"), (0.01, 0.05, 0.5)
+    figures = F.explode(F.array(*[F.struct(F.lit(k).alias("figure"), F.col(k).alias("x")) for k in ("cum", "max_dd")]))
+    q = quantiles(each.select(*by, figures.alias("f")).select(*by, "f.figure", "f.x"), F.col("x"), probs, (*by, "figure"))
+    pick = lambda k: F.max(F.when(F.col("figure") == k, F.col("q"))).alias(f"q_{k}")
+    q = q.groupBy(*by).agg(pick("cum"), pick("max_dd"))
     d = each.join(F.broadcast(q), list(by)) if by else each.crossJoin(F.broadcast(q))  # one row per model
+    var = {"5pct": -F.col("q_cum")[1], "1pct": -F.col("q_cum")[0]}
+    names = {"p01": 0, "p05": 1, "median": 2}
     return d.groupBy(*by).agg(
         *[F.avg((F.col("max_dd") <= -x).cast("double")).alias(f"p_drawdown_{round(100 * x)}pct") for x in config.drawdown_levels],
-        *[F.first(f"var_{k}").alias(f"var_{k}") for k in ("5pct", "1pct")],
-        *[F.avg(F.when(loss >= F.col(f"var_{k}"), loss)).alias(f"es_{k}") for k in ("5pct", "1pct")],
-        F.percentile("cum", F.lit(0.5)).alias("median_return"), F.percentile("cum", F.lit(0.05)).alias("p05_return"), F.percentile("cum", F.lit(0.01)).alias("p01_return"),
-        F.percentile("max_dd", F.lit(0.5)).alias("median_max_dd"), F.percentile("max_dd", F.lit(0.05)).alias("p05_max_dd"), F.percentile("max_dd", F.lit(0.01)).alias("p01_max_dd"), F.avg("vol").alias("mean_vol"),
+        *[F.first(v).alias(f"var_{k}") for k, v in var.items()],
+        *[F.avg(F.when(loss >= v, loss)).alias(f"es_{k}") for k, v in var.items()],
+        *[F.first(F.col("q_cum")[i]).alias(f"{k}_return") for k, i in names.items()],
+        *[F.first(F.col("q_max_dd")[i]).alias(f"{k}_max_dd") for k, i in names.items()],
+        F.avg("vol").alias("mean_vol"),
     )
 
 

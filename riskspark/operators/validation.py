@@ -7,15 +7,29 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions.columns import chi2_tail, log_likelihood
+from ..functions.quantiles import quantiles
+
+
+#: Ranges of values in which running counts are taken.
+RANGES = 64
 
 
 def distances(real: DataFrame, models: DataFrame) -> DataFrame:
     """Per model (model, r) against real (r): Kolmogorov-Smirnov statistic and asymptotic p, Wasserstein-1, from value counts."""
     names = models.select("model").distinct()
-    both = names.crossJoin(real.select("r")).select("model", "r", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(models.select("model", "r", F.lit(0).alias("a"), F.lit(1).alias("b")))  # a copy of the one real series per model
-    h = both.groupBy("model", "r").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w, all_ = Window.partitionBy("model").orderBy("r"), Window.partitionBy("model")
-    h = h.select("model", "r", (F.sum("a").over(w) / F.sum("a").over(all_)).alias("f"), (F.sum("b").over(w) / F.sum("b").over(all_)).alias("g"), F.sum("a").over(all_).alias("na"), F.sum("b").over(all_).alias("nb"), F.lead("r").over(w).alias("next"))
+    own = names.crossJoin(real.groupBy("r").agg(F.count("*").alias("a"))).select("model", "r", "a", F.lit(0).cast("long").alias("b"))  # a copy of the one real series per model
+    h = own.unionByName(models.groupBy("model", "r").agg(F.count("*").alias("b")).select("model", "r", F.lit(0).cast("long").alias("a"), "b"))
+    h = h.groupBy("model", "r").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    # ranges between quantiles of the models: running counts within a range, and before it from the few ranges' totals
+    cuts = models.agg(F.percentile_approx("r", [k / RANGES for k in range(1, RANGES)], 1000).alias("cuts"))
+    h = h.crossJoin(F.broadcast(cuts)).withColumn("k", F.size(F.filter("cuts", lambda c: c <= F.col("r")))).drop("cuts")  # one row
+    all_, upto = Window.partitionBy("model"), Window.partitionBy("model").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    t = h.groupBy("model", "k").agg(F.sum("a").alias("ra"), F.sum("b").alias("rb"), F.min("r").alias("first"))
+    before = lambda c: F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"{c}0")
+    t = t.select("model", "k", before("ra"), before("rb"), F.sum("ra").over(all_).alias("na"), F.sum("rb").over(all_).alias("nb"), F.lead("first").over(Window.partitionBy("model").orderBy("k")).alias("beyond"))
+    w = Window.partitionBy("model", "k").orderBy("r")
+    h = h.join(F.broadcast(t), ["model", "k"])  # at most RANGES rows a model
+    h = h.select("model", "r", ((F.col("ra0") + F.sum("a").over(w)) / F.col("na")).alias("f"), ((F.col("rb0") + F.sum("b").over(w)) / F.col("nb")).alias("g"), "na", "nb", F.coalesce(F.lead("r").over(w), F.col("beyond")).alias("next"))
     gap = F.abs(F.col("f") - F.col("g"))
     d = h.groupBy("model").agg(F.max(gap).alias("ks_stat"), F.sum(gap * (F.col("next") - F.col("r"))).alias("wasserstein"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     x = F.sqrt(F.col("na") * F.col("nb") / (F.col("na") + F.col("nb"))) * F.col("ks_stat")
@@ -27,17 +41,19 @@ def moments(sample: DataFrame) -> DataFrame:
     return sample.groupBy("model").agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("sd"), F.skewness("r").alias("skew"), F.kurtosis("r").alias("excess_kurtosis"))
 
 
+# The probabilities whose quantiles are compared.
 QUANTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 
 def tail_and_quantiles(real: DataFrame, models: DataFrame) -> DataFrame:
     """Per model: mass up to the real 0.5 % quantile against the real one's, and the mean absolute quantile error."""
-    q = real.agg(F.percentile("r", F.lit(0.005)).alias("cut"), *[F.percentile("r", F.lit(p)).alias(f"q{i}") for i, p in enumerate(QUANTILES)])
-    mass = real.crossJoin(F.broadcast(q)).agg(F.avg((F.col("r") <= F.col("cut")).cast("double")).alias("real_mass"))
+    q = real.agg(F.percentile("r", F.array(F.lit(0.005), *[F.lit(p) for p in QUANTILES])).alias("own"))  # one series
+    mass = real.crossJoin(F.broadcast(q)).agg(F.avg((F.col("r") <= F.col("own")[0]).cast("double")).alias("real_mass"))
     one = q.crossJoin(F.broadcast(mass))
-    m = models.crossJoin(F.broadcast(one)).groupBy("model").agg(F.avg((F.col("r") <= F.col("cut")).cast("double")).alias("mass"), F.first("real_mass").alias("real_mass"), *[F.abs(F.percentile("r", F.lit(p)) - F.first(f"q{i}")).alias(f"e{i}") for i, p in enumerate(QUANTILES)])  # one row
-    mean = sum((F.col(f"e{i}") for i in range(len(QUANTILES))), F.lit(0.0)) / len(QUANTILES)
-    return m.select("model", (F.col("mass") / F.nullif(F.col("real_mass"), F.lit(0.0))).alias("tail_mass_ratio"), mean.alias("mean_quantile_error"))
+    m = models.crossJoin(F.broadcast(one)).groupBy("model").agg(F.avg((F.col("r") <= F.col("own")[0]).cast("double")).alias("mass"))  # one row
+    d = m.join(quantiles(models, F.col("r"), QUANTILES, ("model",)), "model").crossJoin(F.broadcast(one))
+    mean = sum((F.abs(F.col("q")[i] - F.col("own")[i + 1]) for i in range(len(QUANTILES))), F.lit(0.0)) / len(QUANTILES)
+    return d.select("model", (F.col("mass") / F.nullif(F.col("real_mass"), F.lit(0.0))).alias("tail_mass_ratio"), mean.alias("mean_quantile_error"))
 
 
 def _verdict(p: F.Column, n: F.Column) -> F.Column:
@@ -49,11 +65,13 @@ def var_backtest(real: DataFrame, models: DataFrame, alphas: tuple[float, ...] =
 
     The conditional-coverage statistic is the sum of the two likelihood ratios.
     """
-    levels = F.explode(F.array(*[F.lit(a) for a in alphas]))
     loss = -F.col("r")
-    var = models.groupBy("model").agg(*[F.percentile(loss, F.lit(1 - a)).alias(f"v{i}") for i, a in enumerate(alphas)])
-    var = var.select("model", F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), F.col(f"v{i}").alias("var_model")) for i, a in enumerate(alphas)])).alias("x")).select("model", "x.*")
-    es = models.withColumn("alpha", levels).join(F.broadcast(var), ["model", "alpha"]).where(loss >= F.col("var_model")).groupBy("model", "alpha").agg(F.avg(loss).alias("es_model"))  # a row per model and alpha
+    wide = quantiles(models, loss, [1 - a for a in alphas], ("model",))
+    at = lambda i: F.col("q")[i]
+    es = models.join(F.broadcast(wide), "model").groupBy("model").agg(F.first("q").alias("q"), *[F.avg(F.when(loss >= at(i), loss)).alias(f"e{i}") for i in range(len(alphas))])  # a row per model
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), at(i).alias("var_model"), F.col(f"e{i}").alias("es_model")) for i, a in enumerate(alphas)]))
+    both = es.select("model", each.alias("x")).select("model", "x.*")
+    var, es = both.drop("es_model"), both.drop("var_model")
     w = Window.partitionBy("model", "alpha").orderBy("rn")
     b = real.select("rn", loss.alias("loss")).crossJoin(F.broadcast(var)).withColumn("b", (F.col("loss") >= F.col("var_model")).cast("int")).withColumn("before", F.lag("b").over(w))
     pair = lambda x, y: F.sum(((F.col("before") == x) & (F.col("b") == y)).cast("int"))

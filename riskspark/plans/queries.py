@@ -59,7 +59,7 @@ def _puts(spark, sf):
 
 
 def _scored(spark, sf):
-    return op.scored(op.physical(_puts(spark, sf), sc.per_path(t.paths(spark, sf))))
+    return op.scored(op.physical(_puts(spark, sf), sc.per_array(t.path_arrays(spark, sf))))
 
 
 # Sources, nulls, alignment
@@ -218,23 +218,23 @@ def evt_correct_paths(spark, sf):
 
 @query
 def path_drawdown(spark, sf):
-    return rounded(sc.per_path(t.paths(spark, sf)).select("sim_id", "cum", "max_dd"))
+    return rounded(sc.per_array(t.path_arrays(spark, sf)).select("sim_id", "cum", "max_dd"))
 
 
 @query
 def path_stats(spark, sf):
-    return rounded(sc.path_stats(sc.per_path(t.models(spark, sf), ("model", "sim_id")), by=("model",)))
+    return rounded(sc.path_stats(sc.per_array(t.model_arrays(spark, sf), ("model", "sim_id")), by=("model",)))
 
 
 @query
 def worst_paths(spark, sf):
-    p = t.paths(spark, sf)
-    return rounded(sc.worst_paths(sc.per_path(p), p.where("step = 0").select("sim_id", "block_id")))
+    p = t.path_arrays(spark, sf)
+    return rounded(sc.worst_paths(sc.per_array(p), p.select("sim_id", "block_id")))
 
 
 @query
 def path_histogram(spark, sf):
-    return sc.histogram(sc.per_path(t.paths(spark, sf)))
+    return sc.histogram(sc.per_array(t.path_arrays(spark, sf)))
 
 
 # Options
@@ -294,7 +294,7 @@ def vol_surface(spark, sf):
 @query
 def physical_prob(spark, sf):
     chain = op.liquid(op.quoted(t.chain(spark, sf)))
-    return rounded(op.physical(chain, sc.per_path(t.paths(spark, sf))).select("contract_id", "physical_prob_itm", "physical_expected_payoff"))
+    return rounded(op.physical(chain, sc.per_array(t.path_arrays(spark, sf))).select("contract_id", "physical_prob_itm", "physical_expected_payoff"))
 
 
 @query

@@ -59,7 +59,7 @@ def bs_call(spark, sf):
 
 @query
 def historical_context(spark, sf):
-    d = op.physical(op.liquid(op.quoted(t.chain(spark, sf))), sc.per_path(t.paths(spark, sf)))
+    d = op.physical(op.liquid(op.quoted(t.chain(spark, sf))), sc.per_array(t.path_arrays(spark, sf)))
     return rounded(op.historical_context(d, t.returns(spark, sf)).select("contract_id", "physical_prob_itm", "hist_tail_threshold", "hist_crisis_episode_n", "model_exceeds_hist_95pct"))
 
 

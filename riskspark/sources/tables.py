@@ -53,24 +53,41 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("bid", F.col("c0") - F.col("half")).withColumn("ask", F.col("c0") + F.col("half")).drop("half", "c0")
 
 
-def paths(spark: SparkSession, sf_dir: str, horizon: int = 20) -> DataFrame:
-    """sim_id, step, block_id, r: blocks of the return series, drawn uniformly by a deterministic lattice."""
+def path_arrays(spark: SparkSession, sf_dir: str, horizon: int = 20) -> DataFrame:
+    """sim_id, block_id, a: blocks of the return series, drawn uniformly by a deterministic lattice, as arrays of steps."""
     ret = returns(spark, sf_dir)
+    ahead = Window.partitionBy("series").orderBy("rn").rowsBetween(0, horizon - 1)
+    blocks = ret.select(F.col("rn").alias("block_id"), F.collect_list("r").over(ahead).alias("a")).where(F.size("a") == horizon)  # a row a day
     n = ret.agg((F.max("rn") - (horizon - 1)).alias("nb"))
     k = F.col("o_orderkey")
-    draw = table(spark, sf_dir, "orders").crossJoin(F.broadcast(n)).select(k.alias("sim_id"), (1 + (k * 1103515245 + 12345) % 2147483648 % F.col("nb")).alias("block_id"))
-    steps = draw.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1)))).withColumn("rn", F.col("block_id") + F.col("step"))
-    return steps.join(ret.select("rn", "r"), "rn").select("sim_id", F.col("step").cast("long").alias("step"), "block_id", "r")
+    draw = table(spark, sf_dir, "orders").crossJoin(F.broadcast(n)).select(k.alias("sim_id"), (1 + (k * 1103515245 + 12345) % 2147483648 % F.col("nb")).alias("block_id"))  # n is one row
+    return draw.join(blocks, "block_id").select("sim_id", "block_id", "a")
+
+
+def _steps(arrays: DataFrame) -> DataFrame:
+    kept = [c for c in arrays.columns if c != "a"]
+    return arrays.select(*kept, F.posexplode("a").alias("step", "r")).withColumn("step", F.col("step").cast("long"))
+
+
+def paths(spark: SparkSession, sf_dir: str, horizon: int = 20) -> DataFrame:
+    """sim_id, step, block_id, r: the steps of path_arrays()."""
+    return _steps(path_arrays(spark, sf_dir, horizon)).select("sim_id", "step", "block_id", "r")
 
 
 #: Scenario generators for comparisons: name, scale, shift.
 MODELS = (("boot", 1.0, 0.0), ("calm", 0.7, 0.0), ("wild", 1.5, 0.0), ("shift", 1.0, -0.002))
 
 
+def model_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """model, sim_id, a."""
+    every = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(a).alias("a"), F.lit(b).alias("b")) for m, a, b in MODELS])
+    d = path_arrays(spark, sf_dir).withColumn("m", F.explode(every))
+    return d.select("m.model", "sim_id", F.transform("a", lambda r: r * F.col("m.a") + F.col("m.b")).alias("a"))
+
+
 def models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """model, sim_id, step, r."""
-    every = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(a).alias("a"), F.lit(b).alias("b")) for m, a, b in MODELS])
-    return paths(spark, sf_dir).withColumn("m", F.explode(every)).select("m.model", "sim_id", "step", (F.col("r") * F.col("m.a") + F.col("m.b")).alias("r"))
+    return _steps(model_arrays(spark, sf_dir))
 
 
 def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
