@@ -57,11 +57,11 @@ class Engine:
         sims = self.ret.sparkSession.range(1, n_sims + 1).withColumnRenamed("id", "sim_id")
         drawn = sc.bootstrap(w.drop("rets"), sims).join(w.select("block_id", "rets"), "block_id")
         steps = drawn.select("sim_id", F.posexplode("rets").alias("step", "r"))
-        return sc.evt_correct(steps, sc.evt_fit(sc.evt_exceedances(self.ret)))
+        return sc.evt_correct(steps, sc.evt_fit_ml(sc.evt_exceedances(self.ret)))
 
     def risk(self, n_sims: int = 5000, horizon: int = 20) -> dict[str, Any]:
         stats = one(sc.path_stats(sc.per_path(self.paths(n_sims, horizon))))
-        return {"horizon": horizon, "n_sims": n_sims, **self.regime(), "stress_metrics": stats, "evt_fit": one(sc.evt_fit(sc.evt_exceedances(self.ret)))}
+        return {"horizon": horizon, "n_sims": n_sims, **self.regime(), "stress_metrics": stats, "evt_fit": one(sc.evt_fit_ml(sc.evt_exceedances(self.ret)))}
 
     def expiries(self) -> list[float]:
         if self.chain is None:

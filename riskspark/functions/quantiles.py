@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 ACCURACY = 10_000
 
 
+def value_counts(df: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFrame:
+    """by, v, c: rows per distinct value, combined before the shuffle; nulls are left out."""
+    return df.select(*by, value.cast("double").alias("v")).where("v is not null").groupBy(*by, "v").agg(F.count("*").alias("c"))
+
+
 def quantiles(df: DataFrame, value: Column, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """by and q, an array with one quantile per probability; nulls are left out.
 
@@ -25,7 +30,8 @@ def quantiles(df: DataFrame, value: Column, probs: Sequence[float], by: Sequence
     j = counts.join(F.broadcast(sketch), by) if by else counts.crossJoin(F.broadcast(sketch))
     aggs = [F.first("_n").alias("_n")]
     for i in range(len(probs)):
-        lo, hi = F.col("_b")[i], F.col("_b")[i + len(probs)]
+        few, lo, hi = F.col("_n") <= ACCURACY, F.col("_b")[i], F.col("_b")[i + len(probs)]  # in a small group a bracket may miss the next value
+        lo, hi = F.when(few, float("-inf")).otherwise(lo), F.when(few, float("inf")).otherwise(hi)
         aggs.append(F.sum(F.when(F.col("_v") < lo, F.col("_c")).otherwise(0)).alias(f"_below{i}"))
         aggs.append(F.sort_array(F.collect_list(F.when((F.col("_v") >= lo) & (F.col("_v") <= hi), F.struct("_v", "_c")))).alias(f"_in{i}"))
     d = j.groupBy(*by).agg(*aggs)

@@ -68,10 +68,13 @@ def stability(real: DataFrame, models: DataFrame, alpha: float = 0.05) -> DataFr
 def path_windows(real: DataFrame, models: DataFrame, width: int = 20) -> DataFrame:
     """model, sim_id, at and the features of every full window inside a path, with the real series' tail threshold.
 
-    at counts a path's windows from 0; a path of fewer steps than the width has none.
+    at counts a path's windows from 0; a path of fewer steps than the width has none. models holds steps (step, r), or
+    whole paths as arrays a, which spares their shuffle.
     """
     q = real.agg(F.percentile("r", F.lit(0.05)).alias("q"))
-    d = models.groupBy("model", "sim_id").agg(F.array_sort(F.collect_list(F.struct("step", "r"))).alias("s")).withColumn("a", F.transform("s", lambda x: x["r"]))
+    d = models
+    if "a" not in models.columns:
+        d = models.groupBy("model", "sim_id").agg(F.array_sort(F.collect_list(F.struct("step", "r"))).alias("s")).withColumn("a", F.transform("s", lambda x: x["r"]))
     starts = F.when(F.size("a") >= width, F.sequence(F.lit(0), F.size("a") - width))
     d = d.select("model", "sim_id", "a", F.explode(starts).alias("at")).withColumn("a", F.slice("a", F.col("at") + 1, width))
     return fe.of_windows(d.crossJoin(F.broadcast(q)), width, F.col("model"), F.col("sim_id"), F.col("at"))  # one row
@@ -105,25 +108,30 @@ def archetype_name(c: Column) -> Column:
     return F.coalesce(F.get(F.array(*[F.lit(x) for x in ARCHETYPES]), c.cast("int")), F.concat(F.lit("Cluster "), c.cast("string")))
 
 
-def _near(crisis: DataFrame, windows: DataFrame, sample: bool) -> DataFrame:
-    """model, start, sim_id, at, d2: squared distances in features scaled over both sets, by model.
+def _near(crisis: DataFrame, windows: DataFrame) -> DataFrame:
+    """model, start, sim_id, at, d2, d2_sample: squared distances in features scaled over both sets, by model, by the population's and by the sample's deviation.
 
     The crisis windows are the query set: at most a tenth of one daily series. They are joined against all windows row by
-    row, and both uses below take minima before any shuffle.
+    row, and all uses below take minima before any shuffle.
     """
-    sd = F.stddev_samp if sample else F.stddev_pop
     names = windows.select("model").distinct()
     both = windows.select("model", *FEATURES).unionByName(F.broadcast(crisis.select(*FEATURES)).crossJoin(names))
-    s = both.groupBy("model").agg(*[F.coalesce(F.nullif(sd(c), F.lit(0.0)), F.lit(1.0)).alias(f"s_{c}") for c in FEATURES])
+    scale = lambda sd, c, name: (1 / F.coalesce(F.nullif(sd(c), F.lit(0.0)), F.lit(1.0))).alias(f"{name}_{c}")
+    s = both.groupBy("model").agg(*[scale(sd, c, name) for c in FEATURES for sd, name in ((F.stddev_pop, "p"), (F.stddev_samp, "s"))])
     w = windows.join(F.broadcast(s), "model")  # a row per model
     q = crisis.select("start", *[F.col(c).alias(f"q_{c}") for c in FEATURES])
-    d2 = sum((F.pow((F.col(c) - F.col(f"q_{c}")) / F.col(f"s_{c}"), F.lit(2)) for c in FEATURES), F.lit(0.0))
-    return w.crossJoin(F.broadcast(q)).select("model", "start", "sim_id", "at", d2.alias("d2"))
+    j = w.crossJoin(F.broadcast(q))
 
+    def total(name: str) -> Column:
+        gaps = [(F.col(c) - F.col(f"q_{c}")) * F.col(f"{name}_{c}") for c in FEATURES]
+        return reduce(lambda a, b: a + b, [g * g for g in gaps])
 
-def nearest_path(crisis: DataFrame, windows: DataFrame, sample: bool = False) -> DataFrame:
-    """model, start, dist: each crisis window's distance to the nearest window of a path."""
-    return _near(crisis, windows, sample).groupBy("model", "start").agg(F.sqrt(F.min("d2")).alias("dist"))
+    return j.select("model", "start", "sim_id", "at", total("p").alias("d2"), total("s").alias("d2_sample"))
+
+
+def nearest_path(crisis: DataFrame, windows: DataFrame) -> DataFrame:
+    """model, start, dist, dist_sample: each crisis window's distance to the nearest window of a path, in both scales."""
+    return _near(crisis, windows).groupBy("model", "start").agg(F.sqrt(F.min("d2")).alias("dist"), F.sqrt(F.min("d2_sample")).alias("dist_sample"))
 
 
 def coverage(near: DataFrame, epsilons: tuple[float, ...] = EPSILONS) -> DataFrame:
@@ -132,25 +140,27 @@ def coverage(near: DataFrame, epsilons: tuple[float, ...] = EPSILONS) -> DataFra
     return d.withColumn("coverage", F.col("n_covered") / F.col("n_total"))
 
 
-def archetype_coverage(typed: DataFrame, windows: DataFrame, epsilon: float = 2.0) -> DataFrame:
-    """Coverage by archetype; scaled by the sample deviation."""
-    d = nearest_path(typed, windows, sample=True).join(F.broadcast(typed.select("start", "archetype")), "start")
+def archetype_coverage(typed: DataFrame, windows: DataFrame, epsilon: float = 2.0, near: DataFrame | None = None) -> DataFrame:
+    """Coverage by archetype; scaled by the sample deviation. near: nearest_path() where it is there already."""
+    near = (nearest_path(typed, windows) if near is None else near).select("model", "start", F.col("dist_sample").alias("dist"))
+    d = near.join(F.broadcast(typed.select("start", "archetype")), "start")
     d = d.groupBy("model", "archetype").agg(F.count("*").alias("n_windows"), F.avg((F.col("dist") <= epsilon).cast("double")).alias("coverage"), F.avg("dist").alias("mean_nearest_dist"))
     return d.withColumn("archetype_name", archetype_name(F.col("archetype"))).withColumn("verdict", F.when(F.col("coverage") >= 0.60, "PASS").when(F.col("coverage") >= 0.40, "WARNING").otherwise("FAIL"))
 
 
 def precision(crisis: DataFrame, windows: DataFrame, epsilon: float = 2.0) -> DataFrame:
     """model, precision, n_windows, verdict: the share of the paths' windows with a crisis window nearby."""
-    near = _near(crisis, windows, False).groupBy("model", "sim_id", "at").agg(F.min("d2").alias("d2"))
+    near = _near(crisis, windows).groupBy("model", "sim_id", "at").agg(F.min("d2").alias("d2"))
     d = near.groupBy("model").agg(F.avg((F.sqrt("d2") <= epsilon).cast("double")).alias("precision"), F.count("*").alias("n_windows"))
     return d.withColumn("verdict", F.when(F.col("precision") >= 0.40, "PASS").when(F.col("precision") >= 0.25, "WARNING").otherwise("FAIL"))
 
 
 def crisis_report(typed: DataFrame, windows: DataFrame, epsilon: float = 2.0) -> DataFrame:
     """One row per model: coverage, precision, archetypes by verdict, the precision trap, overall verdict."""
-    cov = coverage(nearest_path(typed, windows), (epsilon,)).select("model", F.col("coverage").alias("coverage_at_eps"), F.col("n_total").alias("n_crisis_windows"))
+    near = nearest_path(typed, windows)
+    cov = coverage(near, (epsilon,)).select("model", F.col("coverage").alias("coverage_at_eps"), F.col("n_total").alias("n_crisis_windows"))
     pre = precision(typed, windows, epsilon).select("model", F.col("precision").alias("precision_at_eps"), F.col("verdict").alias("precision_verdict"), F.col("n_windows").alias("n_synthetic_windows"))
     n = lambda v: F.sum((F.col("verdict") == v).cast("long")).alias(f"n_archetypes_{v.lower()}")
-    arch = archetype_coverage(typed, windows, epsilon).groupBy("model").agg(F.count("*").alias("n_archetypes_tested"), n("PASS"), n("FAIL"), n("WARNING"))
+    arch = archetype_coverage(typed, windows, epsilon, near).groupBy("model").agg(F.count("*").alias("n_archetypes_tested"), n("PASS"), n("FAIL"), n("WARNING"))
     d = cov.join(pre, "model").join(arch, "model").withColumn("precision_trap", (F.col("precision_at_eps") >= 0.70) & (F.col("coverage_at_eps") < 0.50))
     return d.withColumn("overall_verdict", F.when((F.col("coverage_at_eps") >= 0.65) & ~F.col("precision_trap"), "PASS").when(F.col("coverage_at_eps") >= 0.50, "WARNING").otherwise("FAIL"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions.columns import chi2_tail, log_likelihood
-from ..functions.quantiles import quantiles
+from ..functions.quantiles import quantiles, value_counts
 
 
 #: Ranges of values in which running counts are taken.
@@ -16,12 +16,13 @@ RANGES = 64
 
 def distances(real: DataFrame, models: DataFrame) -> DataFrame:
     """Per model (model, r) against real (r): Kolmogorov-Smirnov statistic and asymptotic p, Wasserstein-1, from value counts."""
-    names = models.select("model").distinct()
+    counts = value_counts(models, F.col("r"), ("model",)).withColumnsRenamed({"v": "r", "c": "b"})
+    names = counts.select("model").distinct()
     own = names.crossJoin(real.groupBy("r").agg(F.count("*").alias("a"))).select("model", "r", "a", F.lit(0).cast("long").alias("b"))  # a copy of the one real series per model
-    h = own.unionByName(models.groupBy("model", "r").agg(F.count("*").alias("b")).select("model", "r", F.lit(0).cast("long").alias("a"), "b"))
+    h = own.unionByName(counts.select("model", "r", F.lit(0).cast("long").alias("a"), "b"))
     h = h.groupBy("model", "r").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    # ranges between quantiles of the models: running counts within a range, and before it from the few ranges' totals
-    cuts = models.agg(F.percentile_approx("r", [k / RANGES for k in range(1, RANGES)], 1000).alias("cuts"))
+    # ranges of distinct values: running counts within a range, and before it from the few ranges' totals
+    cuts = counts.agg(F.percentile_approx("r", [k / RANGES for k in range(1, RANGES)], 1000).alias("cuts"))
     h = h.crossJoin(F.broadcast(cuts)).withColumn("k", F.size(F.filter("cuts", lambda c: c <= F.col("r")))).drop("cuts")  # one row
     all_, upto = Window.partitionBy("model"), Window.partitionBy("model").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     t = h.groupBy("model", "k").agg(F.sum("a").alias("ra"), F.sum("b").alias("rb"), F.min("r").alias("first"))
@@ -50,7 +51,8 @@ def tail_and_quantiles(real: DataFrame, models: DataFrame) -> DataFrame:
     q = real.agg(F.percentile("r", F.array(F.lit(0.005), *[F.lit(p) for p in QUANTILES])).alias("own"))  # one series
     mass = real.crossJoin(F.broadcast(q)).agg(F.avg((F.col("r") <= F.col("own")[0]).cast("double")).alias("real_mass"))
     one = q.crossJoin(F.broadcast(mass))
-    m = models.crossJoin(F.broadcast(one)).groupBy("model").agg(F.avg((F.col("r") <= F.col("own")[0]).cast("double")).alias("mass"))  # one row
+    counts = value_counts(models, F.col("r"), ("model",))
+    m = counts.crossJoin(F.broadcast(one)).groupBy("model").agg((F.sum(F.when(F.col("v") <= F.col("own")[0], F.col("c")).otherwise(0)) / F.sum("c")).alias("mass"))  # one row
     d = m.join(quantiles(models, F.col("r"), QUANTILES, ("model",)), "model").crossJoin(F.broadcast(one))
     mean = sum((F.abs(F.col("q")[i] - F.col("own")[i + 1]) for i in range(len(QUANTILES))), F.lit(0.0)) / len(QUANTILES)
     return d.select("model", (F.col("mass") / F.nullif(F.col("real_mass"), F.lit(0.0))).alias("tail_mass_ratio"), mean.alias("mean_quantile_error"))
@@ -66,9 +68,11 @@ def var_backtest(real: DataFrame, models: DataFrame, alphas: tuple[float, ...] =
     The conditional-coverage statistic is the sum of the two likelihood ratios.
     """
     loss = -F.col("r")
-    wide = quantiles(models, loss, [1 - a for a in alphas], ("model",))
+    counts = value_counts(models, loss, ("model",))
     at = lambda i: F.col("q")[i]
-    es = models.join(F.broadcast(wide), "model").groupBy("model").agg(F.first("q").alias("q"), *[F.avg(F.when(loss >= at(i), loss)).alias(f"e{i}") for i in range(len(alphas))])  # a row per model
+    part = lambda i, x: F.sum(F.when(F.col("v") >= at(i), x))
+    es = counts.join(F.broadcast(quantiles(models, loss, [1 - a for a in alphas], ("model",))), "model")  # a row per model
+    es = es.groupBy("model").agg(F.first("q").alias("q"), *[(part(i, F.col("v") * F.col("c")) / part(i, F.col("c"))).alias(f"e{i}") for i in range(len(alphas))])
     each = F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), at(i).alias("var_model"), F.col(f"e{i}").alias("es_model")) for i, a in enumerate(alphas)]))
     both = es.select("model", each.alias("x")).select("model", "x.*")
     var, es = both.drop("es_model"), both.drop("var_model")

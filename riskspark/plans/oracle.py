@@ -171,11 +171,11 @@ ORACLE = {
     "train_test_split": f"WITH {RET} SELECT CASE WHEN rn <= (SELECT floor(count(*)*0.8) FROM ret) THEN 'train' ELSE 'test' END AS part, count(*) AS n FROM ret GROUP BY 1",
     "roll_ret": f"WITH {FEATURES} SELECT rn, {cols('ret_5d ret_10d ret_20d ret_60d')} FROM feat",
     "roll_vol": f"WITH {FEATURES} SELECT rn, {cols('vol_5d vol_10d vol_20d vol_60d')} FROM feat",
-    "roll_drawdown": f"WITH {FEATURES} SELECT rn, {cols('drawdown_20d drawdown_60d')} FROM feat WHERE drawdown_60d IS NOT NULL",
-    "vix_zscore": f"WITH {FEATURES} SELECT rn, {cols('vix_change_5d vix_change_20d vix_z_252d')} FROM feat WHERE vix_z_252d IS NOT NULL",
-    "loss_momentum": f"WITH {FEATURES} SELECT rn, {r('-ret_5d')} AS loss_5d, {r('-ret_20d')} AS loss_20d FROM feat WHERE ret_20d IS NOT NULL",
+    "roll_drawdown": f"WITH {FEATURES} SELECT rn, {cols('drawdown_20d drawdown_60d')} FROM feat",
+    "vix_zscore": f"WITH {FEATURES} SELECT rn, {cols('vix_change_5d vix_change_20d vix_z_252d')} FROM feat",
+    "loss_momentum": f"WITH {FEATURES} SELECT rn, {r('-ret_5d')} AS loss_5d, {r('-ret_20d')} AS loss_20d FROM feat",
     "market_features": f"WITH {FEATURES} SELECT rn, {cols('r vix_level ret_5d ret_10d ret_20d ret_60d vol_5d vol_10d vol_20d vol_60d drawdown_5d drawdown_10d drawdown_20d drawdown_60d vix_change_5d vix_change_20d vix_z_252d')}, {r('-ret_5d')} AS loss_5d, {r('-ret_20d')} AS loss_20d FROM feat WHERE ret_60d IS NOT NULL AND vix_z_252d IS NOT NULL AND vix_change_20d IS NOT NULL",
-    "cross_asset_features": f"WITH {PRET}, j AS (SELECT a.ticker, b.ticker AS other, dt, a.r AS x, b.r AS y FROM pr a JOIN pr b USING (dt) WHERE a.ticker <> b.ticker), c AS (SELECT ticker, other, CAST(dt AS VARCHAR) AS dt, {roll('sum', 'y', 20, 'PARTITION BY ticker, other', 'j.dt')} AS ret_20d, {roll('stddev_samp', 'y', 20, 'PARTITION BY ticker, other', 'j.dt')} * {_A} AS vol_20d, CASE WHEN count(y) OVER w = 60 THEN corr(x, y) OVER w END AS corr_60d FROM j WINDOW w AS (PARTITION BY ticker, other ORDER BY j.dt ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) SELECT ticker, other, dt, {cols('ret_20d vol_20d corr_60d')} FROM c WHERE corr_60d IS NOT NULL",
+    "cross_asset_features": f"WITH {PRET}, j AS (SELECT a.ticker, b.ticker AS other, dt, a.r AS x, b.r AS y FROM pr a JOIN pr b USING (dt) WHERE a.ticker <> b.ticker), c AS (SELECT ticker, other, CAST(dt AS VARCHAR) AS dt, {roll('sum', 'y', 20, 'PARTITION BY ticker, other', 'j.dt')} AS ret_20d, {roll('stddev_samp', 'y', 20, 'PARTITION BY ticker, other', 'j.dt')} * {_A} AS vol_20d, CASE WHEN count(y) OVER w = 60 THEN corr(x, y) OVER w END AS corr_60d FROM j WINDOW w AS (PARTITION BY ticker, other ORDER BY j.dt ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) SELECT ticker, other, dt, {cols('ret_20d vol_20d corr_60d')} FROM c",
     "stress_label_matrix": _LABELS,
     "realised_drawdown": f"WITH {RET}, {dd('x', 1, 20)} SELECT rn, {r('v')} AS realised_max_dd FROM x",
     "window_features": f"WITH {WINDOW} SELECT start, {cols('cum_return realised_vol_ann max_drawdown worst_1d worst_5d vol_of_abs_returns')}, negative_days, tail_days FROM wf WHERE max_drawdown IS NOT NULL",
@@ -198,8 +198,8 @@ ORACLE = {
     "put_liquidity_filter": f"WITH {CHAIN} SELECT contract_id FROM liquid",
     "opt_expiries": f"WITH {CHAIN}, x AS (SELECT DISTINCT t_years FROM chain) SELECT {r('t_years')} AS t_years, row_number() OVER (ORDER BY x.t_years) = 2 AS is_default FROM x",
     "rn_prob": f"WITH {CHAIN}, x AS (SELECT *, (ln(spot/strike) + 0.025*t_years)/(0.2*sqrt(t_years)) AS d2 FROM chain), y AS (SELECT *, -d2 AS a, -d2 - 0.2*sqrt(t_years) AS b FROM x) SELECT contract_id, {r(phi('a'))} AS rn_prob, {r(f'strike*exp(-0.045*t_years)*{phi(chr(97))} - spot*{phi(chr(98))}')} AS bs_put FROM y",
-    "implied_vol": f"WITH RECURSIVE {IV} SELECT contract_id, {r('implied_vol', 5)} AS implied_vol FROM puts WHERE {_TIME} > 0.001",
-    "bs_metrics": f"WITH RECURSIVE {IV} SELECT contract_id, {cols('risk_neutral_prob_itm delta vega_per_1pct bs_price_from_iv', 5)} FROM puts WHERE {_TIME} > 0.01",
+    "implied_vol": f"WITH RECURSIVE {IV} SELECT contract_id, CASE WHEN {_TIME} > 0.001 THEN {r('implied_vol', 5)} END AS implied_vol, {r('bs_price_from_iv', 5)} AS bs_price_from_iv FROM puts",
+    "bs_metrics": f"WITH RECURSIVE {IV} SELECT contract_id, {', '.join(f'CASE WHEN {_TIME} > 0.01 THEN {r(c, 5)} END AS {c}' for c in ('risk_neutral_prob_itm', 'delta', 'vega_per_1pct'))}, {r('bs_price_from_iv', 5)} AS bs_price_from_iv FROM puts",
     "vol_surface": f"WITH RECURSIVE {IV}, x AS (SELECT min_by(implied_vol, struct_pack(a := abs(moneyness - 1), b := contract_id)) AS atm, avg(implied_vol) FILTER (moneyness <= 0.95) AS otm, count(*) AS n, min(moneyness) AS lo, max(moneyness) AS hi FROM puts) SELECT {r('atm')} AS atm_implied_vol, {r('otm')} AS otm_5pct_implied_vol, n AS n_liquid_puts, {r('lo')} AS min_moneyness, {r('hi')} AS max_moneyness, {r('otm - atm')} AS vol_skew_5pct FROM x",
     "physical_prob": f"WITH {CHAIN}, {PATHS}, {each('paths', 'sim_id')}, {PHYSICAL.format(source='liquid')} SELECT contract_id, {cols('physical_prob_itm physical_expected_payoff')} FROM phys",
     "disagreement": f"WITH RECURSIVE {SCORED} SELECT contract_id, {cols('gap liquidity_score tail_score')}, confidence, interpretation, {r('physical_expected_payoff - mid')} AS payoff_minus_mid, {r('CASE WHEN mid > 0 THEN physical_expected_payoff/mid END')} AS payoff_to_mid_ratio FROM scored",

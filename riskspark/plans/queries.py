@@ -44,7 +44,7 @@ def _weights(spark, sf):
 
 
 def _sims(spark, sf):
-    return t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("sim_id"))
+    return t.spread(t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("sim_id")), "sim_id")
 
 
 def _boot(spark, sf):
@@ -114,17 +114,17 @@ def roll_vol(spark, sf):
 
 @query
 def roll_drawdown(spark, sf):
-    return rounded(_features(spark, sf).select("rn", "drawdown_20d", "drawdown_60d").where("drawdown_60d is not null"))
+    return rounded(_features(spark, sf).select("rn", "drawdown_20d", "drawdown_60d"))
 
 
 @query
 def vix_zscore(spark, sf):
-    return rounded(_features(spark, sf).select("rn", "vix_change_5d", "vix_change_20d", "vix_z_252d").where("vix_z_252d is not null"))
+    return rounded(_features(spark, sf).select("rn", "vix_change_5d", "vix_change_20d", "vix_z_252d"))
 
 
 @query
 def loss_momentum(spark, sf):
-    return rounded(_features(spark, sf).select("rn", "loss_5d", "loss_20d").where("loss_20d is not null"))
+    return rounded(_features(spark, sf).select("rn", "loss_5d", "loss_20d"))
 
 
 @query
@@ -134,7 +134,7 @@ def market_features(spark, sf):
 
 @query
 def cross_asset_features(spark, sf):
-    return rounded(fe.cross_features(fe.log_returns(t.panel(spark, sf))).withColumn("dt", F.col("dt").cast("string")).where("corr_60d is not null"))
+    return rounded(fe.cross_features(fe.log_returns(t.panel(spark, sf))).withColumn("dt", F.col("dt").cast("string")))
 
 
 @query
@@ -272,18 +272,24 @@ def solved_puts(spark, sf):
     return _puts(spark, sf).select("contract_id", "spot", "strike", "t_years", "mid", "implied_vol", "risk_neutral_prob_itm", "delta", "vega_per_1pct", "bs_price_from_iv")
 
 
+def _settled(spark, sf, least: float, names: tuple[str, ...]):
+    """All solved contracts: the price from the volatility, and names at five places, null where the time value is too thin to settle them.
+
+    Where the time value is at most `least`, prices of two engines agree but their volatilities need not; solved_puts has them.
+    """
+    d = _puts(spark, sf).withColumn("thin", F.expr("mid - greatest(strike * exp(-0.045 * t_years) - spot, 0)") <= least)
+    five = [F.when(~F.col("thin"), F.round(c, 5) + F.lit(0.0)).alias(c) for c in names]
+    return d.select("contract_id", *five, (F.round("bs_price_from_iv", 5) + F.lit(0.0)).alias("bs_price_from_iv"))
+
+
 @query
 def implied_vol(spark, sf):
-    """At five places, where the time value settles it; solved_puts has the others too."""
-    d = _puts(spark, sf).where("mid - greatest(strike * exp(-0.045 * t_years) - spot, 0) > 0.001")
-    return d.select("contract_id", (F.round("implied_vol", 5) + F.lit(0.0)).alias("implied_vol"))
+    return _settled(spark, sf, 0.001, ("implied_vol",))
 
 
 @query
 def bs_metrics(spark, sf):
-    """At five places, where the time value settles them; solved_puts has the others too."""
-    d = _puts(spark, sf).where("mid - greatest(strike * exp(-0.045 * t_years) - spot, 0) > 0.01")
-    return d.select("contract_id", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("risk_neutral_prob_itm", "delta", "vega_per_1pct", "bs_price_from_iv")])
+    return _settled(spark, sf, 0.01, ("risk_neutral_prob_itm", "delta", "vega_per_1pct"))
 
 
 @query
@@ -310,7 +316,7 @@ def disagreement_summary(spark, sf):
 @query
 def scenario_options(spark, sf):
     """The whole chain of steps: weighted bootstrap, tail correction, path probabilities, implied volatilities, disagreement summary."""
-    paths = sc.evt_correct(_boot(spark, sf).select("sim_id", "step", "r"), sc.evt_fit(sc.evt_exceedances(t.returns(spark, sf))))
+    paths = sc.evt_correct(_boot(spark, sf).select("sim_id", "step", "r"), sc.evt_fit_ml(sc.evt_exceedances(t.returns(spark, sf))))
     return rounded(op.summary(op.scored(op.physical(_puts(spark, sf), sc.per_path(paths)))))
 
 

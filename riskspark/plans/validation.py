@@ -23,7 +23,7 @@ def _crisis(spark, sf):
 
 
 def _windows(spark, sf):
-    return re_.path_windows(_real(spark, sf), t.models(spark, sf))
+    return re_.path_windows(_real(spark, sf), t.model_arrays(spark, sf))
 
 
 @query

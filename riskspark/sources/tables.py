@@ -53,6 +53,13 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("bid", F.col("c0") - F.col("half")).withColumn("ask", F.col("c0") + F.col("half")).drop("half", "c0")
 
 
+def spread(sims: DataFrame, key: str) -> DataFrame:
+    """Deals simulations, a few bytes each, to all tasks before each of them becomes a path; a small table may be one file."""
+    spark = sims.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return sims.repartition(n, key)
+
+
 def path_arrays(spark: SparkSession, sf_dir: str, horizon: int = 20) -> DataFrame:
     """sim_id, block_id, a: blocks of the return series, drawn uniformly by a deterministic lattice, as arrays of steps."""
     ret = returns(spark, sf_dir)
@@ -61,7 +68,7 @@ def path_arrays(spark: SparkSession, sf_dir: str, horizon: int = 20) -> DataFram
     n = ret.agg((F.max("rn") - (horizon - 1)).alias("nb"))
     k = F.col("o_orderkey")
     draw = table(spark, sf_dir, "orders").crossJoin(F.broadcast(n)).select(k.alias("sim_id"), (1 + (k * 1103515245 + 12345) % 2147483648 % F.col("nb")).alias("block_id"))  # n is one row
-    return draw.join(blocks, "block_id").select("sim_id", "block_id", "a")
+    return spread(draw, "sim_id").join(blocks, "block_id").select("sim_id", "block_id", "a")
 
 
 def _steps(arrays: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from riskspark.engine import Engine, clean, report
 from riskspark.functions.columns import bs_price
+from riskspark.functions.quantiles import quantiles
 from riskspark.operators import features as fe
 from riskspark.operators import gate, realism
 from riskspark.operators import scenarios as sc
@@ -103,3 +104,26 @@ def test_engine_answers_and_refuses(spark):
 def test_price_without_time_is_intrinsic(spark):
     d = spark.range(1).select(bs_price(F.lit(90.0), F.lit(100.0), F.lit(0.0), F.lit(0.05), F.lit(0.2)).alias("p"), bs_price(F.lit(90.0), F.lit(100.0), F.lit(0.5), F.lit(0.05), F.lit(0.0), call=True).alias("c")).first()
     assert (d.p, d.c) == (10.0, 0.0)
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(6)
+    groups = {"wide": rng.normal(size=30_000), "ties": rng.integers(0, 7, 5000) / 2, "one": np.array([3.0]), "two": np.array([1.0, 2.0]), "same": np.full(1000, 4.25)}
+    d = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v] + [("one", None)], "g string, x double").repartition(5)
+    probs = (0.0, 0.005, 0.05, 0.25, 0.5, 0.95, 0.999, 1.0)
+    got = {r.g: r.q for r in quantiles(d, F.col("x"), probs, ("g",)).collect()}
+    for g, v in groups.items():
+        assert got[g] == pytest.approx(np.quantile(v, probs), abs=1e-12), g
+    whole = quantiles(d.where("g = 'wide'"), F.col("x"), probs).collect()
+    assert len(whole) == 1 and whole[0].q == got["wide"]
+    assert quantiles(d.where("g = 'none'"), F.col("x"), probs, ("g",)).count() == 0
+
+
+def test_engine_risk_and_monitor_row(spark):
+    from riskspark import Engine as exported
+
+    e = exported(t.returns(spark, SF), t.vix(spark, SF))
+    r = e.risk(n_sims=1000)
+    assert 0 <= r["lambda_t"] <= 1 and r["stress_metrics"]["es_5pct"] >= r["stress_metrics"]["var_5pct"] and r["evt_fit"]["sigma"] > 0
+    row = e.monitor_row("T", "2024-01-01", n_sims=1000).first().asDict()
+    assert row["ticker"] == "T" and row["model_var_5pct"] == pytest.approx(r["stress_metrics"]["var_5pct"])
