@@ -36,3 +36,14 @@ def test_stages_do_their_work(spark, docs, tmp_path):
 
 def test_stages_are_those_of_the_contract():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "mixing", "packing"]
+
+
+def test_clashing_names_and_an_empty_table(spark, odd, no_docs, tmp_path):
+    spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(60)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    some = odd.where("doc_id < 40 or doc_id > 118")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, some, str(tmp_path))
+        assert out.columns == some.columns, name
+        assert all(r["score"] == r["size"] == r["taken"] == r["predicted"] == "clash" for r in out.select("score", "size", "taken", "predicted").collect()), name
+    no_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
