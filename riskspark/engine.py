@@ -10,12 +10,13 @@ import math
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import features as fe
 from .operators import options as op
 from .operators import scenarios as sc
+from .sources import files
 
 
 def clean(value: Any) -> Any:
@@ -39,6 +40,18 @@ class Engine:
     vix: DataFrame
     chain: DataFrame | None = None
 
+    @classmethod
+    def of_csv(cls, spark: SparkSession, ticker: str, prices: str, vix: str, chain: str | None = None) -> Engine:
+        """The engine of one ticker over files; a chain without spot takes the ticker's last price, else its median last price."""
+        panel = files.prices_csv(spark, prices).where(F.col("ticker") == ticker)
+        ret = fe.log_returns(panel).select(F.col("ticker").alias("series"), "dt", "r").withColumn("rn", F.row_number().over(Window.partitionBy("series").orderBy("dt")).cast("long"))
+        if ret.isEmpty():
+            raise ValueError(f"no prices of {ticker}")
+        puts = files.chain_csv(spark, chain) if chain else None
+        if puts is not None and "spot" not in puts.columns:
+            puts = op.with_spot(puts.withColumn("ticker", F.lit(ticker)), op.spot(panel)).drop("ticker")
+        return cls(ret, files.vix_csv(spark, vix), puts)
+
     def health(self) -> dict[str, str]:
         return {"status": "ok"}
 
@@ -91,8 +104,8 @@ class Engine:
         return self.ret.sparkSession.createDataFrame([{k: v for k, v in flat.items() if v is not None}])
 
 
-def report(title: str, tables: dict[str, DataFrame], most: int = 200) -> str:
-    """A page with small result tables; verdicts are badges. At most `most` rows of each are shown, and it says so."""
+def report(title: str, tables: dict[str, DataFrame], most: int = 200, notes: tuple[str, ...] = ()) -> str:
+    """A page with small result tables and notes below them; verdicts are badges. At most `most` rows of each are shown, and it says so."""
     colours = {"PASS": "#2e7d32", "WARNING": "#b26a00", "WARNING_MILD": "#b26a00", "FAIL": "#b71c1c"}
     out = [f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>"]
     for name, df in tables.items():
@@ -100,4 +113,5 @@ def report(title: str, tables: dict[str, DataFrame], most: int = 200) -> str:
         cell = lambda v: f"<b style='color:{colours[v]}'>{v}</b>" if v in colours else html.escape("" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v))
         body = "".join("<tr>" + "".join(f"<td>{cell(v)}</td>" for v in r) + "</tr>" for r in rows[:most])
         out.append(f"<h2>{html.escape(name)}</h2><table><tr>{''.join(f'<th>{html.escape(c)}</th>' for c in df.columns)}</tr>{body}</table>" + (f"<p>First {most} rows.</p>" if len(rows) > most else ""))
+    out += [f"<p>{html.escape(x)}</p>" for x in notes]
     return "".join(out)

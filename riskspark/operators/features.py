@@ -17,6 +17,13 @@ def log_returns(prices: DataFrame) -> DataFrame:
     return prices.withColumn("r", F.ln(F.col("close") / F.lag("close").over(w))).where("r is not null")
 
 
+def split(ret: DataFrame, fraction: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """The first part of a numbered series, and the rest, whose rows are numbered from 1 again."""
+    cut = ret.agg(F.floor(F.count("*") * fraction).alias("cut"))
+    d = ret.crossJoin(F.broadcast(cut))  # one row
+    return d.where("rn <= cut").drop("cut"), d.where("rn > cut").withColumn("rn", F.col("rn") - F.col("cut")).drop("cut")
+
+
 def forward_fill(df: DataFrame, value: str, by: str, order: str) -> DataFrame:
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(value, F.last(value, ignorenulls=True).over(w))

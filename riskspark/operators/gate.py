@@ -93,6 +93,7 @@ def predict_current(features: DataFrame, labels: DataFrame, target: str = "stres
     if n < least or one:
         return d.where("false").select("rn", *[F.lit(None).cast("double").alias(c) for c in (*MEMBERS, "p_ensemble_mean", "p_ensemble_range")], F.lit("").alias("confidence"), *[F.lit("").alias(f"top_driver_{k}") for k in (1, 2, 3)])
     g = fit(train, trees=trees)
+    d.unpersist()
     return g.predict(d.where(F.col("rn") == last).drop("y")).select("*", *[F.lit(x).alias(f"top_driver_{k}") for k, (x, _) in enumerate(g.drivers(3), 1)])
 
 
@@ -109,6 +110,7 @@ def walk_forward(features: DataFrame, labels: DataFrame, target: str = "stress_2
         g = fit(train, trees=trees)
         row = g.predict(d.where(F.col("i") == i)).select("*", *[F.lit(x).alias(f"top_driver_{k}") for k, (x, _) in enumerate(g.drivers(3), 1)])
         out = row if out is None else out.unionByName(row)
+    d.unpersist()
     if out is None:
         raise ValueError(f"no evaluation date in {n} rows")
     return out.join(d.select("rn", F.col("y").alias("realised")), "rn")

@@ -20,6 +20,7 @@ def layers(backtest: DataFrame, body: DataFrame, crisis: DataFrame, stable: Data
     return d.crossJoin(F.broadcast(drift.select(F.col("drift"), F.col("status").alias("drift_status")))).crossJoin(F.broadcast(options.select("mean_gap")))  # one row each
 
 
+# Fixed values in the rules and scores below: limits and weights that verdicts depend on.
 def _rules() -> dict[str, list[tuple[Column | None, str, float]]]:
     """Per check: conditions in order, each with its status and weight; the last has no condition."""
     c = F.col
@@ -82,14 +83,14 @@ def validity_score(d: DataFrame) -> DataFrame:
 
 
 def scored_models(body: DataFrame, backtest: DataFrame, stable: DataFrame, crisis: DataFrame, brier: DataFrame) -> DataFrame:
-    """One row per model with the parts of its score; brier (model, brier) may lack models."""
+    """One row per model with the parts of its score; brier (model, brier) and crisis, which a series without crisis windows leaves empty, may lack models."""
     at = lambda a, name: F.max(F.when(F.round("alpha", 6) == a, F.col(name)))
     passed = lambda a: F.when(at(a, "overall_verdict") == "PASS", "PASS").otherwise("FAIL")
     b = backtest.groupBy("model").agg(passed(0.05).alias("var_5pct_verdict"), passed(0.01).alias("var_1pct_verdict"), at(0.05, "es_severity_ratio").alias("es_severity_ratio"))
     s = stable.groupBy("model").agg(F.max("aggregation_sensitive").alias("aggregation_sensitive"))
     k = crisis.select("model", F.col("coverage_at_eps").alias("crisis_coverage"), F.col("precision_at_eps").alias("crisis_precision"), "precision_trap", "n_archetypes_pass", "n_archetypes_fail")
-    d = reduce(lambda x, y: x.join(y, "model"), [body.select("model", "ks_stat", "wasserstein", "acf_sq_error", "tail_mass_ratio"), b, s, k])
-    return validity_score(d.join(brier, "model", "left"))
+    d = reduce(lambda x, y: x.join(y, "model"), [body.select("model", "ks_stat", "wasserstein", "acf_sq_error", "tail_mass_ratio"), b, s])
+    return validity_score(d.join(k, "model", "left").join(brier, "model", "left"))
 
 
 def leaderboard(scored: DataFrame) -> DataFrame:

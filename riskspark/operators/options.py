@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, RiskConfig
 from ..functions.columns import bs_put, implied_vol, normal_cdf, normal_pdf
+from ..functions.quantiles import quantiles
+
+
+def with_spot(chain: DataFrame, spots: DataFrame) -> DataFrame:
+    """Adds spot to a chain of ticker, last_price and more: the ticker's price in spots (ticker, spot), else the median last price of its contracts."""
+    median = quantiles(chain, F.col("last_price"), (0.5,), ("ticker",)).select("ticker", F.col("q")[0].alias("_median"))
+    d = chain.join(spots.select("ticker", F.col("spot").alias("_spot")), "ticker", "left").join(median, "ticker", "left")
+    return d.withColumn("spot", F.coalesce("_spot", "_median")).drop("_spot", "_median")
 
 
 def quoted(chain: DataFrame) -> DataFrame:
@@ -38,9 +46,11 @@ def physical(chain: DataFrame, each: DataFrame) -> DataFrame:
     """Adds physical_prob_itm and physical_expected_payoff per strike, from the paths' returns.
 
     Paths are sorted into the gaps between the distinct strikes by one array of them (a chain's strikes are few), counted
-    and summed per gap, and running sums over the gaps answer every strike: no strike meets every path.
+    and summed per gap, and running sums over the gaps answer every strike: no strike meets every path. A chain with
+    several spots, so with several underlyings, is refused.
     """
-    spot = chain.agg(F.first("spot").alias("spot"), F.array_sort(F.collect_set("strike")).alias("ks"), F.lit(1).alias("one"))
+    single = F.when(F.min("spot") == F.max("spot"), F.min("spot")).when(F.count("spot") > 0, F.raise_error(F.lit("a chain of one underlying is wanted: its spots differ")).cast("double"))
+    spot = chain.agg(single.alias("spot"), F.array_sort(F.collect_set("strike")).alias("ks"), F.lit(1).alias("one"))
     s = each.crossJoin(F.broadcast(spot)).select((F.col("spot") * F.exp("cum")).alias("s_t"), "ks")  # one row
     gaps = s.groupBy(F.size(F.filter("ks", lambda k: k <= F.col("s_t"))).alias("gap")).agg(F.count("*").alias("n"), F.sum("s_t").alias("total"))
     w = Window.partitionBy(F.lit(0)).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)

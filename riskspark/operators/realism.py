@@ -97,6 +97,7 @@ def archetypes(crisis: DataFrame, k: int = 5, seed: int = 42, starts: int = 10)
     z = VectorAssembler(inputCols=[f"z_{c}" for c in FEATURES], outputCol="z").transform(z).cache()
     fits = [KMeans(k=k, featuresCol="z", predictionCol="c", seed=seed + i).fit(z) for i in range(starts)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
+    z.unpersist()
     at = FEATURES.index("max_drawdown")
     order = sorted(range(len(best.clusterCenters())), key=lambda i: float(best.clusterCenters()[i][at]))
     number = F.element_at(F.create_map(*[F.lit(x) for i, c in enumerate(order) for x in (c, i)]), F.col("c")).cast("long")

@@ -14,6 +14,7 @@ from ..operators import realism as re_
 from ..operators import scenarios as sc
 from ..operators import validation as va
 from ..operators import walkforward as wf
+from ..sources import files
 from ..sources import tables as t
 from .queries import _complete, _features, _puts, _real, _scored, query, rounded
 
@@ -41,6 +42,21 @@ def opt_spot(spark, sf):
     return rounded(op.spot(t.panel(spark, sf)))
 
 
+@query
+def src_single_series(spark, sf):
+    """One ticker's closes, a date and a value, as a panel."""
+    one = t.panel(spark, sf).where("ticker = '1-URGENT'").select("dt", "close")
+    return rounded(files.panel_of(one, "dt", "1-URGENT").withColumn("dt", F.col("dt").cast("string")))
+
+
+@query
+def opt_spot_fallback(spark, sf):
+    """Contracts of three tickers, one of which has no price: its spot is its contracts' median last price."""
+    name = F.element_at(F.array(F.lit("1-URGENT"), F.lit("2-HIGH"), F.lit("NO-PRICE")), (1 + F.col("contract_id") % 3).cast("int"))
+    d = t.chain(spark, sf).select("contract_id", name.alias("ticker"), ((F.col("bid") + F.col("ask")) / 2).alias("last_price"))
+    return rounded(op.with_spot(d, op.spot(t.panel(spark, sf))).select("contract_id", "ticker", "spot"))
+
+
 @query
 def opt_call_chain(spark, sf):
     return rounded(op.quoted(t.calls(spark, sf)))
@@ -166,7 +182,7 @@ def model_health(spark, sf):
 
 @query
 def health_table(spark, sf):
-    return rounded(he.health_table(_checks(spark, sf)).drop("detail"))
+    return rounded(he.health_table(rounded(_checks(spark, sf))))
 
 
 @query
@@ -175,3 +191,16 @@ def leaderboard(spark, sf):
     brier = rounded(va.calibration(t.forecasts(spark, sf))).select(F.lit("boot").alias("model"), "brier")
     d = he.scored_models(body_realism(spark, sf), rounded(va.var_backtest(real, models)), pathwise_stability(spark, sf), crisis_report(spark, sf), brier)
     return rounded(he.leaderboard(d))
+
+
+@query
+def leaderboard_split(spark, sf):
+    """As leaderboard, but backtests read the last fifth of the series and crises the first four fifths."""
+    train, test = fe.split(_real(spark, sf))
+    models = t.models(spark, sf)
+    typed = re_.by_rule(fe.crisis_windows(fe.window_features(train.withColumn("series", F.lit(t.SERIES)))))
+    crisis = rounded(re_.crisis_report(typed, re_.path_windows(train, t.model_arrays(spark, sf))))
+    body = rounded(re_.body_realism(test.withColumn("series", F.lit(t.SERIES)), models))
+    brier = rounded(va.calibration(t.forecasts(spark, sf))).select(F.lit("boot").alias("model"), "brier")
+    d = he.scored_models(body, rounded(va.var_backtest(test, models)), rounded(re_.stability(test, models)), crisis, brier)
+    return rounded(he.leaderboard(d))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..operators.gate import COLUMNS
 from ..operators.realism import ARCHETYPES, FEATURES
 from ..operators.validation import QUANTILES
@@ -78,7 +80,15 @@ ly AS (SELECT * FROM (SELECT * FROM h1 WHERE alpha = 0.05) JOIN h2 USING (model)
 ck AS ({" UNION ALL ".join(f"SELECT model, '{k}' AS check_name, {_S[k]} AS status, CAST({_W[k]} AS DOUBLE) AS confidence_weight, {_F[k]} AS figure FROM ly" for k in _S)}),
 ch AS (SELECT model, avg(confidence_weight) AS score, count(*) FILTER (status IN ('PASS', 'LOW', 'NARROW')) AS n_pass, count(*) FILTER (status IN ('WARNING', 'MODERATE', 'HIGH')) AS n_warning, count(*) FILTER (status = 'FAIL') AS n_fail FROM ck GROUP BY 1),
 ho AS (SELECT *, CASE WHEN round(score, 9) >= 0.75 THEN 'HIGH' WHEN round(score, 9) >= 0.45 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM ch)"""
-LEADER = f"""WITH b0 AS ({BODY}), b1 AS ({o.ORACLE["var_backtest_multi"]}), b2 AS ({STABILITY}), b3 AS ({REPORT}), b4 AS ({o.ORACLE["calibration_metrics"]}),
+def _part(sql: str, part: str) -> str:
+    """The SQL over a part of the series; the models' paths are drawn from the whole of it."""
+    held = f"{MODEL}, part AS ({part})"
+    return held.join(re.sub(r"\bret\b", "part", x) for x in sql.split(MODEL))
+
+
+_CUT = "(SELECT CAST(floor(count(*)*0.8) AS BIGINT) FROM ret)"
+_TRAIN, _TEST = f"SELECT * FROM ret WHERE rn <= {_CUT}", f"SELECT rn - {_CUT} AS rn, dt, r FROM ret WHERE rn > {_CUT}"
+_LEADER = f"""b4 AS ({o.ORACLE["calibration_metrics"]}),
 bt AS (SELECT model, CASE WHEN max(overall_verdict) FILTER (alpha = 0.05) = 'PASS' THEN 'PASS' ELSE 'FAIL' END AS var_5pct_verdict, CASE WHEN max(overall_verdict) FILTER (alpha = 0.01) = 'PASS' THEN 'PASS' ELSE 'FAIL' END AS var_1pct_verdict, max(es_severity_ratio) FILTER (alpha = 0.05) AS es_severity_ratio FROM b1 GROUP BY 1),
 al AS (SELECT b0.model, ks_stat, wasserstein, acf_sq_error, tail_mass_ratio, var_5pct_verdict, var_1pct_verdict, es_severity_ratio, aggregation_sensitive, coverage_at_eps AS crisis_coverage, precision_at_eps AS crisis_precision, precision_trap, n_archetypes_pass, n_archetypes_fail, CASE WHEN b0.model = 'boot' THEN brier END AS brier
  FROM b0 JOIN bt USING (model) JOIN (SELECT model, bool_or(aggregation_sensitive) AS aggregation_sensitive FROM b2 GROUP BY 1) USING (model) JOIN b3 USING (model) CROSS JOIN (SELECT brier FROM b4)),
@@ -92,6 +102,8 @@ _LINE = """CASE WHEN n_fail > 0 THEN n_fail || ' validation layers fail: do not
 ORACLE = {
     "null_drop_all": f"WITH {PANEL}, {VIX} SELECT CAST(dt AS VARCHAR) AS dt, count(*) AS n FROM vx JOIN panel USING (dt) GROUP BY vx.dt, dt",
     "opt_spot": f"WITH {PANEL} SELECT ticker, {r('max_by(close, dt)')} AS spot FROM panel GROUP BY 1",
+    "src_single_series": f"WITH {PANEL} SELECT CAST(dt AS VARCHAR) AS dt, ticker, {r('close')} AS close FROM panel WHERE ticker = '1-URGENT'",
+    "opt_spot_fallback": f"WITH {CHAIN}, {PANEL}, lp AS (SELECT contract_id, CASE contract_id % 3 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' ELSE 'NO-PRICE' END AS ticker, (bid + ask)/2 AS last_price FROM chain), sp AS (SELECT ticker, max_by(close, dt) AS px FROM panel GROUP BY 1), me AS (SELECT ticker, quantile_cont(last_price, 0.5) AS med FROM lp GROUP BY 1) SELECT contract_id, lp.ticker, {r('coalesce(px, med)')} AS spot FROM lp LEFT JOIN sp USING (ticker) JOIN me USING (ticker)",
     "opt_call_chain": f"WITH {CHAIN}, x AS (SELECT contract_id, spot, strike, t_years, open_interest, volume, (ask - bid)/2 AS half, greatest((bid + ask)/2 + spot - strike*exp(-0.045*t_years), (ask - bid)/2 + 0.01) AS c0 FROM chain) SELECT contract_id, open_interest, volume, {cols('spot strike t_years')}, {r('c0 - half')} AS bid, {r('c0 + half')} AS ask, {r('c0')} AS mid, {r('2*half')} AS bid_ask, {r('strike/spot')} AS moneyness, {r('2*half/c0')} AS bid_ask_pct FROM x",
     "put_ui_filter": f"WITH {CHAIN} SELECT contract_id FROM liquid WHERE coalesce(open_interest, 0) >= 250 AND round(bid_ask_pct, 9) <= 0.10",
     "bs_call": f"WITH {CHAIN}, x AS (SELECT *, (ln(spot/strike) + CAST(0.045 AS DOUBLE)*t_years)/(0.2*sqrt(t_years)) + 0.2*sqrt(t_years)/2 AS a FROM chain), y AS (SELECT *, a - 0.2*sqrt(t_years) AS b FROM x) SELECT contract_id, {r(f'spot*{phi(chr(97))} - strike*exp(-0.045*t_years)*{phi(chr(98))}')} AS bs_call FROM y",
@@ -111,6 +123,7 @@ ORACLE = {
     "crisis_report": REPORT,
     "health_checks": f'{HEALTH} SELECT model, check_name AS "check", status, {cols("confidence_weight figure")} FROM ck',
     "model_health": f"{HEALTH} SELECT model, {r('score')} AS confidence_score, n_pass, n_warning, n_fail, confidence, {_LINE} AS headline FROM ho",
-    "health_table": f'{HEALTH} SELECT model, check_name AS "check", status, {cols("confidence_weight")} FROM ck UNION ALL SELECT model, \'OVERALL\', confidence, {r("score")} FROM ho',
-    "leaderboard": LEADER,
+    "health_table": f'{HEALTH} SELECT model, check_name AS "check", status, {cols("confidence_weight")}, status || \' at \' || coalesce(printf(\'%.2f\', {r("figure")}), \'no figure\') AS detail FROM ck UNION ALL SELECT model, \'OVERALL\', confidence, {r("score")}, {_LINE} FROM ho',
+    "leaderboard": f"WITH b0 AS ({BODY}), b1 AS ({o.ORACLE['var_backtest_multi']}), b2 AS ({STABILITY}), b3 AS ({REPORT}), {_LEADER}",
+    "leaderboard_split": f"WITH b0 AS ({_part(BODY, _TEST)}), b1 AS ({_part(o.ORACLE['var_backtest_multi'], _TEST)}), b2 AS ({_part(STABILITY, _TEST)}), b3 AS ({_part(REPORT, _TRAIN)}), {_LEADER}",
 }
