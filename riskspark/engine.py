@@ -87,11 +87,15 @@ class Engine:
         if not any(math.isclose(t, x) for x in terms):
             raise ValueError(f"no options of term {t}")
         puts = op.bs_metrics(op.liquid(op.quoted(self.chain.where(F.abs(F.col("t_years") - t) < 1e-9))))
-        scored = op.scored(op.physical(puts, sc.per_path(self.paths(n_sims, horizon))))
-        summary = one(op.summary(scored))
-        if not summary.get("n_options"):
-            raise ValueError("no liquid puts")
-        return {"t_years": t, **self.regime(), "vol_surface": one(op.vol_surface(puts)), "disagreement_summary": summary, "top_disagreements": [clean(r.asDict()) for r in op.top(scored, top).collect()]}
+        scored = op.scored(op.physical(puts, sc.per_path(self.paths(n_sims, horizon)))).persist()  # the contracts of one term, read twice below
+        try:
+            summary = one(op.summary(scored))
+            if not summary.get("n_options"):
+                raise ValueError("no liquid puts")
+            best = [clean(r.asDict()) for r in op.top(scored, top).collect()]
+        finally:
+            scored.unpersist()
+        return {"t_years": t, **self.regime(), "vol_surface": one(op.vol_surface(puts)), "disagreement_summary": summary, "top_disagreements": best}
 
     def monitor_row(self, ticker: str, at: str, n_sims: int = 5000, horizon: int = 20) -> DataFrame:
         """One flat row for the monitoring log; keys carry the prefix of their part."""

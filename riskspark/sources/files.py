@@ -30,7 +30,8 @@ def paths_csv(spark: SparkSession, path: str, model: str = "model") -> DataFrame
     """model, sim_id, step, r from a matrix with a header, a row per simulation and a column per step."""
     d = _csv(spark, path)
     row = F.array(*[F.col(f"`{c}`").cast("double") for c in d.columns])
-    return d.select(F.lit(model).alias("model"), F.monotonically_increasing_id().alias("sim_id"), F.posexplode(row).alias("step", "r")).withColumn("step", F.col("step").cast("long"))
+    numbered = d.select(F.monotonically_increasing_id().alias("sim_id"), row.alias("a"))  # before the steps, or each of them is numbered
+    return numbered.select(F.lit(model).alias("model"), "sim_id", F.posexplode("a").alias("step", "r")).withColumn("step", F.col("step").cast("long"))
 
 
 def panel_of(prices: DataFrame, date: str = "dt", ticker: str | None = None) -> DataFrame:

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from riskspark import benchmark, monitor, validate
 from riskspark.engine import Engine, clean, report
 from riskspark.functions.columns import bs_price
 from riskspark.functions.quantiles import quantiles
 from riskspark.operators import features as fe
-from riskspark.operators import gate, realism
+from riskspark.operators import gate, options, realism
 from riskspark.operators import scenarios as sc
 from riskspark.operators import walkforward as wf
+from riskspark.operators.health import CHECKS
 from riskspark.sources import files
 from riskspark.sources import tables as t
+from riskspark.streaming.monitor import append
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,7 +89,8 @@ def test_readers_and_report(spark, tmp_path):
     (tmp_path / "p.csv").write_text("a,b\n0.1,0.2\n0.3,-0.4\n")
     assert [(r.rn, r.r) for r in files.returns_csv(spark, str(tmp_path / "r.csv")).orderBy("rn").collect()] == [(1, -0.2), (2, 0.1)]
     p = files.paths_csv(spark, str(tmp_path / "p.csv"))
-    assert sorted((r.step, r.r) for r in p.collect()) == [(0, 0.1), (0, 0.3), (1, -0.4), (1, 0.2)]
+    whole = p.groupBy("sim_id").agg(F.sort_array(F.collect_list(F.struct("step", "r"))).alias("s")).collect()
+    assert sorted([x.r for x in r.s] for r in whole) == [[0.1, 0.2], [0.3, -0.4]] and {x.step for r in whole for x in r.s} == {0, 1}
     page = report("A & B", {"t": spark.createDataFrame([("PASS", 1.5, None)], "verdict string, x double, y string")})
     assert "A &amp; B" in page and "<b style" in page
     files.write_json(spark.createDataFrame([(float("nan"), 1)], "x double, k int"), str(tmp_path / "j"))
@@ -127,3 +133,92 @@ def test_engine_risk_and_monitor_row(spark):
     assert 0 <= r["lambda_t"] <= 1 and r["stress_metrics"]["es_5pct"] >= r["stress_metrics"]["var_5pct"] and r["evt_fit"]["sigma"] > 0
     row = e.monitor_row("T", "2024-01-01", n_sims=1000).first().asDict()
     assert row["ticker"] == "T" and row["model_var_5pct"] == pytest.approx(r["stress_metrics"]["var_5pct"])
+
+
+@pytest.fixture(scope="module")
+def csvs(spark, tmp_path_factory):
+    """Prices of two tickers, a volatility level, a chain without spot or ids, returns, and paths of two models."""
+    d = tmp_path_factory.mktemp("csv")
+    rng = np.random.default_rng(7)
+    n = 700
+    days = [str(x) for x in np.datetime64("2020-01-01") + np.arange(n)]
+    shocks = rng.standard_t(4, size=(n, 2)) * 0.01
+    close = 100 * np.exp(np.cumsum(shocks, axis=0))
+    (d / "prices.csv").write_text("date,AA,BB\n" + "".join(f"{x},{a},{b}\n" for x, (a, b) in zip(days, close, strict=True)))
+    (d / "vix.csv").write_text("date,level\n" + "".join(f"{x},{15 + 5 * rng.random()}\n" for x in days))
+    (d / "real.csv").write_text("date,r\n" + "".join(f"{x},{a}\n" for x, a in zip(days, shocks[:, 0], strict=True)))
+    spot = close[-1, 0]
+    rows = [(spot * k, t, max(spot * (k - 1), 0) + 2 + k) for t in (0.1, 0.2) for k in (0.9, 0.95, 1.0, 1.05)]
+    (d / "chain.csv").write_text("strike,t_years,bid,ask,open_interest,volume,last_price\n" + "".join(f"{k},{t},{m * 0.98},{m * 1.02},500,50,{m}\n" for k, t, m in rows))
+    for name, scale in (("near", 1.0), ("far", 3.0)):
+        p = rng.standard_t(4, size=(150, 25)) * 0.01 * scale
+        (d / f"{name}.csv").write_text(",".join(f"s{i}" for i in range(25)) + "\n" + "".join(",".join(map(str, x)) + "\n" for x in p))
+    return d, spot
+
+
+def test_validation_of_a_csv_writes_all_its_outputs(spark, csvs, tmp_path):
+    d, _ = csvs
+    validate.main(["--real", str(d / "real.csv"), "--synthetic", str(d / "near.csv"), "--model-name", "near", "--out", str(tmp_path)])
+    metrics = json.loads((tmp_path / "metrics.json").read_text())
+    assert metrics["health"][0]["confidence"] in ("HIGH", "MEDIUM", "LOW") and metrics["body realism"][0]["model"] == "near"
+    table = spark.read.option("header", True).csv(str(tmp_path / "diagnostics" / "csv"))
+    assert {r.check for r in table.collect()} == {*CHECKS, "OVERALL"}
+    status = {r.check: r.status for r in table.collect()}
+    assert status["regime_drift"] == "UNKNOWN" and status["options_disagreement"] == "UNKNOWN"  # neither was given
+    assert spark.read.option("header", True).csv(str(tmp_path / "VaR_and_ES" / "csv")).count() == 6
+    assert spark.read.parquet(str(tmp_path / "archetypes" / "parquet")).count() == metrics["crisis coverage"][0]["n_archetypes_tested"] == 5
+    assert metrics["crisis coverage"][0]["n_synthetic_windows"] == 150 * 6
+    assert "near" in (tmp_path / "report.html").read_text()
+    with pytest.raises(SystemExit):
+        validate.main(["--real", str(d / "real.csv")])
+
+
+def test_benchmark_ranks_models(spark, csvs, tmp_path):
+    d, _ = csvs
+    benchmark.main(["--real", str(d / "real.csv"), "--model", f"near={d / 'near.csv'}", "--model", f"far={d / 'far.csv'}", "--brier", "near=0.05", "--out", str(tmp_path)])
+    board = {r["model"]: r for r in json.loads((tmp_path / "leaderboard.json").read_text())}
+    assert board["near"]["rank"] == 1 and board["far"]["rank"] == 2 and board["near"]["brier"] == 0.05 and board["far"]["brier"] is None
+    assert "HIGH from 70" in (tmp_path / "leaderboard.html").read_text()
+
+
+def test_monitor_appends_a_row_a_run_and_shows_its_tail(spark, csvs, tmp_path, capsys):
+    d, spot = csvs
+    log = str(tmp_path / "log")
+    monitor.main(["--ticker", "AA", "--prices", str(d / "prices.csv"), "--vix", str(d / "vix.csv"), "--chain", str(d / "chain.csv"), "--n-sims", "1000", "--log", log])
+    append(spark.createDataFrame([("AA", "9999", 0.5)], "ticker string, run_timestamp string, lambda_t double"), log)  # a run without options
+    monitor.main(["--summary", "--log", log])
+    rows = spark.read.option("mergeSchema", "true").parquet(log).orderBy("run_timestamp").collect()
+    assert len(rows) == 2 and rows[0]["options_n_options"] == 4 and rows[0]["options_atm_implied_vol"] > 0 and rows[1]["options_n_options"] is None
+    assert "lambda_t" in capsys.readouterr().out
+    e = Engine.of_csv(spark, "AA", str(d / "prices.csv"), str(d / "vix.csv"), str(d / "chain.csv"))
+    assert e.chain.select("spot").distinct().first().spot == pytest.approx(spot) and e.expiries() == [0.1, 0.2]
+    with pytest.raises(ValueError):
+        Engine.of_csv(spark, "ZZ", str(d / "prices.csv"), str(d / "vix.csv"))
+
+
+def test_a_chain_of_two_underlyings_is_refused(spark):
+    each = spark.createDataFrame([(1, -0.1), (2, 0.1)], "sim_id long, cum double")
+    chain = spark.createDataFrame([(1, 100.0, 90.0), (2, 50.0, 45.0)], "contract_id long, spot double, strike double")
+    with pytest.raises(Exception, match="one underlying"):
+        options.physical(chain, each).collect()
+
+
+def test_one_series_becomes_a_panel_and_several_are_refused(spark):
+    d = spark.createDataFrame([("2020-01-01", 1.0, 2.0)], "dt string, x double, y double")
+    assert files.panel_of(d.drop("y"), "dt", "T").collect() == [("2020-01-01", "T", 1.0)]
+    assert {(r.ticker, r.close) for r in files.panel_of(d).collect()} == {("x", 1.0), ("y", 2.0)}
+    with pytest.raises(ValueError):
+        files.panel_of(d, "dt", "T")
+
+
+def test_the_gate_walks_forward_over_its_dates_only(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=260)
+    feats = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "rn long, vol_5d double")
+    labels = spark.createDataFrame([(i, int(v > 0.3)) for i, v in enumerate(x)], "rn long, stress_20d int")
+    rows = gate.walk_forward(feats, labels, least=100, every=60, tail=63, trees=2).orderBy("rn").collect()
+    assert [r.rn for r in rows] == [100, 160] and all(r.top_driver_1 == "vol_5d" for r in rows)
+    assert [r.realised for r in rows] == [int(x[100] > 0.3), int(x[160] > 0.3)]
+    assert all((r.p_ensemble_mean > 0.5) == bool(r.realised) for r in rows)
+    with pytest.raises(ValueError):
+        gate.walk_forward(feats, labels, least=250, trees=2)
