@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, media, mixing, near_dedup, neighbours, packing, sharding, toxicity, urls, warc
+from . import decontaminate, infill, line_dedup, media, mixing, near_dedup, neighbours, packing, sharding, toxicity, urls, warc, whitening
 from .common import table
 
 
@@ -56,6 +56,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_residue_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_of(whitening.whitened(table(spark, sf_dir, "embeddings")))
+
+
+def op12_checkpoint_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,9 +75,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mixing, op2_url_filter, op3_hyperminhash, op4_vantage_point, op5_label_propagation, op6_media, op7_line_runs, op8_warc_zst, op9_bin_slack, op10_toxicity, pipeline)
+    own = (op1_mixing, op2_url_filter, op3_hyperminhash, op4_vantage_point, op5_label_propagation, op6_media, op7_line_runs, op8_warc_zst, op9_bin_slack, op10_toxicity, op11_residue_whitening, op12_checkpoint_infill, op13_prefix_join, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": urls.oracle_sql(), "op7_line_runs": line_dedup.ORACLE_SQL, "op8_warc_zst": warc.ORACLE_SQL}
+    return {"op2_url_filter": urls.oracle_sql(), "op7_line_runs": line_dedup.ORACLE_SQL, "op8_warc_zst": warc.ORACLE_SQL, "op12_checkpoint_infill": infill.ORACLE_SQL, "op13_prefix_join": decontaminate.ORACLE_SQL}
