@@ -50,6 +50,11 @@ def r6(c: Column) -> Column:
     return F.round(c, 6) + F.lit(0.0)
 
 
+def at_least(c: Column | str, cut: Column | str) -> Column:
+    """c >= cut at nine places, so that values which differ by rounding alone are ties."""
+    return F.round(c, 9) >= F.round(cut, 9)
+
+
 def over(before: int, after: int = 0, by: str = "series", order: str = "rn") -> Window:
     return Window.partitionBy(by).orderBy(order).rowsBetween(-before, after)
 

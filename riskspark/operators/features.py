@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, RiskConfig
-from ..functions.columns import ahead, drawdown, over, rolling
+from ..functions.columns import ahead, at_least, drawdown, over, rolling
 
 WINDOWS = (5, 10, 20, 60)
 ANNUAL = 252**0.5
@@ -103,7 +103,7 @@ def of_windows(d: DataFrame, width: int, *keys: F.Column) -> DataFrame:
 def crisis_windows(features: DataFrame) -> DataFrame:
     """Windows of the highest 5 % volatility or the deepest 5 % drawdown."""
     cut = features.agg(F.percentile("realised_vol_ann", F.lit(0.95)).alias("hi"), F.percentile("max_drawdown", F.lit(0.05)).alias("low"))
-    return features.crossJoin(F.broadcast(cut)).where((F.col("realised_vol_ann") >= F.col("hi")) | (F.col("max_drawdown") <= F.col("low"))).drop("hi", "low")  # one row
+    return features.crossJoin(F.broadcast(cut)).where(at_least("realised_vol_ann", "hi") | at_least("low", "max_drawdown")).drop("hi", "low")  # one row
 
 
 def regime(features: DataFrame, config: RiskConfig = DEFAULT) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, RiskConfig
 from ..functions.columns import bs_put, implied_vol, normal_cdf, normal_pdf
 from ..functions.quantiles import quantiles
+from ..functions.running import running
+from ..store import written
+from .scenarios import weight
 
 
 def with_spot(chain: DataFrame, spots: DataFrame) -> DataFrame:
@@ -43,34 +46,36 @@ def vol_surface(chain: DataFrame) -> DataFrame:
 
 
 def physical(chain: DataFrame, each: DataFrame) -> DataFrame:
-    """Adds physical_prob_itm and physical_expected_payoff per strike, from the paths' returns.
+    """Adds physical_prob_itm and physical_expected_payoff per strike, from the paths' returns cum (of n simulations each).
 
-    Paths are sorted into the gaps between the distinct strikes by one array of them (a chain's strikes are few), counted
-    and summed per gap, and running sums over the gaps answer every strike: no strike meets every path. A chain with
-    several spots, so with several underlyings, is refused.
+    A sorted merge: terminal prices, counted and summed per distinct price before the shuffle, and distinct strikes become one
+    table of values, and running sums over its ranges answer every strike. No strike meets a path, and no row or task holds all
+    strikes. A chain with several spots, so with several underlyings, is refused.
     """
     single = F.when(F.min("spot") == F.max("spot"), F.min("spot")).when(F.count("spot") > 0, F.raise_error(F.lit("a chain of one underlying is wanted: its spots differ")).cast("double"))
-    spot = chain.agg(single.alias("spot"), F.array_sort(F.collect_set("strike")).alias("ks"), F.lit(1).alias("one"))
-    s = each.crossJoin(F.broadcast(spot)).select((F.col("spot") * F.exp("cum")).alias("s_t"), "ks")  # one row
-    gaps = s.groupBy(F.size(F.filter("ks", lambda k: k <= F.col("s_t"))).alias("gap")).agg(F.count("*").alias("n"), F.sum("s_t").alias("total"))
-    w = Window.partitionBy(F.lit(0)).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    strikes = chain.select("strike").distinct().withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("strike")))
-    runs = strikes.join(gaps.withColumn("i", F.col("gap") + 1), "i", "left").select("strike", "i", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("below"), F.coalesce(F.sum("total").over(w), F.lit(0.0)).alias("sum_below"))
-    n = each.agg(F.count("*").alias("paths"))
-    runs = runs.crossJoin(F.broadcast(n)).select("strike", (F.col("below") / F.col("paths")).alias("physical_prob_itm"), ((F.col("strike") * F.col("below") - F.col("sum_below")) / F.col("paths")).alias("physical_expected_payoff"))
-    return chain.join(runs, "strike")
+    spot = chain.agg(single.alias("spot"))
+    n = weight(each)
+    prices = each.select("cum", n.alias("n")).groupBy("cum").agg(F.sum("n").alias("n")).crossJoin(F.broadcast(spot)).select((F.col("spot") * F.exp("cum")).alias("v"), "n")  # one row
+    points = prices.select("v", "n", (F.col("v") * F.col("n")).alias("total"), F.lit(0).alias("strike"))
+    strikes = chain.select(F.col("strike").alias("v")).distinct().select("v", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("total"), F.lit(1).alias("strike"))
+    merged = points.unionByName(strikes).where("v is not null").groupBy("v").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("strike").alias("strike"))
+    merged = written(merged, "merged")
+    paths = merged.agg(F.sum("n").alias("paths"))
+    d = running(merged, "v", ("n", "total")).where("strike = 1").crossJoin(F.broadcast(paths))  # one row
+    below, total = F.col("upto_n") - F.col("n"), F.col("upto_total") - F.col("total")
+    d = d.select(F.col("v").alias("strike"), (below / F.col("paths")).alias("physical_prob_itm"), ((F.col("v") * below - total) / F.col("paths")).alias("physical_expected_payoff"))
+    return chain.join(d, "strike")
 
 
 def scored(chain: DataFrame, config: RiskConfig = DEFAULT) -> DataFrame:
-    """Adds the probability gap, payoff against mid, liquidity, confidence, score and interpretation."""
+    """Adds the probability gap, payoff against mid, liquidity, confidence, score and interpretation. chain is read several times: write it first."""
     n = chain.agg(F.count("*").alias("n_rows"))
 
     def ranked(d: DataFrame, c: str) -> DataFrame:
-        """Adds rank_c, the average rank's share: rows are counted per distinct value, and only those counts meet in one task."""
+        """Adds rank_c, the average rank's share, from the running counts of the distinct values."""
         value = F.coalesce(F.col(c), F.lit(0))
-        counts = chain.groupBy(value.alias(f"value_{c}")).agg(F.count("*").alias("k"))
-        upto = F.sum("k").over(Window.partitionBy(F.lit(0)).orderBy(f"value_{c}").rowsBetween(Window.unboundedPreceding, 0))
-        counts = counts.select(f"value_{c}", ((2 * upto - F.col("k") + 1) / 2).alias(f"rank_{c}"))
+        counts = written(chain.groupBy(value.alias(f"value_{c}")).agg(F.count("*").alias("k")), "ranks")
+        counts = running(counts, f"value_{c}", ("k",)).select(f"value_{c}", ((2 * F.col("upto_k") - F.col("k") + 1) / 2).alias(f"rank_{c}"))
         return d.withColumn(f"value_{c}", value).join(counts, f"value_{c}").drop(f"value_{c}").withColumn(f"rank_{c}", F.col(f"rank_{c}") / F.col("n_rows"))
 
     d = ranked(ranked(chain.crossJoin(F.broadcast(n)), "open_interest"), "volume").withColumn("gap", F.col("physical_prob_itm") - F.col("risk_neutral_prob_itm"))  # one row

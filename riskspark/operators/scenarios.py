@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, RiskConfig
-from ..functions.columns import drawdown, over
+from ..functions.columns import at_least, drawdown, let, over
+from ..functions.counter import BLOCKS, TAILS, uniform
 from ..functions.quantiles import quantiles
 
 REGIME = ("vol_20d", "drawdown_20d", "ret_20d", "vix_level", "vix_z_252d")
@@ -28,7 +29,7 @@ def block_weights(blocks: DataFrame, features: DataFrame, config: RiskConfig = D
     d = blocks.crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(now))  # one row each
     far = sum((F.pow((F.col(c) - F.col(f"v_{c}")) / F.col(f"s_{c}"), 2) for c in REGIME), F.lit(0.0))
     d = d.withColumn("regime_distance", F.sqrt(far)).withColumn("regime_weight", F.exp(-0.5 * F.pow(F.col("regime_distance") / config.bandwidth, 2)))
-    d = d.withColumn("is_crisis_block", (F.col("block_vol_ann") >= F.col("hi")) | (F.col("block_max_dd") <= F.col("low")))
+    d = d.withColumn("is_crisis_block", at_least("block_vol_ann", "hi") | at_least("low", "block_max_dd"))
     d = d.withColumn("w", F.col("regime_weight") * F.when(F.col("is_crisis_block"), config.crisis_weight).otherwise(1.0))
     total = d.agg(F.sum("w").alias("total"), F.count("*").alias("blocks"))
     d = d.crossJoin(F.broadcast(total)).withColumn("final_sample_weight", F.when(F.col("total") > 0, F.col("w") / F.col("total")).otherwise(1 / F.col("blocks")))
@@ -36,14 +37,14 @@ def block_weights(blocks: DataFrame, features: DataFrame, config: RiskConfig = D
 
 
 def bootstrap(weighted: DataFrame, sims: DataFrame) -> DataFrame:
-    """sim_id, block_id: draws by weight. A draw u meets its interval [lo, hi) by an equi-join on cells of u, not by a cross join."""
+    """sim_id, block_id: draws by weight, each from the counter (simulation, 0). A draw u meets its interval [lo, hi) by an equi-join on cells of u, not by a cross join."""
     # the series' blocks are few (one per day); sims are many and stay distributed
     w = Window.partitionBy(F.lit(0)).orderBy("block_id")
     d = weighted.withColumn("hi", F.sum("final_sample_weight").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("last", F.lead("block_id").over(w).isNull())
     d = d.withColumn("lo", F.coalesce(F.lag("hi").over(w), F.lit(0.0))).withColumn("hi", F.when(F.col("last"), 1.0).otherwise(F.col("hi")))
     cells = F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))
     d = d.select("block_id", "lo", "hi", F.explode(cells).alias("cell"))
-    s = sims.select("sim_id", ((F.col("sim_id") * 1103515245 + 12345) % 2147483648 / 2147483648).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
+    s = sims.select("sim_id", uniform(BLOCKS, F.col("sim_id"), F.lit(0)).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
     return s.join(d, "cell").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("sim_id", "block_id")
 
 
@@ -65,12 +66,15 @@ def evt_fit(exceedances: DataFrame) -> DataFrame:
     return d.select("threshold", "n", (2 - F.col("b0") / gap).alias("xi"), (2 * F.col("b0") * F.col("b1") / gap).alias("sigma"))
 
 
-def tail_step() -> F.Column:
-    """A step of sim_id, step, r under cut, threshold, xi and sigma: what is beyond the cut becomes a draw from the tail."""
-    u = (F.col("sim_id") * 69069 + F.col("step") * 7919 + 1) % 1048573 / 1048573
+def tail_step(step: F.Column | None = None) -> F.Column:
+    """A step of sim_id, step, r under cut, threshold, xi and sigma: what is beyond the cut becomes a draw from the tail.
+
+    The draw's counter is (sim_id, step), or another number of the step where several steps share sim_id and step.
+    """
     flat = F.abs("xi") < 1e-9
-    draw = F.when(flat, -F.col("sigma") * F.ln(1 - u)).otherwise(F.col("sigma") / F.when(flat, 1.0).otherwise(F.col("xi")) * (F.pow(1 - u, -F.col("xi")) - 1))
-    return F.when(-F.col("r") >= F.col("cut"), -(F.col("threshold") + draw)).otherwise(F.col("r"))
+    tail = lambda u: F.when(flat, -F.col("sigma") * F.ln(1 - u)).otherwise(F.col("sigma") / F.when(flat, 1.0).otherwise(F.col("xi")) * (F.pow(1 - u, -F.col("xi")) - 1))
+    u = uniform(TAILS, F.col("sim_id"), F.col("step") if step is None else step)
+    return F.when(-F.col("r") >= F.col("cut"), -(F.col("threshold") + let(u, tail))).otherwise(F.col("r"))
 
 
 def evt_fit_ml(exceedances: DataFrame, grids: tuple[int, ...] = (400, 100, 40), by: tuple[str, ...] = ()) -> DataFrame:
@@ -95,46 +99,62 @@ def evt_fit_ml(exceedances: DataFrame, grids: tuple[int, ...] = (400, 100, 40),
 
 
 def evt_correct(paths: DataFrame, fit: DataFrame, alpha: float = 0.01) -> DataFrame:
-    """Steps in the worst alpha of all become draws from the tail; the draw is a lattice of (sim_id, step)."""
+    """Steps in the worst alpha of all become draws from the tail. paths is read twice: write it first where it is dear."""
     cut = quantiles(paths, -F.col("r"), (1 - alpha,)).select(F.col("q")[0].alias("cut"))
     d = paths.crossJoin(F.broadcast(cut)).crossJoin(F.broadcast(fit))  # one row each
     return d.select("sim_id", "step", tail_step().alias("r"))
 
 
+def weight(paths: DataFrame) -> F.Column:
+    """How many simulations have a row's path: column n, or 1 where there is none."""
+    return F.col("n") if "n" in paths.columns else F.lit(1).cast("long")
+
+
+def as_arrays(paths: DataFrame, by: tuple[str, ...] = ("model", "sim_id")) -> DataFrame:
+    """by, a and n: paths given as arrays a as they are, those given by steps (step, r) gathered by path."""
+    if "a" in paths.columns:
+        return paths.select(*by, "a", weight(paths).alias("n"))
+    d = paths.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("step", "r"))).alias("s"))
+    return d.select(*by, F.transform("s", lambda x: x["r"]).alias("a"), F.lit(1).cast("long").alias("n"))
+
+
 def per_array(paths: DataFrame, by: tuple[str, ...] = ("sim_id",)) -> DataFrame:
-    """cum, max_dd, vol, worst_1d, worst_5d, negative_days of each path, given as an array a of its steps: a narrow map."""
+    """cum, max_dd, vol, worst_1d, worst_5d, negative_days, n of each path, given as an array a of its steps: a narrow map."""
     total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
-    n = F.size("a")
-    d = paths.select(*by, "a", total("a", lambda x: x).alias("cum")).withColumn("mean", F.col("cum") / n)
-    sd = F.sqrt(total("a", lambda x: (x - F.col("mean")) * (x - F.col("mean"))) / n)
-    fives = F.transform(F.sequence(F.lit(1), n - 4), lambda i: total(F.slice("a", i, 5), lambda x: x))
+    k = F.size("a")
+    d = paths.select(*by, "a", weight(paths).alias("n"), total("a", lambda x: x).alias("cum")).withColumn("mean", F.col("cum") / k)
+    sd = F.sqrt(total("a", lambda x: (x - F.col("mean")) * (x - F.col("mean"))) / k)
+    fives = F.transform(F.sequence(F.lit(1), k - 4), lambda i: total(F.slice("a", i, 5), lambda x: x))
     negative = F.size(F.filter("a", lambda x: x < 0)).cast("long")
-    return d.select(*by, "cum", drawdown(F.col("a")).alias("max_dd"), (sd * 252**0.5).alias("vol"), F.array_min("a").alias("worst_1d"), F.when(n >= 5, F.array_min(fives)).alias("worst_5d"), negative.alias("negative_days"))
+    return d.select(*by, "cum", drawdown(F.col("a")).alias("max_dd"), (sd * 252**0.5).alias("vol"), F.array_min("a").alias("worst_1d"), F.when(k >= 5, F.array_min(fives)).alias("worst_5d"), negative.alias("negative_days"), "n")
 
 
 def per_path(paths: DataFrame, by: tuple[str, ...] = ("sim_id",)) -> DataFrame:
     """per_array() of paths given by steps (step, r), which are gathered by path first."""
-    d = paths.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("step", "r"))).alias("s"))
-    return per_array(d.select(*by, F.transform("s", lambda x: x["r"]).alias("a")), by)
+    return per_array(as_arrays(paths, by), by)
 
 
 def path_stats(each: DataFrame, config: RiskConfig = DEFAULT, by: tuple[str, ...] = ()) -> DataFrame:
-    """Drawdown probabilities, value at risk and expected shortfall, quantiles of return and drawdown."""
-    loss, probs = -F.col("cum"), (0.01, 0.05, 0.5)
+    """Drawdown probabilities, value at risk and expected shortfall, quantiles of return and drawdown.
+
+    each, the figures of paths with the number n of simulations that have them, is read twice: write it first where it is dear.
+    """
+    loss, n, probs = -F.col("cum"), weight(each), (0.01, 0.05, 0.5)
     figures = F.explode(F.array(*[F.struct(F.lit(k).alias("figure"), F.col(k).alias("x")) for k in ("cum", "max_dd")]))
-    q = quantiles(each.select(*by, figures.alias("f")).select(*by, "f.figure", "f.x"), F.col("x"), probs, (*by, "figure"))
+    q = quantiles(each.select(*by, n.alias("n"), figures.alias("f")).select(*by, "n", "f.figure", "f.x"), F.col("x"), probs, (*by, "figure"), F.col("n"))
     pick = lambda k: F.max(F.when(F.col("figure") == k, F.col("q"))).alias(f"q_{k}")
     q = q.groupBy(*by).agg(pick("cum"), pick("max_dd"))
     d = each.join(F.broadcast(q), list(by)) if by else each.crossJoin(F.broadcast(q))  # one row per model
     var = {"5pct": -F.col("q_cum")[1], "1pct": -F.col("q_cum")[0]}
     names = {"p01": 0, "p05": 1, "median": 2}
+    share = lambda yes, x: F.sum(F.when(yes, n * x)) / F.sum(F.when(yes, n))
     return d.groupBy(*by).agg(
-        *[F.avg((F.col("max_dd") <= -x).cast("double")).alias(f"p_drawdown_{round(100 * x)}pct") for x in config.drawdown_levels],
+        *[(F.sum(F.when(F.col("max_dd") <= -x, n).otherwise(0)) / F.sum(n)).alias(f"p_drawdown_{round(100 * x)}pct") for x in config.drawdown_levels],
         *[F.first(v).alias(f"var_{k}") for k, v in var.items()],
-        *[F.avg(F.when(loss >= v, loss)).alias(f"es_{k}") for k, v in var.items()],
+        *[share(loss >= v, loss).alias(f"es_{k}") for k, v in var.items()],
         *[F.first(F.col("q_cum")[i]).alias(f"{k}_return") for k, i in names.items()],
         *[F.first(F.col("q_max_dd")[i]).alias(f"{k}_max_dd") for k, i in names.items()],
-        F.avg("vol").alias("mean_vol"),
+        (F.sum(n * F.col("vol")) / F.sum(n)).alias("mean_vol"),
     )
 
 
@@ -149,4 +169,4 @@ def histogram(each: DataFrame, bins: int = 80) -> DataFrame:
     edge = each.agg(F.min("cum").alias("lo"), F.max("cum").alias("hi"))
     d = each.crossJoin(F.broadcast(edge))  # one row
     b = F.least(F.floor((F.col("cum") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins), F.lit(bins - 1))
-    return d.groupBy(F.coalesce(b, F.lit(0)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return d.groupBy(F.coalesce(b, F.lit(0)).cast("long").alias("bin")).agg(F.sum(weight(each)).alias("n"))

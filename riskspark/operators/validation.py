@@ -8,38 +8,50 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions.columns import chi2_tail, log_likelihood
 from ..functions.quantiles import quantiles, value_counts
+from ..functions.running import running
+from ..store import written
+from .scenarios import weight
 
 
-#: Ranges of values in which running counts are taken.
-RANGES = 64
+def step_values(models: DataFrame) -> DataFrame:
+    """model, v, c: how often each value of a step occurs in a model's paths, given as arrays a (of n simulations) or by steps r; such counts as they are."""
+    if "c" in models.columns:
+        return models
+    if "a" in models.columns:
+        models = models.select("model", weight(models).alias("n"), F.explode("a").alias("r"))
+    return value_counts(models, F.col("r"), ("model",), weight(models))
 
 
 def distances(real: DataFrame, models: DataFrame) -> DataFrame:
-    """Per model (model, r) against real (r): Kolmogorov-Smirnov statistic and asymptotic p, Wasserstein-1, from value counts."""
-    counts = value_counts(models, F.col("r"), ("model",)).withColumnsRenamed({"v": "r", "c": "b"})
+    """Per model against real (r): Kolmogorov-Smirnov statistic and asymptotic p, Wasserstein-1, from step_values()."""
+    counts = step_values(models).withColumnsRenamed({"v": "r", "c": "b"})
     names = counts.select("model").distinct()
     own = names.crossJoin(real.groupBy("r").agg(F.count("*").alias("a"))).select("model", "r", "a", F.lit(0).cast("long").alias("b"))  # a copy of the one real series per model
     h = own.unionByName(counts.select("model", "r", F.lit(0).cast("long").alias("a"), "b"))
-    h = h.groupBy("model", "r").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    # ranges of distinct values: running counts within a range, and before it from the few ranges' totals
-    cuts = counts.agg(F.percentile_approx("r", [k / RANGES for k in range(1, RANGES)], 1000).alias("cuts"))
-    h = h.crossJoin(F.broadcast(cuts)).withColumn("k", F.size(F.filter("cuts", lambda c: c <= F.col("r")))).drop("cuts")  # one row
-    all_, upto = Window.partitionBy("model"), Window.partitionBy("model").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    t = h.groupBy("model", "k").agg(F.sum("a").alias("ra"), F.sum("b").alias("rb"), F.min("r").alias("first"))
-    before = lambda c: F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"{c}0")
-    t = t.select("model", "k", before("ra"), before("rb"), F.sum("ra").over(all_).alias("na"), F.sum("rb").over(all_).alias("nb"), F.lead("first").over(Window.partitionBy("model").orderBy("k")).alias("beyond"))
-    w = Window.partitionBy("model", "k").orderBy("r")
-    h = h.join(F.broadcast(t), ["model", "k"])  # at most RANGES rows a model
-    h = h.select("model", "r", ((F.col("ra0") + F.sum("a").over(w)) / F.col("na")).alias("f"), ((F.col("rb0") + F.sum("b").over(w)) / F.col("nb")).alias("g"), "na", "nb", F.coalesce(F.lead("r").over(w), F.col("beyond")).alias("next"))
-    gap = F.abs(F.col("f") - F.col("g"))
+    h = written(h.groupBy("model", "r").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "merged")
+    totals = h.groupBy("model").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    h = running(h, "r", ("a", "b"), ("model",)).join(F.broadcast(totals), "model")  # a row per model
+    gap = F.abs(F.col("upto_a") / F.col("na") - F.col("upto_b") / F.col("nb"))
     d = h.groupBy("model").agg(F.max(gap).alias("ks_stat"), F.sum(gap * (F.col("next") - F.col("r"))).alias("wasserstein"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    x = F.sqrt(F.col("na") * F.col("nb") / (F.col("na") + F.col("nb"))) * F.col("ks_stat")
+    return d.select("model", "ks_stat", ks_tail(F.col("ks_stat"), F.col("na"), F.col("nb")).alias("ks_pval"), "wasserstein")
+
+
+def ks_tail(stat: F.Column, n: F.Column, m: F.Column) -> F.Column:
+    """The asymptotic probability of a distance of at least stat between samples of n and m."""
+    x = F.sqrt(n * m / (n + m)) * stat
     series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2 * k * k * x * x))
-    return d.select("model", "ks_stat", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * series)).alias("ks_pval"), "wasserstein")
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * series))
 
 
 def moments(sample: DataFrame) -> DataFrame:
-    return sample.groupBy("model").agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("sd"), F.skewness("r").alias("skew"), F.kurtosis("r").alias("excess_kurtosis"))
+    """Mean, deviation, skewness and excess kurtosis of all steps of each model, from step_values(): its rows are read twice."""
+    counts = step_values(sample)
+    mean = counts.groupBy("model").agg(F.sum("c").alias("all"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
+    d = counts.join(F.broadcast(mean), "model").withColumn("x", F.col("v") - F.col("mean"))  # a row per model
+    part = lambda k: (F.sum(F.pow("x", F.lit(k)) * F.col("c")) / F.first("all")).alias(f"m{k}")
+    d = d.groupBy("model").agg(F.first("mean").alias("mean"), part(2), part(3), part(4))
+    spread = F.nullif(F.col("m2"), F.lit(0.0))
+    return d.select("model", "mean", F.sqrt("m2").alias("sd"), (F.col("m3") / F.pow(spread, F.lit(1.5))).alias("skew"), (F.col("m4") / (spread * spread) - 3).alias("excess_kurtosis"))
 
 
 # The probabilities whose quantiles are compared.
@@ -51,9 +63,9 @@ def tail_and_quantiles(real: DataFrame, models: DataFrame) -> DataFrame:
     q = real.agg(F.percentile("r", F.array(F.lit(0.005), *[F.lit(p) for p in QUANTILES])).alias("own"))  # one series
     mass = real.crossJoin(F.broadcast(q)).agg(F.avg((F.col("r") <= F.col("own")[0]).cast("double")).alias("real_mass"))
     one = q.crossJoin(F.broadcast(mass))
-    counts = value_counts(models, F.col("r"), ("model",))
+    counts = step_values(models)
     m = counts.crossJoin(F.broadcast(one)).groupBy("model").agg((F.sum(F.when(F.col("v") <= F.col("own")[0], F.col("c")).otherwise(0)) / F.sum("c")).alias("mass"))  # one row
-    d = m.join(quantiles(models, F.col("r"), QUANTILES, ("model",)), "model").crossJoin(F.broadcast(one))
+    d = m.join(quantiles(counts, F.col("v"), QUANTILES, ("model",), F.col("c")), "model").crossJoin(F.broadcast(one))
     mean = sum((F.abs(F.col("q")[i] - F.col("own")[i + 1]) for i in range(len(QUANTILES))), F.lit(0.0)) / len(QUANTILES)
     return d.select("model", (F.col("mass") / F.nullif(F.col("real_mass"), F.lit(0.0))).alias("tail_mass_ratio"), mean.alias("mean_quantile_error"))
 
@@ -68,10 +80,10 @@ def var_backtest(real: DataFrame, models: DataFrame, alphas: tuple[float, ...] =
     The conditional-coverage statistic is the sum of the two likelihood ratios.
     """
     loss = -F.col("r")
-    counts = value_counts(models, loss, ("model",))
+    counts = step_values(models).withColumn("v", -F.col("v"))
     at = lambda i: F.col("q")[i]
     part = lambda i, x: F.sum(F.when(F.col("v") >= at(i), x))
-    es = counts.join(F.broadcast(quantiles(models, loss, [1 - a for a in alphas], ("model",))), "model")  # a row per model
+    es = counts.join(F.broadcast(quantiles(counts, F.col("v"), [1 - a for a in alphas], ("model",), F.col("c"))), "model")  # a row per model
     es = es.groupBy("model").agg(F.first("q").alias("q"), *[(part(i, F.col("v") * F.col("c")) / part(i, F.col("c"))).alias(f"e{i}") for i in range(len(alphas))])
     each = F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), at(i).alias("var_model"), F.col(f"e{i}").alias("es_model")) for i, a in enumerate(alphas)]))
     both = es.select("model", each.alias("x")).select("model", "x.*")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, RiskConfig
+from ..functions.columns import at_least
+from ..functions.counter import BLOCKS, uniform
 from . import features as fe
 from . import scenarios as sc
 
@@ -55,7 +57,7 @@ def forecasts(ret: DataFrame, features: DataFrame, rows: DataFrame, sims: int =
     st = j.groupBy("at").agg(*[F.avg(c).alias(f"m_{c}") for c in regime], *[F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"s_{c}") for c in regime], F.percentile("block_vol_ann", F.lit(0.95)).alias("high"), F.percentile("block_max_dd", F.lit(0.05)).alias("low"))
     j = j.join(F.broadcast(st), "at")
     far = sum((F.pow((F.col(c) - F.col(f"v_{c}")) / F.col(f"s_{c}"), 2) for c in regime), F.lit(0.0))
-    crisis = (F.col("block_vol_ann") >= F.col("high")) | (F.col("block_max_dd") <= F.col("low"))
+    crisis = at_least("block_vol_ann", "high") | at_least("low", "block_max_dd")
     j = j.select("at", "block_id", (F.exp(-0.5 * far / config.bandwidth**2) * F.when(crisis, config.crisis_weight).otherwise(1.0)).alias("w"))
     each, run = Window.partitionBy("at"), Window.partitionBy("at").orderBy("block_id")
     share = F.when(F.sum("w").over(each) > 0, F.col("w") / F.sum("w").over(each)).otherwise(1 / F.count("*").over(each))
@@ -63,7 +65,7 @@ def forecasts(ret: DataFrame, features: DataFrame, rows: DataFrame, sims: int =
     j = j.withColumn("lo", F.coalesce(F.lag("hi").over(run), F.lit(0.0))).withColumn("hi", F.when(F.lead("block_id").over(run).isNull(), 1.0).otherwise(F.col("hi")))
     cells = F.sequence(F.floor(F.col("lo") * sc.CELLS), F.least(F.floor(F.col("hi") * sc.CELLS), F.lit(sc.CELLS - 1)))
     j = j.select("at", "block_id", "lo", "hi", F.explode(cells).alias("cell"))
-    u = (F.col("sim_id") * 1103515245 + 12345) % 2147483648 / 2147483648
+    u = uniform(BLOCKS, F.col("sim_id"), F.lit(0))
     draws = e.select("at", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(sims).cast("long"))).alias("sim_id")).withColumn("u", u).withColumn("cell", F.floor(F.col("u") * sc.CELLS))
     draws = draws.join(j, ["at", "cell"]).where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
     steps = draws.join(F.broadcast(blocks.select("block_id", "rets")), "block_id").select("at", "sim_id", F.posexplode("rets").alias("step", "r"))  # a row per day

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from ..functions.columns import DENOMINATOR, NUMERATOR
+from ..functions.counter import BLOCKS as BLOCK_DRAWS
+from ..functions.counter import TAILS, uniform_sql
 from ..sources.tables import MODELS
 from ..operators.validation import QUANTILES
 
@@ -85,14 +87,13 @@ puts AS (SELECT *, {phi("a2")} AS risk_neutral_prob_itm, {phi("d1")} - 1 AS delt
  (SELECT *, implied_vol*sqrt(t_years) - d1 AS a2, -d1 AS b2 FROM (SELECT l.*, (lo + hi)/2 AS implied_vol, (ln(l.spot/l.strike) + (CAST(0.045 AS DOUBLE) + (lo + hi)*(lo + hi)/8)*l.t_years)/((lo + hi)/2*sqrt(l.t_years)) AS d1
  FROM liquid l JOIN iv USING (contract_id) WHERE k = 60 AND lo > 1e-5 AND hi < 8)))"""
 PHYSICAL = """phys AS (SELECT l.contract_id, avg(CASE WHEN l.spot*exp(cum) < l.strike THEN 1.0 ELSE 0.0 END) AS physical_prob_itm, avg(greatest(l.strike - l.spot*exp(cum), 0)) AS physical_expected_payoff FROM {source} l CROSS JOIN per GROUP BY l.contract_id)"""
-SCORED = (
-    IV + ", " + PATHS + ", " + each("paths", "sim_id") + ", " + PHYSICAL.format(source="puts") + """,
+RANKED = """,
 ranked AS (SELECT *, (rank() OVER (ORDER BY coalesce(open_interest, 0))*2 + count(*) OVER (PARTITION BY coalesce(open_interest, 0)) - 1)/2/count(*) OVER () AS ro,
  (rank() OVER (ORDER BY coalesce(volume, 0))*2 + count(*) OVER (PARTITION BY coalesce(volume, 0)) - 1)/2/count(*) OVER () AS rv FROM puts JOIN phys USING (contract_id)),
 sc1 AS (SELECT *, physical_prob_itm - risk_neutral_prob_itm AS gap, (0.6*ro + 0.4*rv)/(1 + 10*coalesce(bid_ask_pct, 1)) AS liquidity_score FROM ranked),
 scored AS (SELECT *, abs(gap)*liquidity_score*sqrt(greatest(coalesce(open_interest, 0), 1)) AS tail_score, CASE WHEN liquidity_score <= 0.33 THEN 'LOW' WHEN liquidity_score <= 0.66 THEN 'MEDIUM' ELSE 'HIGH' END AS confidence,
  CASE WHEN gap >= 0.03 THEN 'MODEL_SEES_MORE_DOWNSIDE_THAN_OPTIONS' WHEN gap <= -0.03 THEN 'OPTIONS_PRICE_MORE_DOWNSIDE_THAN_MODEL' ELSE 'NO_MATERIAL_DISAGREEMENT' END AS interpretation FROM sc1)"""
-)
+SCORED = IV + ", " + PATHS + ", " + each("paths", "sim_id") + ", " + PHYSICAL.format(source="puts") + RANKED
 WINDOW = f"""{RET}, {dd("wdd", 0, 19)}, q AS (SELECT quantile_cont(r, 0.05) AS q FROM ret),
 five AS (SELECT rn, CASE WHEN count(*) OVER w = 5 THEN sum(r) OVER w END AS f FROM ret WINDOW w AS (ORDER BY rn ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
 wf AS (SELECT rn AS start, sum(r) OVER w AS cum_return, stddev_pop(r) OVER w * {_A} AS realised_vol_ann, v AS max_drawdown, min(r) OVER w AS worst_1d, min(f) OVER (ORDER BY rn ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS worst_5d,
@@ -104,7 +105,7 @@ BLOCKS = f"""{FEATURES}, {dd("bdd", 0, 19)}, cf AS (SELECT *, row_number() OVER
 WEIGHTS = (
     BLOCKS + ", st AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}" for c in _REG) + ", quantile_cont(block_vol_ann, 0.95) AS hi, quantile_cont(block_max_dd, 0.05) AS low FROM bl), "
     + "now AS (SELECT " + ", ".join(f"max_by({c}, rn) AS v_{c}" for c in _REG) + " FROM feat WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _REG) + "), "
-    + "w1 AS (SELECT block_id, sqrt(" + " + ".join(f"pow(({c} - v_{c})/s_{c}, 2)" for c in _REG) + ") AS regime_distance, block_vol_ann >= hi OR block_max_dd <= low AS is_crisis_block FROM bl CROSS JOIN st CROSS JOIN now), "
+    + "w1 AS (SELECT block_id, sqrt(" + " + ".join(f"pow(({c} - v_{c})/s_{c}, 2)" for c in _REG) + ") AS regime_distance, round(block_vol_ann, 9) >= round(hi, 9) OR round(block_max_dd, 9) <= round(low, 9) AS is_crisis_block FROM bl CROSS JOIN st CROSS JOIN now), "
     + "w2 AS (SELECT *, exp(-0.5*pow(regime_distance, 2)) AS regime_weight FROM w1), w3 AS (SELECT *, regime_weight*CASE WHEN is_crisis_block THEN 2.0 ELSE 1.0 END AS w FROM w2), "
     + "weights AS (SELECT block_id, regime_distance, regime_weight, is_crisis_block, w/sum(w) OVER () AS final_sample_weight FROM w3)"
 )
@@ -113,6 +114,19 @@ u AS (SELECT CASE WHEN count(*) FILTER (-r > q1) < 20 THEN any_value(q2) ELSE an
 ex AS (SELECT rn, threshold, -r - threshold AS excess FROM ret CROSS JOIN u WHERE -r > threshold)"""
 FIT = """ei AS (SELECT *, row_number() OVER (ORDER BY excess, rn) AS i, count(*) OVER () AS n FROM ex), b AS (SELECT threshold, n, avg(excess) AS b0, avg((1 - (i - 0.35)/n)*excess) AS b1 FROM ei GROUP BY ALL),
 fit AS (SELECT threshold, n, 2 - b0/(b0 - 2*b1) AS xi, 2*b0*b1/(b0 - 2*b1) AS sigma FROM b)"""
+_TAIL = "CASE WHEN abs(xi) < 1e-9 THEN -sigma*ln(1 - z) ELSE sigma/xi*(pow(1 - z, -xi) - 1) END"
+#: Every simulation's block by its draw, and the block's steps.
+BOOT = f"""{WEIGHTS}, bi AS (SELECT block_id, coalesce(lag(c) OVER (ORDER BY block_id), 0) AS lo, CASE WHEN lead(c) OVER (ORDER BY block_id) IS NULL THEN 1 ELSE c END AS hi FROM (SELECT block_id, sum(final_sample_weight) OVER (ORDER BY block_id) AS c FROM weights)),
+sm AS (SELECT o_orderkey AS sim_id, 0 AS zero FROM orders), su AS ({uniform_sql("sm", BLOCK_DRAWS, "sim_id", "zero")}), drawn AS (SELECT sim_id, block_id FROM su JOIN bi ON u >= lo AND u < hi),
+boot AS (SELECT sim_id, block_id, rn - block_id AS step, r FROM drawn JOIN ret ON rn >= block_id AND rn < block_id + 20)"""
+
+
+def corrected(source: str) -> str:
+    """CTEs up to corrected (sim_id, step, r), given fit."""
+    return f"""kc AS (SELECT quantile_cont(-r, 0.99) AS cut FROM {source}), wz AS (SELECT sim_id, step, r FROM {source} CROSS JOIN kc WHERE -r >= cut), wu AS ({uniform_sql("wz", TAILS, "sim_id", "step", "z")}),
+corrected AS (SELECT sim_id, step, r FROM {source} CROSS JOIN kc WHERE -r < cut UNION ALL SELECT sim_id, step, -(threshold + {_TAIL}) FROM wu CROSS JOIN fit)"""
+
+
 FORECAST = "fc AS (SELECT event_id, least(value/500, 1) AS p, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS y FROM events)"
 REL = FORECAST + ", rel AS (SELECT CAST(floor(p*10) AS BIGINT) AS bin, avg(p) AS mean_predicted, avg(y) AS mean_realised, count(*) AS n_obs FROM fc WHERE floor(p*10) BETWEEN 0 AND 9 GROUP BY 1)"
 
@@ -179,17 +193,17 @@ ORACLE = {
     "stress_label_matrix": _LABELS,
     "realised_drawdown": f"WITH {RET}, {dd('x', 1, 20)} SELECT rn, {r('v')} AS realised_max_dd FROM x",
     "window_features": f"WITH {WINDOW} SELECT start, {cols('cum_return realised_vol_ann max_drawdown worst_1d worst_5d vol_of_abs_returns')}, negative_days, tail_days FROM wf WHERE max_drawdown IS NOT NULL",
-    "crisis_windows": f"WITH {WINDOW}, f AS (SELECT * FROM wf WHERE max_drawdown IS NOT NULL), k AS (SELECT quantile_cont(realised_vol_ann, 0.95) AS hi, quantile_cont(max_drawdown, 0.05) AS low FROM f) SELECT start, {cols('realised_vol_ann max_drawdown')} FROM f CROSS JOIN k WHERE realised_vol_ann >= hi OR max_drawdown <= low",
+    "crisis_windows": f"WITH {WINDOW}, f AS (SELECT * FROM wf WHERE max_drawdown IS NOT NULL), k AS (SELECT quantile_cont(realised_vol_ann, 0.95) AS hi, quantile_cont(max_drawdown, 0.05) AS low FROM f) SELECT start, {cols('realised_vol_ann max_drawdown')} FROM f CROSS JOIN k WHERE round(realised_vol_ann, 9) >= round(hi, 9) OR round(max_drawdown, 9) <= round(low, 9)",
     "eval_dates": f"WITH {RET} SELECT rn FROM ret WHERE (rn - 505) % 21 = 0 AND rn > 504 AND rn <= (SELECT max(rn) FROM ret) - 20",
     "acf_returns": f"WITH {RET} SELECT CAST(lag AS BIGINT) AS lag, {r('corr(a.r, b.r)')} AS acf, {r('corr(a.r*a.r, b.r*b.r)')} AS acf_sq FROM (SELECT unnest([1, 2, 3, 4, 5]) AS lag) CROSS JOIN ret a JOIN ret b ON b.rn = a.rn + lag GROUP BY 1",
     "regime_lambda": f"WITH {FEATURES}, h AS (SELECT rn, round(vol_20d, 10) AS vol_20d, round(vix_level, 10) AS vix_level, round(drawdown_20d, 10) AS drawdown_20d, round(ret_20d, 10) AS ret_20d FROM feat WHERE ret_60d IS NOT NULL AND vix_z_252d IS NOT NULL AND vix_change_20d IS NOT NULL), p AS (SELECT rn, {', '.join(f'(2*rank() OVER (ORDER BY {c}) + count(*) OVER (PARTITION BY {c}) - 1)/2/count(*) OVER () AS p_{c}' for c in ('vol_20d', 'vix_level', 'drawdown_20d', 'ret_20d'))} FROM h), o AS (SELECT p_vol_20d AS vol_pct, p_vix_level AS vix_pct, 1 - p_drawdown_20d AS dd_stress, 1 - p_ret_20d AS ret_stress FROM p ORDER BY rn DESC LIMIT 1), s AS (SELECT *, 0.35*vol_pct + 0.30*vix_pct + 0.20*dd_stress + 0.15*ret_stress AS raw_score FROM o), l AS (SELECT *, 1/(1 + exp(-8*(raw_score - 0.6))) AS lambda_t FROM s) SELECT {cols('vol_pct vix_pct dd_stress ret_stress raw_score lambda_t')}, CASE WHEN lambda_t > 0.7 THEN 'crisis' WHEN lambda_t > 0.3 THEN 'fragile' ELSE 'calm' END AS regime FROM l",
     "regime_drift": f"WITH {FEATURES}, h AS (SELECT *, rn > max(rn) OVER () - 60 AS now FROM feat WHERE ret_60d IS NOT NULL AND vix_z_252d IS NOT NULL AND vix_change_20d IS NOT NULL), x AS (SELECT ({' + '.join(f'abs(avg({c}) FILTER (now) - quantile_cont({c}, 0.5) FILTER (NOT now))/(quantile_cont({c}, 0.75) FILTER (NOT now) - quantile_cont({c}, 0.25) FILTER (NOT now))' for c in ('vol_20d', 'vix_level', 'drawdown_20d'))})/3 AS drift FROM h) SELECT {r('drift')} AS drift, CASE WHEN drift < 1 THEN 'LOW' WHEN drift < 2.5 THEN 'MODERATE' ELSE 'HIGH' END AS status FROM x",
     "block_library": f"WITH {BLOCKS} SELECT block_id, {cols('block_return block_vol_ann block_max_dd block_worst_1d')}, {cols(_REG)} FROM bl",
     "block_weights": f"WITH {WEIGHTS} SELECT block_id, {cols('regime_distance regime_weight')}, is_crisis_block, {r('final_sample_weight*1000')} AS final_sample_weight FROM weights",
-    "bootstrap_paths": f"WITH {WEIGHTS}, iv AS (SELECT block_id, coalesce(lag(c) OVER (ORDER BY block_id), 0) AS lo, CASE WHEN lead(c) OVER (ORDER BY block_id) IS NULL THEN 1 ELSE c END AS hi FROM (SELECT block_id, sum(final_sample_weight) OVER (ORDER BY block_id) AS c FROM weights)), s AS (SELECT o_orderkey AS sim_id, (o_orderkey*1103515245 + 12345) % 2147483648/2147483648 AS u FROM orders) SELECT sim_id, block_id, CAST(20 AS BIGINT) AS steps FROM s JOIN iv ON u >= lo AND u < hi",
+    "bootstrap_paths": f"WITH {BOOT} SELECT sim_id, block_id, step, {r('r')} AS r FROM boot",
     "evt_exceedances": f"WITH {EVT} SELECT rn, {cols('threshold excess')} FROM ex",
     "evt_fit_pwm": f"WITH {EVT}, {FIT} SELECT {cols('threshold xi sigma')}, n FROM fit",
-    "evt_correct_paths": f"WITH {EVT}, {FIT}, {PATHS.removeprefix(RET + ', ')}, k AS (SELECT quantile_cont(-r, 0.99) AS cut FROM paths), w AS (SELECT *, (sim_id*69069 + step*7919 + 1) % 1048573/1048573 AS z FROM paths CROSS JOIN k CROSS JOIN fit) SELECT sim_id, step, {r('CASE WHEN -r >= cut THEN -(threshold + sigma/xi*(pow(1 - z, -xi) - 1)) ELSE r END')} AS r FROM w",
+    "evt_correct_paths": f"WITH {EVT}, {FIT}, {PATHS.removeprefix(RET + ', ')}, {corrected('paths')} SELECT sim_id, step, {r('r')} AS r FROM corrected",
     "path_drawdown": f"WITH {PATHS}, {each('paths', 'sim_id')} SELECT sim_id, {cols('cum max_dd')} FROM per",
     "path_stats": _STATS,
     "worst_paths": f"WITH {PATHS}, {each('paths', 'sim_id')} SELECT row_number() OVER (ORDER BY per.cum, sim_id) AS rank, sim_id, block_id, {r('per.cum')} AS cum, {cols('max_dd vol worst_1d worst_5d')}, negative_days FROM per JOIN draw USING (sim_id) ORDER BY per.cum, sim_id LIMIT 10",

@@ -15,6 +15,7 @@ from ..operators import scenarios as sc
 from ..operators import validation as va
 from ..sources import tables as t
 from ..streaming import monitor
+from .inputs import Inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -29,39 +30,6 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[r6(F.col(c)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
-def _features(spark, sf):
-    return fe.market_features(fe.with_vix(t.returns(spark, sf), t.vix(spark, sf)))
-
-
-def _complete(spark, sf):
-    """Rows with all features, from the 252nd on."""
-    return _features(spark, sf).dropna()
-
-
-def _weights(spark, sf):
-    f = _complete(spark, sf)
-    return sc.block_weights(sc.block_library(f), f)
-
-
-def _sims(spark, sf):
-    return t.spread(t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("sim_id")), "sim_id")
-
-
-def _boot(spark, sf):
-    """Weighted draws with their paths."""
-    w = _weights(spark, sf)
-    drawn = sc.bootstrap(w.drop("rets"), _sims(spark, sf))
-    return drawn.join(w.select("block_id", "rets"), "block_id").select("sim_id", "block_id", F.posexplode("rets").alias("step", "r")).withColumn("step", F.col("step").cast("long"))
-
-
-def _puts(spark, sf):
-    return op.bs_metrics(op.liquid(op.quoted(t.chain(spark, sf))))
-
-
-def _scored(spark, sf):
-    return op.scored(op.physical(_puts(spark, sf), sc.per_array(t.path_arrays(spark, sf))))
-
-
 # Sources, nulls, alignment
 
 
@@ -104,32 +72,32 @@ def train_test_split(spark, sf):
 
 @query
 def roll_ret(spark, sf):
-    return rounded(_features(spark, sf).select("rn", "ret_5d", "ret_10d", "ret_20d", "ret_60d"))
+    return rounded(Inputs(spark, sf).features.select("rn", "ret_5d", "ret_10d", "ret_20d", "ret_60d"))
 
 
 @query
 def roll_vol(spark, sf):
-    return rounded(_features(spark, sf).select("rn", "vol_5d", "vol_10d", "vol_20d", "vol_60d"))
+    return rounded(Inputs(spark, sf).features.select("rn", "vol_5d", "vol_10d", "vol_20d", "vol_60d"))
 
 
 @query
 def roll_drawdown(spark, sf):
-    return rounded(_features(spark, sf).select("rn", "drawdown_20d", "drawdown_60d"))
+    return rounded(Inputs(spark, sf).features.select("rn", "drawdown_20d", "drawdown_60d"))
 
 
 @query
 def vix_zscore(spark, sf):
-    return rounded(_features(spark, sf).select("rn", "vix_change_5d", "vix_change_20d", "vix_z_252d"))
+    return rounded(Inputs(spark, sf).features.select("rn", "vix_change_5d", "vix_change_20d", "vix_z_252d"))
 
 
 @query
 def loss_momentum(spark, sf):
-    return rounded(_features(spark, sf).select("rn", "loss_5d", "loss_20d"))
+    return rounded(Inputs(spark, sf).features.select("rn", "loss_5d", "loss_20d"))
 
 
 @query
 def market_features(spark, sf):
-    return rounded(_features(spark, sf).drop("series", "dt").dropna())
+    return rounded(Inputs(spark, sf).features.drop("series", "dt").dropna())
 
 
 @query
@@ -174,12 +142,12 @@ def acf_returns(spark, sf):
 
 @query
 def regime_lambda(spark, sf):
-    return rounded(fe.regime(_complete(spark, sf)))
+    return rounded(fe.regime(Inputs(spark, sf).complete))
 
 
 @query
 def regime_drift(spark, sf):
-    return rounded(fe.drift(_complete(spark, sf)))
+    return rounded(fe.drift(Inputs(spark, sf).complete))
 
 
 # Scenarios
@@ -187,17 +155,24 @@ def regime_drift(spark, sf):
 
 @query
 def block_library(spark, sf):
-    return rounded(sc.block_library(_complete(spark, sf)).drop("rets"))
+    return rounded(sc.block_library(Inputs(spark, sf).complete).drop("rets"))
 
 
 @query
 def block_weights(spark, sf):
-    return rounded(_weights(spark, sf).drop("rets").withColumn("final_sample_weight", F.col("final_sample_weight") * 1000))
+    return rounded(Inputs(spark, sf).weights.drop("rets").withColumn("final_sample_weight", F.col("final_sample_weight") * 1000))
+
+
+def _boot(i: Inputs):
+    """sim_id, block_id, step, r: weighted draws with their paths."""
+    drawn = sc.bootstrap(i.weights.drop("rets"), i.sims)
+    steps = drawn.join(i.weights.select("block_id", "rets"), "block_id").select("sim_id", "block_id", F.posexplode("rets").alias("step", "r"))
+    return i.store.table("boot", lambda: steps.withColumn("step", F.col("step").cast("long")))
 
 
 @query
 def bootstrap_paths(spark, sf):
-    return _boot(spark, sf).groupBy("sim_id", "block_id").agg(F.count("*").alias("steps"))
+    return rounded(_boot(Inputs(spark, sf)))
 
 
 @query
@@ -212,29 +187,34 @@ def evt_fit_pwm(spark, sf):
 
 @query
 def evt_correct_paths(spark, sf):
-    fit = sc.evt_fit(sc.evt_exceedances(t.returns(spark, sf)))
-    return rounded(sc.evt_correct(t.paths(spark, sf), fit))
+    i = Inputs(spark, sf)
+    fit = sc.evt_fit(sc.evt_exceedances(i.ret))
+    return rounded(sc.evt_correct(t.paths(spark, sf, ret=i.ret), fit))
 
 
 @query
 def path_drawdown(spark, sf):
-    return rounded(sc.per_array(t.path_arrays(spark, sf)).select("sim_id", "cum", "max_dd"))
+    i = Inputs(spark, sf)
+    each = i.own_figures.withColumnRenamed("sim_id", "block_id")
+    return rounded(t.draws(spark, sf, i.ret).join(each, "block_id").select("sim_id", "cum", "max_dd"))
 
 
 @query
 def path_stats(spark, sf):
-    return rounded(sc.path_stats(sc.per_array(t.model_arrays(spark, sf), ("model", "sim_id")), by=("model",)))
+    return rounded(sc.path_stats(Inputs(spark, sf).figures, by=("model",)))
 
 
 @query
 def worst_paths(spark, sf):
-    p = t.path_arrays(spark, sf)
-    return rounded(sc.worst_paths(sc.per_array(p), p.select("sim_id", "block_id")))
+    i = Inputs(spark, sf)
+    each = i.own_figures.withColumnRenamed("sim_id", "block_id").drop("n")
+    drawn = t.draws(spark, sf, i.ret)
+    return rounded(sc.worst_paths(drawn.join(each, "block_id").drop("block_id"), drawn))
 
 
 @query
 def path_histogram(spark, sf):
-    return sc.histogram(sc.per_array(t.path_arrays(spark, sf)))
+    return sc.histogram(Inputs(spark, sf).own_figures)
 
 
 # Options
@@ -269,7 +249,7 @@ def rn_prob(spark, sf):
 @query
 def solved_puts(spark, sf):
     """All solved contracts, whatever their time value; without SQL, as an engine's rounding moves what little time value leaves open."""
-    return _puts(spark, sf).select("contract_id", "spot", "strike", "t_years", "mid", "implied_vol", "risk_neutral_prob_itm", "delta", "vega_per_1pct", "bs_price_from_iv")
+    return Inputs(spark, sf).puts.select("contract_id", "spot", "strike", "t_years", "mid", "implied_vol", "risk_neutral_prob_itm", "delta", "vega_per_1pct", "bs_price_from_iv")
 
 
 def _settled(spark, sf, least: float, names: tuple[str, ...]):
@@ -277,7 +257,7 @@ def _settled(spark, sf, least: float, names: tuple[str, ...]):
 
     Where the time value is at most `least`, prices of two engines agree but their volatilities need not; solved_puts has them.
     """
-    d = _puts(spark, sf).withColumn("thin", F.expr("mid - greatest(strike * exp(-0.045 * t_years) - spot, 0)") <= least)
+    d = Inputs(spark, sf).puts.withColumn("thin", F.expr("mid - greatest(strike * exp(-0.045 * t_years) - spot, 0)") <= least)
     five = [F.when(~F.col("thin"), F.round(c, 5) + F.lit(0.0)).alias(c) for c in names]
     return d.select("contract_id", *five, (F.round("bs_price_from_iv", 5) + F.lit(0.0)).alias("bs_price_from_iv"))
 
@@ -294,57 +274,59 @@ def bs_metrics(spark, sf):
 
 @query
 def vol_surface(spark, sf):
-    return rounded(op.vol_surface(_puts(spark, sf)))
+    return rounded(op.vol_surface(Inputs(spark, sf).puts))
 
 
 @query
 def physical_prob(spark, sf):
     chain = op.liquid(op.quoted(t.chain(spark, sf)))
-    return rounded(op.physical(chain, sc.per_array(t.path_arrays(spark, sf))).select("contract_id", "physical_prob_itm", "physical_expected_payoff"))
+    return rounded(op.physical(chain, Inputs(spark, sf).own_figures).select("contract_id", "physical_prob_itm", "physical_expected_payoff"))
 
 
 @query
 def disagreement(spark, sf):
-    return rounded(_scored(spark, sf).select("contract_id", "gap", "liquidity_score", "confidence", "tail_score", "interpretation", "payoff_minus_mid", "payoff_to_mid_ratio"))
+    return rounded(Inputs(spark, sf).scored.select("contract_id", "gap", "liquidity_score", "confidence", "tail_score", "interpretation", "payoff_minus_mid", "payoff_to_mid_ratio"))
 
 
 @query
 def disagreement_summary(spark, sf):
-    return rounded(op.summary(_scored(spark, sf)))
+    return rounded(op.summary(Inputs(spark, sf).scored))
 
 
 @query
 def scenario_options(spark, sf):
     """The whole chain of steps: weighted bootstrap, tail correction, path probabilities, implied volatilities, disagreement summary."""
-    paths = sc.evt_correct(_boot(spark, sf).select("sim_id", "step", "r"), sc.evt_fit_ml(sc.evt_exceedances(t.returns(spark, sf))))
-    return rounded(op.summary(op.scored(op.physical(_puts(spark, sf), sc.per_path(paths)))))
+    i = Inputs(spark, sf)
+    fit = i.store.table("fit", lambda: sc.evt_fit_ml(i.store.table("exceedances", lambda: sc.evt_exceedances(i.ret))))
+    paths = sc.evt_correct(_boot(i).select("sim_id", "step", "r"), fit)
+    each = i.store.table("each", lambda: sc.per_path(paths))
+    return rounded(op.summary(op.scored(i.store.table("priced", lambda: op.physical(i.puts, each)))))
 
 
 # Validation
 
 
-def _real(spark, sf):
-    return t.returns(spark, sf).select("rn", "r")
-
-
 @query
 def ks_wasserstein(spark, sf):
-    return rounded(va.distances(_real(spark, sf), t.models(spark, sf)))
+    i = Inputs(spark, sf)
+    return rounded(va.distances(i.real, i.values))
 
 
 @query
 def moments(spark, sf):
-    return rounded(va.moments(t.models(spark, sf)))
+    return rounded(va.moments(Inputs(spark, sf).values))
 
 
 @query
 def tail_mass_quantiles(spark, sf):
-    return rounded(va.tail_and_quantiles(_real(spark, sf), t.models(spark, sf)))
+    i = Inputs(spark, sf)
+    return rounded(va.tail_and_quantiles(i.real, i.values))
 
 
 @query
 def var_backtest_multi(spark, sf):
-    return rounded(va.var_backtest(_real(spark, sf), t.models(spark, sf)))
+    i = Inputs(spark, sf)
+    return rounded(va.var_backtest(i.real, i.values))
 
 
 @query

@@ -16,15 +16,8 @@ from ..operators import validation as va
 from ..operators import walkforward as wf
 from ..sources import files
 from ..sources import tables as t
-from .queries import _complete, _features, _puts, _real, _scored, query, rounded
-
-
-def _crisis(spark, sf):
-    return re_.by_rule(fe.crisis_windows(fe.window_features(t.returns(spark, sf))))
-
-
-def _windows(spark, sf):
-    return re_.path_windows(_real(spark, sf), t.model_arrays(spark, sf))
+from .inputs import Inputs
+from .queries import query, rounded
 
 
 @query
@@ -75,19 +68,19 @@ def bs_call(spark, sf):
 
 @query
 def historical_context(spark, sf):
-    d = op.physical(op.liquid(op.quoted(t.chain(spark, sf))), sc.per_array(t.path_arrays(spark, sf)))
+    d = op.physical(op.liquid(op.quoted(t.chain(spark, sf))), Inputs(spark, sf).own_figures)
     return rounded(op.historical_context(d, t.returns(spark, sf)).select("contract_id", "physical_prob_itm", "hist_tail_threshold", "hist_crisis_episode_n", "model_exceeds_hist_95pct"))
 
 
 @query
 def top_disagreements(spark, sf):
-    return rounded(op.top(_scored(spark, sf)).select("contract_id", "tail_score"))
+    return rounded(op.top(Inputs(spark, sf).scored).select("contract_id", "tail_score"))
 
 
 @query
 def gate_features(spark, sf):
     """With a column missing, so that its default is seen."""
-    return rounded(gate.gate_features(_features(spark, sf).drop("vix_change_5d")))
+    return rounded(gate.gate_features(Inputs(spark, sf).features.drop("vix_change_5d")))
 
 
 @query
@@ -104,7 +97,8 @@ def gate_calibration(spark, sf):
 @query
 def gate_predict(spark, sf):
     """The forecast for the last row: three models learned from all but the last rows, with fewer trees than the library's default."""
-    return gate.predict_current(_complete(spark, sf), fe.stress_labels(t.returns(spark, sf)), trees=20)
+    i = Inputs(spark, sf)
+    return gate.predict_current(i.complete, fe.stress_labels(i.ret), trees=20)
 
 
 @query
@@ -114,60 +108,81 @@ def evt_fit(spark, sf):
 
 @query
 def lambda_history(spark, sf):
-    f = _complete(spark, sf)
+    f = Inputs(spark, sf).complete
     return rounded(wf.lambda_at(f, wf.history_rows(f)))
 
 
 @query
 def walk_forward(spark, sf):
-    return rounded(wf.walk_forward(t.returns(spark, sf), _complete(spark, sf)))
+    i = Inputs(spark, sf)
+    return rounded(wf.walk_forward(i.ret, i.complete))
+
+
+def _series(real):
+    return real.withColumn("series", F.lit(t.SERIES))
 
 
 @query
 def acf_error(spark, sf):
-    return rounded(re_.acf_errors(_real(spark, sf).withColumn("series", F.lit(t.SERIES)), t.models(spark, sf)))
+    i = Inputs(spark, sf)
+    return rounded(re_.acf_errors(_series(i.real), i.models))
+
+
+def _body(i: Inputs, real=None):
+    return rounded(re_.body_realism(_series(i.real if real is None else real), i.models, i.values))
 
 
 @query
 def body_realism(spark, sf):
-    return rounded(re_.body_realism(_real(spark, sf).withColumn("series", F.lit(t.SERIES)), t.models(spark, sf)))
+    return _body(Inputs(spark, sf))
+
+
+def _stable(i: Inputs, real=None):
+    return rounded(re_.stability(i.real if real is None else real, i.models, values=i.values))
 
 
 @query
 def pathwise_stability(spark, sf):
-    return rounded(re_.stability(_real(spark, sf), t.models(spark, sf)))
+    return _stable(Inputs(spark, sf))
 
 
 @query
 def crisis_archetypes(spark, sf):
-    c = fe.crisis_windows(fe.window_features(t.returns(spark, sf)))
+    c = fe.crisis_windows(fe.window_features(Inputs(spark, sf).ret))
     return rounded(re_.archetypes(c))
 
 
 @query
 def coverage_at_eps(spark, sf):
-    return rounded(re_.coverage(re_.nearest_path(_crisis(spark, sf), _windows(spark, sf))))
+    i = Inputs(spark, sf)
+    return rounded(re_.coverage(re_.nearest_path(i.crisis, i.windows)))
 
 
 @query
 def precision_at_eps(spark, sf):
-    return rounded(re_.precision(_crisis(spark, sf), _windows(spark, sf)))
+    i = Inputs(spark, sf)
+    return rounded(re_.precision(i.crisis, i.windows))
 
 
 @query
 def archetype_coverage(spark, sf):
-    return rounded(re_.archetype_coverage(_crisis(spark, sf), _windows(spark, sf)))
+    i = Inputs(spark, sf)
+    return rounded(re_.archetype_coverage(i.crisis, i.windows))
 
 
 @query
 def crisis_report(spark, sf):
-    return rounded(re_.crisis_report(_crisis(spark, sf), _windows(spark, sf)))
+    i = Inputs(spark, sf)
+    return rounded(re_.crisis_report(i.crisis, i.windows))
 
 
 def _checks(spark, sf):
-    real, models = _real(spark, sf), t.models(spark, sf)
-    options = rounded(op.summary(_scored(spark, sf)))
-    return he.checks(he.layers(rounded(va.var_backtest(real, models)), rounded(va.tail_and_quantiles(real, models)), crisis_report(spark, sf), pathwise_stability(spark, sf), rounded(fe.drift(_complete(spark, sf))), options))
+    """One store for all layers: the source tables are scanned for the series, the draws, the volatility index and the chain."""
+    i = Inputs(spark, sf)
+    options = i.store.table("summary", lambda: rounded(op.summary(i.scored)))
+    backtest, tail = rounded(va.var_backtest(i.real, i.values)), rounded(va.tail_and_quantiles(i.real, i.values))
+    layers = he.layers(backtest, tail, rounded(re_.crisis_report(i.crisis, i.windows)), _stable(i), rounded(fe.drift(i.complete)), options)
+    return i.store.table("checks", lambda: he.checks(layers))
 
 
 @query
@@ -185,22 +200,24 @@ def health_table(spark, sf):
     return rounded(he.health_table(rounded(_checks(spark, sf))))
 
 
+def _brier(spark, sf):
+    return rounded(va.calibration(t.forecasts(spark, sf))).select(F.lit("boot").alias("model"), "brier")
+
+
 @query
 def leaderboard(spark, sf):
-    real, models = _real(spark, sf), t.models(spark, sf)
-    brier = rounded(va.calibration(t.forecasts(spark, sf))).select(F.lit("boot").alias("model"), "brier")
-    d = he.scored_models(body_realism(spark, sf), rounded(va.var_backtest(real, models)), pathwise_stability(spark, sf), crisis_report(spark, sf), brier)
+    i = Inputs(spark, sf)
+    crisis = rounded(re_.crisis_report(i.crisis, i.windows))
+    d = he.scored_models(_body(i), rounded(va.var_backtest(i.real, i.values)), _stable(i), crisis, _brier(spark, sf))
     return rounded(he.leaderboard(d))
 
 
 @query
 def leaderboard_split(spark, sf):
     """As leaderboard, but backtests read the last fifth of the series and crises the first four fifths."""
-    train, test = fe.split(_real(spark, sf))
-    models = t.models(spark, sf)
-    typed = re_.by_rule(fe.crisis_windows(fe.window_features(train.withColumn("series", F.lit(t.SERIES)))))
-    crisis = rounded(re_.crisis_report(typed, re_.path_windows(train, t.model_arrays(spark, sf))))
-    body = rounded(re_.body_realism(test.withColumn("series", F.lit(t.SERIES)), models))
-    brier = rounded(va.calibration(t.forecasts(spark, sf))).select(F.lit("boot").alias("model"), "brier")
-    d = he.scored_models(body, rounded(va.var_backtest(test, models)), rounded(re_.stability(test, models)), crisis, brier)
+    i = Inputs(spark, sf)
+    train, test = (i.store.table(k, lambda d=d: d) for k, d in zip(("train", "test"), fe.split(i.real), strict=True))
+    typed = re_.by_rule(fe.crisis_windows(fe.window_features(_series(train))))
+    crisis = rounded(re_.crisis_report(typed, re_.path_windows(train, i.models)))
+    d = he.scored_models(_body(i, test), rounded(va.var_backtest(test, i.values)), _stable(i, test), crisis, _brier(spark, sf))
     return rounded(he.leaderboard(d))

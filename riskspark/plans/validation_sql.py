@@ -36,7 +36,7 @@ kp AS (SELECT *, 2*(1 - {phi("zk")}) AS kupiec_pval FROM kz), kv AS (SELECT *, C
 ks AS (SELECT *, min(verdict) OVER (PARTITION BY model) <> max(verdict) OVER (PARTITION BY model) AS aggregation_sensitive FROM kv)
 SELECT model, mode, {cols("var kupiec_pval")}, n_obs, n_breach, verdict, aggregation_sensitive, CASE WHEN aggregation_sensitive THEN 'WARNING' ELSE 'OK' END AS flag FROM ks"""
 TYPED = f"""{MODEL}, {each("models", "model, sim_id")}, {WINDOW.removeprefix(RET + ", ")}, wx AS (SELECT * FROM wf WHERE max_drawdown IS NOT NULL),
-wk AS (SELECT quantile_cont(realised_vol_ann, 0.95) AS hi, quantile_cont(max_drawdown, 0.05) AS low FROM wx), crisis AS (SELECT wx.* FROM wx CROSS JOIN wk WHERE realised_vol_ann >= hi OR max_drawdown <= low),
+wk AS (SELECT quantile_cont(realised_vol_ann, 0.95) AS hi, quantile_cont(max_drawdown, 0.05) AS low FROM wx), crisis AS (SELECT wx.* FROM wx CROSS JOIN wk WHERE round(realised_vol_ann, 9) >= round(hi, 9) OR round(max_drawdown, 9) <= round(low, 9)),
 md AS (SELECT round(quantile_cont(realised_vol_ann, 0.5), 9) AS v, round(quantile_cont(max_drawdown, 0.5), 9) AS d FROM crisis),
 typed AS (SELECT crisis.*, CASE WHEN round(max_drawdown, 9) <= d AND round(realised_vol_ann, 9) >= v THEN 0 WHEN round(max_drawdown, 9) <= d THEN 1 ELSE 2 END AS archetype FROM crisis CROSS JOIN md),
 syn AS (SELECT model, sim_id, sum(r) AS cum_return, stddev_pop(r)*sqrt(252) AS realised_vol_ann, min(c - p) AS max_drawdown, min(r) AS worst_1d, min(five) AS worst_5d, count(*) FILTER (r < 0) AS negative_days, count(*) FILTER (r <= q) AS tail_days, stddev_pop(abs(r)) AS vol_of_abs_returns FROM pp CROSS JOIN q GROUP BY 1, 2),
@@ -61,6 +61,30 @@ for _i, _n in enumerate((400, 100, 40)):
     _ML += f""", gr{_i} AS (SELECT threshold, n, (b - a)/{_n} AS step, a + (b - a)/{_n}*k AS theta FROM bx{_i} CROSS JOIN range({_n + 1}) t(k)),
  de{_i} AS (SELECT g.threshold, g.n, step, theta, avg(ln(1 + theta*excess)) AS xi FROM gr{_i} g CROSS JOIN ex WHERE abs(theta) > 1e-9 AND 1 + theta*excess > 0 GROUP BY ALL HAVING count(*) = g.n),
  be{_i} AS (SELECT threshold, n, arg_max(struct_pack(theta := theta, xi := xi, step := step), -ln(xi/theta) - xi) AS s FROM de{_i} GROUP BY ALL), bx{_i + 1} AS (SELECT threshold, n, s.theta - s.step AS a, s.theta + s.step AS b FROM be{_i})"""
+SCENARIO = f"""WITH RECURSIVE {o.IV}, {o.BOOT}, {_ML.removeprefix(RET + ", ").replace("q AS (", "eq AS (", 1).replace("CROSS JOIN q)", "CROSS JOIN eq)", 1)}, fit AS (SELECT threshold, n, s.xi AS xi, s.xi/s.theta AS sigma FROM be2),
+{o.corrected("boot")}, per AS (SELECT sim_id, sum(r) AS cum FROM corrected GROUP BY 1), {PHYSICAL.format(source="puts")}{o.RANKED} {o._SUMMARY}"""
+_G = o._REG
+WALK = f"""WITH {o.BLOCKS}, ev AS (SELECT rn AS day FROM ret WHERE (rn - 505) % 21 = 0 AND rn > 504 AND rn <= (SELECT max(rn) FROM ret) - 20),
+fa AS (SELECT day, {", ".join(f"{c} AS v_{c}" for c in _G)} FROM ev JOIN cf ON cf.rn = day WHERE place >= 100),
+jb AS (SELECT day, block_id, block_vol_ann, block_max_dd, {", ".join(f"{c}, v_{c}" for c in _G)} FROM fa JOIN bl ON block_id + 19 <= day),
+js AS (SELECT day, {", ".join(f"avg({c}) AS m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS s_{c}" for c in _G)}, quantile_cont(block_vol_ann, 0.95) AS hi, quantile_cont(block_max_dd, 0.05) AS low FROM jb GROUP BY 1),
+jw AS (SELECT day, block_id, exp(-0.5*({" + ".join(f"pow(({c} - v_{c})/s_{c}, 2)" for c in _G)}))*CASE WHEN round(block_vol_ann, 9) >= round(hi, 9) OR round(block_max_dd, 9) <= round(low, 9) THEN 2.0 ELSE 1.0 END AS w FROM jb JOIN js USING (day)),
+jc AS (SELECT day, block_id, sum(w) OVER (PARTITION BY day ORDER BY block_id)/sum(w) OVER (PARTITION BY day) AS c FROM jw),
+jv AS (SELECT day, block_id, coalesce(lag(c) OVER w, 0) AS lo, CASE WHEN lead(c) OVER w IS NULL THEN 1 ELSE c END AS hi FROM jc WINDOW w AS (PARTITION BY day ORDER BY block_id)),
+sm AS (SELECT i AS sim_id, 0 AS zero FROM range(1, 2001) t(i)), su AS ({o.uniform_sql("sm", o.BLOCK_DRAWS, "sim_id", "zero")}), jd AS (SELECT day, sim_id, block_id FROM su JOIN jv ON u >= lo AND u < hi),
+bs AS (SELECT day, sim_id, rn - block_id AS step, r FROM jd JOIN ret ON rn >= block_id AND rn < block_id + 20), kq AS (SELECT day, quantile_cont(-r, 0.99) AS cut FROM bs GROUP BY 1),
+lo AS (SELECT day, rn, -r AS loss FROM ret JOIN fa ON rn <= day), lq AS (SELECT day, quantile_cont(loss, 0.95) AS q1, quantile_cont(loss, 0.90) AS q2 FROM lo GROUP BY 1),
+lu AS (SELECT day, CASE WHEN count(*) FILTER (loss > q1) < 20 THEN any_value(q2) ELSE any_value(q1) END AS threshold FROM lo JOIN lq USING (day) GROUP BY 1),
+lx AS (SELECT day, threshold, loss - threshold AS y, row_number() OVER (PARTITION BY day ORDER BY loss, rn) AS i, count(*) OVER (PARTITION BY day) AS n FROM lo JOIN lu USING (day) WHERE loss > threshold),
+lb AS (SELECT day, threshold, avg(y) AS b0, avg((1 - (i - 0.35)/n)*y) AS b1 FROM lx GROUP BY 1, 2), lf AS (SELECT day, threshold, 2 - b0/(b0 - 2*b1) AS xi, 2*b0*b1/(b0 - 2*b1) AS sigma FROM lb),
+tz AS (SELECT bs.* FROM bs JOIN kq USING (day) WHERE -r >= cut), tu AS ({o.uniform_sql("tz", o.TAILS, "sim_id", "step", "z")}),
+cs AS (SELECT bs.* FROM bs JOIN kq USING (day) WHERE -r < cut UNION ALL SELECT day, sim_id, step, -(threshold + {o._TAIL}) FROM tu JOIN lf USING (day)),
+{each("cs", "day, sim_id")}, pv AS (SELECT day, quantile_cont(-cum, 0.95) AS v5, quantile_cont(-cum, 0.99) AS v1 FROM per GROUP BY 1),
+pd AS (SELECT day AS rn, {", ".join(f"avg(CASE WHEN max_dd <= -{x / 100} THEN 1.0 ELSE 0.0 END) AS pred_p_drawdown_{x}pct" for x in (5, 8, 10))}, any_value(v5) AS pred_var_5pct, any_value(v1) AS pred_var_1pct, avg(-cum) FILTER (-cum >= v5) AS pred_es_5pct, quantile_cont(cum, 0.5) AS pred_median_return FROM per JOIN pv USING (day) GROUP BY 1),
+hr AS (SELECT rn, {", ".join(f"round({c}, 10) AS {c}" for c in _L)} FROM cf), {LAMBDA[LAMBDA.index("lc AS ("):].replace("FROM ev e JOIN", "FROM (SELECT hr.* FROM hr JOIN ev ON hr.rn = day) e JOIN")}, lt AS (SELECT rn, lambda_t, CASE WHEN lambda_t > 0.7 THEN 'crisis' WHEN lambda_t > 0.3 THEN 'fragile' ELSE 'calm' END AS regime FROM lam),
+lb2 AS ({o._LABELS}), {o.dd("rx", 1, 20)}
+SELECT pd.rn, {cols(tuple(f"pred_{k}" for k in ("p_drawdown_5pct", "p_drawdown_8pct", "p_drawdown_10pct", "var_5pct", "var_1pct", "es_5pct", "median_return")))}, {r("lambda_t")} AS lambda_t, coalesce(regime, 'unknown') AS regime, stress_20d AS realised_stress, {r("rx.v")} AS realised_max_dd
+FROM pd LEFT JOIN lt ON lt.rn = pd.rn JOIN lb2 ON lb2.rn = pd.rn LEFT JOIN rx ON rx.rn = pd.rn"""
 _REL8 = f"{FORECAST}, ed AS (SELECT quantile_cont(p, [{', '.join(str(k / 8) for k in range(1, 8))}]) AS edges FROM fc), bi AS (SELECT p, y, len(list_filter(edges, lambda e: e < p)) AS bin FROM fc CROSS JOIN ed), eg AS (SELECT avg(g) AS ece FROM (SELECT abs(avg(p) - avg(y)) AS g FROM bi GROUP BY bin))"
 _W = {"calibration": "CASE WHEN kupiec_verdict IS NULL OR es_verdict = 'FAIL' THEN 0.0 WHEN kupiec_verdict = 'PASS' AND conditional_cov_verdict = 'PASS' THEN 1.0 WHEN kupiec_verdict = 'PASS' THEN 0.5 ELSE 0.0 END",
       "tail_mass": "CASE WHEN tail_mass_ratio BETWEEN 0.6 AND 2 THEN 1.0 WHEN tail_mass_ratio < 0.3 THEN 0.0 WHEN tail_mass_ratio < 0.6 THEN 0.4 ELSE 0.5 END",
@@ -113,6 +137,8 @@ ORACLE = {
     "gate_ensemble": f"WITH {FORECAST}, x AS (SELECT event_id, p AS a, p*p AS b, CASE WHEN event_id % 5 = 0 THEN NULL ELSE sqrt(p) END AS c FROM fc), y AS (SELECT event_id, (a + b + coalesce(c, 0))/(CASE WHEN c IS NULL THEN 2 ELSE 3 END) AS m, greatest(a, b, c) - least(a, b, c) AS w FROM x) SELECT event_id, {r('m')} AS p_ensemble_mean, {r('w')} AS p_ensemble_range, CASE WHEN w < 0.05 THEN 'HIGH' WHEN w < 0.15 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM y",
     "gate_calibration": f"WITH {_REL8}, g AS (SELECT count(*) AS n_obs, avg(y) AS b, avg(pow(p - y, 2)) AS brier, count(*) FILTER (p >= 0.15 AND y = 1) AS tp, count(*) FILTER (p >= 0.15 AND y = 0) AS fp, count(*) FILTER (p < 0.15 AND y = 0) AS tn, count(*) FILTER (p < 0.15 AND y = 1) AS fn FROM fc) SELECT n_obs, tp, fp, tn, fn, {r('b')} AS base_rate, {cols('brier ece')}, {r('1 - brier/nullif(b*(1 - b), 0)')} AS brier_skill, {r('tp/greatest(tp + fn, 1)')} AS recall, {r('tp/greatest(tp + fp, 1)')} AS precision, {r('fp/greatest(fp + tn, 1)')} AS false_alarm_rate, CASE WHEN ece < 0.05 THEN 'WELL_CALIBRATED' WHEN ece < 0.1 THEN 'MODERATE_CALIBRATION' ELSE 'POORLY_CALIBRATED' END AS verdict FROM g CROSS JOIN eg WHERE n_obs >= 20",
     "evt_fit": f"WITH {_ML} SELECT {r('threshold')} AS threshold, n, {r('s.xi')} AS xi, {r('s.xi/s.theta')} AS sigma FROM be2",
+    "scenario_options": SCENARIO,
+    "walk_forward": WALK,
     "lambda_history": f"WITH {LAMBDA} SELECT rn, {cols('vol_pct vix_pct dd_stress ret_stress raw_score lambda_t')}, CASE WHEN lambda_t > 0.7 THEN 'crisis' WHEN lambda_t > 0.3 THEN 'fragile' ELSE 'calm' END AS regime FROM lam",
     "acf_error": f"WITH {_ACF} SELECT model, {cols('acf_error acf_sq_error')} FROM ae",
     "body_realism": BODY,

@@ -60,15 +60,29 @@ def spread(sims: DataFrame, key: str) -> DataFrame:
     return sims.repartition(n, key)
 
 
-def path_arrays(spark: SparkSession, sf_dir: str, horizon: int = 20) -> DataFrame:
-    """sim_id, block_id, a: blocks of the return series, drawn uniformly by a deterministic lattice, as arrays of steps."""
-    ret = returns(spark, sf_dir)
+def blocks(ret: DataFrame, horizon: int = 20) -> DataFrame:
+    """block_id, a: the series' runs of horizon steps."""
     ahead = Window.partitionBy("series").orderBy("rn").rowsBetween(0, horizon - 1)
-    blocks = ret.select(F.col("rn").alias("block_id"), F.collect_list("r").over(ahead).alias("a")).where(F.size("a") == horizon)  # a row a day
+    return ret.select(F.col("rn").alias("block_id"), F.collect_list("r").over(ahead).alias("a")).where(F.size("a") == horizon)  # a row a day
+
+
+def draws(spark: SparkSession, sf_dir: str, ret: DataFrame, horizon: int = 20) -> DataFrame:
+    """sim_id, block_id: the block of each simulation, uniformly by a deterministic lattice."""
     n = ret.agg((F.max("rn") - (horizon - 1)).alias("nb"))
     k = F.col("o_orderkey")
-    draw = table(spark, sf_dir, "orders").crossJoin(F.broadcast(n)).select(k.alias("sim_id"), (1 + (k * 1103515245 + 12345) % 2147483648 % F.col("nb")).alias("block_id"))  # n is one row
-    return spread(draw, "sim_id").join(blocks, "block_id").select("sim_id", "block_id", "a")
+    return table(spark, sf_dir, "orders").crossJoin(F.broadcast(n)).select(k.alias("sim_id"), (1 + (k * 1103515245 + 12345) % 2147483648 % F.col("nb")).alias("block_id"))  # n is one row
+
+
+def path_arrays(spark: SparkSession, sf_dir: str, horizon: int = 20, ret: DataFrame | None = None) -> DataFrame:
+    """sim_id, block_id, a: each simulation's path, a block of the series, as an array of steps."""
+    ret = returns(spark, sf_dir) if ret is None else ret
+    return spread(draws(spark, sf_dir, ret, horizon), "sim_id").join(blocks(ret, horizon), "block_id").select("sim_id", "block_id", "a")
+
+
+def drawn_blocks(spark: SparkSession, sf_dir: str, ret: DataFrame, horizon: int = 20) -> DataFrame:
+    """block_id, a, n: every path that was drawn, once, and by how many simulations; counted before the shuffle."""
+    n = draws(spark, sf_dir, ret, horizon).groupBy("block_id").agg(F.count("*").alias("n"))
+    return blocks(ret, horizon).join(n, "block_id")
 
 
 def _steps(arrays: DataFrame) -> DataFrame:
@@ -76,20 +90,25 @@ def _steps(arrays: DataFrame) -> DataFrame:
     return arrays.select(*kept, F.posexplode("a").alias("step", "r")).withColumn("step", F.col("step").cast("long"))
 
 
-def paths(spark: SparkSession, sf_dir: str, horizon: int = 20) -> DataFrame:
+def paths(spark: SparkSession, sf_dir: str, horizon: int = 20, ret: DataFrame | None = None) -> DataFrame:
     """sim_id, step, block_id, r: the steps of path_arrays()."""
-    return _steps(path_arrays(spark, sf_dir, horizon)).select("sim_id", "step", "block_id", "r")
+    return _steps(path_arrays(spark, sf_dir, horizon, ret)).select("sim_id", "step", "block_id", "r")
 
 
 #: Scenario generators for comparisons: name, scale, shift.
 MODELS = (("boot", 1.0, 0.0), ("calm", 0.7, 0.0), ("wild", 1.5, 0.0), ("shift", 1.0, -0.002))
 
 
+def models_of(paths_: DataFrame) -> DataFrame:
+    """model and the columns of paths (with array a): every path under every generator."""
+    every = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(a).alias("a"), F.lit(b).alias("b")) for m, a, b in MODELS])
+    d = paths_.withColumn("m", F.explode(every))
+    return d.select("m.model", *[F.transform("a", lambda r: r * F.col("m.a") + F.col("m.b")).alias("a") if c == "a" else F.col(c) for c in paths_.columns])
+
+
 def model_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """model, sim_id, a."""
-    every = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(a).alias("a"), F.lit(b).alias("b")) for m, a, b in MODELS])
-    d = path_arrays(spark, sf_dir).withColumn("m", F.explode(every))
-    return d.select("m.model", "sim_id", F.transform("a", lambda r: r * F.col("m.a") + F.col("m.b")).alias("a"))
+    return models_of(path_arrays(spark, sf_dir).drop("block_id"))
 
 
 def models(spark: SparkSession, sf_dir: str) -> DataFrame:
