@@ -15,7 +15,7 @@ Learned from labels, besides the seed lexicon:
 - how many words a negation reaches, the weights of the kinds of matches and where the cut of 0.7 falls, from each half
   of the sample under the terms learned from the other half, as a text always holds terms that were learned from it.
 All of it is fitted on at most TOXIC and CLEAN labelled rows, the first in the order of a hash of doc_id, of those with
-crc32(doc_id as text) mod 3 other than 1; of near copies (equal least word hash) one a class counts, so that a
+crc32(doc_id as text) mod 3 other than 1; of near copies (grouped()) one a class counts, so that a
 much-copied text does not make all its words toxic. The terms are as many as that sample bears out, without a cap.
 labels, lang, source and doc_id are no inputs of a score.
 
@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_hash, written
+from .components import components
 
 TOXIC, CLEAN = 2000, 4000
 #: A term is learned when at least so many texts have it and it is so many times as frequent in toxic texts.
@@ -47,6 +48,8 @@ MIN_TEXTS, MIN_ODDS = 4, 10.0
 #: Lengths of word beginnings; reaches of a negation.
 BEGINS, REACHES = (4, 5, 6, 7, 8), (1, 3, 5)
 CUT = 0.7
+#: Near copies in the sample: the similarity of their word sets, and bands of so many registers that look for them.
+SIMILAR, BANDS, ROWS = 0.8, 10, 3
 
 # The seed lexicon, in four languages.
 INSULTS = """idiot idiots stupid moron morons loser losers pathetic worthless scum trash disgusting clown dumb imbecile cretin vermin filth bastard asshole fool jerk pig
@@ -233,9 +236,26 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: F.char_length(w) >= 3))
 
 
-def _group(words: Column) -> Column:
-    """Nearly always equal for near copies: the least hash of a word."""
-    return F.coalesce(F.array_min(F.transform(words, lambda w: F.xxhash64(w))), F.lit(0))
+def grouped(sample: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Adds group, a long that near copies in the sample share: texts linked by word sets of a similarity of `similar` or more.
+
+    Equal sets are one class. A class's minhash registers go into bands; in each band the classes are compared with the
+    least of them, on their full sets, and links are followed to the end. So no text shares its group with others unless one of
+    them is a near copy of it. The sample is bounded, and so is all of this.
+    """
+    d = sample.withColumn("_w", F.array_sort(_words(F.col("text")))).withColumn("_id", F.xxhash64("_w"))
+    classes = d.where(F.size("_w") > 0).groupBy("_id").agg(F.first("_w").alias("_w"))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("_m", b * ROWS + 1, ROWS)))
+    classes = written(classes.withColumn("_m", _registers(F.col("_w"))).select("_id", "_w", F.explode(bands).alias("band")), "bands")
+    least = classes.groupBy("band").agg(F.min_by(F.struct(F.col("_id").alias("to"), F.col("_w").alias("u")), "_id").alias("m"))
+    near = F.size(F.array_intersect("_w", "m.u")) >= similar * F.size(F.array_union("_w", "m.u"))
+    links = classes.join(least, "band").where((F.col("_id") != F.col("m.to")) & near).select(F.col("_id").alias("a"), F.col("m.to").alias("b")).distinct()
+    roots = components(links).select(F.col("node").alias("_id"), "root")
+    return d.join(roots, "_id", "left").select(*sample.columns, F.coalesce("root", "_id").alias("group"))
+
+
+def _registers(words: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS * ROWS - 1)), lambda i: F.array_min(F.transform(words, lambda w: F.xxhash64(i, w))))
 
 
 def learned_terms(sample: DataFrame, min_texts: int = MIN_TEXTS, min_odds: float = MIN_ODDS) -> list[tuple[str, float]]:
@@ -243,8 +263,9 @@ def learned_terms(sample: DataFrame, min_texts: int = MIN_TEXTS, min_odds: float
 
     A text counts each of its words once, and for a beginning all words that have it.
     """
-    d = sample.select("toxic", _words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    d = d.groupBy("toxic", _group(F.col("w")).alias("g")).agg(F.min("w").alias("w"))  # one of near copies
+    sample = sample if "group" in sample.columns else grouped(sample)
+    d = sample.select("toxic", F.col("group").alias("g"), _words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    d = d.groupBy("toxic", "g").agg(F.min("w").alias("w"))  # one of near copies
 
     def begins(k: int) -> Column:  # a lambda of two arguments would get the index as its second one
         return F.transform(F.filter("w", lambda w: F.char_length(w) > k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
@@ -333,7 +354,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLE
     picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(toxic).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(clean))
     # at most toxic + clean rows, so the broadcast has a proven bound
     sample = written(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic"), "sample")
-    sample = written(sample.withColumn("fold", F.pmod(_group(_words(F.col("text"))), F.lit(2)).cast("int")), "folds")
+    sample = written(grouped(sample).withColumn("fold", F.pmod(F.xxhash64("group"), F.lit(2)).cast("int")), "folds")
 
     def learn(part: DataFrame) -> tuple[list[tuple[str, str, float]], frozenset[str]]:
         seeds = {t: (t, k, w) for t, k, w in seed_terms()}
