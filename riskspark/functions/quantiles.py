@@ -67,7 +67,7 @@ def by_rounds(counts: DataFrame, probs: Sequence[float], by: list[str], store: S
         hist = d.groupBy(*by, "prefix", F.shiftright("k", shift).alias("next")).agg(F.sum("c").alias("c"), F.min("v").alias("v"))
         upto = F.sum("c").over(Window.partitionBy(*by, "prefix").orderBy("next"))
         hist = hist.withColumn("upto", upto)
-        j = state.join(hist, [*by, "prefix"]).where((F.col("rank") >= F.col("below") + F.col("upto") - F.col("c")) & (F.col("rank") < F.col("below") + F.col("upto")))
+        j = state.drop("v").join(hist, [*by, "prefix"]).where((F.col("rank") >= F.col("below") + F.col("upto") - F.col("c")) & (F.col("rank") < F.col("below") + F.col("upto")))
         new = j.select(*by, "rank", (F.col("below") + F.col("upto") - F.col("c")).alias("below"), F.col("next").alias("prefix"), "v")
         state = store.table(f"round{shift}", lambda new=new: new)
     at = state.select(*by, "rank", "v")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, RiskConfig
-from ..functions.columns import ahead, at_least, drawdown, over, rolling
+from ..functions.columns import at_least, drawdown, over, rolling
+from ..functions.stretches import sliding_drawdown
 
 WINDOWS = (5, 10, 20, 60)
 ANNUAL = 252**0.5
@@ -38,8 +39,8 @@ def market_features(ret: DataFrame) -> DataFrame:
     """One sort of the series for all windows."""
     r = F.col("r")
     out = ret.select("*", *[rolling(F.sum, r, w).alias(f"ret_{w}d") for w in WINDOWS], *[(rolling(F.stddev_samp, r, w) * ANNUAL).alias(f"vol_{w}d") for w in WINDOWS])
-    dd = [F.when(F.size(F.collect_list(r).over(over(w - 1))) == w, drawdown(F.collect_list(r).over(over(w - 1)))).alias(f"drawdown_{w}d") for w in WINDOWS]
-    out = out.select("*", *dd, (-F.col("ret_5d")).alias("loss_5d"), (-F.col("ret_20d")).alias("loss_20d"))
+    out = sliding_drawdown(out, "r", {f"drawdown_{w}d": (1 - w, 0) for w in WINDOWS})
+    out = out.select("*", (-F.col("ret_5d")).alias("loss_5d"), (-F.col("ret_20d")).alias("loss_20d"))
     if "vix_level" in ret.columns:
         v = F.col("vix_level")
         w = Window.partitionBy("series").orderBy("rn")
@@ -63,10 +64,10 @@ def stress_labels(ret: DataFrame, horizons: tuple[int, ...] = (5, 20, 60), fall:
     d = ret.withColumn("v20", rolling(F.stddev_samp, r, 20))
     cut = d.agg(F.percentile("v20", F.lit(0.95)).alias("cut"), F.max("rn").alias("n"))
     d = d.crossJoin(F.broadcast(cut))  # one row
+    d = sliding_drawdown(d, "r", {f"dd{h}": (0, h - 1) for h in horizons})
     cols = []
     for h in horizons:
-        dd, sd = drawdown(F.collect_list(r).over(over(0, h - 1))), F.stddev_pop(r).over(over(0, h - 1))
-        d = d.withColumn(f"dd{h}", dd).withColumn(f"sd{h}", sd)
+        d = d.withColumn(f"sd{h}", F.stddev_pop(r).over(over(0, h - 1)))
         there = F.col("rn") <= F.col("n") - h
         cols.append((there & ((F.col(f"dd{h}") <= fall) | (F.col(f"sd{h}") >= F.col("cut")))).cast("int").alias(f"stress_{h}d"))
         cols += [(there & (F.col(f"dd{h}") <= -x)).cast("int").alias(f"dd_{round(100 * x)}pct_{h}d") for x in levels]
@@ -74,8 +75,7 @@ def stress_labels(ret: DataFrame, horizons: tuple[int, ...] = (5, 20, 60), fall:
 
 
 def realised_drawdown(ret: DataFrame, horizon: int = 20) -> DataFrame:
-    steps = ahead(F.collect_list, F.col("r"), 1, horizon)
-    return ret.select("rn", drawdown(steps).alias("realised_max_dd")).where("realised_max_dd is not null")
+    return sliding_drawdown(ret, "r", {"realised_max_dd": (1, horizon)}).select("rn", "realised_max_dd").where("realised_max_dd is not null")
 
 
 def window_features(ret: DataFrame, width: int = 20) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -12,6 +14,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .learners import Boosted, isotonic, l1_logistic
+
 # The columns that the gate reads.
 COLUMNS = ("vol_5d", "vol_20d", "vol_60d", "ret_5d", "ret_20d", "ret_60d", "drawdown_5d", "drawdown_20d", "drawdown_60d", "vix_level", "vix_z_252d", "vix_change_5d", "loss_5d", "loss_20d")
 MEMBERS = ("p_logistic", "p_gradient_boosting", "p_calibrated_gb")
@@ -83,37 +87,73 @@ def ensemble(p: DataFrame, members: tuple[str, ...] = MEMBERS) -> DataFrame:
     return d.withColumn("confidence", F.when(F.col("p_ensemble_range") < 0.05, "HIGH").when(F.col("p_ensemble_range") < 0.15, "MEDIUM").otherwise("LOW"))
 
 
-def predict_current(features: DataFrame, labels: DataFrame, target: str = "stress_20d", least: int = 504, trees: int = 100) -> DataFrame:
-    """The ensemble at the last row, learned from all but the last 20 rows; top_driver_1..3. Empty below `least` rows."""
-    d = gate_features(features).join(labels.select("rn", F.col(target).alias("y")), "rn").cache()
-    n, last = d.agg(F.count("*"), F.max("rn")).first()
-    back = Window.partitionBy(F.lit(0)).orderBy(F.col("rn").desc())
-    train = d.withColumn("back", F.row_number().over(back)).where("back > 20").drop("back")
-    one = (train.agg(F.countDistinct("y")).first()[0] or 0) < 2
-    if n < least or one:
-        return d.where("false").select("rn", *[F.lit(None).cast("double").alias(c) for c in (*MEMBERS, "p_ensemble_mean", "p_ensemble_range")], F.lit("").alias("confidence"), *[F.lit("").alias(f"top_driver_{k}") for k in (1, 2, 3)])
-    g = fit(train, trees=trees)
-    d.unpersist()
-    return g.predict(d.where(F.col("rn") == last).drop("y")).select("*", *[F.lit(x).alias(f"top_driver_{k}") for k, (x, _) in enumerate(g.drivers(3), 1)])
-
-
-def walk_forward(features: DataFrame, labels: DataFrame, target: str = "stress_20d", least: int = 504, every: int = 21, tail: int = 63, trees: int = 100) -> DataFrame:
-    """One row per evaluation date: the ensemble learned from the rows before it, and what came. Each date fits its own models."""
-    w = Window.partitionBy(F.lit(0)).orderBy("rn")
-    d = gate_features(features).join(labels.select("rn", F.col(target).alias("y")), "rn").withColumn("i", F.row_number().over(w) - 1).cache()  # one row a day
-    n = d.count()
-    out = None
-    for i in range(least, n - tail, every):
-        train = d.where(F.col("i") < i).drop("i")
-        if (train.agg(F.sum("y")).first()[0] or 0) < 5:
-            continue
-        g = fit(train, trees=trees)
-        row = g.predict(d.where(F.col("i") == i)).select("*", *[F.lit(x).alias(f"top_driver_{k}") for k, (x, _) in enumerate(g.drivers(3), 1)])
-        out = row if out is None else out.unionByName(row)
-    d.unpersist()
-    if out is None:
-        raise ValueError(f"no evaluation date in {n} rows")
-    return out.join(d.select("rn", F.col("y").alias("realised")), "rn")
+#: The forecasts of one date: each is a task of its own.
+TASKS = ("logistic", "boosted", "fold0", "fold1", "fold2")
+
+
+def horizon_of(target: str) -> int:
+    """The rows that a label looks at, from its name: stress_20d looks at 20, its own first."""
+    return int(target.rpartition("_")[2].removesuffix("d"))
+
+
+def forecasts(features: DataFrame, labels: DataFrame, dates: DataFrame, target: str = "stress_20d", trees: int = 100, positives: int = 5, legacy_labels: bool = False, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """The ensemble at each row of dates (rn), all dates in one job: rn, the members' probabilities, their ensemble, top_driver_1..3.
+
+    A date learns from the rows whose labels were known by then, those at least the label's horizon before it; with
+    legacy_labels from all rows before it, whose last labels look past the date. Dates and members are dealt to tasks, each
+    of which holds one series of days and one model. Dates with fewer than `positives` labels of 1, or without a 0, have no row.
+    """
+    f = gate_features(features, columns)
+    known = f.join(labels.select("rn", F.col(target).cast("double").alias("y")), "rn")
+    lag = 1 if legacy_labels else horizon_of(target)
+    at = F.broadcast(dates.select(F.col("rn").alias("at")))  # evaluation dates: at most a row a day
+    train = known.join(at, F.col("rn") <= F.col("at") - lag)
+    able = train.groupBy("at").agg(F.sum("y").alias("ones"), F.count("*").alias("n")).where(f"ones >= {positives} and ones < n").select("at")
+    asked = f.join(at, F.col("rn") == F.col("at")).withColumn("y", F.lit(None).cast("double"))
+    rows = train.unionByName(asked).join(F.broadcast(able), "at").withColumn("task", F.explode(F.array(*[F.lit(x) for x in TASKS])))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn")
+        own, last = pdf[pdf.y.notna()], pdf[pdf.y.isna()]
+        x, y, z = own[list(columns)].to_numpy(float), own.y.to_numpy(float), last[list(columns)].to_numpy(float)
+        p, drivers = None, []
+        if key[1] == "logistic":
+            mean, sd = x.mean(axis=0), x.std(axis=0)
+            sd[sd == 0] = 1.0
+            w, constant = l1_logistic((x - mean) / sd, y)
+            p = 1 / (1 + np.exp(-(((z - mean) / sd) @ w + constant)))
+            drivers = [columns[i] for i in sorted(range(len(w)), key=lambda i: (-abs(w[i]), i))[:3]]
+        elif key[1] == "boosted":
+            p = 1 / (1 + np.exp(-Boosted(trees).fit(x, y).logits(z)))
+        else:
+            fold = np.arange(len(y)) * 3 // len(y) == int(key[1][-1])  # a run of rows
+            if 0 < y[~fold].sum() < (~fold).sum() and fold.any():
+                m = Boosted(trees).fit(x[~fold], y[~fold])
+                p = np.interp(m.logits(z), *isotonic(m.logits(x[fold]), y[fold]))
+        return pd.DataFrame({"rn": [int(key[0])], "task": [key[1]], "p": [None if p is None else float(p[0])], "drivers": [drivers]})
+
+    each = rows.groupBy("at", "task").applyInPandas(run, "rn long, task string, p double, drivers array<string>")
+    of = lambda name: F.max(F.when(F.col("task") == name, F.col("p")))
+    d = each.groupBy("rn").agg(of("logistic").alias(MEMBERS[0]), of("boosted").alias(MEMBERS[1]), F.coalesce(F.avg(F.when(F.col("task").startswith("fold"), F.col("p"))), of("boosted")).alias(MEMBERS[2]), F.max(F.when(F.col("task") == "logistic", F.col("drivers"))).alias("drivers"))
+    return ensemble(d).select("rn", *MEMBERS, "p_ensemble_mean", "p_ensemble_range", "confidence", *[F.get("drivers", F.lit(k - 1)).alias(f"top_driver_{k}") for k in (1, 2, 3)])
+
+
+def predict_current(features: DataFrame, labels: DataFrame, target: str = "stress_20d", least: int = 504, trees: int = 100, legacy_labels: bool = False) -> DataFrame:
+    """The ensemble at the last row, learned from the rows whose labels are known by then. Empty below `least` rows."""
+    n = features.agg(F.count("*").alias("n"), F.max("rn").alias("rn")).where(F.col("n") >= least)
+    return forecasts(features, labels, n.select("rn"), target, trees, 1, legacy_labels)
+
+
+def walk_forward(features: DataFrame, labels: DataFrame, target: str = "stress_20d", least: int = 504, every: int = 21, tail: int = 63, trees: int = 100, legacy_labels: bool = False) -> DataFrame:
+    """One row per evaluation date: the ensemble learned from what was known at it, and what came (realised).
+
+    Dates are every `every` complete rows from the one with `least` rows before it to the one with more than `tail` after it.
+    """
+    known = gate_features(features).select("rn").join(labels.select("rn", F.col(target).alias("realised")), "rn")
+    w = Window.partitionBy(F.lit(0)).orderBy("rn")  # one row a day
+    d = known.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy(F.lit(0))))
+    dates = d.where((F.col("i") >= least) & (F.col("i") < F.col("n") - tail) & ((F.col("i") - least) % every == 0))
+    return forecasts(features, labels, dates, target, trees, 5, legacy_labels).join(dates.select("rn", "realised"), "rn")
 
 
 def calibration(f: DataFrame, p: str = "p_ensemble_mean", y: str = "realised", bins: int = 8, threshold: float = 0.15) -> DataFrame:

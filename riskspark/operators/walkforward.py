@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, RiskConfig
 from ..functions.columns import at_least
 from ..functions.counter import BLOCKS, uniform
+from ..functions.stretches import prefix_ranks
 from . import features as fe
 from . import scenarios as sc
 
@@ -20,15 +21,10 @@ def eval_rows(ret: DataFrame, least: int = 504, every: int = 21, horizon: int =
 
 
 def lambda_at(features: DataFrame, rows: DataFrame, least: int = 50, config: RiskConfig = DEFAULT) -> DataFrame:
-    """rn, the four percentiles, raw_score, lambda_t, regime at given rows, each against the complete rows up to it.
-
-    rows are few (evaluation dates), so they are broadcast and the range join ends in counts per row.
-    """
-    f = features.select("rn", *[F.round(c, 10).alias(c) for c in NAMES])
-    e = f.join(rows.select("rn"), "rn").select("rn", *[F.col(c).alias(f"v_{c}") for c in NAMES])
-    j = f.withColumnRenamed("rn", "h").join(F.broadcast(e), F.col("h") <= F.col("rn"))
-    n = lambda c, o: F.sum((F.col(c) < F.col(f"v_{c}") if o == "lt" else F.col(c) <= F.col(f"v_{c}")).cast("long")).alias(f"{o}_{c}")
-    d = j.groupBy("rn").agg(F.count("*").alias("n"), *[n(c, o) for c in NAMES for o in ("lt", "le")]).where(F.col("n") >= least)
+    """rn, the four percentiles, raw_score, lambda_t, regime at given rows, each against the complete rows up to it (prefix_ranks())."""
+    f = features.select("series", "rn", *[F.round(c, 10).alias(c) for c in NAMES])
+    f = f.join(rows.select("rn", F.lit(True).alias("asked")), "rn", "left")
+    d = prefix_ranks(f, list(NAMES), F.col("asked")).where(F.col("n") >= least)
     pct = {c: (F.col(f"lt_{c}") + F.col(f"le_{c}") + 1) / (2 * F.col("n")) for c in NAMES}
     pct |= {c: 1 - pct[c] for c in ("drawdown_20d", "ret_20d")}
     d = d.select("rn", *[pct[c].alias(name) for c, name in NAMES.items()])
@@ -49,8 +45,8 @@ def forecasts(ret: DataFrame, features: DataFrame, rows: DataFrame, sims: int =
     """at, p_drawdown_*, var_*, es_*, median_return: bootstrap by regime and tail correction from the history of each row `at`."""
     regime = sc.REGIME
     e = features.join(rows, "rn").select(F.col("rn").alias("at"), *[F.col(c).alias(f"v_{c}") for c in regime])
-    seen = features.select(F.col("rn").alias("h")).join(F.broadcast(e.select("at")), F.col("h") <= F.col("at")).groupBy("at").count().where(F.col("count") >= least)
-    e = e.join(F.broadcast(seen.select("at")), "at")
+    seen = features.select(F.col("rn").alias("at"), F.row_number().over(Window.partitionBy("series").orderBy("rn")).alias("n")).where(F.col("n") >= least)
+    e = e.join(seen.select("at"), "at")
     blocks = sc.block_library(features, horizon)
     # evaluation dates are few: broadcast; the join holds dates * days rows, whatever the number of simulations
     j = blocks.drop("rets").join(F.broadcast(e), F.col("block_id") + (horizon - 1) <= F.col("at"))

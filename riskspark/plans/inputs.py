@@ -46,6 +46,10 @@ class Inputs:
         """Rows with all features, from the 252nd on."""
         return self.features.dropna()
 
+    @cached_property
+    def labels(self) -> DataFrame:
+        return self.store.table("labels", lambda: fe.stress_labels(self.ret))
+
     @cached_property
     def paths(self) -> DataFrame:
         """block_id, a, n."""
@@ -92,7 +96,7 @@ class Inputs:
     @cached_property
     def puts(self) -> DataFrame:
         """The liquid puts with implied volatility and greeks."""
-        return self.store.table("puts", lambda: op.bs_metrics(op.liquid(op.quoted(t.chain(self.spark, self.sf)))))
+        return self.store.table("puts", lambda: op.bs_metrics(t.spread(op.liquid(op.quoted(t.chain(self.spark, self.sf))), "contract_id")))
 
     @cached_property
     def scored(self) -> DataFrame:

@@ -186,6 +186,7 @@ ORACLE = {
     "roll_ret": f"WITH {FEATURES} SELECT rn, {cols('ret_5d ret_10d ret_20d ret_60d')} FROM feat",
     "roll_vol": f"WITH {FEATURES} SELECT rn, {cols('vol_5d vol_10d vol_20d vol_60d')} FROM feat",
     "roll_drawdown": f"WITH {FEATURES} SELECT rn, {cols('drawdown_20d drawdown_60d')} FROM feat",
+    "roll_drawdown_year": f"WITH {RET}, {dd('a', -251, 0)}, {dd('b', 1, 252)} SELECT ret.rn, {r('a.v')} AS drawdown_252d, {r('b.v')} AS drawdown_next_252d FROM ret LEFT JOIN a ON a.rn = ret.rn LEFT JOIN b ON b.rn = ret.rn",
     "vix_zscore": f"WITH {FEATURES} SELECT rn, {cols('vix_change_5d vix_change_20d vix_z_252d')} FROM feat",
     "loss_momentum": f"WITH {FEATURES} SELECT rn, {r('-ret_5d')} AS loss_5d, {r('-ret_20d')} AS loss_20d FROM feat",
     "market_features": f"WITH {FEATURES} SELECT rn, {cols('r vix_level ret_5d ret_10d ret_20d ret_60d vol_5d vol_10d vol_20d vol_60d drawdown_5d drawdown_10d drawdown_20d drawdown_60d vix_change_5d vix_change_20d vix_z_252d')}, {r('-ret_5d')} AS loss_5d, {r('-ret_20d')} AS loss_20d FROM feat WHERE ret_60d IS NOT NULL AND vix_z_252d IS NOT NULL AND vix_change_20d IS NOT NULL",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions.columns import bs_put, normal_cdf, over, r6
+from ..functions.stretches import sliding_drawdown
 from ..operators import features as fe
 from ..operators import options as op
 from ..operators import scenarios as sc
@@ -85,6 +86,13 @@ def roll_drawdown(spark, sf):
     return rounded(Inputs(spark, sf).features.select("rn", "drawdown_20d", "drawdown_60d"))
 
 
+@query
+def roll_drawdown_year(spark, sf):
+    """Over 252 rows, from the stretches of 4, 8, 16, 32, 64 and 128."""
+    d = sliding_drawdown(t.returns(spark, sf), "r", {"drawdown_252d": (-251, 0), "drawdown_next_252d": (1, 252)})
+    return rounded(d.select("rn", "drawdown_252d", "drawdown_next_252d"))
+
+
 @query
 def vix_zscore(spark, sf):
     return rounded(Inputs(spark, sf).features.select("rn", "vix_change_5d", "vix_change_20d", "vix_z_252d"))

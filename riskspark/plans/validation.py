@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
+from ..functions import lattice
 from ..functions.columns import bs_price
+from ..functions.stretches import asof
 from ..operators import features as fe
 from ..operators import gate
 from ..operators import health as he
@@ -50,6 +53,23 @@ def opt_spot_fallback(spark, sf):
     return rounded(op.with_spot(d, op.spot(t.panel(spark, sf))).select("contract_id", "ticker", "spot"))
 
 
+@query
+def opt_spot_asof(spark, sf):
+    """The underlying's price as of each quote's day, at most 30 days old."""
+    return rounded(asof(t.quotes(spark, sf), t.panel(spark, sf), "ticker", "dt", ["close"], tolerance=30).select("quote_id", "ticker", F.col("dt").cast("string").alias("dt"), F.col("close").alias("spot")))
+
+
+@query
+def ks_monthly(spark, sf):
+    """Each ticker's daily returns of a month against those of the month before that it has: exact p-value where no returns are tied."""
+    d = fe.log_returns(t.panel(spark, sf)).groupBy("ticker", F.date_format("dt", "yyyy-MM").alias("month")).agg(F.collect_list("r").alias("x"))  # a month's days
+    d = d.withColumn("y", F.lag("x").over(Window.partitionBy("ticker").orderBy("month"))).where("y is not null")
+    n, m = F.size("x"), F.size("y")
+    d = d.withColumn("far", lattice.distance(F.col("x"), F.col("y")))
+    p = F.coalesce(lattice.exact_tail(F.col("far"), n, m), va.ks_tail(F.col("far") / (n * m), n, m))
+    return rounded(d.select("ticker", "month", n.cast("long").alias("n"), m.cast("long").alias("m"), (F.col("far") / (n * m)).alias("ks_stat"), p.alias("ks_pval")))
+
+
 @query
 def opt_call_chain(spark, sf):
     return rounded(op.quoted(t.calls(spark, sf)))
@@ -96,9 +116,16 @@ def gate_calibration(spark, sf):
 
 @query
 def gate_predict(spark, sf):
-    """The forecast for the last row: three models learned from all but the last rows, with fewer trees than the library's default."""
+    """The forecast for the last row: three models learned from the rows whose labels are known by then."""
+    i = Inputs(spark, sf)
+    return gate.predict_current(i.complete, i.labels)
+
+
+@query
+def gate_walk_forward(spark, sf):
+    """A forecast for every evaluation date, each from its own models."""
     i = Inputs(spark, sf)
-    return gate.predict_current(i.complete, fe.stress_labels(i.ret), trees=20)
+    return gate.walk_forward(i.complete, i.labels)
 
 
 @query

@@ -7,6 +7,7 @@ import re
 from ..operators.gate import COLUMNS
 from ..operators.realism import ARCHETYPES, FEATURES
 from ..operators.validation import QUANTILES
+from ..sources.tables import TICKERS
 from . import oracle as o
 from .oracle import CHAIN, EVT, FORECAST, MODEL, PANEL, PATHS, PHYSICAL, RET, SCORED, VIX, WINDOW, cols, each, ll, phi, r
 
@@ -128,6 +129,7 @@ ORACLE = {
     "opt_spot": f"WITH {PANEL} SELECT ticker, {r('max_by(close, dt)')} AS spot FROM panel GROUP BY 1",
     "src_single_series": f"WITH {PANEL} SELECT CAST(dt AS VARCHAR) AS dt, ticker, {r('close')} AS close FROM panel WHERE ticker = '1-URGENT'",
     "opt_spot_fallback": f"WITH {CHAIN}, {PANEL}, lp AS (SELECT contract_id, CASE contract_id % 3 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' ELSE 'NO-PRICE' END AS ticker, (bid + ask)/2 AS last_price FROM chain), sp AS (SELECT ticker, max_by(close, dt) AS px FROM panel GROUP BY 1), me AS (SELECT ticker, quantile_cont(last_price, 0.5) AS med FROM lp GROUP BY 1) SELECT contract_id, lp.ticker, {r('coalesce(px, med)')} AS spot FROM lp LEFT JOIN sp USING (ticker) JOIN me USING (ticker)",
+    "opt_spot_asof": f"WITH {PANEL}, qu AS (SELECT CAST(l_orderkey*10 + l_linenumber AS BIGINT) AS quote_id, CASE l_orderkey % 5 {' '.join(f'WHEN {i} THEN {chr(39)}{n}{chr(39)}' for i, n in enumerate(TICKERS))} END AS ticker, CAST(l_shipdate AS DATE) AS dt FROM lineitem) SELECT quote_id, qu.ticker, CAST(qu.dt AS VARCHAR) AS dt, CASE WHEN qu.dt - panel.dt <= 30 THEN {r('close')} END AS spot FROM qu ASOF LEFT JOIN panel ON qu.ticker = panel.ticker AND qu.dt >= panel.dt",
     "opt_call_chain": f"WITH {CHAIN}, x AS (SELECT contract_id, spot, strike, t_years, open_interest, volume, (ask - bid)/2 AS half, greatest((bid + ask)/2 + spot - strike*exp(-0.045*t_years), (ask - bid)/2 + 0.01) AS c0 FROM chain) SELECT contract_id, open_interest, volume, {cols('spot strike t_years')}, {r('c0 - half')} AS bid, {r('c0 + half')} AS ask, {r('c0')} AS mid, {r('2*half')} AS bid_ask, {r('strike/spot')} AS moneyness, {r('2*half/c0')} AS bid_ask_pct FROM x",
     "put_ui_filter": f"WITH {CHAIN} SELECT contract_id FROM liquid WHERE coalesce(open_interest, 0) >= 250 AND round(bid_ask_pct, 9) <= 0.10",
     "bs_call": f"WITH {CHAIN}, x AS (SELECT *, (ln(spot/strike) + CAST(0.045 AS DOUBLE)*t_years)/(0.2*sqrt(t_years)) + 0.2*sqrt(t_years)/2 AS a FROM chain), y AS (SELECT *, a - 0.2*sqrt(t_years) AS b FROM x) SELECT contract_id, {r(f'spot*{phi(chr(97))} - strike*exp(-0.045*t_years)*{phi(chr(98))}')} AS bs_call FROM y",

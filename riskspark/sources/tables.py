@@ -53,6 +53,16 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("bid", F.col("c0") - F.col("half")).withColumn("ask", F.col("c0") + F.col("half")).drop("half", "c0")
 
 
+#: The panel's tickers.
+TICKERS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quote_id, ticker, dt: a quote for each shipped line, on days with and without a price."""
+    name = F.element_at(F.array(*[F.lit(x) for x in TICKERS]), (1 + F.col("l_orderkey") % 5).cast("int"))
+    return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("quote_id"), name.alias("ticker"), F.to_date("l_shipdate").alias("dt"))
+
+
 def spread(sims: DataFrame, key: str) -> DataFrame:
     """Deals simulations, a few bytes each, to all tasks before each of them becomes a path; a small table may be one file."""
     spark = sims.sparkSession
