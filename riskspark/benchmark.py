@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import validate
 from .engine import report
 from .sources import files
+from .store import release_all
 
 #: Read beside the ranks.
 NOTES = (
@@ -46,6 +47,7 @@ def main(argv: list[str] | None = None) -> None:
     each = [files.paths_csv(spark, path, name) for name, _, path in (m.partition("=") for m in a.model)]
     brier = {name: float(x) for name, _, x in (b.partition("=") for b in a.brier)}
     run(files.returns_csv(spark, a.real), reduce(DataFrame.unionByName, each), a.out, brier).orderBy("rank").show(truncate=False)
+    release_all(spark)
 
 
 if __name__ == "__main__":

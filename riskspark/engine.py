@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import html
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from .operators import features as fe
 from .operators import options as op
 from .operators import scenarios as sc
+from .operators import walkforward as wf
 from .sources import files
+from .store import Store
 
 
 def clean(value: Any) -> Any:
@@ -39,6 +41,7 @@ class Engine:
     ret: DataFrame
     vix: DataFrame
     chain: DataFrame | None = None
+    _made: dict = field(default_factory=dict, compare=False, repr=False)  # stores by what they are of
 
     @classmethod
     def of_csv(cls, spark: SparkSession, ticker: str, prices: str, vix: str, chain: str | None = None) -> Engine:
@@ -55,8 +58,18 @@ class Engine:
     def health(self) -> dict[str, str]:
         return {"status": "ok"}
 
+    @property
+    def store(self) -> Store:
+        """The tables that answers share: features, weights, paths and their figures, each made once."""
+        return self._made.setdefault("store", Store(self.ret.sparkSession))
+
+    def release(self) -> None:
+        """Deletes those tables; later answers make them anew."""
+        if "store" in self._made:
+            self._made.pop("store").release()
+
     def features(self) -> DataFrame:
-        return fe.market_features(fe.with_vix(self.ret, self.vix)).dropna()
+        return self.store.table("features", lambda: fe.market_features(fe.with_vix(self.ret, self.vix)).dropna())
 
     def regime(self) -> dict[str, Any]:
         return one(fe.regime(self.features()))
@@ -65,16 +78,26 @@ class Engine:
         """sim_id, step, r: draws by regime, with the tail corrected."""
         if not (5 <= horizon <= 60 and 1000 <= n_sims <= 20000):
             raise ValueError("horizon must be 5 to 60 and n_sims 1,000 to 20,000")
-        f = self.features()
-        w = sc.block_weights(sc.block_library(f, horizon), f)
+        f, table = self.features(), self.store.table
+        w = table(f"weights-{horizon}", lambda: sc.block_weights(sc.block_library(f, horizon), f))
         sims = self.ret.sparkSession.range(1, n_sims + 1).withColumnRenamed("id", "sim_id")
         drawn = sc.bootstrap(w.drop("rets"), sims).join(w.select("block_id", "rets"), "block_id")
-        steps = drawn.select("sim_id", F.posexplode("rets").alias("step", "r"))
-        return sc.evt_correct(steps, sc.evt_fit_ml(sc.evt_exceedances(self.ret)))
+        steps = table(f"steps-{horizon}-{n_sims}", lambda: drawn.select("sim_id", F.posexplode("rets").alias("step", "r")))
+        return table(f"paths-{horizon}-{n_sims}", lambda: sc.evt_correct(steps, self.tail()))
+
+    def tail(self) -> DataFrame:
+        """The fit of the losses' tail."""
+        beyond = self.store.table("exceedances", lambda: sc.evt_exceedances(self.ret))
+        return self.store.table("tail", lambda: sc.evt_fit_ml(beyond))
+
+    def figures(self, n_sims: int = 5000, horizon: int = 20) -> DataFrame:
+        """The figures of each path."""
+        p = self.paths(n_sims, horizon)
+        return self.store.table(f"figures-{horizon}-{n_sims}", lambda: sc.per_path(p))
 
     def risk(self, n_sims: int = 5000, horizon: int = 20) -> dict[str, Any]:
-        stats = one(sc.path_stats(sc.per_path(self.paths(n_sims, horizon))))
-        return {"horizon": horizon, "n_sims": n_sims, **self.regime(), "stress_metrics": stats, "evt_fit": one(sc.evt_fit_ml(sc.evt_exceedances(self.ret)))}
+        stats = one(sc.path_stats(self.figures(n_sims, horizon)))
+        return {"horizon": horizon, "n_sims": n_sims, **self.regime(), "stress_metrics": stats, "evt_fit": one(self.tail())}
 
     def expiries(self) -> list[float]:
         if self.chain is None:
@@ -86,17 +109,28 @@ class Engine:
         t = t_years if t_years is not None else terms[min(1, len(terms) - 1)]
         if not any(math.isclose(t, x) for x in terms):
             raise ValueError(f"no options of term {t}")
-        puts = op.bs_metrics(op.liquid(op.quoted(self.chain.where(F.abs(F.col("t_years") - t) < 1e-9))))
-        scored = op.scored(op.physical(puts, sc.per_path(self.paths(n_sims, horizon)))).persist()  # the contracts of one term, read twice below
-        try:
-            summary = one(op.summary(scored))
-            if not summary.get("n_options"):
-                raise ValueError("no liquid puts")
-            best = [clean(r.asDict()) for r in op.top(scored, top).collect()]
-        finally:
-            scored.unpersist()
+        puts = self.store.table(f"puts-{t}", lambda: op.bs_metrics(op.liquid(op.quoted(self.chain.where(F.abs(F.col("t_years") - t) < 1e-9)))))
+        scored = self._scored(t, puts, n_sims, horizon)
+        summary = one(op.summary(scored))
+        if not summary.get("n_options"):
+            raise ValueError("no liquid puts")
+        best = [clean(r.asDict()) for r in op.top(scored, top).collect()]
         return {"t_years": t, **self.regime(), "vol_surface": one(op.vol_surface(puts)), "disagreement_summary": summary, "top_disagreements": best}
 
+    def _scored(self, t: float, puts: DataFrame, n_sims: int, horizon: int) -> DataFrame:
+        each, table = self.figures(n_sims, horizon), self.store.table
+        priced = table(f"priced-{t}-{horizon}-{n_sims}", lambda: op.physical(puts, each))
+        return table(f"scored-{t}-{horizon}-{n_sims}", lambda: op.scored(priced))
+
+    def charts(self, t_years: float | None = None, n_sims: int = 5000, horizon: int = 20) -> dict[str, DataFrame]:
+        """The tables behind a dashboard's charts: the histogram of simulated returns, the regime score's history and, with a chain, both probabilities by strike."""
+        f = self.features()
+        out = {"returns": sc.return_chart(self.figures(n_sims, horizon)), "lambda_history": wf.lambda_at(f, wf.history_rows(f))}
+        if self.chain is not None:
+            t = self.options_disagreement(t_years, n_sims, horizon)["t_years"]
+            out["probability_by_strike"] = op.by_strike(self.store.tables[f"scored-{t}-{horizon}-{n_sims}"])
+        return out
+
     def monitor_row(self, ticker: str, at: str, n_sims: int = 5000, horizon: int = 20) -> DataFrame:
         """One flat row for the monitoring log; keys carry the prefix of their part."""
         r = self.risk(n_sims, horizon)

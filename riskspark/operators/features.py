@@ -58,17 +58,17 @@ def cross_features(ret: DataFrame) -> DataFrame:
     return j.select("ticker", "other", "dt", rolling(F.sum, y, 20, "pair", "dt").alias("ret_20d"), (rolling(F.stddev_samp, y, 20, "pair", "dt") * ANNUAL).alias("vol_20d"), corr.alias("corr_60d"))
 
 
-def stress_labels(ret: DataFrame, horizons: tuple[int, ...] = (5, 20, 60), fall: float = -0.08, levels: tuple[float, ...] = (0.05, 0.08, 0.10)) -> DataFrame:
-    """Per horizon h over rows t .. t+h-1: the fall, and the volatility against the 95 % quantile of the 20-row one; the last h rows are 0."""
+def stress_labels(ret: DataFrame, horizons: tuple[int, ...] = (5, 20, 60), fall: float = -0.08, levels: tuple[float, ...] = (0.05, 0.08, 0.10), start_offset: int = 0) -> DataFrame:
+    """Per horizon h over rows t .. t+h-1, or from t+start_offset on: the fall, and the volatility against the 95 % quantile of the 20-row one; the last h rows are 0."""
     r = F.col("r")
     d = ret.withColumn("v20", rolling(F.stddev_samp, r, 20))
     cut = d.agg(F.percentile("v20", F.lit(0.95)).alias("cut"), F.max("rn").alias("n"))
     d = d.crossJoin(F.broadcast(cut))  # one row
-    d = sliding_drawdown(d, "r", {f"dd{h}": (0, h - 1) for h in horizons})
+    d = sliding_drawdown(d, "r", {f"dd{h}": (start_offset, start_offset + h - 1) for h in horizons})
     cols = []
     for h in horizons:
-        d = d.withColumn(f"sd{h}", F.stddev_pop(r).over(over(0, h - 1)))
-        there = F.col("rn") <= F.col("n") - h
+        d = d.withColumn(f"sd{h}", F.stddev_pop(r).over(over(-start_offset, start_offset + h - 1)))
+        there = F.col("rn") <= F.col("n") - h - start_offset
         cols.append((there & ((F.col(f"dd{h}") <= fall) | (F.col(f"sd{h}") >= F.col("cut")))).cast("int").alias(f"stress_{h}d"))
         cols += [(there & (F.col(f"dd{h}") <= -x)).cast("int").alias(f"dd_{round(100 * x)}pct_{h}d") for x in levels]
     return d.select("rn", *cols)

@@ -144,6 +144,12 @@ def predict_current(features: DataFrame, labels: DataFrame, target: str = "stres
     return forecasts(features, labels, n.select("rn"), target, trees, 1, legacy_labels)
 
 
+def outlook(features: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("stress_5d", "stress_20d", "stress_60d"), least: int = 504, trees: int = 100) -> DataFrame:
+    """predict_current() for several targets: a row each, with its name."""
+    each = [predict_current(features, labels, t, least, trees).withColumn("target", F.lit(t)) for t in targets]
+    return reduce(DataFrame.unionByName, each)
+
+
 def walk_forward(features: DataFrame, labels: DataFrame, target: str = "stress_20d", least: int = 504, every: int = 21, tail: int = 63, trees: int = 100, legacy_labels: bool = False) -> DataFrame:
     """One row per evaluation date: the ensemble learned from what was known at it, and what came (realised).
 

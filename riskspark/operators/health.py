@@ -71,7 +71,7 @@ def health_table(c: DataFrame) -> DataFrame:
 
 
 def validity_score(d: DataFrame) -> DataFrame:
-    """Adds risk_validity_score, 0 to 100: body 20, value at risk and shortfall 35, coverage 30, stability 15, forecasts up to 10 more."""
+    """Adds risk_validity_score, 0 to 100: body 20, value at risk and shortfall 35, coverage 30, stability 15, forecasts up to 10 more; and tail_pts, which are shown but not in it."""
     c, zero = F.col, F.lit(0.0)
     body = F.least(F.greatest(zero, 10 - c("ks_stat") * 200) + F.greatest(zero, 5 - c("wasserstein") * 2000) + F.greatest(zero, 5 - c("acf_sq_error") * 50), F.lit(20.0))
     risk = F.when(c("var_5pct_verdict") == "PASS", 12.0).otherwise(0.0) + F.when(c("var_1pct_verdict") == "PASS", 12.0).otherwise(0.0)
@@ -79,7 +79,9 @@ def validity_score(d: DataFrame) -> DataFrame:
     cover = F.least(F.least(F.coalesce(c("crisis_coverage"), zero) * 30, F.lit(20.0)) + F.least(F.coalesce(c("crisis_precision"), zero) * 10, F.lit(10.0)), F.lit(30.0))
     steady = F.when(c("aggregation_sensitive"), 5.0).otherwise(15.0)
     bonus = F.coalesce(F.least(F.greatest(zero, 10 - c("brier") * 100), F.lit(10.0)), zero)
-    return d.withColumn("risk_validity_score", F.round(F.least(body + risk + cover + steady + bonus, F.lit(100.0)), 1))
+    tail = F.coalesce(F.greatest(zero, 10 - 10 * F.abs(F.ln(F.greatest(c("tail_mass_ratio"), F.lit(0.01))))), zero)
+    tail = F.when(c("tail_mass_ratio").isNull(), zero).otherwise(tail)
+    return d.withColumn("tail_pts", tail).withColumn("risk_validity_score", F.round(F.least(body + risk + cover + steady + bonus, F.lit(100.0)), 1))
 
 
 def scored_models(body: DataFrame, backtest: DataFrame, stable: DataFrame, crisis: DataFrame, brier: DataFrame) -> DataFrame:

@@ -120,6 +120,11 @@ def historical_context(scored_chain: DataFrame, ret: DataFrame) -> DataFrame:
     return d.withColumn("model_exceeds_hist_95pct", F.col("physical_prob_itm") > F.col("share")).drop("share")
 
 
+def by_strike(scored_chain: DataFrame) -> DataFrame:
+    """A chart's table of both probabilities per contract, in the order of strikes: contract_id, strike, moneyness, the probabilities, gap, mid."""
+    return scored_chain.select("contract_id", "strike", "moneyness", "physical_prob_itm", "risk_neutral_prob_itm", "gap", "mid").orderBy("strike", "contract_id")
+
+
 def top(scored_chain: DataFrame, n: int = 20) -> DataFrame:
     """The n rows of the highest score, ties to the lower contract_id."""
     return scored_chain.orderBy(F.col("tail_score").desc(), "contract_id").limit(n)

@@ -115,10 +115,9 @@ def archetypes(crisis: DataFrame, k: int = 5, seed: int = 42, starts: int = 10)
 
     st = crisis.agg(*[F.avg(c).alias(f"m_{c}") for c in FEATURES], *[F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"s_{c}") for c in FEATURES])
     z = crisis.crossJoin(F.broadcast(st)).select("*", *[((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")).alias(f"z_{c}") for c in FEATURES])  # one row
-    z = VectorAssembler(inputCols=[f"z_{c}" for c in FEATURES], outputCol="z").transform(z).cache()
+    z = VectorAssembler(inputCols=[f"z_{c}" for c in FEATURES], outputCol="z").transform(written(z, "scaled"))
     fits = [KMeans(k=k, featuresCol="z", predictionCol="c", seed=seed + i).fit(z) for i in range(starts)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
-    z.unpersist()
     at = FEATURES.index("max_drawdown")
     order = sorted(range(len(best.clusterCenters())), key=lambda i: float(best.clusterCenters()[i][at]))
     number = F.element_at(F.create_map(*[F.lit(x) for i, c in enumerate(order) for x in (c, i)]), F.col("c")).cast("long")

@@ -14,11 +14,14 @@ REGIME = ("vol_20d", "drawdown_20d", "ret_20d", "vix_level", "vix_z_252d")
 CELLS = 1024
 
 
-def block_library(features: DataFrame, horizon: int = 20, skip: int = 60) -> DataFrame:
-    """Overlapping blocks of the complete feature rows but the first `skip`, with the features of their first row."""
+def block_library(features: DataFrame, horizon: int = 20, skip: int = 60, feature_lag: int = 0) -> DataFrame:
+    """Overlapping blocks of the complete feature rows but the first `skip`, with the features of their first row, or of the row feature_lag before it."""
+    if feature_lag:
+        w = Window.partitionBy("series").orderBy("rn")
+        features = features.withColumns({c: F.lag(c, feature_lag).over(w) for c in REGIME})
     win, r = over(0, horizon - 1), F.col("r")
     d = features.withColumn("place", F.row_number().over(Window.partitionBy("series").orderBy("rn"))).withColumn("rets", F.collect_list(r).over(win)).withColumn("block_vol_ann", F.stddev_pop(r).over(win) * 252**0.5).withColumn("block_return", F.sum(r).over(win)).withColumn("block_worst_1d", F.min(r).over(win))
-    d = d.where((F.size("rets") == horizon) & (F.col("place") > skip))
+    d = d.where((F.size("rets") == horizon) & (F.col("place") > skip + feature_lag))
     return d.select(F.col("rn").alias("block_id"), "block_return", "block_vol_ann", drawdown(F.col("rets")).alias("block_max_dd"), "block_worst_1d", *REGIME, "rets")
 
 
@@ -170,3 +173,10 @@ def histogram(each: DataFrame, bins: int = 80) -> DataFrame:
     d = each.crossJoin(F.broadcast(edge))  # one row
     b = F.least(F.floor((F.col("cum") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins), F.lit(bins - 1))
     return d.groupBy(F.coalesce(b, F.lit(0)).cast("long").alias("bin")).agg(F.sum(weight(each)).alias("n"))
+
+
+def return_chart(each: DataFrame, bins: int = 80) -> DataFrame:
+    """histogram() with the bins' bounds (bin_from, bin_to), as a chart of simulated returns has them."""
+    edge = each.agg(F.min("cum").alias("lo"), F.max("cum").alias("hi"))
+    at = lambda k: F.col("lo") + (F.col("hi") - F.col("lo")) / bins * (F.col("bin") + k)
+    return histogram(each, bins).crossJoin(F.broadcast(edge)).select("bin", "n", at(0).alias("bin_from"), at(1).alias("bin_to"))  # one row

@@ -74,10 +74,10 @@ def _verdict(p: F.Column, n: F.Column) -> F.Column:
     return F.when(n < 30, "INSUFFICIENT_DATA").when(p >= 0.05, "PASS").otherwise("FAIL")
 
 
-def var_backtest(real: DataFrame, models: DataFrame, alphas: tuple[float, ...] = DEFAULT.alphas) -> DataFrame:
+def var_backtest(real: DataFrame, models: DataFrame, alphas: tuple[float, ...] = DEFAULT.alphas, legacy_cc: bool = False) -> DataFrame:
     """One row per model and alpha: value at risk and expected shortfall of the model against the realised losses (rn, r).
 
-    The conditional-coverage statistic is the sum of the two likelihood ratios.
+    The conditional-coverage statistic is the sum of the two likelihood ratios; with legacy_cc that of the two p-values.
     """
     loss = -F.col("r")
     counts = step_values(models).withColumn("v", -F.col("v"))
@@ -99,7 +99,7 @@ def var_backtest(real: DataFrame, models: DataFrame, alphas: tuple[float, ...] =
     null = log_likelihood(c("n00") + c("n10"), c("n01") + c("n11"), ratio(c("n01") + c("n11"), c("n00") + c("n01") + c("n10") + c("n11")))
     alt = log_likelihood(c("n00"), c("n01"), ratio(c("n01"), c("n00") + c("n01"))) + log_likelihood(c("n10"), c("n11"), ratio(c("n11"), c("n10") + c("n11")))
     d = d.withColumn("independence_lr", -2 * (null - alt)).withColumn("kupiec_pval", chi2_tail(c("kupiec_lr"), 1)).withColumn("independence_pval", chi2_tail(c("independence_lr"), 1))
-    d = d.withColumn("conditional_cov_pval", chi2_tail(c("kupiec_lr") + c("independence_lr"), 2))
+    d = d.withColumn("conditional_cov_pval", chi2_tail(c("kupiec_pval") + c("independence_pval") if legacy_cc else c("kupiec_lr") + c("independence_lr"), 2))
     d = d.withColumn("es_severity_ratio", F.when(x >= 5, ratio(c("realised_es"), c("es_model"))))
     s = c("es_severity_ratio")
     d = d.withColumn("es_verdict", F.when(x < 5, "INSUFFICIENT_DATA").when(s.between(0.7, 1.5), "PASS").when(s.between(0.5, 2.0), "WARNING_MILD").otherwise("FAIL"))

@@ -92,6 +92,22 @@ def historical_context(spark, sf):
     return rounded(op.historical_context(d, t.returns(spark, sf)).select("contract_id", "physical_prob_itm", "hist_tail_threshold", "hist_crisis_episode_n", "model_exceeds_hist_95pct"))
 
 
+@query
+def prob_by_strike(spark, sf):
+    """A chart's two probabilities by strike; the risk-neutral one is null where the time value is too thin to settle it (see _settled)."""
+    thin = F.expr("mid - greatest(strike * exp(-0.045 * t_years) - spot, 0)") <= 0.01
+    s = Inputs(spark, sf).scored
+    d = op.by_strike(s).join(s.select("contract_id", thin.alias("thin")), "contract_id")
+    neutral = F.when(~F.col("thin"), F.round("risk_neutral_prob_itm", 5) + F.lit(0.0)).alias("risk_neutral_prob_itm")
+    return rounded(d.select("contract_id", "strike", "moneyness", "physical_prob_itm", neutral))
+
+
+@query
+def risk_charts(spark, sf):
+    """A chart's histogram of simulated returns, with its bins' bounds."""
+    return rounded(sc.return_chart(Inputs(spark, sf).own_figures))
+
+
 @query
 def top_disagreements(spark, sf):
     return rounded(op.top(Inputs(spark, sf).scored).select("contract_id", "tail_score"))
@@ -121,6 +137,13 @@ def gate_predict(spark, sf):
     return gate.predict_current(i.complete, i.labels)
 
 
+@query
+def gate_outlook(spark, sf):
+    """The forecasts for the last row over the three horizons."""
+    i = Inputs(spark, sf)
+    return gate.outlook(i.complete, i.labels)
+
+
 @query
 def gate_walk_forward(spark, sf):
     """A forecast for every evaluation date, each from its own models."""

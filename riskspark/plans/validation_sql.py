@@ -119,7 +119,7 @@ al AS (SELECT b0.model, ks_stat, wasserstein, acf_sq_error, tail_mass_ratio, var
  FROM b0 JOIN bt USING (model) JOIN (SELECT model, bool_or(aggregation_sensitive) AS aggregation_sensitive FROM b2 GROUP BY 1) USING (model) JOIN b3 USING (model) CROSS JOIN (SELECT brier FROM b4)),
 sc AS (SELECT *, round(least(100, least(greatest(0, 10 - ks_stat*200) + greatest(0, 5 - wasserstein*2000) + greatest(0, 5 - acf_sq_error*50), 20) + CASE WHEN var_5pct_verdict = 'PASS' THEN 12 ELSE 0 END + CASE WHEN var_1pct_verdict = 'PASS' THEN 12 ELSE 0 END
  + coalesce(least(11, greatest(0, 11 - 11*abs(ln(CASE WHEN es_severity_ratio IS NOT NULL THEN greatest(es_severity_ratio, 0.01) END)))), 0)*CASE WHEN es_severity_ratio IS NULL THEN 0 ELSE 1 END + least(30, least(crisis_coverage*30, 20) + least(crisis_precision*10, 10)) + CASE WHEN aggregation_sensitive THEN 5 ELSE 15 END
- + CASE WHEN brier IS NULL THEN 0 ELSE least(10, greatest(0, 10 - brier*100)) END), 1) AS risk_validity_score FROM al)
+ + CASE WHEN brier IS NULL THEN 0 ELSE least(10, greatest(0, 10 - brier*100)) END), 1) AS risk_validity_score, {r('CASE WHEN tail_mass_ratio IS NULL THEN 0 ELSE greatest(0, 10 - 10*abs(ln(greatest(tail_mass_ratio, 0.01)))) END')} AS tail_pts FROM al)
 SELECT *, row_number() OVER (ORDER BY risk_validity_score DESC, model) AS rank, CASE WHEN risk_validity_score >= 70 THEN 'HIGH' WHEN risk_validity_score >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM sc"""
 _NAME = "CASE archetype " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(ARCHETYPES)) + " END"
 _LINE = """CASE WHEN n_fail > 0 THEN n_fail || ' validation layers fail: do not rely on this model without a closer look' WHEN n_warning > 1 THEN n_warning || ' validation warnings: read beside other indicators' WHEN n_warning = 1 THEN 'One validation warning: look at the flagged layer' ELSE 'All validation layers pass' END"""
@@ -149,6 +149,8 @@ ORACLE = {
     "precision_at_eps": f"WITH {TYPED}, {_PREC} SELECT model, {r('pv.precision')} AS precision, n_windows, verdict FROM pv",
     "archetype_coverage": f"WITH {NEAR}, {_ARCH} SELECT model, CAST(archetype AS BIGINT) AS archetype, n_windows, {r('av.coverage')} AS coverage, {r('av.mean_nearest_dist')} AS mean_nearest_dist, {_NAME} AS archetype_name, verdict FROM av",
     "crisis_report": REPORT,
+    "prob_by_strike": f"WITH RECURSIVE {SCORED} SELECT contract_id, {cols('strike moneyness physical_prob_itm')}, CASE WHEN {o._TIME} > 0.01 THEN {r('risk_neutral_prob_itm', 5)} END AS risk_neutral_prob_itm FROM scored",
+    "risk_charts": f"WITH {PATHS}, {each('paths', 'sim_id')}, e AS (SELECT min(cum) AS lo, max(cum) AS hi FROM per) SELECT CAST(least(floor((cum - lo)/(hi - lo)*80), 79) AS BIGINT) AS bin, count(*) AS n, {r('any_value(lo + (hi - lo)/80*least(floor((cum - lo)/(hi - lo)*80), 79))')} AS bin_from, {r('any_value(lo + (hi - lo)/80*(1 + least(floor((cum - lo)/(hi - lo)*80), 79)))')} AS bin_to FROM per CROSS JOIN e GROUP BY 1",
     "health_checks": f'{HEALTH} SELECT model, check_name AS "check", status, {cols("confidence_weight figure")} FROM ck',
     "model_health": f"{HEALTH} SELECT model, {r('score')} AS confidence_score, n_pass, n_warning, n_fail, confidence, {_LINE} AS headline FROM ho",
     "health_table": f'{HEALTH} SELECT model, check_name AS "check", status, {cols("confidence_weight")}, status || \' at \' || coalesce(printf(\'%.2f\', {r("figure")}), \'no figure\') AS detail FROM ck UNION ALL SELECT model, \'OVERALL\', confidence, {r("score")}, {_LINE} FROM ho',

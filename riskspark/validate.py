@@ -14,20 +14,25 @@ from .engine import Engine, clean, one, report
 from .operators import features as fe
 from .operators import health as he
 from .operators import realism as re_
+from .operators import scenarios as sc
 from .operators import validation as va
 from .sources import files
+from .store import Store, release_all
 
 
 def layers(real: DataFrame, models: DataFrame, fraction: float = 0.8) -> dict[str, DataFrame]:
     """Tables by layer; backtests read the last part of the series, crises the first. Crisis windows are typed by k-means."""
-    train, test = fe.split(real, fraction)
-    crisis = fe.crisis_windows(fe.window_features(train))
-    typed = re_.by_rule(crisis) if crisis.isEmpty() else re_.archetypes(crisis)
-    windows = re_.path_windows(train, models)
+    store = Store(real.sparkSession)  # ended by store.release_all()
+    train, test = (store.table(k, lambda d=d: d) for k, d in zip(("train", "test"), fe.split(real, fraction), strict=True))
+    crisis = store.table("crisis", lambda: fe.crisis_windows(fe.window_features(train)))
+    typed = store.table("typed", lambda: re_.by_rule(crisis) if crisis.isEmpty() else re_.archetypes(crisis))
+    paths = store.table("paths", lambda: sc.as_arrays(models))
+    values = store.table("values", lambda: va.step_values(paths))
+    windows = store.table("windows", lambda: re_.path_windows(train, paths))
     return {
-        "body realism": re_.body_realism(test, models),
-        "VaR and ES": va.var_backtest(test, models),
-        "pathwise stability": re_.stability(test, models),
+        "body realism": re_.body_realism(test, paths, values),
+        "VaR and ES": va.var_backtest(test, values),
+        "pathwise stability": re_.stability(test, paths, values=values),
         "crisis coverage": re_.crisis_report(typed, windows),
         "archetypes": re_.archetype_coverage(typed, windows),
     }
@@ -89,6 +94,7 @@ def main(argv: list[str] | None = None) -> None:
     else:
         p.error("--real and --synthetic, or --run-engine with --prices and --vix")
     print(one(run(real, models, a.out, drift, title=f"Validation of {name}")["health"])["headline"])
+    release_all(spark)
 
 
 if __name__ == "__main__":

@@ -13,7 +13,7 @@ from riskspark.engine import Engine, clean, report
 from riskspark.functions.columns import bs_price
 from riskspark.functions.quantiles import quantiles
 from riskspark.operators import features as fe
-from riskspark.operators import gate, options, realism
+from riskspark.operators import gate, options, realism, validation
 from riskspark.operators import scenarios as sc
 from riskspark.operators import walkforward as wf
 from riskspark.operators.health import CHECKS
@@ -216,9 +216,31 @@ def test_the_gate_walks_forward_over_its_dates_only(spark):
     x = rng.normal(size=260)
     feats = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "rn long, vol_5d double")
     labels = spark.createDataFrame([(i, int(v > 0.3)) for i, v in enumerate(x)], "rn long, stress_20d int")
-    rows = gate.walk_forward(feats, labels, least=100, every=60, tail=63, trees=2).orderBy("rn").collect()
+    rows = gate.walk_forward(feats, labels, least=100, every=60, tail=63, trees=60).orderBy("rn").collect()
     assert [r.rn for r in rows] == [100, 160] and all(r.top_driver_1 == "vol_5d" for r in rows)
     assert [r.realised for r in rows] == [int(x[100] > 0.3), int(x[160] > 0.3)]
     assert all((r.p_ensemble_mean > 0.5) == bool(r.realised) for r in rows)
-    with pytest.raises(ValueError):
-        gate.walk_forward(feats, labels, least=250, trees=2)
+    assert gate.walk_forward(feats, labels, least=250, trees=2).count() == 0
+
+
+def test_flags_of_labels_blocks_and_backtests(spark, series):
+    ret, f = series
+    now, later = fe.stress_labels(ret, (5,)).cache(), fe.stress_labels(ret, (5,), start_offset=1)
+    j = later.join(now.select((F.col("rn") - 1).alias("rn"), F.col("dd_5pct_5d").alias("next"), F.col("rn").alias("at")), "rn")
+    assert j.where("rn < 1000 and dd_5pct_5d <> next").count() == 0 and now.where("dd_5pct_5d = 1").count() > 0
+    lagged = sc.block_library(f, feature_lag=3).select((F.col("block_id") - 3).alias("rn"), F.col("vol_20d").alias("v"), "block_return")
+    k = lagged.join(f.select("rn", "vol_20d"), "rn")
+    assert k.count() == lagged.count() > 0 and k.where("v <> vol_20d").count() == 0
+    legacy = validation.var_backtest(ret.select("rn", "r"), ret.select(F.lit("m").alias("model"), "r"), legacy_cc=True).collect()
+    assert all(r.conditional_cov_verdict == "PASS" and r.conditional_cov_pval == pytest.approx(np.exp(-(r.kupiec_pval + r.independence_pval) / 2)) for r in legacy)
+
+
+def test_charts_of_the_engine(spark):
+    e = Engine(t.returns(spark, SF), t.vix(spark, SF), t.chain(spark, SF))
+    c = e.charts(n_sims=1000)
+    returns = c["returns"].orderBy("bin").collect()
+    assert sum(r.n for r in returns) == 1000 and all(a.bin_to == pytest.approx(a.bin_from + (returns[0].bin_to - returns[0].bin_from)) for a in returns)
+    strikes = [(r.strike, r.contract_id) for r in c["probability_by_strike"].collect()]
+    assert strikes == sorted(strikes) and strikes and c["lambda_history"].count() == 51
+    e.release()
+    assert e.regime()["regime"] in ("calm", "fragile", "crisis")
