@@ -34,7 +34,8 @@ def liquid(chain: DataFrame, config: RiskConfig = DEFAULT) -> DataFrame:
 def bs_metrics(chain: DataFrame, config: RiskConfig = DEFAULT) -> DataFrame:
     """Adds implied_vol, risk_neutral_prob_itm, delta, vega_per_1pct and the price from implied_vol; unsolved rows go."""
     s, k, t, r, v = F.col("spot"), F.col("strike"), F.col("t_years"), F.lit(config.risk_free), F.col("implied_vol")
-    d = chain.withColumn("implied_vol", implied_vol(F.col("mid"), s, k, t, r)).where("implied_vol is not null")
+    # a row of one value: the condition on it stays above, where it does not solve for the volatility once more
+    d = chain.select("*", F.explode_outer(F.array(implied_vol(F.col("mid"), s, k, t, r))).alias("implied_vol")).where("implied_vol is not null")
     d = d.withColumn("d1", (F.ln(s / k) + (r + v * v / 2) * t) / (v * F.sqrt(t)))
     return d.select("*", normal_cdf(v * F.sqrt(t) - F.col("d1")).alias("risk_neutral_prob_itm"), (normal_cdf(F.col("d1")) - 1).alias("delta"), (s * normal_pdf(F.col("d1")) * F.sqrt(t) * 0.01).alias("vega_per_1pct"), bs_put(s, k, t, r, v).alias("bs_price_from_iv")).drop("d1")
 

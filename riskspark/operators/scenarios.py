@@ -69,15 +69,11 @@ def evt_fit(exceedances: DataFrame) -> DataFrame:
     return d.select("threshold", "n", (2 - F.col("b0") / gap).alias("xi"), (2 * F.col("b0") * F.col("b1") / gap).alias("sigma"))
 
 
-def tail_step(step: F.Column | None = None) -> F.Column:
-    """A step of sim_id, step, r under cut, threshold, xi and sigma: what is beyond the cut becomes a draw from the tail.
-
-    The draw's counter is (sim_id, step), or another number of the step where several steps share sim_id and step.
-    """
+def tail_step(r: F.Column, step: F.Column) -> F.Column:
+    """A step r of simulation sim_id under cut, threshold, xi and sigma: what is beyond the cut becomes a draw from the tail, of the counter (sim_id, step)."""
     flat = F.abs("xi") < 1e-9
     tail = lambda u: F.when(flat, -F.col("sigma") * F.ln(1 - u)).otherwise(F.col("sigma") / F.when(flat, 1.0).otherwise(F.col("xi")) * (F.pow(1 - u, -F.col("xi")) - 1))
-    u = uniform(TAILS, F.col("sim_id"), F.col("step") if step is None else step)
-    return F.when(-F.col("r") >= F.col("cut"), -(F.col("threshold") + let(u, tail))).otherwise(F.col("r"))
+    return F.when(-r >= F.col("cut"), -(F.col("threshold") + let(uniform(TAILS, F.col("sim_id"), step), tail))).otherwise(r)
 
 
 def evt_fit_ml(exceedances: DataFrame, grids: tuple[int, ...] = (400, 100, 40), by: tuple[str, ...] = ()) -> DataFrame:
@@ -105,7 +101,7 @@ def evt_correct(paths: DataFrame, fit: DataFrame, alpha: float = 0.01) -> DataFr
     """Steps in the worst alpha of all become draws from the tail. paths is read twice: write it first where it is dear."""
     cut = quantiles(paths, -F.col("r"), (1 - alpha,)).select(F.col("q")[0].alias("cut"))
     d = paths.crossJoin(F.broadcast(cut)).crossJoin(F.broadcast(fit))  # one row each
-    return d.select("sim_id", "step", tail_step().alias("r"))
+    return d.select("sim_id", "step", tail_step(F.col("r"), F.col("step")).alias("r"))
 
 
 def weight(paths: DataFrame) -> F.Column:

@@ -9,6 +9,7 @@ from ..config import DEFAULT, RiskConfig
 from ..functions.columns import at_least
 from ..functions.counter import BLOCKS, uniform
 from ..functions.stretches import prefix_ranks
+from ..store import written
 from . import features as fe
 from . import scenarios as sc
 
@@ -47,7 +48,7 @@ def forecasts(ret: DataFrame, features: DataFrame, rows: DataFrame, sims: int =
     e = features.join(rows, "rn").select(F.col("rn").alias("at"), *[F.col(c).alias(f"v_{c}") for c in regime])
     seen = features.select(F.col("rn").alias("at"), F.row_number().over(Window.partitionBy("series").orderBy("rn")).alias("n")).where(F.col("n") >= least)
     e = e.join(seen.select("at"), "at")
-    blocks = sc.block_library(features, horizon)
+    blocks = written(sc.block_library(features, horizon), "blocks")  # a row a day
     # evaluation dates are few: broadcast; the join holds dates * days rows, whatever the number of simulations
     j = blocks.drop("rets").join(F.broadcast(e), F.col("block_id") + (horizon - 1) <= F.col("at"))
     st = j.groupBy("at").agg(*[F.avg(c).alias(f"m_{c}") for c in regime], *[F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"s_{c}") for c in regime], F.percentile("block_vol_ann", F.lit(0.95)).alias("high"), F.percentile("block_max_dd", F.lit(0.05)).alias("low"))
@@ -61,10 +62,13 @@ def forecasts(ret: DataFrame, features: DataFrame, rows: DataFrame, sims: int =
     j = j.withColumn("lo", F.coalesce(F.lag("hi").over(run), F.lit(0.0))).withColumn("hi", F.when(F.lead("block_id").over(run).isNull(), 1.0).otherwise(F.col("hi")))
     cells = F.sequence(F.floor(F.col("lo") * sc.CELLS), F.least(F.floor(F.col("hi") * sc.CELLS), F.lit(sc.CELLS - 1)))
     j = j.select("at", "block_id", "lo", "hi", F.explode(cells).alias("cell"))
-    u = uniform(BLOCKS, F.col("sim_id"), F.lit(0))
-    draws = e.select("at", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(sims).cast("long"))).alias("sim_id")).withColumn("u", u).withColumn("cell", F.floor(F.col("u") * sc.CELLS))
-    draws = draws.join(j, ["at", "cell"]).where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
-    steps = draws.join(F.broadcast(blocks.select("block_id", "rets")), "block_id").select("at", "sim_id", F.posexplode("rets").alias("step", "r"))  # a row per day
+    # a simulation's draw is the same at every date: drawn once, then met with each date's blocks
+    u = ret.sparkSession.range(1, sims + 1).select(F.col("id").alias("sim_id"), uniform(BLOCKS, F.col("id"), F.lit(0)).alias("u"))
+    u = written(u.withColumn("cell", F.floor(F.col("u") * sc.CELLS)), "draws")
+    draws = u.join(j, "cell").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("at", "sim_id", "block_id")
+    draws = written(draws, "drawn")
+    rets = blocks.select("block_id", "rets")
+    often = draws.groupBy("at", "block_id").agg(F.count("*").alias("n")).join(rets, "block_id").select("at", "n", F.explode("rets").alias("r"))
     losses = ret.select("rn", (-F.col("r")).alias("loss")).join(F.broadcast(e.select("at")), F.col("rn") <= F.col("at"))
     q = losses.groupBy("at").agg(F.percentile("loss", F.lit(1 - config.evt_threshold)).alias("q1"), F.percentile("loss", F.lit(0.90)).alias("q2"))
     losses = losses.join(F.broadcast(q), "at")
@@ -74,10 +78,10 @@ def forecasts(ret: DataFrame, features: DataFrame, rows: DataFrame, sims: int =
     b = ex.select("at", "threshold", "y", ((1 - (i - 0.35) / n) * F.col("y")).alias("wy")).groupBy("at", "threshold").agg(F.avg("y").alias("b0"), F.avg("wy").alias("b1"))
     gap = F.nullif(F.col("b0") - 2 * F.col("b1"), F.lit(0.0))
     fit = b.select("at", "threshold", (2 - F.col("b0") / gap).alias("xi"), (2 * F.col("b0") * F.col("b1") / gap).alias("sigma"))
-    cut = steps.groupBy("at").agg(F.percentile(-F.col("r"), F.lit(1 - config.evt_replace)).alias("cut"))
-    d = steps.join(F.broadcast(cut), "at").join(F.broadcast(fit), "at")
-    paths = d.select("at", "sim_id", "step", sc.tail_step().alias("r"))
-    stats = sc.path_stats(sc.per_path(paths, ("at", "sim_id")), config, ("at",))
+    cut = often.groupBy("at").agg(F.percentile(-F.col("r"), F.lit(1 - config.evt_replace), F.col("n")).alias("cut"))
+    d = draws.join(rets, "block_id").join(F.broadcast(cut), "at").join(F.broadcast(fit), "at")  # a row a date
+    paths = d.select("at", "sim_id", F.transform("rets", lambda r, step: sc.tail_step(r, step)).alias("a"))
+    stats = sc.path_stats(written(sc.per_array(paths, ("at", "sim_id")), "figures"), config, ("at",))
     return stats.select("at", *[f"p_drawdown_{round(100 * x)}pct" for x in config.drawdown_levels], "var_5pct", "var_1pct", "es_5pct", "median_return")
 
 

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from riskspark import store
 from riskspark.functions.columns import bs_put, chi2_tail, drawdown, implied_vol, normal_cdf
 from riskspark.operators import options
 from riskspark.plans import ORACLE, REGISTRY
@@ -42,6 +43,7 @@ def test_query_equals_its_sql(spark, duck, name):
     a = sorted((tuple(r[c] for c in order) for r in got.collect()), key=lambda r: str(key(r)))
     b = sorted((tuple(r[names.index(c)] for c in order) for r in cur.fetchall()), key=lambda r: str(key(r)))
     assert len(a) == len(b)
+    store.release_all(spark)
     for x, y in zip(a, b, strict=True):
         assert all(same(u, float(v) if isinstance(u, float) and v is not None else v) for u, v in zip(x, y, strict=True)), (x, y)
 
