@@ -31,7 +31,7 @@ def _rules() -> dict[str, list[tuple[Column | None, str, float]]]:
         "calibration": [(c("kupiec_verdict").isNull(), "UNKNOWN", 0.0), (c("es_verdict") == "FAIL", "FAIL", 0.0), (kup & cc, "PASS", 1.0), (kup, "WARNING", 0.5), (None, "FAIL", 0.0)],
         "tail_mass": [(t.isNull(), "UNKNOWN", 0.5), (t.between(0.60, 2.00), "PASS", 1.0), ((t >= 0.30) & (t < 0.60), "WARNING", 0.4), (t > 2.00, "WARNING", 0.5), (None, "FAIL", 0.0)],
         "crisis_coverage": [(cov.isNull(), "UNKNOWN", 0.5), ((cov >= 0.70) & ~c("precision_trap") & (c("n_archetypes_fail") == 0), "PASS", 1.0), (cov >= 0.55, "WARNING", 0.5), (None, "FAIL", 0.0)],
-        "pathwise_stability": [(c("modes").isNull(), "UNKNOWN", 0.5), (steady & (c("modes_pass") == c("modes")), "PASS", 1.0), (steady, "WARNING", 0.6), (None, "WARNING", 0.3)],
+        "pathwise_stability": [(F.coalesce(c("modes"), F.lit(0)) == 0, "UNKNOWN", 0.5), (steady & (c("modes_pass") == c("modes")), "PASS", 1.0), (steady, "WARNING", 0.6), (None, "WARNING", 0.3)],
         "regime_drift": [(c("drift_status") == "LOW", "LOW", 1.0), (c("drift_status") == "MODERATE", "MODERATE", 0.6), (c("drift_status") == "HIGH", "HIGH", 0.2), (None, "UNKNOWN", 0.5)],
         "options_disagreement": [(gap.isNull(), "UNKNOWN", 0.5), (gap < 0.03, "NARROW", 0.9), (gap < 0.08, "MODERATE", 0.6), (None, "WIDE", 0.3)],
     }

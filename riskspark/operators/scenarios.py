@@ -150,7 +150,7 @@ def path_stats(each: DataFrame, config: RiskConfig = DEFAULT, by: tuple[str, ...
     return d.groupBy(*by).agg(
         *[(F.sum(F.when(F.col("max_dd") <= -x, n).otherwise(0)) / F.sum(n)).alias(f"p_drawdown_{round(100 * x)}pct") for x in config.drawdown_levels],
         *[F.first(v).alias(f"var_{k}") for k, v in var.items()],
-        *[share(loss >= v, loss).alias(f"es_{k}") for k, v in var.items()],
+        *[share(at_least(loss, v), loss).alias(f"es_{k}") for k, v in var.items()],
         *[F.first(F.col("q_cum")[i]).alias(f"{k}_return") for k, i in names.items()],
         *[F.first(F.col("q_max_dd")[i]).alias(f"{k}_max_dd") for k, i in names.items()],
         (F.sum(n * F.col("vol")) / F.sum(n)).alias("mean_vol"),

@@ -151,7 +151,7 @@ _SUMMARY = """SELECT count(*) AS n_options, {0}, coalesce(max_by(interpretation,
 _STATS = """WITH {m}, {e}, v AS (SELECT model, quantile_cont(-cum, 0.95) AS var_5pct, quantile_cont(-cum, 0.99) AS var_1pct FROM per GROUP BY 1) SELECT model, {p}, {v}, {q} FROM per JOIN v USING (model) GROUP BY model""".format(
     m=MODEL, e=each("models", "model, sim_id"),
     p=", ".join(f"{r(f'avg(CASE WHEN max_dd <= -{x / 100} THEN 1.0 ELSE 0.0 END)')} AS p_drawdown_{x}pct" for x in _LEVELS),
-    v=", ".join(f"{r(f'any_value(var_{k})')} AS var_{k}, {r(f'avg(-cum) FILTER (-cum >= var_{k})')} AS es_{k}" for k in ("5pct", "1pct")),
+    v=", ".join(f"{r(f'any_value(var_{k})')} AS var_{k}, {r(f'avg(-cum) FILTER (round(-cum, 9) >= round(var_{k}, 9))')} AS es_{k}" for k in ("5pct", "1pct")),
     q=", ".join(f"{r(f'quantile_cont({c}, {p})')} AS {n}" for c, p, n in (("cum", 0.5, "median_return"), ("cum", 0.05, "p05_return"), ("cum", 0.01, "p01_return"), ("max_dd", 0.5, "median_max_dd"), ("max_dd", 0.05, "p05_max_dd"), ("max_dd", 0.01, "p01_max_dd"))) + f", {r('avg(vol)')} AS mean_vol",
 )
 _LL = "({z}*ln(1 - least(greatest({p}, 1e-12), 1 - 1e-12)) + {o}*ln(least(greatest({p}, 1e-12), 1 - 1e-12)))"

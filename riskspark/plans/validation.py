@@ -20,7 +20,7 @@ from ..operators import walkforward as wf
 from ..sources import files
 from ..sources import tables as t
 from .inputs import Inputs
-from .queries import query, rounded
+from .queries import _features, query, rounded
 
 
 @query
@@ -116,7 +116,7 @@ def top_disagreements(spark, sf):
 @query
 def gate_features(spark, sf):
     """With a column missing, so that its default is seen."""
-    return rounded(gate.gate_features(Inputs(spark, sf).features.drop("vix_change_5d")))
+    return rounded(gate.gate_features(_features(spark, sf).drop("vix_change_5d")))
 
 
 @query

@@ -81,7 +81,7 @@ lb AS (SELECT day, threshold, avg(y) AS b0, avg((1 - (i - 0.35)/n)*y) AS b1 FROM
 tz AS (SELECT bs.* FROM bs JOIN kq USING (day) WHERE -r >= cut), tu AS ({o.uniform_sql("tz", o.TAILS, "sim_id", "step", "z")}),
 cs AS (SELECT bs.* FROM bs JOIN kq USING (day) WHERE -r < cut UNION ALL SELECT day, sim_id, step, -(threshold + {o._TAIL}) FROM tu JOIN lf USING (day)),
 {each("cs", "day, sim_id")}, pv AS (SELECT day, quantile_cont(-cum, 0.95) AS v5, quantile_cont(-cum, 0.99) AS v1 FROM per GROUP BY 1),
-pd AS (SELECT day AS rn, {", ".join(f"avg(CASE WHEN max_dd <= -{x / 100} THEN 1.0 ELSE 0.0 END) AS pred_p_drawdown_{x}pct" for x in (5, 8, 10))}, any_value(v5) AS pred_var_5pct, any_value(v1) AS pred_var_1pct, avg(-cum) FILTER (-cum >= v5) AS pred_es_5pct, quantile_cont(cum, 0.5) AS pred_median_return FROM per JOIN pv USING (day) GROUP BY 1),
+pd AS (SELECT day AS rn, {", ".join(f"avg(CASE WHEN max_dd <= -{x / 100} THEN 1.0 ELSE 0.0 END) AS pred_p_drawdown_{x}pct" for x in (5, 8, 10))}, any_value(v5) AS pred_var_5pct, any_value(v1) AS pred_var_1pct, avg(-cum) FILTER (round(-cum, 9) >= round(v5, 9)) AS pred_es_5pct, quantile_cont(cum, 0.5) AS pred_median_return FROM per JOIN pv USING (day) GROUP BY 1),
 hr AS (SELECT rn, {", ".join(f"round({c}, 10) AS {c}" for c in _L)} FROM cf), {LAMBDA[LAMBDA.index("lc AS ("):].replace("FROM ev e JOIN", "FROM (SELECT hr.* FROM hr JOIN ev ON hr.rn = day) e JOIN")}, lt AS (SELECT rn, lambda_t, CASE WHEN lambda_t > 0.7 THEN 'crisis' WHEN lambda_t > 0.3 THEN 'fragile' ELSE 'calm' END AS regime FROM lam),
 lb2 AS ({o._LABELS}), {o.dd("rx", 1, 20)}
 SELECT pd.rn, {cols(tuple(f"pred_{k}" for k in ("p_drawdown_5pct", "p_drawdown_8pct", "p_drawdown_10pct", "var_5pct", "var_1pct", "es_5pct", "median_return")))}, {r("lambda_t")} AS lambda_t, coalesce(regime, 'unknown') AS regime, stress_20d AS realised_stress, {r("rx.v")} AS realised_max_dd
@@ -90,13 +90,13 @@ _REL8 = f"{FORECAST}, ed AS (SELECT quantile_cont(p, [{', '.join(str(k / 8) for
 _W = {"calibration": "CASE WHEN kupiec_verdict IS NULL OR es_verdict = 'FAIL' THEN 0.0 WHEN kupiec_verdict = 'PASS' AND conditional_cov_verdict = 'PASS' THEN 1.0 WHEN kupiec_verdict = 'PASS' THEN 0.5 ELSE 0.0 END",
       "tail_mass": "CASE WHEN tail_mass_ratio BETWEEN 0.6 AND 2 THEN 1.0 WHEN tail_mass_ratio < 0.3 THEN 0.0 WHEN tail_mass_ratio < 0.6 THEN 0.4 ELSE 0.5 END",
       "crisis_coverage": "CASE WHEN coverage_at_eps >= 0.7 AND NOT precision_trap AND n_archetypes_fail = 0 THEN 1.0 WHEN coverage_at_eps >= 0.55 THEN 0.5 ELSE 0.0 END",
-      "pathwise_stability": "CASE WHEN sens THEN 0.3 WHEN np = nm THEN 1.0 ELSE 0.6 END",
+      "pathwise_stability": "CASE WHEN nm = 0 THEN 0.5 WHEN sens THEN 0.3 WHEN np = nm THEN 1.0 ELSE 0.6 END",
       "regime_drift": "CASE status WHEN 'LOW' THEN 1.0 WHEN 'MODERATE' THEN 0.6 WHEN 'HIGH' THEN 0.2 ELSE 0.5 END",
       "options_disagreement": "CASE WHEN mean_gap IS NULL THEN 0.5 WHEN abs(mean_gap) < 0.03 THEN 0.9 WHEN abs(mean_gap) < 0.08 THEN 0.6 ELSE 0.3 END"}
 _S = {"calibration": "CASE WHEN kupiec_verdict IS NULL THEN 'UNKNOWN' WHEN es_verdict = 'FAIL' THEN 'FAIL' WHEN kupiec_verdict = 'PASS' AND conditional_cov_verdict = 'PASS' THEN 'PASS' WHEN kupiec_verdict = 'PASS' THEN 'WARNING' ELSE 'FAIL' END",
       "tail_mass": "CASE WHEN tail_mass_ratio IS NULL THEN 'UNKNOWN' WHEN tail_mass_ratio BETWEEN 0.6 AND 2 THEN 'PASS' WHEN tail_mass_ratio >= 0.3 THEN 'WARNING' ELSE 'FAIL' END",
       "crisis_coverage": "CASE WHEN coverage_at_eps >= 0.7 AND NOT precision_trap AND n_archetypes_fail = 0 THEN 'PASS' WHEN coverage_at_eps >= 0.55 THEN 'WARNING' ELSE 'FAIL' END",
-      "pathwise_stability": "CASE WHEN NOT sens AND np = nm THEN 'PASS' ELSE 'WARNING' END", "regime_drift": "status",
+      "pathwise_stability": "CASE WHEN nm = 0 THEN 'UNKNOWN' WHEN NOT sens AND np = nm THEN 'PASS' ELSE 'WARNING' END", "regime_drift": "status",
       "options_disagreement": "CASE WHEN mean_gap IS NULL THEN 'UNKNOWN' WHEN abs(mean_gap) < 0.03 THEN 'NARROW' WHEN abs(mean_gap) < 0.08 THEN 'MODERATE' ELSE 'WIDE' END"}
 _F = {"calibration": "obs_exp_ratio", "tail_mass": "tail_mass_ratio", "crisis_coverage": "100*coverage_at_eps", "pathwise_stability": "CAST(np AS DOUBLE)", "regime_drift": "drift", "options_disagreement": "100*mean_gap"}
 HEALTH = f"""WITH h1 AS ({o.ORACLE["var_backtest_multi"]}), h2 AS ({o.ORACLE["tail_mass_quantiles"]}), h3 AS ({REPORT}), h4 AS ({STABILITY}), h5 AS ({o.ORACLE["regime_drift"]}), h6 AS ({o.ORACLE["disagreement_summary"]}),

@@ -13,7 +13,7 @@ from riskspark.engine import Engine, clean, report
 from riskspark.functions.columns import bs_price
 from riskspark.functions.quantiles import quantiles
 from riskspark.operators import features as fe
-from riskspark.operators import gate, options, realism, validation
+from riskspark.operators import gate, health, options, realism, validation
 from riskspark.operators import scenarios as sc
 from riskspark.operators import walkforward as wf
 from riskspark.operators.health import CHECKS
@@ -235,6 +235,11 @@ def test_flags_of_labels_blocks_and_backtests(spark, series):
     assert all(r.conditional_cov_verdict == "PASS" and r.conditional_cov_pval == pytest.approx(np.exp(-(r.kupiec_pval + r.independence_pval) / 2)) for r in legacy)
 
 
+def test_stability_without_usable_data_is_unknown(spark):
+    layer = spark.createDataFrame([("m", "PASS", "PASS", "PASS", 1.0, 1.0, 0.8, False, 0, False, 0, 0, 0.1, "LOW", 0.01)], "model string, kupiec_verdict string, conditional_cov_verdict string, es_verdict string, obs_exp_ratio double, tail_mass_ratio double, coverage_at_eps double, precision_trap boolean, n_archetypes_fail int, sensitive boolean, modes_pass int, modes int, drift double, drift_status string, mean_gap double")
+    assert {r.check: r.status for r in health.checks(layer).collect()} == {"calibration": "PASS", "tail_mass": "PASS", "crisis_coverage": "PASS", "pathwise_stability": "UNKNOWN", "regime_drift": "LOW", "options_disagreement": "NARROW"}
+
+
 def test_charts_of_the_engine(spark):
     e = Engine(t.returns(spark, SF), t.vix(spark, SF), t.chain(spark, SF))
     c = e.charts(n_sims=1000)
