@@ -2,13 +2,14 @@
 
 store() turns every text into a payload (UTF-8, zero-padded to a positive multiple of 64 bytes), stores that as the
 samples of an 8-bit greyscale PNG 64 pixels wide, and appends it to a tar shard under its digest's name. Rows carry
-digest, shard, start and length only. Tasks write the shards where their rows are, so no payload is shuffled; a task
-stores a digest once, and its other rows refer to that. Copies that meet in different tasks are stored once a task:
-to bring them together, all texts would have to be shuffled (about 0.3 of the input, compressed), while a hot text
-costs only its own size a task. index() gives one place for each digest.
-
-read_rows() reads back in one deal: a task gets stretches of shards and reads each from front to back, so that rows of
-one place stand side by side. A range read of the first HEADER bytes alone fills the metadata
+digest, shard, start and length only. Digests, not payloads, are shuffled: of the tasks whose rows hold a digest the
+first one is its owner, each task is handed the digests that it shares with others, and only owners store those; the
+rows of other tasks learn the place by a join, in which a digest of many rows is split. So a digest is stored once,
+whatever the number of its copies. The rows are read twice for that. Should the second reading deal them to other tasks
+than the first, a digest may be stored once more, and one whose owner has not met it is stored afterwards.
+
+read_rows() reads back in one deal: a task gets a range of places and reads it from front to back, so that rows of one
+place stand side by side; a place of many rows may lie in several ranges. A range read of the first HEADER bytes alone fills the metadata
 columns (width, height, bits); a read of the whole range decodes the samples, and everything else is computed from those.
 
 A task's shard has a name of its own, which its rows carry; a task that is run again writes another file, and what the
@@ -31,21 +32,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import discard, scratch, spread_join, written
 
 WIDTH, HEADER, LEVEL = 64, 33, 6
-#: A task starts another shard beyond so many bytes; reads are dealt by stretches of READ bytes.
-ROLL, READ = 1 << 30, 1 << 22
+#: A task starts another shard beyond so many bytes.
+ROLL = 1 << 30
 _MAGIC = b"\x89PNG\r\n\x1a\n"
 
 
-def payload(text: str | None) -> bytes:
-    data = (text or "").encode("utf-8", "surrogatepass")
-    return data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
+def payload(text: Column) -> Column:
+    """The text's bytes, padded with zero bytes to a positive multiple of WIDTH."""
+    data = F.coalesce(text, F.lit("")).cast("binary")
+    size = F.greatest(F.lit(WIDTH), F.ceil(F.octet_length(data) / WIDTH) * WIDTH).cast("int")
+    return F.rpad(data, size, F.lit(bytearray(1)))
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -105,7 +110,6 @@ class _Shard:
         self.out.close()
 
 
-_PLACE = "digest binary, shard string, start long, length long"
 _FACTS = {
     "width": pa.int32(),
     "height": pa.int32(),
@@ -120,35 +124,74 @@ _FACTS = {
 _SQL = {pa.int32(): "int", pa.int64(): "long", pa.string(): "string"}
 
 
-def store(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes the payloads below folder; (doc_id, n_bytes, digest, shard, start, length) per row."""
+def _shared(payloads: DataFrame) -> DataFrame:
+    """(digest, n, tasks, ids) of each digest that rows of several tasks hold: its rows and these tasks, the owner first.
+
+    ids, of no further use, keeps doc_id in the plan: a round-robin dealing upstream depends on the columns that are read.
+    """
+    d = payloads.select("digest", F.xxhash64("doc_id").alias("id"), F.spark_partition_id().alias("task"))
+    d = d.groupBy("digest").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("task")).alias("tasks"), F.bit_xor("id").alias("ids"))
+    return d.where(F.size("tasks") > 1)
+
+
+def _listed(folder: str, task: int) -> dict[bytes, bool]:
+    """The shared digests of a task, and whether it is the one to store them."""
+    system, where = fs.FileSystem.from_uri(f"{folder}/task={task}")
+    files = system.get_file_info(fs.FileSelector(where, allow_not_found=True))
+    read = [pq.ParquetFile(system.open_input_file(f.path)).read(["digest", "owner"]) for f in files if f.path.endswith(".parquet")]
+    return {k: v for t in read for k, v in zip(t["digest"].to_pylist(), t["owner"].to_pylist(), strict=True)}
+
+
+def _append(payloads: DataFrame, folder: str, lists: str | None) -> DataFrame:
+    """(doc_id, n_bytes, digest, shared, shard, start, length) per row; no place where another task is to store the digest."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places: dict[bytes, tuple[str, int, int]] = {}
+        shared = _listed(lists, TaskContext.get().partitionId()) if lists else {}
+        places: dict[bytes, tuple] = {k: (None, None, None) for k, owner in shared.items() if not owner}
         shard = None
         for b in batches:
             rows = []
-            for t in b.column("text"):
-                value = t.as_py()
-                data = payload(value)
-                digest = hashlib.sha256(data).digest()
+            for data, digest in zip(b.column("payload"), b.column("digest").to_pylist(), strict=True):
                 if digest not in places:
                     if shard is None or shard.at >= ROLL:
                         if shard is not None:
                             shard.close()
                         shard = _Shard(folder)
-                    media = to_png(data)
+                    media = to_png(data.as_py())
                     places[digest] = shard.path, shard.add(f"{digest.hex()}.png", media), len(media)
-                rows.append((len((value or "").encode("utf-8", "surrogatepass")), digest, *places[digest]))
+                rows.append((digest in shared, *places[digest]))
             if rows:
-                kinds = pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()
+                kinds = pa.bool_(), pa.string(), pa.int64(), pa.int64()
                 cols = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "n_bytes", "digest", "shard", "start", "length"])
+                names = ["doc_id", "n_bytes", "digest"]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *cols], [*names, "shared", "shard", "start", "length"])
         if shard is not None:
             shard.close()
 
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return d.mapInArrow(write, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_bytes long, {_PLACE}")
+    kind = payloads.schema["doc_id"].dataType.simpleString()
+    return payloads.mapInArrow(write, f"doc_id {kind}, n_bytes long, digest binary, shared boolean, shard string, start long, length long")
+
+
+def store(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Writes the payloads below folder; (doc_id, n_bytes, digest, shard, start, length) per row."""
+    data = payload(F.col(text))
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    d = docs.select(F.col(doc_id).alias("doc_id"), size.alias("n_bytes"), F.unhex(F.sha2(data, 256)).alias("digest"), data.alias("payload"))
+    shared = written(_shared(d), "shared", folder)
+    each = shared.select("digest", F.posexplode("tasks").alias("at", "task")).select("digest", "task", (F.col("at") == 0).alias("owner"))
+    each.repartition("task").write.partitionBy("task").parquet(f"{folder}/lists")
+    out = written(_append(d, folder, f"{folder}/lists"), "stored", folder)
+    discard(docs.sparkSession, f"{folder}/lists")
+    have, want = out.where(F.col("shard").isNotNull()), out.where(F.col("shard").isNull())
+    place = ["digest", "shard", "start", "length"]
+    known = written(shared.select("digest", "n").join(index(have.where("shared")), "digest", "left"), "known", folder)
+    lost = known.where(F.col("shard").isNull()).select("digest", "n")
+    if not lost.isEmpty():  # owners that have not met their digest
+        again = _append(d.join(lost, "digest", "left_semi").dropDuplicates(["digest"]), folder, None)
+        known = known.where(F.col("shard").isNotNull()).unionByName(lost.join(written(again, "again", folder).select(*place), "digest"))
+        known = written(known, "found", folder)
+    rest = spread_join(want.select("doc_id", "n_bytes", "digest"), known, ["digest"], "n", salt=["doc_id"])
+    return have.select("doc_id", "n_bytes", *place).unionByName(rest.select("doc_id", "n_bytes", *place))
 
 
 def index(refs: DataFrame) -> DataFrame:
@@ -195,7 +238,7 @@ def read_rows(refs: DataFrame, whole: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *names])
 
     n = max(1, int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = refs.repartition(n, "shard", F.floor(F.col("start") / READ)).sortWithinPartitions("shard", "start")
+    dealt = refs.repartitionByRange(n, "shard", "start", F.xxhash64("doc_id")).sortWithinPartitions("shard", "start")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in refs.schema)
     return dealt.mapInArrow(read, f"{kept}, " + ", ".join(f"{n} {_SQL[_FACTS[n]]}" for n in names))
 
@@ -208,7 +251,7 @@ def headers(refs: DataFrame) -> DataFrame:
 def media_table(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, the place of the medium and everything read back from there, for every row of docs."""
     folder = scratch(docs.sparkSession)
-    return read_rows(written(store(docs, f"{folder}/tar"), "refs", folder))
+    return read_rows(written(store(docs, folder), "refs", folder))
 
 
 def read_tar(path: str) -> dict[str, bytes]:

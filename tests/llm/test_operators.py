@@ -421,7 +421,7 @@ def test_media_round_trip(docs, rows, no_docs, odd):
 
 def test_media_shards_are_tar_files(docs, spark):
     folder = media.scratch(spark)
-    refs = media.written(media.store(docs, f"{folder}/tar"), "refs", folder)
+    refs = media.written(media.store(docs, folder), "refs", folder)
     places = {tuple(r) for r in refs.select("digest", "shard", "start", "length").collect()}
     for path in {p[1] for p in places}:
         members = media.read_tar(path)
@@ -429,14 +429,52 @@ def test_media_shards_are_tar_files(docs, spark):
         for name, data in members.items():
             assert name == hashlib.sha256(media.from_png(data).tobytes()).hexdigest() + ".png"
             assert any(p[0].hex() == name[:64] and p[3] == len(data) for p in places)
-    assert len(places) == len({(p[0], p[1]) for p in places})  # a task stores a digest once
-    assert media.index(refs).count() == len({p[0] for p in places})
+    assert len(places) == len({p[0] for p in places}) == media.index(refs).count()  # one place for each digest
+
+
+def stored_digests(folder: str) -> Counter:
+    from pathlib import Path
+
+    return Counter(name[:64] for f in Path(folder.removeprefix("file://")).glob("*.tar") for name in media.read_tar(f"file://{f}"))
+
+
+COPIES = [(i, "a common text" if i % 3 == 0 else f"text {i % 40}" if i % 3 == 1 else f"alone {i}") for i in range(600)] + [(None, None), (None, ""), (None, None), (7, "\0"), (8, "a common text\0")]
+
+
+def test_media_stores_copies_of_many_tasks_once(spark):
+    d = spark.createDataFrame(COPIES, "doc_id long, text string").repartition(12)
+    folder = media.scratch(spark)
+    refs = media.written(media.store(d, folder), "refs", folder)
+    padded = {(t or "").encode() + b"\0" * (max(64, -(-len((t or "").encode()) // 64) * 64) - len((t or "").encode())) for _, t in COPIES}
+    assert stored_digests(folder) == Counter(hashlib.sha256(p).hexdigest() for p in padded)
+    assert Counter((r.doc_id, r.n_bytes) for r in refs.collect()) == Counter((i, len((t or "").encode())) for i, t in COPIES)
+    assert refs.where("shard is null").count() == 0 and refs.select("digest", "shard", "start").distinct().count() == len(padded)
+
+
+def test_media_of_one_row_many_times(spark):
+    d = spark.range(20_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("again and again").alias("text")).repartition(8)
+    folder = media.scratch(spark)
+    refs = media.written(media.store(d, folder), "refs", folder)
+    assert sum(stored_digests(folder).values()) == 1
+    got = media.read_rows(refs)
+    assert got.count() == 20_000 and got.select("payload_sha256", "media_sha256", "feature").distinct().count() == 1
+
+
+def test_media_whose_owner_does_not_meet_it_is_stored_afterwards(spark, monkeypatch):
+    d = spark.createDataFrame(COPIES, "doc_id long, text string").repartition(12)
+    shared = media._shared
+    monkeypatch.setattr(media, "_shared", lambda p: shared(p).withColumn("tasks", F.concat(F.array(F.lit(10_000)), "tasks")))
+    folder = media.scratch(spark)
+    refs = media.written(media.store(d, folder), "refs", folder)
+    assert refs.count() == len(COPIES) and refs.where("shard is null").count() == 0
+    assert set(stored_digests(folder).values()) == {1}
+    assert media.read_rows(refs).where("payload_sha256 <> lower(hex(digest))").count() == 0
 
 
 def test_media_headers_alone_and_null_ids(spark):
     d = spark.createDataFrame([(None, "a" * 200, 1), (1, "a" * 200, 2), (2, None, 3), (None, "x" * 3_000_000, 4)], "doc_id long, text string, width int").repartition(2)
     folder = media.scratch(spark)
-    refs = media.written(media.store(d, f"{folder}/tar"), "refs", folder)
+    refs = media.written(media.store(d, folder), "refs", folder)
     assert sorted((r.width, r.height, r.bits) for r in media.headers(refs).collect()) == [(64, 1, 8), (64, 4, 8), (64, 4, 8), (64, 46875, 8)]
     got = media.media_table(d).collect()
     assert sorted((r.doc_id is None, r.n_bytes) for r in got) == [(False, 0), (False, 200), (True, 200), (True, 3_000_000)]
