@@ -6,7 +6,8 @@ last words by a bounded-knapsack dynamic program over a bitset of reachable sums
 length as were granted are selected in the order of a seeded hash of doc_id.
 
 Nothing grows with the rows in one place: the dynamic program sees one row per distinct length of a source, and the
-selection ranks documents through hash ranges (common.ranked), so that a hot source, or a hot length, is split.
+selection ranks documents through hash ranges (common.ranked), so that a hot source, or a hot length, is split; so are
+the rows of a hot length when they learn what it was granted (common.spread_join).
 
 The program keeps its bitsets at every square root of so many steps only and makes the others again on the way back, so
 thousands of distinct lengths take a few megabytes.
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_words, ordered, ranked, row_hash, written
+from .common import n_words, ordered, ranked, row_hash, spread_join, written
 
 #: Words of a source's budget that the dynamic program, not the proportional bulk, fills; twice its longest document at least.
 WINDOW = 16384
@@ -123,7 +124,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         return pdf[["skey", "_size", "n", "source_size", "target"]].assign(passes=passes, extra=extra)
 
     grants = counts.drop("source").join(goals, "skey").groupBy("skey").applyInPandas(grant, "skey string, _size long, n long, source_size long, target double, passes long, extra long")
-    d = d.join(written(grants, "grants"), ["skey", "_size"])
+    d = spread_join(d, written(grants, "grants"), ["skey", "_size"], "n", salt=["_id"])
     whole = d.where((F.col("extra") == 0) | (F.col("extra") == F.col("n"))).withColumn("_more", (F.col("extra") > 0).cast("long"))
     part = ranked(d.where((F.col("extra") > 0) & (F.col("extra") < F.col("n"))), ["skey", "_size"], F.ceil(F.col("n") / per), row_hash(["_id"], seed), [F.col("_id"), F.xxhash64("_row")], "_rank")
     part = part.withColumn("_more", (F.col("_rank") < F.col("extra")).cast("long")).drop("_rank")
