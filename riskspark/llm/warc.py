@@ -1,8 +1,10 @@
 """Dictionary-compressed WARC archives (.warc.zst): writer and reader.
 
-Each write task trains a Zstandard dictionary on the first SAMPLE bytes of records that it archives, puts it into a
-skippable frame at the head of its archive (magic 0x184D2A5D), and compresses each record as a frame of its own with
-that dictionary. Of pages with equal payloads of at least `least` bytes the one with the largest page_id becomes a
+A Zstandard dictionary is trained on response records of at most SAMPLE bytes in all, those whose digests' hashes are the
+least, so that they are spread over all pages and a page of many copies counts once. It goes to every write task, which
+puts it into a skippable frame at the head of its archive (magic 0x184D2A5D) and compresses each record as a frame of
+its own with it. Where there are too few long pages to learn from, a task trains its own on the first SAMPLE bytes of
+records that it archives. Of pages with equal payloads of at least `least` bytes the one with the largest page_id becomes a
 response record, the others revisit records of the identical-payload-digest profile, whose block holds the HTTP header
 alone. The largest page_id per digest is an aggregate with map-side combine, joined back on the digest; a digest that
 many pages share is split for that (common.spread_join), and short pages, the empty ones among them, join nothing.
@@ -36,6 +38,8 @@ from .common import scratch, spread_join, written
 
 LEAST = 1000
 SAMPLE, DICTIONARY, LEVEL = 1 << 20, 1 << 15, 3
+#: At most so many records teach the dictionary, none above so many bytes; a longer one would leave no room for others.
+TEACHERS, TEACHER = 1024, 1 << 17
 #: A task starts another archive beyond so many compressed bytes.
 ROLL = 1 << 30
 MAGIC = 0x184D2A5D
@@ -63,6 +67,22 @@ def train(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
         return None
 
 
+def taught(long: DataFrame, last: DataFrame) -> bytes | None:
+    """The dictionary from a spread of records: chosen from last (digest, last, size), read from the pages of long."""
+    one = last.where(F.col("last").isNotNull() & (F.col("size") <= TEACHER))
+    chosen, size = {}, 0
+    for r in one.orderBy(F.xxhash64("digest"), "digest").select("digest", "last", "size").limit(TEACHERS).collect():
+        if size + r["size"] <= SAMPLE:
+            chosen[r["digest"]] = r["last"]
+            size += r["size"]
+    if not chosen:
+        return None
+    d = long.where(F.col("page_id").isin(*chosen.values()) & F.col("digest").isin(*chosen)).dropDuplicates(["digest"])  # at most SAMPLE bytes
+    rows = sorted(d.select("digest", "url", "size", "html").collect(), key=lambda r: r["digest"])
+    found = train([record(chosen[r["digest"]], r["url"], r["digest"], r["size"], bytes(r["html"]), None) for r in rows])
+    return found and found.as_bytes()
+
+
 class Writer:
     def __init__(self, folder: str, dictionary: zstandard.ZstdCompressionDict | None):
         self.path, self.records, self.size = f"{folder}/{uuid.uuid4().hex}.warc.zst", 0, 0
@@ -116,19 +136,22 @@ def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), data.alias("html"))
     p = p.withColumn("digest", F.sha1("html")).withColumn("size", F.octet_length("html").cast("long"))
     long, short = p.where(F.col("size") >= least), p.where(F.col("size") < least)
-    last = written(long.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")), "last", f"{folder}-last")
+    last = written(long.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n"), F.max("size").alias("size")), "last", f"{folder}-last")
+    raw = taught(long, last)
+    last = last.drop("size")
     d = spread_join(long, last, ["digest"], "n", salt=["page_id"])
     revisits = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     d = d.select("page_id", "url", "digest", "size", F.when(~revisits, F.col("html")).alias("payload"), F.when(revisits, F.col("last")).alias("refers_to"))
     d = d.unionByName(short.select("page_id", "url", "digest", "size", F.col("html").alias("payload"), F.lit(None).cast("long").alias("refers_to")))
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, writer, dictionary, held, size = [], None, None, [], 0
+        done, writer, held, size = [], None, [], 0
+        dictionary = zstandard.ZstdCompressionDict(raw) if raw else None
 
         def flush() -> None:
             nonlocal writer, dictionary, held
             if writer is None and held:
-                dictionary = train(held)
+                dictionary = dictionary or train(held)
                 writer = Writer(folder, dictionary)
             for r in held:
                 if writer.size >= ROLL:
@@ -142,7 +165,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
             for i in range(b.num_rows):
                 held.append(record(*(c[i].as_py() for c in columns)))
                 size += len(held[-1])
-                if writer is not None or size >= SAMPLE:
+                if writer is not None or raw or size >= SAMPLE:
                     flush()
         flush()
         if writer is not None:

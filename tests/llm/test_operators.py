@@ -572,6 +572,22 @@ def test_archives_begin_with_their_dictionary(spark):
         assert 0 < int.from_bytes(f.read(4), "little") <= warc.DICTIONARY
 
 
+def test_archives_share_a_dictionary_from_a_spread_of_pages(spark):
+    html = F.concat(F.lit("<html><body class=article>"), F.col("id"), F.repeat(F.concat(F.lit("<p>"), F.col("id") % 50, F.lit("</p>")), 130))
+    df = spark.range(2000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), html.alias("html"))
+    hot = df.where("page_id = 1999").crossJoin(spark.range(3000)).drop("id")  # one row many times
+    df = df.unionByName(hot).withColumn("html", F.when(F.col("page_id") == 3, F.repeat(F.lit("long "), 200_000)).otherwise(F.col("html"))).repartition(4)
+    folder = warc.scratch(spark)
+    archives = warc.written(warc.write(df, f"{folder}/warc"), "archives", folder)
+    heads = set()
+    for r in archives.collect():
+        with open(r.path.removeprefix("file://"), "rb") as f:
+            assert int.from_bytes(f.read(4), "little") == warc.MAGIC
+            heads.add(f.read(int.from_bytes(f.read(4), "little")))
+    assert archives.count() > 1 and len(heads) == 1
+    assert warc.records(archives).count() == 5000
+
+
 # 9 packing
 
 
