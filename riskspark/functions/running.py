@@ -24,8 +24,7 @@ def running(df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] =
         cut = df.withColumn("_range", F.lit(0))
     else:
         cuts = df.agg(F.percentile_approx(value, [i / k for i in range(1, k)], 10 * k).alias("_cuts"))  # one row of k values
-        place = F.aggregate(F.sequence(F.lit(1), F.lit(k.bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(k - 1).alias("hi")), lambda s, _: _halved(s, F.col(value)), lambda s: s["lo"])
-        cut = df.crossJoin(F.broadcast(cuts)).withColumn("_range", place).drop("_cuts")
+        cut = df.crossJoin(F.broadcast(cuts)).withColumn("_range", place(F.col(value), k)).drop("_cuts")
     upto = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     t = cut.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_before_{c}") for c in sums], F.min(value).alias("_first"))
     t = t.select(*by, "_range", *[F.coalesce(F.sum(f"_before_{c}").over(upto), F.lit(0)).alias(f"_before_{c}") for c in sums], F.lead("_first").over(Window.partitionBy(*by).orderBy("_range")).alias("_first"))
@@ -35,6 +34,11 @@ def running(df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] =
     return d.select(*df.columns, *added, F.coalesce(F.lead(value).over(w), F.col("_first")).alias("next"))
 
 
+def place(v: F.Column, k: int) -> F.Column:
+    """How many of the k - 1 sorted values in the array _cuts are at most v, in log2(k) steps a row."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(k.bit_length())), F.struct(F.lit(0).alias("lo"), F.lit(k - 1).alias("hi")), lambda s, _: _halved(s, v), lambda s: s["lo"])
+
+
 def _halved(s: F.Column, v: F.Column) -> F.Column:
     """One step of a binary search for the number of cuts that are at most v."""
     mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")

@@ -7,6 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import written
+from .running import place
+
 
 def _joined(a: Column, b: Column) -> Column:
     """The stretch a followed by b: sum t, greatest prefix p, least prefix m, drawdown d. Null where either is."""
@@ -67,7 +70,8 @@ def carried(df: DataFrame, values: Sequence[str], by: str, order: str, rows: int
     """df with each of values filled by its last value that is not null, in the order of `order` within `by`, ties included.
 
     The order is cut into blocks of about per_block rows by quantiles of a sketch. Each block's last values are a row; carried
-    over the blocks they begin the next ones. So neither a long series nor a hot key is one task. rows: about how many rows there are.
+    over the blocks they begin the next ones. So neither a long series nor a hot key is one task. df is read a few times: write
+    it first where it is dear. rows: about how many rows there are.
     """
     n = df.count() if rows is None else rows
     k = max(1, -(-n // per_block))
@@ -76,7 +80,7 @@ def carried(df: DataFrame, values: Sequence[str], by: str, order: str, rows: int
         d = df.withColumn("_block", F.lit(0))
     else:
         cuts = df.agg(F.percentile_approx(number, [i / k for i in range(1, k)], 10 * k).alias("_cuts"))
-        d = df.crossJoin(F.broadcast(cuts)).withColumn("_block", F.size(F.filter("_cuts", lambda c: c <= number))).drop("_cuts")  # one row of k values
+        d = df.crossJoin(F.broadcast(cuts)).withColumn("_block", place(number, k)).drop("_cuts")  # one row of k values
     w = Window.partitionBy(by, "_block").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     last = d.groupBy(by, "_block").agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(F.col(order), F.col(c)))).alias(c) for c in values])
     upto = Window.partitionBy(by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,18 +93,22 @@ def carried(df: DataFrame, values: Sequence[str], by: str, order: str, rows: int
 def asof(left: DataFrame, right: DataFrame, by: str, order: str, values: Sequence[str], tolerance: int | None = None, per_block: int = 100_000) -> DataFrame:
     """left with the values of the last row of right at or before its own `order` (a date or a number), null where there is none or it is more than tolerance days or units older.
 
-    A tagged union of both, in which right's rows are carried on to left's (carried()). Where several rows of right share a
+    The answer depends on key and time alone: left's distinct pairs of both, combined before the shuffle, join right's in a
+    tagged union, in which right's rows are carried on (carried()), and left looks its answer up. Rows of left are neither sorted nor
+    carried, so many rows of few times cost a scan; left is read twice, and two tables of pairs are written. Where several rows of right share a
     key and a time the greatest in the order of values counts; rows of right with a null key or time join nothing, rows of left with one get nulls.
     """
+    known = F.col(by).isNotNull() & F.col(order).isNotNull()
     seen = F.struct(F.col(order).alias("t"), *[F.col(c).alias(c) for c in values])
-    r = right.where(F.col(by).isNotNull() & F.col(order).isNotNull()).groupBy(by, order).agg(F.max(seen).alias("_seen")).select(by, order, F.lit(None).alias("_row"), "_seen")
-    whole = left.select(by, order, F.struct(*left.columns).alias("_row"), F.lit(None).alias("_seen"))
-    r = r.select(by, order, F.col("_row").cast(whole.schema["_row"].dataType), "_seen")
-    u = carried(r.unionByName(whole.withColumn("_seen", F.col("_seen").cast(r.schema["_seen"].dataType))), ["_seen"], by, order, per_block=per_block).where("_row is not null")
+    r = right.where(known).select(by, order, seen.alias("_seen"), F.lit(False).alias("_asked"))
+    asked = left.where(known).select(by, order).distinct().select(by, order, F.lit(None).cast(r.schema["_seen"].dataType).alias("_seen"), F.lit(True).alias("_asked"))
+    pairs = written(r.unionByName(asked).groupBy(by, order).agg(F.max("_seen").alias("_seen"), F.max("_asked").alias("_asked")), "pairs")
+    u = carried(pairs, ["_seen"], by, order, per_block=per_block).where("_asked and _seen is not null")
     age = F.datediff(F.col(order), F.col("_seen.t")) if dict(left.dtypes)[order] == "date" else F.col(order) - F.col("_seen.t")
     fresh = F.lit(True) if tolerance is None else age <= tolerance
-    there = F.col(by).isNotNull() & F.col(order).isNotNull() & fresh
-    return u.select("_row.*", *[F.when(there, F.col("_seen")[c]).alias(c) for c in values])
+    found = written(u.where(fresh).select(F.col(by).alias("_by"), F.col(order).alias("_at"), *[F.col("_seen")[c].alias(f"_{c}") for c in values]), "found")
+    j = left.join(found, (F.col(by) == F.col("_by")) & (F.col(order) == F.col("_at")), "left")
+    return j.select(*left.columns, *[F.col(f"_{c}").alias(c) for c in values])
 
 
 def prefix_ranks(df: DataFrame, columns: Sequence[str], asked: Column, by: str = "series", order: str = "rn") -> DataFrame:

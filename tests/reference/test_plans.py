@@ -167,6 +167,26 @@ def test_asof_takes_the_last_row_before(spark, size):
     assert sorted(((r.id, r.k, r.t, r.close) for r in got), key=str) == sorted(((i, k, t, want(k, t)) for i, k, t in left), key=str)
 
 
+def test_asof_carries_times_not_rows(spark, monkeypatch):
+    """Rows of left that share key and time are one row of what is sorted, and are themselves not shuffled."""
+    sizes, carried = [], stretches.carried
+    monkeypatch.setattr(stretches, "carried", lambda df, *a, **b: sizes.append(df.count()) or carried(df, *a, **b))
+    left = spark.range(20_000).select("id", F.lit("k").alias("k"), (F.col("id") % 4 * 10).alias("t"))
+    right = spark.createDataFrame([("k", 5, 1.0), ("k", 20, 2.0)], "k string, t long, close double")
+    got = stretches.asof(left, right, "k", "t", ["close"], tolerance=9)
+    assert [tuple(r) for r in got.groupBy("t", "close").count().orderBy("t").collect()] == [(0, None, 5000), (10, 1.0, 5000), (20, 2.0, 5000), (30, None, 5000)]
+    assert sizes == [5]  # times 0, 5, 10, 20, 30
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan and "Sort" not in plan
+
+
+def test_a_row_finds_its_block_by_halving(spark):
+    d = spark.range(300).select(F.lit("k").alias("k"), "id", F.when(F.col("id") % 50 == 7, F.col("id")).alias("v"))
+    out = stretches.carried(d, ["v"], "k", "id", per_block=4)
+    assert "filter(_cuts" not in out._jdf.queryExecution().optimizedPlan().toString()  # all cuts, for each row
+    assert [r.v for r in out.orderBy("id").collect()] == [None if i < 7 else (i - 7) // 50 * 50 + 7 for i in range(300)]
+
+
 def test_prefix_ranks_count_the_history(spark):
     rng = random.Random(7)
     rows = [(s, i, float(rng.randrange(12)), rng.random()) for s, n in (("a", 70), ("b", 1), ("c", 33)) for i in range(3, n + 3)]
