@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, RiskConfig
 from ..functions.columns import at_least, drawdown, let, over
-from ..functions.counter import BLOCKS, TAILS, uniform
+from ..functions.counter import BLOCKS, TAILS, uniform, uniforms
 from ..functions.quantiles import quantiles
+from ..store import written
 
 REGIME = ("vol_20d", "drawdown_20d", "ret_20d", "vix_level", "vix_z_252d")
 CELLS = 1024
@@ -47,7 +48,9 @@ def bootstrap(weighted: DataFrame, sims: DataFrame) -> DataFrame:
     d = d.withColumn("lo", F.coalesce(F.lag("hi").over(w), F.lit(0.0))).withColumn("hi", F.when(F.col("last"), 1.0).otherwise(F.col("hi")))
     cells = F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))
     d = d.select("block_id", "lo", "hi", F.explode(cells).alias("cell"))
-    s = sims.select("sim_id", uniform(BLOCKS, F.col("sim_id"), F.lit(0)).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
+    # a row of one value: the conditions on it stay above, where they do not draw once more
+    u = F.explode(F.array(uniforms(BLOCKS, F.col("sim_id"), F.lit(0))))
+    s = sims.where("sim_id is not null").select("sim_id", u.alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
     return s.join(d, "cell").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("sim_id", "block_id")
 
 
@@ -104,6 +107,22 @@ def evt_correct(paths: DataFrame, fit: DataFrame, alpha: float = 0.01) -> DataFr
     return d.select("sim_id", "step", tail_step(F.col("r"), F.col("step")).alias("r"))
 
 
+def evt_correct_drawn(drawn: DataFrame, blocks: DataFrame, fit: DataFrame, alpha: float = 0.01) -> DataFrame:
+    """evt_correct() of simulations (sim_id, block_id) that take whole blocks (block_id, rets), as arrays: sim_id, a, n.
+
+    No step is a row. The cut comes from the blocks' steps, each counted as often as its block was drawn. A block with no step
+    beyond the cut is one path of n simulations, under the least sim_id; in the others each simulation draws its own tail. drawn is read
+    twice: write it first where it is dear.
+    """
+    n = drawn.groupBy("block_id").agg(F.min("sim_id").alias("sim_id"), F.count("*").alias("n"))
+    counted = written(blocks.select("block_id", "rets").join(n, "block_id"), "counted")
+    cut = quantiles(counted.select(F.explode("rets").alias("r"), "n"), -F.col("r"), (1 - alpha,), weight=F.col("n")).select(F.col("q")[0].alias("cut"))
+    d = counted.crossJoin(F.broadcast(cut)).crossJoin(F.broadcast(fit.select("threshold", "xi", "sigma")))  # one row each
+    d = written(d.withColumn("tailed", F.coalesce(F.exists("rets", lambda r: -r >= F.col("cut")), F.lit(False))), "tailed")
+    own = drawn.join(d.where("tailed").drop("sim_id", "n"), "block_id").select("sim_id", F.transform("rets", lambda r, step: tail_step(r, step)).alias("a"), F.lit(1).cast("long").alias("n"))
+    return d.where("not tailed").select("sim_id", F.col("rets").alias("a"), "n").unionByName(own)
+
+
 def weight(paths: DataFrame) -> F.Column:
     """How many simulations have a row's path: column n, or 1 where there is none."""
     return F.col("n") if "n" in paths.columns else F.lit(1).cast("long")

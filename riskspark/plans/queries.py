@@ -311,8 +311,8 @@ def scenario_options(spark, sf):
     """The whole chain of steps: weighted bootstrap, tail correction, path probabilities, implied volatilities, disagreement summary."""
     i = Inputs(spark, sf)
     fit = i.store.table("fit", lambda: sc.evt_fit_ml(i.store.table("exceedances", lambda: sc.evt_exceedances(i.ret))))
-    paths = sc.evt_correct(_boot(i).select("sim_id", "step", "r"), fit)
-    each = i.store.table("each", lambda: sc.per_path(paths))
+    drawn = i.store.table("drawn", lambda: sc.bootstrap(i.weights.drop("rets"), i.sims))
+    each = i.store.table("each", lambda: sc.per_array(sc.evt_correct_drawn(drawn, i.weights, fit)).select("cum", "n"))
     return rounded(op.summary(op.scored(i.store.table("priced", lambda: op.physical(i.puts, each)))))
 
 

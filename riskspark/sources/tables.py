@@ -42,7 +42,7 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     root = F.col("s0") * F.sqrt("t_years")
     m0 = F.greatest(F.col("strike") * F.exp(-0.045 * F.col("t_years")) - F.col("spot"), F.lit(0.0)) + 0.4 * F.col("spot") * root * F.exp(-2 * F.abs(F.ln(F.col("strike") / F.col("spot"))) / root)
-    p = p.withColumn("m0", m0)
+    p = p.select("*", F.explode(F.array(m0)).alias("m0"))  # a row of one value: filters on prices stay above, where they do not work it out again each time
     return p.select("contract_id", "spot", "strike", "t_years", (F.col("m0") * (1 - F.col("sp") / 2)).alias("bid"), (F.col("m0") * (1 + F.col("sp") / 2)).alias("ask"), "open_interest", "volume")
 
 

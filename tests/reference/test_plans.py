@@ -16,8 +16,10 @@ from riskspark import store
 from riskspark.functions import counter, lattice, quantiles, running, stretches
 from riskspark.operators import gate, learners, nearest, options
 from riskspark.operators import features as fe
+from riskspark.operators import scenarios
 from riskspark.plans import REGISTRY
 from riskspark.plans.inputs import Inputs
+from riskspark.sources import tables
 from riskspark.streaming import monitor
 
 SF = "/root/testdata/sf0.001"
@@ -51,6 +53,51 @@ def test_draws_are_uniform_and_independent(spark):
     assert all(abs(a.u - b) > 0 for a, b in zip(other, u[:100, 0], strict=True))
 
 
+def test_draws_by_batches_are_those_of_the_column(spark):
+    rows = [(s, k) for s in (0, 1, -1, 7, 2**31, 2**32 + 5, -(2**40), 2**62, 6_000_000_019) for k in (0, 1, 19, 2**32 - 1)]
+    d = spark.createDataFrame(rows, "sim long, step long")
+    for stream in (counter.BLOCKS, counter.TAILS):
+        got = d.select(counter.uniforms(stream, F.col("sim"), F.col("step")).alias("a"), counter.uniform(stream, F.col("sim"), F.col("step")).alias("b")).collect()
+        assert all(r.a == r.b for r in got)
+
+
+@pytest.mark.parametrize("least", [0.001, 0.2])
+def test_corrected_draws_equal_corrected_steps(spark, least):
+    """Whole blocks, counted: the same returns as step by step, though simulations of a block without a tail step are one row."""
+    rng = np.random.default_rng(6)
+    rets = [(b, [float(x) for x in rng.normal(0, 0.01, 20)]) for b in range(1, 40)] + [(40, [-0.05 * least] * 20)]
+    blocks = spark.createDataFrame(rets, "block_id long, rets array<double>")
+    drawn = spark.range(1, 2001).select(F.col("id").alias("sim_id"), (1 + F.col("id") * F.col("id") % 40).alias("block_id"))
+    fit = spark.createDataFrame([(0.016, 120, 0.1, 0.005)], "threshold double, n long, xi double, sigma double")
+    steps = drawn.join(blocks, "block_id").select("sim_id", F.posexplode("rets").alias("step", "r"))
+    want = {r.sim_id: r.cum for r in scenarios.per_path(scenarios.evt_correct(steps, fit)).collect()}
+    got = scenarios.per_array(scenarios.evt_correct_drawn(drawn, blocks, fit)).collect()
+    assert sum(r.n for r in got) == len(want) == 2000 and len(got) < 2000
+    assert all(r.cum == want[r.sim_id] for r in got)
+    assert sorted(c for r in got for c in [r.cum] * r.n) == sorted(want.values())
+
+
+def test_scenario_options_keeps_no_steps(spark, monkeypatch):
+    """Rows of what it writes: at most one a simulation, none a step."""
+    made, table = {}, store.Store.table
+
+    def kept(self, name, make):
+        made[name] = table(self, name, make)
+        return made[name]
+
+    monkeypatch.setattr(store.Store, "table", kept)
+    REGISTRY["scenario_options"](spark, SF)
+    sims = spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert "boot" not in made and made["drawn"].count() == sims
+    assert made["each"].count() < sims == made["each"].agg(F.sum("n")).first()[0]
+    store.release_all(spark)
+
+
+def test_a_price_of_the_chain_is_worked_out_once(spark):
+    plan = options.liquid(options.quoted(tables.chain(spark, SF)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("EXP(") == 2  # the price's own two
+
+
 # quantiles and running sums
 
 
